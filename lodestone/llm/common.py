@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 #: Unicode White_Space, as the tokenizer patterns mean it (fixed values of the Unicode standard).
@@ -52,3 +53,20 @@ def single_thread_blas() -> None:
     """Executors run one task per core; keep numpy's BLAS from starting more threads (only before it is loaded)."""
     os.environ.setdefault("OMP_NUM_THREADS", "1")
     os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+
+def smallest_hashes(df: DataFrame, n: int, id_col: str = "id") -> DataFrame:
+    """The n rows whose ids hash lowest: a bounded sample that doesn't depend on order or partitions."""
+    return df.orderBy(F.xxhash64(id_col), id_col).limit(n)
+
+
+def bounded_sample(rows: DataFrame, per_label: int, max_labels: int) -> DataFrame:
+    """At most per_label rows (id, text, label) of each of the max_labels most frequent labels, by lowest hash of the id.
+
+    Rows with one id and label count as one, with the smallest of their texts.
+    """
+    common = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).select("label")
+    hashed = rows.withColumn("hash", F.xxhash64("id", "label"))
+    rank = F.dense_rank().over(Window.partitionBy("label").orderBy("hash"))
+    chosen = hashed.select("label", "hash").join(F.broadcast(common), "label", "left_semi").withColumn("k", rank).where(F.col("k") <= per_label).select("label", "hash").distinct()
+    return hashed.join(F.broadcast(chosen), ["label", "hash"], "left_semi").groupBy("label", "hash").agg(F.min("text").alias("text"))
