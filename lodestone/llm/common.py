@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
@@ -70,3 +71,28 @@ def bounded_sample(rows: DataFrame, per_label: int, max_labels: int) -> DataFram
     rank = F.dense_rank().over(Window.partitionBy("label").orderBy("hash"))
     chosen = hashed.select("label", "hash").join(F.broadcast(common), "label", "left_semi").withColumn("k", rank).where(F.col("k") <= per_label).select("label", "hash").distinct()
     return hashed.join(F.broadcast(chosen), ["label", "hash"], "left_semi").groupBy("label", "hash").agg(F.min("text").alias("text"))
+
+
+def number_in_groups(df: DataFrame, groups: list[str], order: list[str], name: str, partitions: int | None = None) -> DataFrame:
+    """df with a gapless number from 0 in each group, in the given order; no task needs to hold a whole group.
+
+    Rows are ranged by group and order over many partitions and numbered in each; a partition's first number is the sum
+    of the group's row counts in the partitions before it. Rows equal in all of these columns get numbers next to each
+    other. df must not have columns named like the helpers ("part of rows", "row of rows").
+    """
+    rows = df.withColumn("row of rows", F.monotonically_increasing_id())
+    order = [*order, "row of rows"]
+    spread = rows.repartitionByRange(partitions, *groups, *order) if partitions else rows.repartitionByRange(*groups, *order)
+    placed = cut(spread.withColumn("part of rows", F.spark_partition_id()))
+    keys = [*groups, "part of rows"]
+    counts = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    before = Window.partitionBy(*groups).orderBy("part of rows").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(*keys, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
+    numbered = placed.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).join(first, keys)
+    return numbered.withColumn(name, (F.col("first") + F.col(name) - 1).cast("long")).drop("first", "row of rows", "part of rows")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name beside the checkpoints, where driver and executors all see it."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

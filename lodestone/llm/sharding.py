@@ -6,10 +6,10 @@ the other shards, so a further shard takes records only into itself, and no othe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import number_in_groups
 
 
 def uniform(key: Column, shard: Column) -> Column:
@@ -45,13 +45,6 @@ def shard(docs: DataFrame, weights: list[float] | int = 24, new_weight: float |
     rows = docs.select(F.col(id_col).alias("key"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     rows = rows.withColumn("won", rendezvous(key, weights))
     extra = -F.log(uniform(key, F.lit(n))) / new_weight if new_weight > 0 else F.lit(None).cast("double")
-    rows = rows.select("key", "size", "text_crc32", F.col("won.shard").alias("shard"), F.when(extra < F.col("won.score"), n).otherwise(F.col("won.shard")).alias("grown_shard"), F.monotonically_increasing_id().alias("row"))
-    order = ["key", "text_crc32", "size", "row"]
-    spread = rows.repartitionByRange(partitions, "shard", *order) if partitions else rows.repartitionByRange("shard", *order)
-    placed = cut(spread.withColumn("part", F.spark_partition_id()))
-    counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("rows"))
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("shard", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("shard", "part").orderBy(*order)
-    numbered = placed.withColumn("k", F.row_number().over(within)).join(first, ["shard", "part"])
-    return numbered.select(F.col("key").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("k") - 1).cast("long").alias("slot"), "grown_shard")
+    rows = rows.select("key", "size", "text_crc32", F.col("won.shard").alias("shard"), F.when(extra < F.col("won.score"), n).otherwise(F.col("won.shard")).alias("grown_shard"))
+    placed = number_in_groups(rows, ["shard"], ["key", "text_crc32", "size"], "slot", partitions)
+    return placed.select(F.col("key").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
