@@ -15,6 +15,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -26,6 +27,8 @@ from .common import crc_mod, cut, smallest_hashes
 LOWER, UPPER, DIGIT, SPACE, SYMBOL, BANG, MARK = range(7)
 SYMBOL_SIGNS = "#*$%&|<>"
 STATISTICS = 16
+#: Tasks that share the bounded sample.
+SAMPLE_TASKS = 8
 GROUP_CHARS = 2_000_000
 _CLASSES: list[np.ndarray] = []
 
@@ -139,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, where=None, features: int = 384, wid
     def measured(series: pd.Series) -> pd.Series:
         return pd.Series(list(statistics(series.tolist())))
 
-    known = cut(rows.select("id", "label", measured("text").alias("x")).repartition(8, "id"))
+    known = cut(rows.select("id", "label", measured("text").alias("x")))
     moments = known.select("label", F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.min("label").alias("a"), F.max("label").alias("b")).orderBy("k").collect()
     if not moments or moments[0].a == moments[0].b:
         return Model(None, np.zeros(0), np.zeros(0), np.array([moments[0].a if moments else 0.5]))
@@ -147,18 +150,25 @@ def fit(docs: DataFrame, labels: DataFrame, where=None, features: int = 384, wid
     scale = np.array([r.s if r.s and r.s > 1e-9 else 1.0 for r in moments])
     to = Features(np.array([r.m for r in moments]), scale, rng.normal(0, width, size=(STATISTICS, features)), rng.uniform(0, 2 * np.pi, features))
 
-    def equations(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, b = np.zeros((features + 1, features + 1)), np.zeros(features + 1)
-        for frame in frames:
-            z = to(np.array(frame["x"].tolist()).reshape(-1, STATISTICS))
-            a += z.T @ z
-            b += z.T @ frame["label"].to_numpy()
-        yield pd.DataFrame({"a": [a.ravel().tolist()], "b": [b.tolist()]})
+    def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of the partition's share of (Z'Z, Z'y)."""
+        total = np.zeros((features + 1, features + 2))
+        for batch in batches:
+            if batch.num_rows:
+                z = to(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+                total += z.T @ np.column_stack([z, batch.column(0).to_numpy()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "g"])
+
+    def add(key, table: pa.Table) -> pa.Table:
+        rows = table.column("g").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        rows = rows[np.lexsort(rows.T[::-1])]  # a fixed order of summation
+        return pa.table({"i": pa.array([key[0].as_py()], pa.int32()), "g": pa.array([rows.sum(axis=0)], pa.list_(pa.float64()))})
 
     held = F.pmod(F.xxhash64(F.lit("calibration"), "id"), F.lit(4)) == 0
-    parts = known.where(~held).select("label", "x").mapInPandas(equations, "a array<double>, b array<double>").collect()
-    a = sum(np.array(r.a) for r in parts).reshape(features + 1, -1)
-    b = sum(np.array(r.b) for r in parts)
+    # Shares are added by row on the executors, so that the driver receives one system whatever the partitions.
+    shares = known.where(~held).select("label", "x").coalesce(SAMPLE_TASKS).mapInArrow(equations, "i int, g array<double>")
+    system = np.array([r.g for r in sorted(shares.groupBy("i").applyInArrow(add, "i int, g array<double>").collect())])
+    a, b = system[:, :-1], system[:, -1]
     penalty = np.full(features + 1, ridge)
     penalty[-1] = 1e-6
     weights = np.linalg.solve(a + np.diag(penalty), b)
