@@ -174,7 +174,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, shortlist: int = 64
     asked = queries.mapInArrow(routed, "query_id long, q array<double>, floor double, group long, lists array<int>")
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
 
-    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+    def scored(left, right):
         out = {"query_id": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
             cand = left.column("id").to_numpy()

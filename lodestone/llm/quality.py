@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, where=None, features: int = 384, wid
                 total += z.T @ np.column_stack([z, batch.column(0).to_numpy()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "g"])
 
-    def add(key, table: pa.Table) -> pa.Table:
+    def add(key, table):
         rows = table.column("g").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
         rows = rows[np.lexsort(rows.T[::-1])]  # a fixed order of summation
         return pa.table({"i": pa.array([key[0].as_py()], pa.int32()), "g": pa.array([rows.sum(axis=0)], pa.list_(pa.float64()))})
