@@ -120,15 +120,17 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     linked = nodes.join(before, ["key", "k"], "left").join(by_quote, ["key", "at"], "left")
     kind = F.when(F.col("parent").isNotNull(), "quote").when(F.col("previous").isNotNull(), "order").otherwise("start")
     tree = cut(linked.select("key", "at", F.coalesce("parent", "previous").alias("parent"), kind.alias("link")))
-    # Pointer jumping: each round doubles the distance, so a thread of n messages takes log2(n) rounds.
-    climb = cut(tree.select("key", "at", F.coalesce("parent", "at").alias("top"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
-    while True:
-        above = climb.select("key", F.col("at").alias("top"), F.col("top").alias("higher"), F.col("depth").alias("more")).where("more > 0")
-        moved = climb.join(above, ["key", "top"], "left")
-        climb = cut(moved.select("key", "at", F.coalesce("higher", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("higher").isNotNull().alias("went")))
-        if not climb.where("went").limit(1).count():
-            break
-        climb = climb.drop("went")
+    # Pointer jumping: each round doubles the distance, so a thread of n messages takes log2(n) rounds. Only messages that
+    # haven't reached their thread's first one take part in a round; the others wait in the rows already settled.
+    open_rows = cut(tree.select("key", "at", F.coalesce("parent", "at").alias("top"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    settled, open_rows = open_rows.where("depth = 0"), open_rows.where("depth > 0")
+    while open_rows.limit(1).count():
+        above = settled.select("key", F.col("at").alias("top"), F.col("top").alias("higher"), F.col("depth").alias("more"), F.lit(True).alias("ended"))
+        above = above.unionAll(open_rows.select("key", "at", "top", "depth", F.lit(False)))
+        moved = cut(open_rows.join(above, ["key", "top"]).select("key", "at", F.col("higher").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), "ended"))
+        settled = settled.unionAll(moved.where("ended").drop("ended"))
+        open_rows = moved.where("not ended").drop("ended")
+    climb = settled
     placed = parsed.join(tree, ["key", "at"]).join(climb.select("key", "at", "top", "depth"), ["key", "at"])
     own = placed.select(
         "conv", "turn", "role", "key", "at", "link", "depth", "top", "own", "parent",
