@@ -1,9 +1,12 @@
 """Registered queries and the SQL that says the same."""
 
+from . import geometry, matrices, overlays, rankings, recoveries, results  # noqa: F401
+from .adapters import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
