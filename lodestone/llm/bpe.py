@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import SPACE, tokenizer_path
+from .common import SPACE, held, tokenizer_path
 
 #: Splitting pattern of the byte-level vocabulary (fixed value of the format).
 BYTE_PATTERN = (
@@ -198,16 +198,9 @@ class Encoder:
         return b"".join(map(of.__getitem__, nums.tolist())).decode("utf-8", "replace")
 
 
-_CODERS: dict[str, Encoder] = {}
-
-
 def coder_of(spec: str) -> Encoder:
     """The worker's encoder for a vocabulary: a reused Python worker keeps its table and memo."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = Encoder(spec)
-    return _CODERS[key]
+    return held(hashlib.sha256(spec.encode()).hexdigest(), lambda: Encoder(spec))
 
 
 def in_groups(texts: list, most_chars: int = BATCH_CHARS):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -96,3 +98,25 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's name beside the checkpoints, where driver and executors all see it."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+_HELD: dict = {}
+
+
+def release() -> None:
+    """Drop what another operator left in this reused Python worker, and give the memory back where libc can."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:  # another libc: the memory stays with the process
+            pass
+
+
+def held(key, build):
+    """A worker's one large object, kept between its tasks until an operator needs another."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = build()
+    return _HELD[key]

@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .bpe import in_groups
-from .common import bounded_sample, crc_mod
+from .common import bounded_sample, crc_mod, release
 
 SYMBOLS = 64
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 1_000_000
 GROUP_TEXTS = 1024
 PIECE_CHARS = 4_000_000
 UNKNOWN = "und"
@@ -113,6 +113,7 @@ def fit(docs: DataFrame, where=None, space: Space = Space(), per_lang: int = 400
     sample = bounded_sample(rows, per_lang, max_langs)
 
     def add_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         letters, sums = space.letters(), {}
         for frame in frames:
             vectors = bundle(frame["text"].tolist(), letters)
@@ -135,6 +136,7 @@ def predict(model: Model):
 
     @pandas_udf("lang string, score double")
     def of(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release()
         letters = model.space.letters()
         for texts in series:
             vectors = bundle([t if isinstance(t, str) else None for t in texts], letters)

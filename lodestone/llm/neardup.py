@@ -17,11 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 from .graph import components
 
 HASHES = 128
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 1_000_000
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: Largest table of 16-byte keys that is broadcast; a larger one is joined by a shuffle.
@@ -125,6 +125,7 @@ def batches_of(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def sign(n: int):
     def run(batches):
+        release()
         for b in batches:
             texts = b.column("text").to_pylist()
             first: dict[bytes, int] = {}
@@ -216,6 +217,7 @@ def candidates(least: int):
     """Spanning edges of the texts of a bucket (or of two blocks of one) whose sketches agree enough."""
 
     def run(batches):
+        release()
         for table, bounds in runs(batches, ["bucket", "cell"]):
             keys = table.column("key").combine_chunks()
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(table.num_rows, -1)
@@ -263,6 +265,7 @@ def verify(n: int, threshold: float):
     """For each cell of a candidate group: every text's links in it, counted with copies, and a spanning forest of them."""
 
     def run(batches):
+        release()
         for table, bounds in runs(batches, ["group", "cell"]):
             keys, texts = table.column("key").combine_chunks(), table.column("text").to_pylist()
             sides, copies = table.column("side").to_numpy(), table.column("copies").to_numpy()

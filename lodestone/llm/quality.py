@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .bpe import in_groups
-from .common import crc_mod, cut, smallest_hashes
+from .common import crc_mod, cut, release, smallest_hashes
 
 #: Character classes: lower-case letter, upper-case letter, digit, space, symbol, exclamation mark, other mark.
 LOWER, UPPER, DIGIT, SPACE, SYMBOL, BANG, MARK = range(7)
@@ -184,6 +184,7 @@ def scorer(model: Model):
 
     @pandas_udf("double")
     def of(series: pd.Series) -> pd.Series:
+        release()
         return pd.Series(model.score(statistics(series.tolist())))
 
     return of

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import in_groups
-from .common import tokenizer_path
+from .common import held, tokenizer_path
 
 #: The sign that stands before each word (fixed value of the format).
 START = "▁"
@@ -98,16 +98,9 @@ class Counter:
         return list(map(sum, found)), list(map(len, split))
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def counter_of(pieces: bytes) -> Counter:
     """The worker's counter for a vocabulary: a reused Python worker keeps its memo."""
-    key = hashlib.sha256(pieces).hexdigest()
-    if key not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[key] = Counter(pickle.loads(pieces))
-    return _COUNTERS[key]
+    return held(hashlib.sha256(pieces).hexdigest(), lambda: Counter(pickle.loads(pieces)))
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
