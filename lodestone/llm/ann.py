@@ -110,7 +110,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, shortlist: int = 64
     """The k nearest found of each query, a row whose id is divisible by every, among all other rows.
 
     Columns: query_id, rank (from 1), vec_id, score (inner product in double precision on the original vectors). Equal
-    scores go to the smaller id. A query has fewer rows only if there are fewer candidates or its lists hold fewer.
+    scores go to the smaller id. A query has fewer than k rows only if there are fewer candidates.
     Vectors that are null, zero, hold a null or non-finite component, or have another length than most, take no part,
     nor do rows with a null id. Rows equal in id and vector count once, and an id is no candidate for itself. Of equal vectors
     only the k + 1 with the smallest ids can be among the nearest, so a group of copies is reduced to these first. An
@@ -150,26 +150,33 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, shortlist: int = 64
     stock = filed.select("id", "x", "list", "code", (first_col + F.pmod(F.xxhash64("id"), split_col)).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each query and group that holds lists it visits; floor: a score that k rows of the sample reach."""
+        """One row for each query and group that holds lists it visits. floor is a score that k rows of the sample reach; a
+        group need not return less, but for the query's nearest lists, k + 1 rows together, which return whatever they
+        have. So each query finds k rows where there are k; where its lists are too small it visits more."""
         for b in batches:
             if not b.num_rows:
                 continue
             q, own = matrix(b.column(1)), b.column(0).to_numpy()
-            visited = np.argsort(-(q @ index.centroids.T), axis=1, kind="stable")[:, : index.visits]
+            order = np.argsort(-(q @ index.centroids.T), axis=1, kind="stable")
+            enough = (np.cumsum(sizes[order], axis=1) < k + 1).sum(axis=1) + 1
             seen = q @ known.T
             seen[own[:, None] == ids[None, :]] = -np.inf
-            floor = np.partition(seen, -k, axis=1)[:, -k] - 1e-9 if len(known) > k else np.full(len(q), -np.inf)
-            row, groups, lists = [], [], []
-            for i, mine in enumerate(visited):
+            reached = np.partition(seen, -k, axis=1)[:, -k] - 1e-9 if len(known) > k else np.full(len(q), -np.inf)
+            row, groups, lists, floor = [], [], [], []
+            for i, mine in enumerate(order):
                 to: dict[int, list[int]] = {}
-                for one in mine.tolist():
+                near = set()
+                for place, one in enumerate(mine[: max(index.visits, int(enough[i]))].tolist()):
                     for g in range(int(first[one]), int(first[one] + split[one])):
                         to.setdefault(g, []).append(one)
+                        if place < enough[i]:
+                            near.add(g)
                 row += [i] * len(to)
                 groups += to
                 lists += to.values()
+                floor += [-np.inf if g in near else reached[i] for g in to]
             at = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(floor[row]), pa.array(groups, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["query_id", "q", "floor", "group", "lists"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(floor, pa.float64()), pa.array(groups, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["query_id", "q", "floor", "group", "lists"])
 
     asked = queries.mapInArrow(routed, "query_id long, q array<double>, floor double, group long, lists array<int>")
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
