@@ -12,7 +12,7 @@ from ..operators.ranking import Block
 
 def window_counts(events: DataFrame, kinds: list[str], size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(start, x): counts of each kind of event by time window, in the order of kinds; late events within the watermark."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"))
+    w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"))
     counts = w.agg(*[F.sum((F.col("event_type") == k).cast("double")).alias(f"n{i}") for i, k in enumerate(kinds)])
     return counts.select(F.col("w.start").alias("start"), F.array(*[f"n{i}" for i in range(len(kinds))]).alias("x"))
 
