@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -42,7 +43,7 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rules import judge
 
-    return judge(table(spark, sf_dir, "documents"))
+    return judge(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +75,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .sql import HOST_RULES, NEAR_DUPLICATES
+
+    return {"op4_near_duplicates": NEAR_DUPLICATES, "op6_host_rules": HOST_RULES}
