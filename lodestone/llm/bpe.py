@@ -30,8 +30,10 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + SPACE + r"\p{L}\p{N}
 BYTE_LATIN = re.compile(r" ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9²³¹¼-¾]+| ?[^\t-\r \x85\xa0A-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼-¾]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+")
 WORD_LATIN = re.compile(r"[a-zªµºß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 NO_RANK = np.int32(2**31 - 1)
-MEMO_WORDS = 400_000
-BATCH_CHARS = 2_000_000
+MEMO_WORDS = 600_000
+BATCH_CHARS = 500_000
+#: Rows of an Arrow batch that are Python strings at a time.
+SLICE_ROWS = 1000
 
 
 def byte_alphabet() -> list[str]:
@@ -203,6 +205,13 @@ def coder_of(spec: str) -> Encoder:
     return held(hashlib.sha256(spec.encode()).hexdigest(), lambda: Encoder(spec))
 
 
+def sliced(batches):
+    """Arrow batches in slices, so that few texts are held twice."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def in_groups(texts: list, most_chars: int = BATCH_CHARS):
     """Slices of texts that hold about so many characters each; a longer text stands alone."""
     start, chars = 0, 0
@@ -228,7 +237,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
 
     def run(batches):
         coder = coder_of(spec.value)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n, ids_sha, out_sha, ids_out, decoded = [], [], [], [], []
             for a, b in in_groups(texts):

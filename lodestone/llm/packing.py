@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import coder_of, in_groups
+from .bpe import coder_of, in_groups, sliced
 from .common import tokenizer_path
 
 POOL = 768
@@ -99,7 +99,7 @@ def pack(docs: DataFrame, path: str | None = None, max_tokens: int = 2048, max_s
     def run(batches):
         coder, packer = coder_of(spec.value), Packer(max_tokens, max_segments, max_loss)
         base = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             quiets = np.array([max(0, q or 0) for q in batch.column(2).to_pylist()], dtype=np.int64)
             for a, b in in_groups(texts, CHUNK_CHARS):
