@@ -7,11 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import RINGS, Affine, bounds, contains
+from ..functions.geometry import Affine, bounds, contains
 from .graph import components
 from .recovery import window_cells
 
-del RINGS
 
 
 def burn(polygons: DataFrame, t: Affine, height: int, width: int, value: str | None = None) -> DataFrame:
@@ -181,3 +180,26 @@ def group_attributes(groups: DataFrame, classes: DataFrame, cell_area: float = 1
 def clear_of(ranked: DataFrame, footprints: DataFrame, h: int, w: int) -> DataFrame:
     """Ranked windows that touch no footprint cell (r, c)."""
     return ranked.join(window_cells(ranked, h, w, "rank").join(footprints.select("r", "c").distinct(), ["r", "c"], "left_semi").select("rank").distinct(), "rank", "left_anti")
+
+
+def closed(mask: DataFrame, reach: int, height: int, width: int) -> DataFrame:
+    """(r, c) of a mask grown by reach cells (square) and shrunk again: gaps up to twice the reach close."""
+
+    def grown(df: DataFrame) -> DataFrame:
+        rows = df.withColumn("r", F.explode(F.sequence(F.greatest(F.col("r") - reach, F.lit(0)), F.least(F.col("r") + reach, F.lit(height - 1)))))
+        rows = rows.distinct().withColumn("c", F.explode(F.sequence(F.greatest(F.col("c") - reach, F.lit(0)), F.least(F.col("c") + reach, F.lit(width - 1)))))
+        return rows.distinct()
+
+    every = mask.sparkSession.range(height * width).select(F.floor(F.col("id") / width).cast("int").alias("r"), (F.col("id") % width).cast("int").alias("c"))
+    outside = every.join(grown(mask.select("r", "c")), ["r", "c"], "left_anti")
+    return every.join(grown(outside), ["r", "c"], "left_anti")
+
+
+def overlapping_reference(ranked: DataFrame, r0: int, c0: int, h: int, w: int) -> DataFrame:
+    """Ranks whose windows overlap the reference's."""
+    return ranked.where((F.abs(F.col("r0") - r0) < h) & (F.abs(F.col("c0") - c0) < w)).select("rank")
+
+
+def restricted(windows: DataFrame, classes: DataFrame, h: int, w: int, height: int, width: int, keep: list, value: str = "k") -> DataFrame:
+    """Windows whose centre cell has one of the classes."""
+    return sample_at_center(windows, classes, h, w, height, width, value).where(F.col(value).isin(keep))

@@ -77,7 +77,7 @@ def windows(cells: DataFrame, shape: Shape, columns: list[str], mask: np.ndarray
     dealt = clean.where((F.col("r") >= 0) & (F.col("c") >= 0)).withColumn("band", F.explode(F.sequence(low, F.greatest(low, high)))).where(F.col("band") <= bands)
     wide = (shape.per_row - 1) * shape.sx + shape.w
 
-    def cut_band(key, f: pd.DataFrame) -> pd.DataFrame:
+    def cut_band(key, f):
         top = int(key[0]) * per_band
         starts = min(per_band, shape.per_column * shape.sy - top)
         grid = np.full((len(names), starts + shape.h - 1, max(wide, shape.width)), np.nan)
