@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import cut, ensure_checkpoint_dir
+
 #: Unicode White_Space, as the tokenizer patterns mean it (fixed values of the Unicode standard).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -28,36 +28,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names; only where none is named (tests) take a temporary one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder: lineage ends there and lost executors cost nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def crc_mod(column, modulus: int):
     """crc32 of the id as text, modulo: the fold that the contracts fix."""
     return F.crc32(column.cast("string")) % F.lit(modulus)
 
 
-def cores(spark: SparkSession) -> int:
-    """Tasks that run at once, as far as Spark tells."""
-    return max(1, spark.sparkContext.defaultParallelism)
-
-
-def single_thread_blas() -> None:
-    """Executors run one task per core; keep numpy's BLAS from starting more threads (only before it is loaded)."""
-    os.environ.setdefault("OMP_NUM_THREADS", "1")
-    os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
-
-
 def smallest_hashes(df: DataFrame, n: int, id_col: str = "id") -> DataFrame:
     """The n rows whose ids hash lowest: a bounded sample that doesn't depend on order or partitions."""
     return df.orderBy(F.xxhash64(id_col), id_col).limit(n)

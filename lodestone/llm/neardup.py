@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import cut, release
-from .graph import components
 
 HASHES = 128
 GROUP_BYTES = 1_000_000
