@@ -2,8 +2,9 @@
 
 A bounded sample fixes coarse centroids and codebooks of the residuals. Every row is assigned to its centroid's list and
 coded. A query is sent to its best lists; there a table of its inner products with all codewords gives each row's
-approximate score in a few look-ups, and a shortlist is reranked with the original vectors. How many lists a query
-visits is set on the sample, so that they hold the wanted share of true neighbours.
+approximate score in a few look-ups, and a shortlist is reranked with the original vectors. The sample sets how many lists
+a query visits, so that they hold the wanted share of true neighbours, and how far below a wanted score an approximate
+one may lie, so that dense groups, which codes hardly tell apart, are reranked whole.
 """
 
 from __future__ import annotations
@@ -44,19 +45,30 @@ def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Index:
-    """What fitting leaves: centroids, codebooks (parts x words x width) and the lists a query visits."""
+    """What fitting leaves: centroids, codebooks (parts x words x width), the lists a query visits, and how much an exact
+    score exceeds the approximate one at most, but for one pair in a thousand."""
 
     centroids: np.ndarray
     books: np.ndarray
-    visits: int
+    visits: int = 1
+    margin: float = 0.0
 
-    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """List and residual codes of each row."""
+    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List, residual codes and scale of each row. The scale makes up for what coding takes from a row along itself."""
         at, _ = nearest(x, self.centroids)
         left = x - self.centroids[at]
         width = self.books.shape[2]
         codes = [nearest(left[:, p * width : (p + 1) * width], book)[0] for p, book in enumerate(self.books)]
-        return at.astype(np.int32), np.column_stack(codes).astype(np.uint8)
+        kept = self.centroids[at] + np.hstack([book[c] for book, c in zip(self.books, codes)])
+        along = (x * kept).sum(axis=1) / np.maximum((x**2).sum(axis=1), 1e-300)
+        return at.astype(np.int32), np.column_stack(codes).astype(np.uint8), 1 / np.clip(along, 0.5, 1.0)
+
+    def approximate(self, q: np.ndarray, tables: np.ndarray, at: int, codes: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        """Scores of queries against coded rows of a list, from the queries' tables."""
+        near = np.repeat((q @ self.centroids[at])[:, None], len(codes), axis=1)
+        for p in range(codes.shape[1]):
+            near += tables[:, p, codes[:, p]]
+        return near * scale
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Inner products of each query's parts with all codewords: queries x parts x words."""
@@ -77,7 +89,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).where(F.col("id").isNotNull() & F.col("x").isNotNull()).where(F.coalesce(whole, F.lit(False)) & F.exists("x", lambda v: v != 0))
 
 
-def fit(rows: DataFrame, count: int, k: int, list_rows: int = 256, max_lists: int = 4096, parts: int = 16, words: int = 256, share: float = 0.95, seed: int = 5) -> tuple[Index, np.ndarray, np.ndarray]:
+def fit(rows: DataFrame, count: int, k: int, list_rows: int = 256, max_lists: int = 4096, parts: int = 16, words: int = 256, share: float = 0.97, seed: int = 5) -> tuple[Index, np.ndarray, np.ndarray]:
     """Index from a bounded sample (16 rows a list, 8,192 to 65,536 rows), and the sample itself: ids and vectors.
 
     The number of lists follows the row count, list_rows to a list, up to max_lists.
@@ -103,7 +115,15 @@ def fit(rows: DataFrame, count: int, k: int, list_rows: int = 256, max_lists: in
     np.put_along_axis(place, order, np.arange(len(centroids))[None, :].repeat(len(probe), 0), axis=1)
     needed = np.sort(np.take_along_axis(place, at[true], axis=1).ravel())
     visits = int(needed[min(len(needed) - 1, int(np.ceil(share * len(needed))))]) + 1
-    return Index(centroids, books, visits), ids, x
+    index = Index(centroids, books, visits)
+    at, codes, scale = index.code(x)
+    over, tables = [], index.tables(probe)
+    for one in range(len(centroids)):
+        mine = np.flatnonzero(at == one)
+        if len(mine):
+            over.append(probe @ x[mine].T - index.approximate(probe, tables, one, codes[mine], scale[mine]))
+    margin = float(np.quantile(np.concatenate([o.ravel() for o in over]), 0.999))
+    return Index(centroids, books, visits, max(margin, 0.0)), ids, x
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, shortlist: int = 64, group_rows: int = 4096, query_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding", **fitting) -> DataFrame:
@@ -131,10 +151,10 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, shortlist: int = 64
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                at, codes = index.code(matrix(b.column(1)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at), pa.array([c.tobytes() for c in codes], pa.binary())], names=["id", "x", "list", "code"])
+                at, codes, scale = index.code(matrix(b.column(1)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale)], names=["id", "x", "list", "code", "scale"])
 
-    filed = cut(base.mapInArrow(coded, "id long, x array<double>, list int, code binary"))
+    filed = cut(base.mapInArrow(coded, "id long, x array<double>, list int, code binary, scale double"))
     sizes = np.zeros(n_lists, dtype=np.int64)
     for r in filed.groupBy("list").count().collect():  # as many rows as lists, 4,096 at most
         sizes[r["list"]] = r["count"]
@@ -147,7 +167,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, shortlist: int = 64
         group, held = (group + int(split[i]), 0) if split[i] > 1 else (group, held + int(n))
     blocks = max(1, -(-queries.count() // query_rows))
     first_col, split_col = (F.get(F.array(*[F.lit(int(v)) for v in a]), F.col("list")) for a in (first, split))
-    stock = filed.select("id", "x", "list", "code", (first_col + F.pmod(F.xxhash64("id"), split_col)).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    stock = filed.select("id", "x", "list", "code", "scale", (first_col + F.pmod(F.xxhash64("id"), split_col)).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for each query and group that holds lists it visits. floor is a score that k rows of the sample reach; a
@@ -162,7 +182,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, shortlist: int = 64
             seen = q @ known.T
             seen[own[:, None] == ids[None, :]] = -np.inf
             reached = np.partition(seen, -k, axis=1)[:, -k] - 1e-9 if len(known) > k else np.full(len(q), -np.inf)
-            row, groups, lists, floor = [], [], [], []
+            row, groups, lists, home = [], [], [], []
             for i, mine in enumerate(order):
                 to: dict[int, list[int]] = {}
                 near = set()
@@ -174,11 +194,11 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, shortlist: int = 64
                 row += [i] * len(to)
                 groups += to
                 lists += to.values()
-                floor += [-np.inf if g in near else reached[i] for g in to]
+                home += [g in near for g in to]
             at = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(floor, pa.float64()), pa.array(groups, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["query_id", "q", "floor", "group", "lists"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(reached[row]), pa.array(home, pa.bool_()), pa.array(groups, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["query_id", "q", "floor", "home", "group", "lists"])
 
-    asked = queries.mapInArrow(routed, "query_id long, q array<double>, floor double, group long, lists array<int>")
+    asked = queries.mapInArrow(routed, "query_id long, q array<double>, floor double, home boolean, group long, lists array<int>")
     asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
 
     def scored(left, right):
@@ -189,7 +209,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, shortlist: int = 64
             cand, x = cand[order], matrix(left.column("x"))[order]
             codes = np.frombuffer(b"".join(left.column("code").to_pylist()), dtype=np.uint8).reshape(len(cand), -1)[order]
             in_list = left.column("list").to_numpy()[order]
+            scale = left.column("scale").to_numpy()[order]
             q, floor, own = matrix(right.column("q")), right.column("floor").to_numpy(), right.column("query_id").to_numpy()
+            least = np.where(np.asarray(right.column("home").combine_chunks()), -np.inf, floor)
             wanted: dict[int, list[int]] = {}
             for i, lists in enumerate(right.column("lists").to_pylist()):
                 for one in lists:
@@ -198,18 +220,15 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, shortlist: int = 64
                 mine = np.flatnonzero(in_list == one)
                 for lo in range(0, len(who) if len(mine) else 0, 256):
                     some = np.array(who[lo : lo + 256])
-                    tables = index.tables(q[some])
-                    near = np.repeat((q[some] @ index.centroids[one])[:, None], len(mine), axis=1)
-                    for p in range(codes.shape[1]):
-                        near += tables[:, p, codes[mine, p]]
+                    near = index.approximate(q[some], index.tables(q[some]), one, codes[mine], scale[mine])
                     near[own[some][:, None] == cand[mine][None, :]] = -np.inf
-                    short = np.argsort(-near, axis=1, kind="stable")[:, : shortlist + k]
-                    exact = np.einsum("qrd,qd->qr", x[mine[short]], q[some])
-                    keep = (exact >= floor[some][:, None]) & (own[some][:, None] != cand[mine[short]])
-                    r, c = np.nonzero(keep)
-                    out["query_id"].append(own[some][r])
-                    out["vec_id"].append(cand[mine[short]][r, c])
-                    out["score"].append(exact[r, c])
+                    few = np.partition(near, max(0, len(mine) - shortlist - k), axis=1)[:, max(0, len(mine) - shortlist - k)]
+                    r, c = np.nonzero((near >= np.minimum(few, floor[some] - index.margin)[:, None]) & (near > -np.inf))
+                    exact = np.einsum("pd,pd->p", x[mine[c]], q[some[r]])
+                    keep = exact >= least[some[r]]
+                    out["query_id"].append(own[some[r]][keep])
+                    out["vec_id"].append(cand[mine[c]][keep])
+                    out["score"].append(exact[keep])
         joined = {n: np.concatenate(v) if v else np.zeros(0) for n, v in out.items()}
         frame = pd.DataFrame({"query_id": joined["query_id"].astype(np.int64), "vec_id": joined["vec_id"].astype(np.int64), "score": joined["score"].astype(np.float64)})
         best = frame.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
