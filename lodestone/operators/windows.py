@@ -94,7 +94,9 @@ def windows(cells: DataFrame, shape: Shape, columns: list[str], mask: np.ndarray
             if len(whole):
                 r0 = top + i * shape.sy
                 out.append(pd.DataFrame({"window_id": shape.window_id(r0, whole * shape.sx), "r0": r0, "c0": whole * shape.sx} | {c: list(flat[k, whole]) for k, c in enumerate(columns)}))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("window_id", "r0", "c0", *columns)})
+        if out:
+            return pd.concat(out)
+        return pd.DataFrame({"window_id": np.zeros(0, np.int64), "r0": np.zeros(0, np.int32), "c0": np.zeros(0, np.int32)} | {c: pd.Series([], dtype=object) for c in columns})
 
     schema = "window_id long, r0 int, c0 int" + "".join(f", `{c}` array<double>" for c in columns)
     return dealt.groupBy("band").applyInPandas(cut_band, schema)

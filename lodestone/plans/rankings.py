@@ -113,12 +113,12 @@ BLOCKS = "".join(f""",
     dd as (select d1.window_id, d1.is_ref, d1, d2 from d1 join d2 on d1.window_id = d2.window_id and d1.is_ref = d2.is_ref)"""
 
 
-@query(f"with {EVENT_WINDOWS}{BLOCKS}, m as (select median(d1) as m1, median(d2) as m2 from dd) select window_id, round(sqrt(0.5 * d1 / m1 + 0.5 * d2 / m2), 6) as dist from dd, m where not is_ref")
+@query(f"with {EVENT_WINDOWS}{BLOCKS}, m as (select case when median(d1) > 1e-12 then median(d1) else 1 end as m1, case when median(d2) > 1e-12 then median(d2) else 1 end as m2 from dd) select window_id, round(sqrt(0.5 * d1 / m1 + 0.5 * d2 / m2), 6) as dist from dd, m where not is_ref")
 def fusion_sum(spark, sf_dir):
     return rounded(R.fuse("late_sum", two_cells(spark, sf_dir), ["v1", "v2"], [2, 2]), "dist")
 
 
-@query(f"with {EVENT_WINDOWS}{BLOCKS}, m as (select median(d1) as m1, median(d2) as m2 from dd) select window_id, round(sqrt(greatest(d1 / m1, d2 / m2)), 6) as dist from dd, m where not is_ref")
+@query(f"with {EVENT_WINDOWS}{BLOCKS}, m as (select case when median(d1) > 1e-12 then median(d1) else 1 end as m1, case when median(d2) > 1e-12 then median(d2) else 1 end as m2 from dd) select window_id, round(sqrt(greatest(d1 / m1, d2 / m2)), 6) as dist from dd, m where not is_ref")
 def fusion_max(spark, sf_dir):
     return rounded(R.fuse("late_max", two_cells(spark, sf_dir), ["v1", "v2"], [2, 2]), "dist")
 
