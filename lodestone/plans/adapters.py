@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Affine
+from ..operators.ordering import cut
 from ..operators.windows import Shape, windows, with_reference
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,7 +54,7 @@ def event_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 3 days by 4 hours, every second day and third hour, with the reference row."""
-    return with_reference(windows(event_cells(spark, sf_dir), EVENTS, ["v1", "v2"]), REFERENCE)
+    return with_reference(cut(windows(event_cells(spark, sf_dir), EVENTS, ["v1", "v2"])), REFERENCE)
 
 
 EVENT_CELLS = """

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import recovery as V
 from ..operators.joins import interpolate, overlapping
-from ..operators.ordering import top
+from ..operators.ordering import cut, top
 from ..operators.overlay import clear_of
 from ..operators.ranking import rank_raw
 from ..operators.windows import windows
@@ -32,13 +32,13 @@ def ranked(spark, sf_dir):
     """The first windows by plain standardised distance of one variable."""
     w = event_windows(spark, sf_dir)
     first = top(rank_raw(w, "v1"), TOP, [F.round("dist", 9), "window_id"])
-    return first.select("window_id", "rank", (F.floor(F.col("window_id") / 8) * 2).cast("int").alias("r0"), (F.col("window_id") % 8 * 3).cast("int").alias("c0"))
+    return cut(first.select("window_id", "rank", (F.floor(F.col("window_id") / 8) * 2).cast("int").alias("r0"), (F.col("window_id") % 8 * 3).cast("int").alias("c0")))
 
 
 def parts(spark, sf_dir):
     cells = V.box_cells(footprints(spark), CELLS)
     r = ranked(spark, sf_dir)
-    g, a = V.gains(r, cells, 3, 4), V.areas(cells)
+    g, a = cut(V.gains(r, cells, 3, 4)), V.areas(cells)
     return r, cells, g, a, V.coverage(g, a)
 
 
@@ -109,7 +109,7 @@ COUNTED = RANKED + """,
 
 
 def counted(spark, sf_dir):
-    w = windows(event_cells(spark, sf_dir), EVENTS, ["v1"]).select("window_id", "r0", "c0")
+    w = cut(windows(event_cells(spark, sf_dir), EVENTS, ["v1"]).select("window_id", "r0", "c0"))
     cells = V.box_cells(footprints(spark), CELLS)
     grid = event_cells(spark, sf_dir).select("r", "c")
     return V.cover_counts(cells, w, 3, 4, 2, 3), V.cover_counts(grid, w, 3, 4, 2, 3), w.count()
@@ -142,9 +142,9 @@ MATCHED = COUNTED + """,
 
 @query(f"with {MATCHED} select rank, round(mean_fraction, 6) as mean_fraction, union_area, round(matched_t, 5) as matched_t, round(expected_at_area, 6) as expected_at_area, round(mean_fraction / expected_at_area, 5) as ratio from curve join mm2 using (rank)")
 def equal_area_ratio(spark, sf_dir):
-    _, _, g, a, _ = parts(spark, sf_dir)
+    r, _, g, a, _ = parts(spark, sf_dir)
     deps, grid, n = counted(spark, sf_dir)
-    out = V.equal_area(V.curve(g, a, TOP), V.union_area(ranked(spark, sf_dir), 3, 4, TOP), V.null_curve(deps, n, TOP), V.null_union(grid, n, TOP))
+    out = V.equal_area(V.curve(g, a, TOP), V.union_area(r, 3, 4, TOP), V.null_curve(deps, n, TOP), V.null_union(grid, n, TOP))
     return rounded(rounded(out, "mean_fraction", "expected_at_area"), "matched_t", "ratio", digits=5)
 
 
