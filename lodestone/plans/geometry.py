@@ -52,19 +52,31 @@ def polygon_cell_areas(spark, sf_dir):
     return rounded(polygon_cells(polygons(spark, sf_dir).withColumnRenamed("id", "dep_id"), CELLS), "area")
 
 
-@query(f"""with {POLY}, nx as (select *, coalesce(lead(x) over w, first(x) over w) as x2, coalesce(lead(y) over w, first(y) over w) as y2 from pts window w as (partition by id order by i rows between unbounded preceding and unbounded following)),
-    q as (select distinct p_size * 0.6 + 0.013 as px, p_size * 0.4 + 12.017 as py, p_size as k from part)
-    select id, k, sum(case when (y > py) <> (y2 > py) and px < x + (py - y) * (x2 - x) / (y2 - y) then 1 else 0 end) % 2 = 1 as inside from nx, q where id < 12 group by 1, 2""")
-def point_in_polygon(spark, sf_dir):
-    """Even-odd rule, with DataFrame functions and with the array kernel; both must agree."""
-    p = polygons(spark, sf_dir).where("id < 12")
+def points_in(spark, sf_dir, p):
+    """(id, k, inside) of the given polygons and all points of part."""
     q = table(spark, sf_dir, "part").select(F.col("p_size").alias("k"), (F.col("p_size") * 0.6 + 0.013).alias("px"), (F.col("p_size") * 0.4 + 12.017).alias("py")).distinct()
-    both = p.join(F.broadcast(q.where("k <= 1000")))  # sizes are 1 to 50
+    both = p.join(q)
     native = G.contains_native(F.col("rings"), F.col("px"), F.col("py"))
     same = F.when(native == G.contains("rings", "px", "py"), native)
     return both.select("id", "k", same.alias("inside"))
 
 
+@query(f"""with {POLY}, nx as (select *, coalesce(lead(x) over w, first(x) over w) as x2, coalesce(lead(y) over w, first(y) over w) as y2 from pts window w as (partition by id order by i rows between unbounded preceding and unbounded following)),
+    q as (select distinct p_size * 0.6 + 0.013 as px, p_size * 0.4 + 12.017 as py, p_size as k from part)
+    select id, k, sum(case when (y > py) <> (y2 > py) and px < x + (py - y) * (x2 - x) / (y2 - y) then 1 else 0 end) % 2 = 1 as inside from nx, q where id < 12 group by 1, 2""")
+def point_in_polygon(spark, sf_dir):
+    """point_in_polygon_all for the polygons with id < 12 alone, which is what the SQL of this name covers."""
+    return points_in(spark, sf_dir, polygons(spark, sf_dir).where("id < 12"))
+
+
+@query(f"""with {POLY}, nx as (select *, coalesce(lead(x) over w, first(x) over w) as x2, coalesce(lead(y) over w, first(y) over w) as y2 from pts window w as (partition by id order by i rows between unbounded preceding and unbounded following)),
+    q as (select distinct p_size * 0.6 + 0.013 as px, p_size * 0.4 + 12.017 as py, p_size as k from part)
+    select id, k, sum(case when (y > py) <> (y2 > py) and px < x + (py - y) * (x2 - x) / (y2 - y) then 1 else 0 end) % 2 = 1 as inside from nx, q group by 1, 2""")
+def point_in_polygon_all(spark, sf_dir):
+    """Even-odd rule for every supplier's polygon, with DataFrame functions and with the array kernel; both must agree."""
+    return points_in(spark, sf_dir, polygons(spark, sf_dir))
+
+
 @query("with p as (select s_suppkey as id, -54 + (s_suppkey % 60) / 10 as lon, -12 + (s_suppkey % 110) / 10 as lat from supplier) select id, round(lon, 7) + 0.0 as lon, round(lat, 7) + 0.0 as lat from p")
 def projection_round_trip(spark, sf_dir):
     """Degrees to the grid and back."""
