@@ -112,15 +112,28 @@ def class_rollup(spark, sf_dir):
     return rounded(rounded(out, "total", digits=2), "share").withColumn("level", F.col("level").cast("int"))
 
 
+def purchase_windows(events):
+    """(window_id, r0, c0) of the events' distinct windows on a grid of 40 by 40 places."""
+    ids = events.select((F.col("event_id") * 37 % 1600).alias("window_id")).distinct()
+    return ids.select("window_id", (F.floor(F.col("window_id") / 40) * 2).cast("int").alias("r0"), (F.col("window_id") % 40 * 3).cast("int").alias("c0"))
+
+
 @query("""with recursive w as (select window_id, (window_id // 40 * 2)::int as r0, (window_id % 40 * 3)::int as c0 from (select distinct event_id * 37 % 1600 as window_id from events where event_type = 'purchase' and user_id % 16 = 0)),
     e as (select a.window_id as a, b.window_id as b from w a join w b on abs(a.r0 - b.r0) < 3 and abs(a.c0 - b.c0) < 4),
     g as (select a as node, b as other from e union select g.node, e.b from g join e on g.other = e.a)
     select node as window_id, min(other) as "group" from g group by 1""")
 def window_components(spark, sf_dir):
-    """Groups of overlapping windows."""
-    ids = table(spark, sf_dir, "events").where("event_type = 'purchase' and user_id % 16 = 0").select((F.col("event_id") * 37 % 1600).alias("window_id")).distinct()
-    w = ids.select("window_id", (F.floor(F.col("window_id") / 40) * 2).cast("int").alias("r0"), (F.col("window_id") % 40 * 3).cast("int").alias("c0"))
-    return O.window_groups(w, 3, 4)
+    """window_components_all for purchases of every 16th user alone, which is what the SQL of this name covers."""
+    return O.window_groups(purchase_windows(table(spark, sf_dir, "events").where("event_type = 'purchase' and user_id % 16 = 0")), 3, 4)
+
+
+@query("""with recursive w as (select window_id, (window_id // 40 * 2)::int as r0, (window_id % 40 * 3)::int as c0 from (select distinct event_id * 37 % 1600 as window_id from events where event_type = 'purchase')),
+    e as (select a.window_id as a, b.window_id as b from w a join w b on abs(a.r0 - b.r0) < 3 and abs(a.c0 - b.c0) < 4),
+    g as (select a as node, b as other from e union select g.node, e.b from g join e on g.other = e.a)
+    select node as window_id, min(other) as "group" from g group by 1""")
+def window_components_all(spark, sf_dir):
+    """Groups of overlapping windows, of all purchases."""
+    return O.window_groups(purchase_windows(table(spark, sf_dir, "events").where("event_type = 'purchase'")), 3, 4)
 
 
 @query(f"""with recursive {RARE}, k as (select r, c, (r * 24 + c)::bigint as n from m where v), e as (select a.n as a, b.n as b from k a join k b on abs(a.r - b.r) <= 1 and abs(a.c - b.c) <= 1),

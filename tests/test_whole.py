@@ -9,3 +9,11 @@ def test_all_polygons(spark, sf):
     sizes = {r.p_size for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
     assert {r.id for r in got.select("id").distinct().collect()} == polygons
     assert got.count() == len(polygons) * len(sizes) and got.where("inside is null").count() == 0
+
+
+def test_windows_of_all_purchases(spark, tmp_path):
+    # Windows 37, 38 (which overlap) and 900; only the first is of a user whose id is a multiple of 16.
+    rows = [(1, 0, "purchase"), (174, 3, "purchase"), (500, 5, "purchase"), (3, 0, "view")]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = plans.queries()["window_components_all"](spark, str(tmp_path)).collect()
+    assert {r.window_id: r.group for r in got} == {37: 37, 38: 37, 900: 900}
