@@ -144,7 +144,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, shortlist: int = 64
     rows = rows.where(F.size("x") == length.n)
     copies = Window.partitionBy("x").orderBy("id")
     base = cut(rows.withColumn("copy", F.dense_rank().over(copies)).where(F.col("copy") <= k + 1).drop("copy").dropDuplicates(["x", "id"]))
-    queries = rows.where(F.col("id") % every == 0)
+    queries = rows.where(F.col("id") % every == 0).dropDuplicates(["x", "id"])
     index, ids, known = fit(base, base.count(), k, **fitting)
     n_lists = len(index.centroids)
 

@@ -55,6 +55,16 @@ def test_few_rows(spark):
     assert [(r.query_id, r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 2), (0, 1)]
 
 
+def test_repeated_query_row(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(100, 8)).tolist())]
+    got = {}
+    for r in ann.search(table(spark, rows + rows[:1] * 3 + rows[21:22] * 2), every=20, k=20).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert sorted(got) == list(range(0, 100, 20))
+    assert all(len(f) == 20 and len(set(f)) == 20 for f in got.values())
+
+
 TALK = [
     (1, 0, "user", "Hello there everyone.\n\nHow do we build the thing?"),
     (1, 1, "assistant", "You take the first box and open it.\nThen the second one follows."),
