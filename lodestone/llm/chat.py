@@ -21,7 +21,6 @@ from .common import cut, number_in_groups
 QUOTE = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)(.*)", re.DOTALL)
 #: A line that announces a quote: it ends in a colon and starts or ends like a mail program's.
 ATTRIBUTION = re.compile(r"(on|am|le|el)\b.*:|.*\b(wrote|writes|schrieb|écrit|escribió) ?:", re.IGNORECASE)
-LEAST_CHARS = 8
 
 
 def levels(text: str) -> list[tuple[int, str]]:
@@ -39,9 +38,9 @@ def normal(passage: str) -> str:
 
 
 def digest(passage: str) -> str | None:
-    """Hash of a normalised passage; None where it is too short to tell anything."""
+    """Hash of a normalised passage; None where it is empty."""
     plain = normal(passage)
-    return hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if len(plain) >= LEAST_CHARS else None
+    return hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest() if plain else None
 
 
 def passages(lines: list[str]) -> list[str]:
@@ -101,7 +100,7 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     parent is the origin of the passages of the lowest level that have one; the longest passage decides, then the latest
     origin. Without one it is the message of the next smaller turn. Rows with the same conversation and turn are one node
     (its latest parent counts) but stay rows of their own. Null conversations form one conversation, a null turn comes
-    first, a null text is empty. Passages under 8 characters link nothing. An empty table gives an empty result.
+    first, a null text is empty. Empty passages link nothing. An empty table gives an empty result.
     """
     kinds = dict(messages.dtypes)
     rows = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))

@@ -110,5 +110,17 @@ def test_long_thread(spark):
     assert all(got[i].depth == i and got[i].position == i and got[i].link == ("quote" if i else "start") for i in range(70))
 
 
+def test_short_quotes(spark):
+    rows = [
+        (1, 0, "user", "Agreed"), (1, 1, "assistant", "A longer message in between."), (1, 2, "user", "> agreed\nSo be it."),
+        (2, 0, "user", "\u6211\u4eec\u660e\u5929\u89c1\u9762\u3002"), (2, 1, "user", "Thanks"), (2, 2, "user", "> \u6211\u4eec\u660e\u5929\u89c1\u9762\u3002\nok"), (2, 3, "user", "> Thanks\n> A passage nobody wrote."),
+        (3, 0, "user", "Yes\nThis is the longer passage."), (3, 1, "user", "Yes"), (3, 2, "user", "> Yes\n> This is the longer passage."), (3, 3, "user", ">\n> \nnothing quoted"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in chat.link(talk(spark, rows)).collect()}
+    assert {k: got[k].parent_turn for k in [(1, 2), (2, 2), (2, 3), (3, 2), (3, 3)]} == {(1, 2): 0, (2, 2): 0, (2, 3): 1, (3, 2): 0, (3, 3): 2}
+    assert [got[k].link for k in [(1, 2), (2, 2), (2, 3), (3, 2), (3, 3)]] == ["quote"] * 4 + ["order"]
+    assert got[1, 2].n_quotes == 1 and got[2, 2].n_quotes == 1 and got[3, 3].n_quotes == 0
+
+
 def test_levels():
     assert chat.levels("a\n> b\n> > c\n>>d\n  > e") == [(0, "a"), (1, "b"), (2, "c"), (2, "d"), (1, "e")]
