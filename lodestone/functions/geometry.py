@@ -339,6 +339,39 @@ def from_grid(g: Grid, x, y) -> Column:
     return pairs(lambda u, v: from_grid_arrays(g, u, v), x, y)
 
 
+def crs_grid(name: str) -> Grid | None:
+    """Grid of a CRS name: a WGS84 UTM zone (EPSG:32601-32660 north, 32701-32760 south), or None for degrees (EPSG:4326)."""
+    kind, _, code = name.strip().upper().partition(":")
+    number = int(code) if kind == "EPSG" and code.isdigit() else 0
+    if number == 4326:
+        return None
+    if number // 100 in (326, 327) and 1 <= number % 100 <= 60:
+        return Grid(central_meridian=6.0 * (number % 100) - 183, northing=0.0 if number // 100 == 326 else 10_000_000.0)
+    raise ValueError(f"unknown CRS {name!r}; known: EPSG:4326, EPSG:32601-32660, EPSG:32701-32760")
+
+
+def reproject(polygons: DataFrame, source: str, target: str) -> DataFrame:
+    """polygons with the points of rings moved from one CRS to another of the same datum; both as crs_grid names them."""
+    a, b = crs_grid(source), crs_grid(target)
+    if a == b:
+        return polygons
+
+    @pandas_udf("array<array<struct<x:double,y:double>>>")
+    def moved(column: pd.Series) -> pd.Series:
+        out = []
+        for rings in column:
+            new = []
+            for ring in rings:
+                x, y = np.array([p["x"] for p in ring], dtype=float), np.array([p["y"] for p in ring], dtype=float)
+                x, y = (x, y) if a is None else from_grid_arrays(a, x, y)
+                x, y = (x, y) if b is None else to_grid_arrays(b, x, y)
+                new.append([{"x": float(u), "y": float(v)} for u, v in zip(x, y)])
+            out.append(new)
+        return pd.Series(out)
+
+    return polygons.where("rings is not null").withColumn("rings", moved("rings"))
+
+
 def shift_datum(df: DataFrame, source: Grid, target: Grid, shift: tuple[float, float, float] = (-67.35, 3.88, -38.22), x: str = "x", y: str = "y") -> DataFrame:
     """Grid coordinates moved to another datum by a geocentric shift in metres."""
 

@@ -6,13 +6,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Affine, bounds
+from ..functions.geometry import Affine, bounds, reproject
 from ..sources.config import Run
 from . import recovery as V
 from .ordering import cut, top
 from .ranking import fuse, rank_components, rank_raw
 from .windows import Shape, circle_mask, resample, template, windows, with_reference
 
+#: A case's reference vector: joint is that of all variables, raw_vector and raw_shape are those of a raw comparison.
+REFERENCES = "dep_ref int, method string, analysis string, variable string, joint array<double>, vector array<double>, raw_vector array<double>, shape array<int>, raw_shape array<int>"
 
 
 def reference_patch(cells: DataFrame, column: str, polygon: DataFrame, t: Affine, h: int, w: int, rotation: float = 0.0, scale: float = 1.0) -> np.ndarray:
@@ -34,7 +36,9 @@ def case(run: Run, cells: DataFrame, footprints: DataFrame, t: Affine, height: i
     """One reference and k: ranked windows, cells, curve, coverage, hits, events, summary. footprints has dep_id, rings."""
     h, w = run.window
     shape = Shape(height, width, h, w, *run.stride)
-    columns = [run.variable] if run.analysis == "univariate" and run.variable else list(run.grids)[: 1 if run.analysis == "univariate" else None]
+    columns = run.variables()
+    if run.crs_policy == "reproject":
+        footprints = reproject(footprints, run.footprint_crs, run.grid_crs)
     mask = circle_mask(h, w, run.radius) if run.patch == "circle" else None
     polygon = footprints.where(F.col("dep_id") == reference)
     keep = slice(None) if mask is None else mask.ravel()
@@ -59,7 +63,11 @@ def case(run: Run, cells: DataFrame, footprints: DataFrame, t: Affine, height: i
     covered = cut(V.coverage(gained, areas))
     hits, curve = V.first_hits(covered, run.min_cover), V.curve(gained, areas, run.top_k)
     tag = [F.lit(reference).alias("dep_ref"), F.lit("-".join(map(str, k if isinstance(k, tuple) else (k,)))).alias("ks")]
+    joint = np.concatenate([vectors[c] for c in columns]).tolist() if run.analysis == "multivariate" else None
+    vector = None if joint else vectors[columns[0]].tolist()
+    reference_row = (reference, "raw" if raw else run.fusion if run.analysis == "multivariate" else "components", run.analysis, columns[0] if vector else None, joint, vector, vector if raw else None, [h, w], None)
     return {
+        "reference": cells.sparkSession.createDataFrame([reference_row], REFERENCES),
         "ranked": ranked, "tested": tested, "curve": curve, "coverage": covered, "hits": hits, "events": V.events(ranked, tested, covered, h, w, run.min_cover),
         "summary": V.summary(curve.select("*", *tag), hits.select("*", *tag), ["dep_ref", "ks"]), "windows": places.select("window_id", "r0", "c0"),
     }
@@ -104,3 +112,26 @@ def run_all(run: Run, cells: DataFrame, footprints: DataFrame, t: Affine, height
             summary = tables["summary"]
         every = summary if every is None else every.unionByName(summary)
     return {"summary": every}
+
+
+def reference_vectors(cases: DataFrame, method: str = "raw", analysis: str | None = None, variable: str | None = None) -> DataFrame:
+    """(dep_ref, x, shape, source): each reference's vector, from the first of five sources in which any case has one.
+
+    cases has the columns of REFERENCES and place, the order of cases. Sources are the cases of the method, analysis and
+    variable; of method and analysis; of the analysis; of the method; and all. Of a source, the first case of a reference
+    with a vector and a shape counts. Multivariate cases give the joint vector first, others the raw one. Raises where
+    there is no vector at all.
+    """
+    name = lambda c: F.when(F.upper(F.trim(c)) == "MTI", "TMI").otherwise(F.trim(c))
+    by_method, every = F.col("method") == method, F.lit(True)
+    by_analysis = every if analysis is None else F.col("analysis") == analysis
+    by_variable = every if variable is None else name(F.col("variable")) == name(F.lit(variable))
+    sources = {"preferred": by_method & by_analysis & by_variable, "method and analysis": by_method & by_analysis, "analysis": by_analysis, "method": by_method, "all": every}
+    x = F.when(F.col("analysis") == "multivariate", F.coalesce("joint", "vector", "raw_vector")).otherwise(F.coalesce("raw_vector", "vector", "joint"))
+    whole = cut(cases.withColumn("x", x).withColumn("shape", F.coalesce("shape", "raw_shape")).where("x is not null and shape is not null"))
+    for source, condition in sources.items():
+        mine = whole.where(condition)
+        if not mine.isEmpty():
+            first = mine.groupBy("dep_ref").agg(F.min_by(F.struct("x", "shape"), "place").alias("v"))
+            return first.select("dep_ref", "v.x", "v.shape", F.lit(source).alias("source"))
+    raise ValueError("no case has a reference vector")

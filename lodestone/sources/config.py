@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import os
 from dataclasses import dataclass, field
 
+from ..functions.geometry import crs_grid
 from ..operators.ranking import FUSIONS, WEIGHT_NAMES
 
 ANALYSES = ("univariate", "multivariate")
@@ -13,9 +15,21 @@ PATCHES = ("rectangle", "circle")
 POLICIES = ("assume", "reproject")
 
 
+def known_crs(name: str | None) -> bool:
+    try:
+        crs_grid(name or "")
+    except ValueError:
+        return False
+    return True
+
+
 @dataclass(frozen=True)
 class Run:
-    """One analysis: grids, window, ranking and validation settings."""
+    """One analysis: grids, window, ranking and validation settings.
+
+    With crs_policy "reproject" footprints are moved from footprint_crs to grid_crs; with "assume" they are taken as they
+    are. best_k has each variable's k by reference, and stands before ks: a case then takes one k for each variable.
+    """
 
     name: str
     grids: dict[str, str]
@@ -38,13 +52,17 @@ class Run:
     rotation: float = 0.0
     scale: float = 1.0
     crs_policy: str = "assume"
+    footprint_crs: str | None = None
+    grid_crs: str | None = None
+    best_k: dict[str, dict[int, int]] = field(default_factory=dict)
     output: str = "results"
     extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
         wrong = []
         checks = {
-            "analysis": self.analysis in ANALYSES, "patch": self.patch in PATCHES, "crs_policy": self.crs_policy in POLICIES,
+            "analysis": self.analysis in ANALYSES, "patch": self.patch in PATCHES, "crs_policy": self.crs_policy in POLICIES and (self.crs_policy != "reproject" or (known_crs(self.footprint_crs) and known_crs(self.grid_crs))),
+            "best_k": not self.best_k or all(self.best_ks(r) for r in self.references),
             "fusion": self.fusion in FUSIONS, "weight_mode": self.weight_mode in WEIGHT_NAMES, "alpha": 0 <= self.alpha <= 1,
             "min_cover": 0 < self.min_cover <= 1, "top_k": self.top_k >= 1, "window": len(self.window) == 2 and min(self.window) >= 1,
             "stride": len(self.stride) == 2 and min(self.stride) >= 1, "ks": bool(self.ks) and min(self.ks) >= 1, "scale": self.scale > 0,
@@ -69,9 +87,27 @@ class Run:
         ks = "-".join(map(str, k if isinstance(k, tuple) else (k,)))
         return f"{self.output}/{self.name}/dep={reference}/method={self.fusion if self.analysis == 'multivariate' else 'components'}/k={ks}"
 
-    def cases(self, reference: int | None = None, k: int | None = None) -> list[tuple[int, int]]:
-        """Reference and k of every case, with either fixed where given."""
-        return [(r, n) for r in ([reference] if reference else self.references) for n in ([k] if k else self.ks)]
+    def variables(self) -> list[str]:
+        """The variables that a case ranks by."""
+        if self.analysis == "multivariate":
+            return list(self.grids)
+        return [self.variable or next(iter(self.grids))]
+
+    def best_ks(self, reference: int) -> tuple[int, ...]:
+        """Each variable's best k for a reference; empty where one has none."""
+        tables = {v.lower(): t for v, t in self.best_k.items()}
+        ks = [tables.get(v.lower(), {}).get(reference) or 0 for v in self.variables()]
+        return tuple(ks) if min(ks) >= 1 else ()
+
+    def cases(self, reference: int | None = None, k: int | None = None) -> list[tuple[int, int | tuple[int, ...]]]:
+        """Reference and k of every case, with either fixed where given; with best_k, k is one number a variable."""
+        out = []
+        for r in [reference] if reference else self.references:
+            best = self.best_ks(r) if self.best_k and not k else ()
+            if self.best_k and not k and not best:
+                raise ValueError(f"run {self.name!r}: no best k of every variable for reference {r}")
+            out += [(r, best if len(best) > 1 else best[0])] if best else [(r, n) for n in ([k] if k else self.ks)]
+        return out
 
 
 def read(path: str) -> dict:
@@ -106,11 +142,26 @@ def absolute_paths(value, at: str = "") -> list[str]:
     return [at] if isinstance(value, str) and (os.path.isabs(value) or (len(value) > 2 and value[1:3] in (":\\", ":/"))) else []
 
 
+def read_best_k(path: str) -> dict[int, int]:
+    """Best k by reference from a CSV with columns deposit_1based and k_pcs; of repeated references the first row counts."""
+    with open(path, encoding="utf-8-sig", newline="") as f:
+        rows = csv.DictReader(f)
+        if not {"deposit_1based", "k_pcs"} <= set(rows.fieldnames or ()):
+            raise ValueError(f"{path}: the columns deposit_1based and k_pcs are needed")
+        out: dict[int, int] = {}
+        for r in rows:
+            out.setdefault(int(float(r["deposit_1based"])), int(float(r["k_pcs"])))
+    return out
+
+
 def build(doc: dict) -> Run:
-    """A validated run; settings that aren't known are an error."""
+    """A validated run; settings that aren't known are an error. A variable's best_k is a mapping or the path of a CSV."""
     known = set(Run.__dataclass_fields__)
     strange = sorted(set(doc) - known)
     if strange:
         raise ValueError(f"unknown settings: {', '.join(strange)}")
     lists = ("window", "stride", "references", "ks")
+    if "best_k" in doc:
+        best = {v: read_best_k(t) if isinstance(t, str) else {int(r): int(k) for r, k in t.items()} for v, t in doc["best_k"].items()}
+        doc = doc | {"best_k": best}
     return Run(**{k: tuple(v) if k in lists else v for k, v in doc.items()})

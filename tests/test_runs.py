@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.__main__ import main
 from lodestone.functions.geometry import Affine
@@ -94,3 +95,54 @@ def test_pairs_and_two_stage_rebuild(spark, cells):
     second = linalg.fit(both)
     z = second.scores(np.array(both.where("is_ref").first()["x"]))
     assert all(np.allclose(a, b) for a, b in zip(two_stage_rebuild(ms, [4, 4], second, z, 8), x))
+
+
+def test_footprints_are_reprojected(spark, cells, footprints):
+    from lodestone.functions import geometry as G
+
+    # The grid in metres of UTM zone 22 south; the same footprints in degrees must give the same tables.
+    t = Affine(100.0, 0.0, 480_000.0, 0.0, -100.0, 9_000_000.0)
+    x, y = (lambda p: t.a * p["x"] + t.c), (lambda p: t.e * p["y"] + t.f)
+    metres = footprints.withColumn("rings", F.transform("rings", lambda r: F.transform(r, lambda p: F.struct(x(p).alias("x"), y(p).alias("y"))))).cache()
+    degrees = G.reproject(metres, "EPSG:32722", "EPSG:4326")
+    p = degrees.where("dep_id = 1").first().rings[0][0]
+    assert -52 < p.x < -51 and -10 < p.y < -9
+    run = settings(crs_policy="reproject", footprint_crs="EPSG:4326", grid_crs="epsg:32722")
+    want, got = ({(r.dep_id, r.r, r.c): r.area for r in runs.case(a, cells, b, t, H, W, 1, 3)["tested"].collect() if r.area > 1e-3} for a, b in ((settings(), metres), (run, degrees)))
+    assert want.keys() == got.keys() and want and all(abs(want[k] - got[k]) <= 1e-5 * want[k] for k in want)
+
+
+@pytest.mark.parametrize("crs", [{}, {"footprint_crs": "EPSG:4326"}, {"footprint_crs": "EPSG:4326", "grid_crs": "EPSG:29192"}])
+def test_reproject_needs_known_crs(crs):
+    with pytest.raises(ValueError, match="crs_policy"):
+        settings(crs_policy="reproject", **crs)
+
+
+def test_best_k_by_reference_and_variable(cells, footprints, tmp_path):
+    (tmp_path / "b.csv").write_text("deposit_1based,k_pcs\n1,5\n2,3\n1,9\n")
+    run = settings(analysis="multivariate", references=[1, 2], best_k={"a": {"1": 2, "2": 4}, "B": str(tmp_path / "b.csv")}, output=str(tmp_path))
+    assert run.cases() == [(1, (2, 5)), (2, (4, 3))] and run.cases(k=7) == [(1, 7), (2, 7)]
+    assert settings(best_k={"A": {1: 2}}).cases() == [(1, 2)]
+    got = runs.run_all(run, cells, footprints, Affine(e=1.0), H, W, write=False)["summary"].collect()
+    assert {(r.dep_ref, r.ks) for r in got} == {(1, "2-5"), (2, "4-3")}
+    with pytest.raises(ValueError, match="best_k"):
+        settings(analysis="multivariate", best_k={"A": {1: 2}})
+
+
+def test_reference_vectors_fall_back(spark, cells, footprints):
+    multi = runs.case(settings(analysis="multivariate"), cells, footprints, Affine(e=1.0), H, W, 1, 3)["reference"].first()
+    assert len(multi.joint) == 40 and multi["shape"] == [4, 5]
+    rows = [
+        (1, "raw", "univariate", "A", None, None, None, [1, 1], None), (1, "raw", "univariate", "B", None, [2.0], [3.0], None, [1, 1]),
+        (1, "raw", "univariate", "B", None, [9.0], None, [1, 1], None), (2, "components", "univariate", "A", None, [4.0], None, [1, 1], None),
+        (3, "late_sum", "multivariate", None, [5.0], [6.0], [7.0], [1, 1], None),
+    ]
+    table = spark.createDataFrame(rows, runs.REFERENCES).withColumn("place", F.monotonically_increasing_id())
+    take = lambda *a: {(r.dep_ref, r.x[0], r.source) for r in runs.reference_vectors(table, *a).collect()}
+    assert take("raw", "univariate", "B") == {(1, 3.0, "preferred")}
+    assert take("raw", "univariate", "A") == {(1, 3.0, "method and analysis")}
+    assert take("other", "univariate") == {(1, 3.0, "analysis"), (2, 4.0, "analysis")}
+    assert take("raw", "none") == {(1, 3.0, "method")}
+    assert take("other", "none") == {(1, 3.0, "all"), (2, 4.0, "all"), (3, 5.0, "all")}
+    with pytest.raises(ValueError, match="no case"):
+        runs.reference_vectors(table.limit(0))
