@@ -1,9 +1,9 @@
-"""N-gram Jaccard join by a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join by MinHash bands and exact verification.
 
 Texts are sets of word n-grams; equal texts are joined by their digest and stand for one. Each distinct text has a
-signature of MinHash values, cut into trees; a tree is the sorted trie of its slices. Prefixes are matched at full depth
-and shortened until the chance to miss a pair at the threshold is below the target. Texts that share a prefix are
-compared by their sketches; what remains are candidate groups, which are verified exactly, block against block, with the
+signature of MinHash values, cut into bands (trees). Of each band a prefix is hashed and joined; one depth for all data,
+the largest at which the chance to miss a pair at the threshold is below the target. No sorted trie is built and no prefix
+is shortened by what the data show. Texts that share a prefix are compared by their sketches; what remains are candidate groups, which are verified exactly, block against block, with the
 n-gram sets. No step lists the pairs of a group: blocks give link counts and a spanning forest of the links.
 """
 
