@@ -3,7 +3,9 @@
 Every letter has a random vector of +1 and -1. An n-gram's vector binds its letters: their vectors, rotated by place,
 are multiplied. A text's vector bundles (adds) the vectors of its n-grams, a language's prototype bundles the unit
 vectors of its sample texts, and the prediction is the prototype of largest cosine. Bundling is linear, so a batch of
-texts is counted into a matrix of texts by n-grams and multiplied once with the n-gram vectors.
+texts is counted into a matrix of texts by n-grams and multiplied once with the n-gram vectors. Lower-case Latin-1 letters
+have the first codes and a table; every other letter has a code and a vector of its own, made when it is met. Texts with
+such letters have too many n-grams for a table: theirs are sorted, and added up text by text where a matrix is too large.
 """
 
 from __future__ import annotations
@@ -21,6 +23,11 @@ from .bpe import in_groups
 from .common import bounded_sample, crc_mod, release
 
 SYMBOLS = 64
+#: One more than the largest code.
+CODES = SYMBOLS + 0x110000
+#: Largest matrix of texts by n-grams, and the n-grams whose vectors are added up at once.
+MATRIX = 1 << 24
+GRAMS = 1 << 13
 GROUP_CHARS = 1_000_000
 GROUP_TEXTS = 1024
 PIECE_CHARS = 4_000_000
@@ -28,11 +35,11 @@ UNKNOWN = "und"
 
 
 def letter_codes() -> np.ndarray:
-    """Code of each code point: 0 for what is no letter, own codes for lower-case Latin-1, five shared ones for others."""
-    codes = np.zeros(0x110000, dtype=np.uint8)
+    """Code of each code point, its own for every letter: 0 for what is no letter, under SYMBOLS for lower-case Latin-1."""
+    codes = np.zeros(0x110000, dtype=np.int32)
     for point in range(0x110000):
         if chr(point).isalpha():
-            codes[point] = 59 + point % 5
+            codes[point] = SYMBOLS + point
     codes[ord("a") : ord("z") + 1] = np.arange(1, 27)
     for k, point in enumerate([*range(0xDF, 0xF7), *range(0xF8, 0x100)]):
         codes[point] = 27 + k
@@ -48,6 +55,30 @@ def codes() -> np.ndarray:
     return _CODES[0]
 
 
+class Letters:
+    """Vectors of letters by code, rotated by turn; those outside the table are drawn by seed and code."""
+
+    def __init__(self, table: np.ndarray, turn: int, seed: int):
+        self.table, self.turn, self.seed, self.shape = np.roll(table, turn, axis=1), turn, seed, table.shape
+        self.made: dict[int, np.ndarray] = {}
+
+    def one(self, code: int) -> np.ndarray:
+        if code < SYMBOLS:
+            return self.table[code]
+        if code not in self.made:
+            bits = np.random.default_rng((self.seed, code)).integers(0, 2, size=self.shape[1], dtype=np.int8)
+            self.made[code] = np.roll(bits * 2 - 1, self.turn)
+        return self.made[code]
+
+    def __getitem__(self, code) -> np.ndarray:
+        if np.ndim(code) == 0:
+            return self.one(int(code))
+        if not len(code) or code.max() < SYMBOLS:
+            return self.table[code]
+        distinct, at = np.unique(code, return_inverse=True)
+        return np.stack([self.one(c) for c in distinct.tolist()])[at]
+
+
 @dataclass(frozen=True)
 class Space:
     """Letter vectors by seed; dim is the number of components."""
@@ -55,13 +86,13 @@ class Space:
     dim: int = 1024
     seed: int = 7
 
-    def letters(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def letters(self) -> tuple[Letters, Letters, Letters]:
         """Vectors of the first, second and third letter of an n-gram: rotated by two, by one and not at all."""
         base = np.random.default_rng(self.seed).integers(0, 2, size=(SYMBOLS, self.dim), dtype=np.int8) * 2 - 1
-        return np.roll(base, 2, axis=1), np.roll(base, 1, axis=1), base
+        return Letters(base, 2, self.seed), Letters(base, 1, self.seed), Letters(base, 0, self.seed)
 
 
-def bundle(texts: list[str | None], letters: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+def bundle(texts: list[str | None], letters: tuple[Letters, Letters, Letters]) -> np.ndarray:
     """The bundled vector of each text; zero for texts without letters."""
     out = np.zeros((len(texts), letters[0].shape[1]), dtype=np.float32)
     pieces, owner = [], []
@@ -76,21 +107,43 @@ def bundle(texts: list[str | None], letters: tuple[np.ndarray, np.ndarray, np.nd
     return out
 
 
-def bundle_group(texts: list[str], letters: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+def bundle_group(texts: list[str], letters: tuple[Letters, Letters, Letters]) -> np.ndarray:
     joined = "\0" + "\0".join(texts) + "\0"
-    code = codes()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int32)
+    code = codes()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
     middle = np.flatnonzero(code[1:-1])
     if not len(middle):
         return np.zeros((len(texts), letters[0].shape[1]), dtype=np.float32)
-    gram = (code[middle] * SYMBOLS + code[middle + 1]) * SYMBOLS + code[middle + 2]
-    seen = np.flatnonzero(np.bincount(gram, minlength=SYMBOLS**3))
-    column = np.zeros(SYMBOLS**3, dtype=np.int32)
-    column[seen] = np.arange(len(seen))
-    counts = np.bincount(doc[middle].astype(np.int64) * len(seen) + column[gram], minlength=len(texts) * len(seen))
+    owner = doc[middle].astype(np.int64)
+    if code.max() < SYMBOLS:
+        gram = (code[middle] * SYMBOLS + code[middle + 1]) * SYMBOLS + code[middle + 2]
+        seen = np.flatnonzero(np.bincount(gram, minlength=SYMBOLS**3))
+        column = np.zeros(SYMBOLS**3, dtype=np.int32)
+        column[seen] = np.arange(len(seen))
+        column, base = column[gram], SYMBOLS
+    else:
+        wide = code.astype(np.int64)
+        seen, column = np.unique((wide[middle] * CODES + wide[middle + 1]) * CODES + wide[middle + 2], return_inverse=True)
+        base = CODES
+        if len(texts) * len(seen) > MATRIX:
+            return add_grams(seen, column, owner, len(texts), letters)
+    counts = np.bincount(owner * len(seen) + column, minlength=len(texts) * len(seen))
+    return counts.reshape(len(texts), len(seen)).astype(np.float32) @ gram_vectors(seen, base, letters).astype(np.float32)
+
+
+def gram_vectors(grams: np.ndarray, base: int, letters: tuple[Letters, Letters, Letters]) -> np.ndarray:
     first, second, third = letters
-    vectors = first[seen // SYMBOLS**2] * second[seen // SYMBOLS % SYMBOLS] * third[seen % SYMBOLS]
-    return counts.reshape(len(texts), len(seen)).astype(np.float32) @ vectors.astype(np.float32)
+    return first[grams // base**2] * second[grams // base % base] * third[grams % base]
+
+
+def add_grams(seen: np.ndarray, column: np.ndarray, owner: np.ndarray, texts: int, letters: tuple[Letters, Letters, Letters]) -> np.ndarray:
+    """Sums of n-gram vectors by text, owner being in order, without a matrix of texts by n-grams."""
+    out = np.zeros((texts, letters[0].shape[1]), dtype=np.float32)
+    for lo in range(0, len(owner), GRAMS):
+        mine = owner[lo : lo + GRAMS]
+        start = np.flatnonzero(np.diff(mine, prepend=-1))
+        out[mine[start]] += np.add.reduceat(gram_vectors(seen[column[lo : lo + GRAMS]], CODES, letters), start, axis=0, dtype=np.int32)
+    return out
 
 
 @dataclass(frozen=True)
@@ -121,7 +174,8 @@ def fit(docs: DataFrame, where=None, space: Space = Space(), per_lang: int = 400
             vectors = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
             for lang, at in frame.groupby("label").indices.items():
                 sums[lang] = sums.get(lang, 0) + vectors[at].sum(axis=0, dtype=np.float64)
-        yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
 
     sums: dict[str, np.ndarray] = {}
     for row in sorted(sample.select("text", "label").mapInPandas(add_up, "lang string, v array<double>").collect()):

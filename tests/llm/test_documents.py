@@ -47,6 +47,22 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.identify(frame(spark, HARD), empty).collect()} == {"und"}
 
 
+def test_every_letter_has_its_own_vector(monkeypatch):
+    letters, code = langid.Space(64).letters(), langid.codes()
+    # Pairs of letters whose code points are equal modulo five.
+    for a, b in ("\u0430\u0435", "\u03b1\u03b6", "\u4f60\u4f65", "\u0142\u0147"):
+        assert code[ord(a)] != code[ord(b)] and abs(int(letters[2][code[ord(a)]].astype(int) @ letters[2][code[ord(b)]])) < 40
+    texts = ["\u043f\u0440\u0438\u0432\u0435\u0442 ab", None, "\u4f60\u597d \u4e16\u754c", "plain words", "\u017c\u00f3\u0142w"]
+    want = []
+    for t in texts:
+        s = [0, *(int(code[ord(c)]) for c in t or ""), 0]
+        want.append(sum((letters[0][s[i - 1]].astype(int) * letters[1][s[i]] * letters[2][s[i + 1]] for i in range(1, len(s) - 1) if s[i]), np.zeros(64)))
+    assert np.allclose(langid.bundle(texts, letters), want)
+    monkeypatch.setattr(langid, "MATRIX", 0)
+    monkeypatch.setattr(langid, "GRAMS", 3)
+    assert np.allclose(langid.bundle(texts, letters), want)
+
+
 def test_bundle_is_the_sum_of_bound_letters():
     letters = langid.Space(64).letters()
     code = langid.codes()
