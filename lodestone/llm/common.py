@@ -38,16 +38,25 @@ def smallest_hashes(df: DataFrame, n: int, id_col: str = "id") -> DataFrame:
     return df.orderBy(F.xxhash64(id_col), id_col).limit(n)
 
 
-def bounded_sample(rows: DataFrame, per_label: int, max_labels: int) -> DataFrame:
-    """At most per_label rows (id, text, label) of each of the max_labels most frequent labels, by lowest hash of the id.
+#: Labels whose shares are sent to all tasks; more are joined by a shuffle.
+BROADCAST_LABELS = 100_000
 
-    Rows with one id and label count as one, with the smallest of their texts.
+
+def bounded_sample(rows: DataFrame, per_label: int) -> DataFrame:
+    """About the per_label rows (id, text, label) of lowest hash of each label, per_label at most; no label is left out.
+
+    Rows with one id and label count as one, with the smallest of their texts. A label's number of ids is estimated first,
+    so that only hashes below one and a half times the wanted share are ranked: no task ranks all rows of a common label.
     """
-    common = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).select("label")
     hashed = rows.withColumn("hash", F.xxhash64("id", "label"))
-    rank = F.dense_rank().over(Window.partitionBy("label").orderBy("hash"))
-    chosen = hashed.select("label", "hash").join(F.broadcast(common), "label", "left_semi").withColumn("k", rank).where(F.col("k") <= per_label).select("label", "hash").distinct()
-    return hashed.join(F.broadcast(chosen), ["label", "hash"], "left_semi").groupBy("label", "hash").agg(F.min("text").alias("text"))
+    ids = cut(hashed.groupBy("label").agg(F.approx_count_distinct("hash").alias("ids")))
+    limit = (2.0 * (1.5 * per_label + 64) / F.greatest(F.col("ids"), F.lit(1)) - 1.0) * float(1 << 63)
+    limits = ids.select("label", limit.alias("limit"))
+    low = hashed.join(F.broadcast(limits) if ids.count() <= BROADCAST_LABELS else limits, "label").where(F.col("hash").cast("double") <= F.col("limit"))
+    # Few rows: texts go along, so that the table is read once more and no row is joined back.
+    low = low.groupBy("label", "hash").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("hash"))
+    return low.withColumn("k", rank).where(F.col("k") <= per_label).drop("k")
 
 
 def number_in_groups(df: DataFrame, groups: list[str], order: list[str], name: str, partitions: int | None = None) -> DataFrame:

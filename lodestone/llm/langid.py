@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -26,11 +27,13 @@ SYMBOLS = 64
 #: One more than the largest code.
 CODES = SYMBOLS + 0x110000
 #: Largest matrix of texts by n-grams, and the n-grams whose vectors are added up at once.
-MATRIX = 1 << 24
-GRAMS = 1 << 13
-GROUP_CHARS = 1_000_000
-GROUP_TEXTS = 1024
-PIECE_CHARS = 4_000_000
+MATRIX = 1 << 22
+GRAMS = 1 << 12
+GROUP_CHARS = 250_000
+GROUP_TEXTS = 256
+PIECE_CHARS = 1_000_000
+#: Rows of a batch whose texts are lower-cased at a time.
+SLICE_ROWS = 512
 UNKNOWN = "und"
 
 
@@ -95,38 +98,56 @@ class Space:
 def bundle(texts: list[str | None], letters: tuple[Letters, Letters, Letters]) -> np.ndarray:
     """The bundled vector of each text; zero for texts without letters."""
     out = np.zeros((len(texts), letters[0].shape[1]), dtype=np.float32)
-    pieces, owner = [], []
+    for at in range(0, len(texts), SLICE_ROWS):
+        bundle_slice(texts[at : at + SLICE_ROWS], letters, out[at : at + SLICE_ROWS])
+    return out
+
+
+def bundle_slice(texts: list[str | None], letters: tuple[Letters, Letters, Letters], out: np.ndarray) -> None:
+    """Adds each text's vector to its row of out. A long text is cut into pieces that know the letters beside them."""
+    pieces, owner, inner = [], [], []
     for i, t in enumerate(texts):
-        for at in range(0, len(t or ""), PIECE_CHARS):
-            pieces.append(t[at : at + PIECE_CHARS].lower())
+        low = (t or "").lower()
+        for at in range(0, len(low), PIECE_CHARS):
+            left, right = int(at > 0), int(at + PIECE_CHARS < len(low))
+            pieces.append(low[at - left : at + PIECE_CHARS + right])
             owner.append(i)
+            inner.append((left, right))
     for a, b in in_groups(pieces, GROUP_CHARS):
         for lo in range(a, b, GROUP_TEXTS):
-            part = pieces[lo : min(b, lo + GROUP_TEXTS)]
-            np.add.at(out, owner[lo : lo + len(part)], bundle_group(part, letters))
-    return out
+            part = slice(lo, min(b, lo + GROUP_TEXTS))
+            np.add.at(out, owner[part], bundle_group(pieces[part], letters, inner[part]))
 
 
-def bundle_group(texts: list[str], letters: tuple[Letters, Letters, Letters]) -> np.ndarray:
+def bundle_group(texts: list[str], letters: tuple[Letters, Letters, Letters], inner: list[tuple[int, int]]) -> np.ndarray:
+    """Vectors of pieces; inner tells of each how many characters at its ends belong to the pieces beside it."""
     joined = "\0" + "\0".join(texts) + "\0"
     code = codes()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
-    middle = np.flatnonzero(code[1:-1])
+    size = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+    centre = code[1:-1] != 0
+    for (left, right), end in zip(inner, np.cumsum(size).tolist()):
+        if right:
+            centre[end - 2] = False
+    for (left, right), start in zip(inner, (np.cumsum(size) - size).tolist()):
+        if left:
+            centre[start] = False
+    middle = np.flatnonzero(centre)
     if not len(middle):
         return np.zeros((len(texts), letters[0].shape[1]), dtype=np.float32)
     owner = doc[middle].astype(np.int64)
-    if code.max() < SYMBOLS:
-        gram = (code[middle] * SYMBOLS + code[middle + 1]) * SYMBOLS + code[middle + 2]
+    base = SYMBOLS if code.max() < SYMBOLS else CODES
+    wide = code.astype(np.int64)
+    gram = (wide[middle] * base + wide[middle + 1]) * base + wide[middle + 2]
+    if base == SYMBOLS:
         seen = np.flatnonzero(np.bincount(gram, minlength=SYMBOLS**3))
         column = np.zeros(SYMBOLS**3, dtype=np.int32)
         column[seen] = np.arange(len(seen))
-        column, base = column[gram], SYMBOLS
+        column = column[gram]
     else:
-        wide = code.astype(np.int64)
-        seen, column = np.unique((wide[middle] * CODES + wide[middle + 1]) * CODES + wide[middle + 2], return_inverse=True)
-        base = CODES
-        if len(texts) * len(seen) > MATRIX:
-            return add_grams(seen, column, owner, len(texts), letters)
+        seen, column = np.unique(gram, return_inverse=True)
+    if len(texts) * len(seen) > MATRIX:
+        return add_grams(seen, column, owner, len(texts), base, letters)
     counts = np.bincount(owner * len(seen) + column, minlength=len(texts) * len(seen))
     return counts.reshape(len(texts), len(seen)).astype(np.float32) @ gram_vectors(seen, base, letters).astype(np.float32)
 
@@ -136,13 +157,13 @@ def gram_vectors(grams: np.ndarray, base: int, letters: tuple[Letters, Letters,
     return first[grams // base**2] * second[grams // base % base] * third[grams % base]
 
 
-def add_grams(seen: np.ndarray, column: np.ndarray, owner: np.ndarray, texts: int, letters: tuple[Letters, Letters, Letters]) -> np.ndarray:
+def add_grams(seen: np.ndarray, column: np.ndarray, owner: np.ndarray, texts: int, base: int, letters: tuple[Letters, Letters, Letters]) -> np.ndarray:
     """Sums of n-gram vectors by text, owner being in order, without a matrix of texts by n-grams."""
     out = np.zeros((texts, letters[0].shape[1]), dtype=np.float32)
     for lo in range(0, len(owner), GRAMS):
         mine = owner[lo : lo + GRAMS]
         start = np.flatnonzero(np.diff(mine, prepend=-1))
-        out[mine[start]] += np.add.reduceat(gram_vectors(seen[column[lo : lo + GRAMS]], CODES, letters), start, axis=0, dtype=np.int32)
+        out[mine[start]] += np.add.reduceat(gram_vectors(seen[column[lo : lo + GRAMS]], base, letters), start, axis=0, dtype=np.int32)
     return out
 
 
@@ -155,15 +176,15 @@ class Model:
     space: Space
 
 
-def fit(docs: DataFrame, where=None, space: Space = Space(), per_lang: int = 400, max_langs: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn prototypes from a bounded sample: per_lang texts each of the max_langs most frequent languages.
+def fit(docs: DataFrame, where=None, space: Space = Space(), per_lang: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Learn prototypes from a sample: per_lang texts at most of every language there is.
 
     where is a condition on rows that may be learned from. Rows with null text or language teach nothing. With no such
     row the model knows no language and every text is of unknown language.
     """
     rows = docs if where is None else docs.where(where)
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label")).where("text is not null and label is not null")
-    sample = bounded_sample(rows, per_lang, max_langs)
+    sample = bounded_sample(rows, per_lang)
 
     def add_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         release()
@@ -177,9 +198,14 @@ def fit(docs: DataFrame, where=None, space: Space = Space(), per_lang: int = 400
         if sums:
             yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
 
-    sums: dict[str, np.ndarray] = {}
-    for row in sorted(sample.select("text", "label").mapInPandas(add_up, "lang string, v array<double>").collect()):
-        sums[row.lang] = sums.get(row.lang, 0) + np.array(row.v)
+    def add(key, table):
+        rows = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        rows = rows[np.lexsort(rows.T[::-1])]  # a fixed order of summation
+        return pa.table({"lang": pa.array([key[0].as_py()], pa.string()), "v": pa.array([rows.sum(axis=0)], pa.list_(pa.float64()))})
+
+    # Sums are added by language on the executors; the driver gets one vector of each language, which the model holds.
+    shares = sample.select("text", F.col("label").cast("string").alias("label")).mapInPandas(add_up, "lang string, v array<double>")
+    sums = {r.lang: np.array(r.v) for r in shares.groupBy("lang").applyInArrow(add, "lang string, v array<double>").collect()}
     langs = sorted(k for k, v in sums.items() if np.linalg.norm(v) > 0)
     protos = np.array([sums[k] / np.linalg.norm(sums[k]) for k in langs], dtype=np.float32).reshape(len(langs), space.dim)
     return Model(langs, protos, space)
