@@ -1,10 +1,13 @@
-"""N-gram Jaccard join by MinHash bands and exact verification.
-
-Texts are sets of word n-grams; equal texts are joined by their digest and stand for one. Each distinct text has a
-signature of MinHash values, cut into bands (trees). Of each band a prefix is hashed and joined; one depth for all data,
-the largest at which the chance to miss a pair at the threshold is below the target. No sorted trie is built and no prefix
-is shortened by what the data show. Texts that share a prefix are compared by their sketches; what remains are candidate groups, which are verified exactly, block against block, with the
-n-gram sets. No step lists the pairs of a group: blocks give link counts and a spanning forest of the links.
+"""N-gram Jaccard join by a MinHash LSH forest and exact verification.
+
+Texts are sets of word n-grams; equal texts are joined by their digest and stand for one. Each distinct text has a label
+of MinHash values in every tree. A tree is its sorted labels: texts that share a prefix lie side by side, and a trie node is
+a run of labels with a common prefix. Matched prefixes start at full length and are shortened node by node: down to the
+depth at which all trees together reach the target recall, but not below a node that holds a crowd. From the lengths it got
+in all trees follows the recall a text has reached; texts that a crowd kept below the target form the next, smaller forest,
+in which larger crowds are allowed, until every text has reached it. Texts of one node are compared by their sketches;
+what remains are candidate groups, which are verified exactly, block against block, with the n-gram sets. No step lists the
+pairs of a group: blocks give link counts and a spanning forest of the links.
 """
 
 from __future__ import annotations
@@ -14,13 +17,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from .common import cut, release
 
-HASHES = 128
+TREES, DEPTH = 24, 6
+HASHES = TREES * DEPTH
+#: A label is a byte for the tree and DEPTH values of 4 bytes.
+LABEL = 1 + 4 * DEPTH
 GROUP_BYTES = 1_000_000
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -83,29 +90,159 @@ def shingles(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(h), counts
 
 
-def signatures(texts: list[str], n: int) -> list[bytes | None]:
-    """High halves of the MinHash values of each text; None without n-grams."""
+def signatures(texts: list[str], n: int) -> tuple[list[bytes | None], list[bytes | None]]:
+    """Labels of each text in all trees, one after the other, and its sketch; None without n-grams. A label holds the high
+    halves of MinHash values, the sketch one byte of each value: two texts agree in about (their similarity) x HASHES."""
     grams, counts = shingles(texts, n)
+    labels: list[bytes | None] = [None] * len(texts)
+    sketches: list[bytes | None] = [None] * len(texts)
     full = np.flatnonzero(counts)
     if not len(full):
-        return [None] * len(texts)
+        return labels, sketches
     starts = (np.cumsum(counts) - counts)[full]
-    out, buffer = np.empty((len(full), HASHES), dtype=np.uint32), np.empty_like(grams)
+    out, buffer = np.empty((len(full), HASHES), dtype=">u4"), np.empty_like(grams)
     for k in range(HASHES):
         np.multiply(grams, MINWISE[k], out=buffer)
         out[:, k] = np.minimum.reduceat(buffer, starts) >> np.uint64(32)
-    got: list[bytes | None] = [None] * len(texts)
-    for i, row in zip(full.tolist(), out):
-        got[i] = row.tobytes()
-    return got
+    values = out.view(np.uint8).reshape(len(full), TREES, 4 * DEPTH)
+    trees = np.broadcast_to(np.arange(TREES, dtype=np.uint8)[None, :, None], (len(full), TREES, 1))
+    whole = np.concatenate([trees, values], axis=2).reshape(len(full), TREES * LABEL)
+    low = np.ascontiguousarray(out.view(np.uint8)[:, 3::4])
+    for i, label, sketch in zip(full.tolist(), whole, low):
+        labels[i], sketches[i] = label.tobytes(), sketch.tobytes()
+    return labels, sketches
+
+
+def plan_depth(threshold: float, recall: float) -> int:
+    """The longest prefix at which all trees together find a pair at the threshold with the wanted chance."""
+    for depth in range(DEPTH, 0, -1):
+        if (1 - threshold**depth) ** TREES <= 1 - recall:
+            return depth
+    raise ValueError(f"{TREES} trees don't reach a recall of {recall} at {threshold}")
 
 
-def plan_depth(threshold: float, trees: int, recall: float) -> int:
-    """Shorten prefixes from full depth until a pair at the threshold is found by some tree with the wanted chance."""
-    for depth in range(HASHES // trees, 0, -1):
-        if (1 - threshold**depth) ** trees <= 1 - recall:
-            return depth
-    raise ValueError(f"{trees} trees don't reach a recall of {recall} at {threshold}; take more")
+def bytes_matrix(column, width: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros((0, width), dtype=np.uint8)
+    fixed = column.cast(pa.binary(width))
+    return np.frombuffer(fixed.buffers()[1], dtype=np.uint8)[fixed.offset * width : (fixed.offset + len(fixed)) * width].reshape(-1, width)
+
+
+def trie_nodes(shortest: int):
+    """Walks a partition of sorted labels: of every depth from shortest on, how many rows around share the row's prefix here.
+
+    A row whose prefix is its own even at the shortest depth is dropped, unless its run touches an end of the partition,
+    where it may go on in the next one (edge).
+    """
+
+    def run(batches):
+        release()
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        label = bytes_matrix(table.column("label"), LABEL)
+        n, sizes = len(label), np.empty((len(label), DEPTH - shortest + 1), dtype=np.int32)
+        edge = np.zeros(n, dtype=bool)
+        equal = (label[1:] == label[:-1]).cumprod(axis=1, dtype=np.uint8)
+        for k in range(sizes.shape[1]):
+            start = np.flatnonzero(np.concatenate(([True], equal[:, 4 * (shortest + k)] == 0)))
+            rows = np.diff(np.append(start, n))
+            sizes[:, k] = np.repeat(rows, rows)
+            if not k:
+                edge[: rows[0]] = edge[n - rows[-1] :] = True
+        keep = np.flatnonzero((sizes[:, 0] > 1) | edge)
+        table = table.take(pa.array(keep))
+        flat = pa.array(sizes[keep].ravel())
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * sizes.shape[1]), flat)
+        here = pa.array(np.full(len(keep), TaskContext.get().partitionId(), dtype=np.int32))
+        whole = pa.Table.from_arrays([table.column("label"), table.column("key"), here, pa.array(edge[keep]), lists], names=["label", "key", "part", "edge", "sizes"])
+        yield from whole.to_batches(max_chunksize=10_000)
+
+    return run
+
+
+def runs_over_ends(ends: list, shortest: int) -> dict[bytes, int]:
+    """Rows of each prefix whose run goes over the end of a partition; ends has first and last (label, sizes) of each, in order."""
+    found: dict[bytes, int] = {}
+    for k in range(DEPTH - shortest + 1):
+        width, run, rows, over = 1 + 4 * (shortest + k), None, 0, False
+        for e in ends:
+            first, last = bytes(e.first.label[:width]), bytes(e.last.label[:width])
+            if run == first:
+                rows, over = rows + e.first.sizes[k], True
+            else:
+                if over:
+                    found[run] = rows
+                run, rows, over = first, e.first.sizes[k], False
+            if last != first:
+                if over:
+                    found[run] = rows
+                run, rows, over = last, e.last.sizes[k], False
+        if over:
+            found[run] = rows
+    return found
+
+
+def choose(shortest: int, threshold: float, crowd: int, turn: int, over: dict[bytes, int]):
+    """The node at which each row is matched: its shortest prefix whose node holds no more rows than crowd.
+
+    Gives the node as a hash (null where the row is alone there, or where even the full label is crowded) with its rows, and
+    missed: by how much the row's tree adds to the logarithm of the chance to miss a pair, over a match at the shortest.
+    """
+    miss = np.log1p(-(threshold ** np.arange(shortest, DEPTH + 1)))
+    missed = np.append(miss - miss[0], -miss[0])
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            label, sizes = bytes_matrix(b.column("label"), LABEL), b.column("sizes").flatten().to_numpy().reshape(b.num_rows, -1).copy()
+            for i in np.flatnonzero(np.asarray(b.column("edge"))).tolist() if over else ():
+                whole = label[i].tobytes()
+                for k in range(sizes.shape[1]):
+                    sizes[i, k] = over.get(whole[: 1 + 4 * (shortest + k)], sizes[i, k])
+            fits = sizes <= crowd
+            at = np.where(fits.any(axis=1), fits.argmax(axis=1), sizes.shape[1])
+            rows = np.where(at < sizes.shape[1], sizes[np.arange(len(at)), np.minimum(at, sizes.shape[1] - 1)], 0)
+            word = np.ascontiguousarray(label[:, 1:]).view(">u4").astype(np.uint64)
+            node = mix(label[:, 0].astype(np.uint64) + np.uint64(turn << 32) + (at.astype(np.uint64) << np.uint64(16)))
+            for k in range(DEPTH):
+                node = np.where(k < shortest + at, mix(node * BASE + word[:, k]), node)
+            keep = np.flatnonzero((rows > 1) | (at > 0))
+            alone = pa.array(rows[keep] < 2)
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(keep)), pc.if_else(alone, pa.scalar(None, pa.int64()), pa.array(node[keep].view(np.int64))), pa.array(rows[keep].astype(np.int32)), pa.array(missed[at[keep]])], names=["key", "bucket", "n", "missed"])
+
+    return run
+
+
+def forest(signed: DataFrame, threshold: float, recall: float, crowd: int = 64) -> DataFrame:
+    """bucket, key and n (rows of the bucket): texts matched in a node of the forest. Every pair at the threshold shares a
+    bucket with a chance of recall or more.
+
+    A node's depth is decided for all its texts alike, so a text that has reached the target finds all its partners, also
+    those that have not; only texts that have not are matched again among themselves.
+    """
+    shortest = plan_depth(threshold, recall)
+    allowed = float(np.log1p(-recall) - TREES * np.log1p(-(threshold**shortest)))
+    labels = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("sig", t * LABEL + 1, F.lit(LABEL)))
+    found, active, rows, turn = None, signed, signed.count(), 0
+    while True:
+        leaves = active.select(F.explode(labels).alias("label"), "key").repartitionByRange("label", "key").sortWithinPartitions("label", "key")
+        nodes = cut(leaves.mapInArrow(trie_nodes(shortest), "label binary, key binary, part int, edge boolean, sizes array<int>"))
+        # One row for each task of the sort, not of the data.
+        ends = nodes.groupBy("part").agg(F.min(F.struct("label", "sizes")).alias("first"), F.max(F.struct("label", "sizes")).alias("last")).orderBy("part").collect()
+        matched = cut(nodes.mapInArrow(choose(shortest, threshold, crowd, turn, runs_over_ends(ends, shortest)), "key binary, bucket long, n int, missed double"))
+        slots = matched.where("bucket is not null").select("bucket", "key", "n")
+        found = slots if found is None else found.unionAll(slots)
+        if crowd >= rows:
+            return found
+        short = cut(matched.where("missed > 0").groupBy("key").agg(F.sum("missed").alias("missed")).where(F.col("missed") > allowed).select("key"))
+        rows = short.count()
+        if not rows:
+            return found
+        active, crowd, turn = signed.join(short, "key", "left_semi"), crowd * 16, turn + 1
 
 
 def text_key(text: Column) -> Column:
@@ -132,10 +269,12 @@ def sign(n: int):
             keys = b.column("key").to_pylist()
             fresh = [i for i, k in enumerate(keys) if first.setdefault(k, i) == i]
             own = [texts[i] for i in fresh]
-            got: list[bytes | None] = []
+            labels: list[bytes | None] = []
+            sketches: list[bytes | None] = []
             for lo, hi in batches_of(own):
-                got += signatures(own[lo:hi], n)
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in fresh], pa.binary()), pa.array(got, pa.binary())], names=["key", "sig"])
+                for whole, part in zip((labels, sketches), signatures(own[lo:hi], n)):
+                    whole += part
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in fresh], pa.binary()), pa.array(labels, pa.binary()), pa.array(sketches, pa.binary())], names=["key", "sig", "sketch"])
 
     return run
 
@@ -177,7 +316,7 @@ def runs(batches, group: list[str]):
         yield ready(held)
 
 
-class Forest:
+class Union:
     """Union-find; link() tells whether two parts became one."""
 
     def __init__(self, n: int):
@@ -197,20 +336,29 @@ class Forest:
 
 
 def spanning(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
-    forest = Forest(n)
-    return [(i, j) for i, j in pairs.tolist() if forest.link(i, j)]
+    union = Union(n)
+    return [(i, j) for i, j in pairs.tolist() if union.link(i, j)]
 
 
-def near_pairs(sketch: np.ndarray, side: np.ndarray, least: int) -> np.ndarray:
-    """Pairs (rows of sketch) that agree in least places or more; with two sides only pairs across."""
-    found = []
-    for lo in range(0, len(sketch), 64):
-        agree = (sketch[lo : lo + 64, None, :] == sketch[None, :, :]).sum(axis=2)
-        i, j = np.nonzero(agree >= least)
-        i += lo
-        ok = (i < j) & ((side[i] != side[j]) | (side[0] == side[-1]))
-        found.append(np.column_stack([i[ok], j[ok]]))
-    return np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
+def near_tree(sketch: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """A spanning forest of the rows of sketch that agree in least places or more. Each row is compared with the rows not
+    reached yet, so a dense group takes about one comparison for each of its rows."""
+    edges, waiting, frontier = [], np.arange(1, len(sketch)), [0]
+    while len(waiting):
+        if not frontier:
+            frontier, waiting = [int(waiting[0])], waiting[1:]
+            continue
+        some, frontier = frontier[:32], frontier[32:]
+        agree = np.zeros((len(some), len(waiting)), dtype=bool)
+        for lo in range(0, len(waiting), 1024):
+            agree[:, lo : lo + 1024] = (sketch[some][:, None, :] == sketch[waiting[lo : lo + 1024]][None, :, :]).sum(axis=2) >= least
+        hit = agree.any(axis=0)
+        if hit.any():
+            by = agree.argmax(axis=0)
+            edges += [(some[by[j]], int(waiting[j])) for j in np.flatnonzero(hit)]
+            frontier += waiting[hit].tolist()
+            waiting = waiting[~hit]
+    return edges
 
 
 def candidates(least: int):
@@ -220,18 +368,16 @@ def candidates(least: int):
         release()
         for table, bounds in runs(batches, ["bucket", "cell"]):
             keys = table.column("key").combine_chunks()
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(table.num_rows, -1)
-            side = table.column("side").to_numpy()
+            sketch = bytes_matrix(table.column("sketch"), HASHES)
             a, b = [], []
             for lo, hi in zip(bounds[:-1], bounds[1:]):
                 if hi - lo == 2 and (sketch[lo] == sketch[lo + 1]).sum() >= least:
                     a.append(lo)
                     b.append(lo + 1)
                 elif hi - lo > 2:
-                    order = np.argsort(side[lo:hi], kind="stable") + lo
-                    for i, j in spanning(near_pairs(sketch[order], side[order], least), hi - lo):
-                        a.append(int(order[i]))
-                        b.append(int(order[j]))
+                    for i, j in near_tree(sketch[lo:hi], least):
+                        a.append(lo + i)
+                        b.append(lo + j)
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(a, pa.int64())), keys.take(pa.array(b, pa.int64()))], names=["a", "b"])
 
     return run
@@ -252,7 +398,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(col, kind="stable")
     owner, col = owner[order], col[order]
     width = max(1024, 4_000_000 // m)
-    out = np.zeros((m, m), dtype=np.float64)
+    out = np.zeros((m, m), dtype=np.float32 if sizes.max(initial=0) < 1 << 24 else np.float64)
     for lo in range(0, len(shared), width):
         a, b = np.searchsorted(col, [lo, lo + width])
         part = np.zeros((m, min(width, len(shared) - lo)), dtype=np.float32)
@@ -267,13 +413,13 @@ def verify(n: int, threshold: float):
     def run(batches):
         release()
         for table, bounds in runs(batches, ["group", "cell"]):
-            keys, texts = table.column("key").combine_chunks(), table.column("text").to_pylist()
+            keys, texts = table.column("key").combine_chunks(), table.column("text")
             sides, copies = table.column("side").to_numpy(), table.column("copies").to_numpy()
             a, b, links = [], [], []
             for lo, hi in zip(bounds[:-1], bounds[1:]):
                 order = np.argsort(sides[lo:hi], kind="stable") + lo
                 sets = []
-                part = [texts[i] for i in order]
+                part = texts.take(pa.array(order)).to_pylist()
                 for x, y in batches_of(part):
                     grams, counts = shingles(part[x:y], n)
                     sets += [np.unique(s) for s in np.split(grams, np.cumsum(counts)[:-1])]
@@ -298,21 +444,20 @@ def verify(n: int, threshold: float):
     return run
 
 
-def in_cells(rows: DataFrame, group: str, block: int) -> DataFrame:
-    """Rows of groups larger than block are dealt to blocks, and each pair of blocks is a cell; side tells them apart.
+def in_cells(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Rows of a large group are dealt to blocks, and each pair of blocks is a cell; side tells them apart.
 
-    rows has group, key and n (the group's size). A group of one block is one cell. A group of b blocks is read b times,
-    in b * (b + 1) / 2 cells of two blocks at most.
+    rows has key and n (the group's size). A group of one block is one cell. A group of b blocks is read b times, in
+    b * (b + 1) / 2 cells of two blocks at most.
     """
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("key"), blocks).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("mine", mine)
+    mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("blocks", blocks.cast("int")).withColumn("mine", mine)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")
     return rows.withColumn("cell", cell.cast("long")).withColumn("side", F.col("mine")).drop("blocks", "mine", "other", "n")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 32, recall: float = 0.999999, bucket_block: int = 1024, verify_block: int = 384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, sigmas: float = 5.2, crowd: int = 64, bucket_block: int = 2048, verify_block: int = 768, verify_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Join all texts whose sets of word n-grams have a Jaccard similarity of threshold or more.
 
     One row per row of docs: the id, class_id (smallest id of the documents linked directly or over others), n_links
@@ -322,28 +467,26 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees:
     Equal texts are linked. A text of fewer than n words has one n-gram, all its words. A text without words is linked
     to equal texts alone. A null text is linked to nothing and is a class of its own (text_key null). Null ids are
     smaller than others; rows of one id are separate documents. Other columns are not read. An empty table gives none.
+
+    recall is the chance that the forest finds a pair at the threshold. sigmas says how many standard deviations below the
+    threshold the sketches of a pair may lie (5.2 lose one pair in ten million); infinity compares without sketches.
     """
-    depth, slice_bytes = plan_depth(threshold, trees, recall), 4 * (HASHES // trees)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("key"))
     members = cut(rows.select("id", "key", F.monotonically_increasing_id().alias("row")))
     copies = members.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
-    signed = rows.where("key is not null").select("key", "text").mapInArrow(sign(n), "key binary, sig binary").where("sig is not null")
-    signed = cut(signed.groupBy("key").agg(F.first("sig").alias("sig")))
-    slices = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.substring("sig", t * slice_bytes + 1, F.lit(4 * depth))))
-    slots = signed.select("key", F.explode(slices).alias("bucket"))
-    shared = slots.groupBy("bucket").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1")
-    slots = cut(slots.join(shared, "bucket"))
-    # The sketch is the low byte of each MinHash value: two texts agree in about (their similarity) x 128 places.
-    sketch = signed.mapInArrow(to_sketch, "key binary, sketch binary")
-    least = int(HASHES * (threshold - 5.2 * np.sqrt(threshold * (1 - threshold) / HASHES)))
-    cells = in_cells(slots.join(sketch, "key"), "bucket", bucket_block)
-    edges = cells.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").select("bucket", "cell", "side", "key", "sketch").mapInArrow(candidates(least), "a binary, b binary")
+    signed = rows.where("key is not null").select("key", "text").mapInArrow(sign(n), "key binary, sig binary, sketch binary").where("sig is not null")
+    signed = cut(signed.groupBy("key").agg(F.first("sig").alias("sig"), F.first("sketch").alias("sketch")))
+    slots = forest(signed.select("key", "sig"), threshold, recall, crowd)
+    least = max(0, int(HASHES * (threshold - sigmas * np.sqrt(threshold * (1 - threshold) / HASHES)))) if np.isfinite(sigmas) else 0
+    cells = in_cells(slots.join(signed.select("key", "sketch"), "key"), F.ceil(F.col("n") / bucket_block))
+    edges = cells.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").select("bucket", "cell", "key", "sketch").mapInArrow(candidates(least), "a binary, b binary")
     groups = cut(components(edges).select(F.col("node").alias("key"), F.col("component").alias("group")))
-    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    chosen = cut(groups.join(sizes, "group").join(copies, "key"))
-    some = F.broadcast(chosen.select("key")) if chosen.count() <= BROADCAST_KEYS else chosen.select("key")
+    some = F.broadcast(groups.select("key")) if groups.count() <= BROADCAST_KEYS else groups.select("key")
     texts = rows.select("key", "text").join(some, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    cells = in_cells(chosen.join(texts, "key"), "group", verify_block)
+    chosen = cut(groups.join(texts, "key").join(copies, "key"))
+    sizes = chosen.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    blocks = F.greatest(F.ceil(F.col("n") / verify_block), F.least(F.col("n"), F.ceil(F.col("chars") / verify_chars)))
+    cells = in_cells(chosen.join(sizes, "group"), blocks)
     checked = cells.repartition("group", "cell").sortWithinPartitions("group", "cell").select("group", "cell", "side", "key", "copies", "text")
     found = cut(checked.mapInArrow(verify(n, threshold), "a binary, b binary, links long"))
     links = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
@@ -360,13 +503,6 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees:
     )
 
 
-def to_sketch(batches):
-    for b in batches:
-        if b.num_rows:
-            low = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype=np.uint8)[::4].reshape(b.num_rows, HASHES)
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([r.tobytes() for r in low], pa.binary())], names=["key", "sketch"])
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one row of each near-duplicate class, the one of smallest id; all columns are kept as they are.
 

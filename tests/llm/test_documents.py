@@ -9,9 +9,10 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lodestone.llm import langid, neardup, quality, rules, sharding
-from lodestone.llm.common import number_in_groups
+from lodestone.llm.common import bounded_sample, number_in_groups
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, shard string, held_out string, key string"
@@ -63,6 +64,80 @@ def test_every_letter_has_its_own_vector(monkeypatch):
     assert np.allclose(langid.bundle(texts, letters), want)
 
 
+def test_long_texts_know_the_letters_at_their_cuts(monkeypatch):
+    letters = langid.Space(64).letters()
+    text = "one two three, äöü four five"
+    want = langid.bundle([text, "x", None], letters)
+    monkeypatch.setattr(langid, "PIECE_CHARS", 3)
+    assert np.allclose(langid.bundle([text, "x", None], letters), want)
+
+
+#: A few words of each language, of two scripts.
+TONGUES = {
+    "el": "και το να της του που με για από στην δεν είναι ήταν μια έχει όλα σπίτι θάλασσα νύχτα ημέρα".split(),
+    "ru": "и не что он на как это по но они мы этот был дом море ночь день только когда всегда".split(),
+    "pl": "nie się jest że dzień noc morze dom tylko kiedy zawsze był oni my jak ale przez który więc być".split(),
+    "cs": "není se je že den noc moře dům jen když vždy byl oni my jak ale přes který tedy být".split(),
+}
+
+
+def tongue_rows(texts, seed):
+    rng = random.Random(seed)
+    return [(i * 10 + k, " ".join(rng.choices(words, k=30)), lang, "s") for i in range(texts) for k, (lang, words) in enumerate(TONGUES.items())]
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """More shuffle partitions than rows, none of them merged, so that most are empty."""
+    changed = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_languages_of_one_script_and_empty_partitions(spark, many_partitions):
+    model = langid.fit(frame(spark, tongue_rows(12, 1)))
+    assert model.langs == sorted(TONGUES)
+    got = langid.identify(frame(spark, tongue_rows(12, 2)).repartition(50), model).join(frame(spark, tongue_rows(12, 2)).select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) == 48 and all(r.lang_pred == r.lang for r in got)
+
+
+def test_no_language_is_left_out(spark):
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} again", f"lang{i:03}", "s") for i in range(400)]
+    assert len(langid.fit(frame(spark, rows)).langs) == 400
+
+
+def test_sample_takes_the_lowest_hashes(spark):
+    rows = spark.range(5000).selectExpr("id", "cast(id as string) as text", "if(id % 50 = 0, 'rare', 'common') as label")
+    got = bounded_sample(rows, 200).collect()
+    for label, n in (("rare", 100), ("common", 200)):
+        ids = [i for i in range(5000) if (i % 50 == 0) == (label == "rare")]
+        hashed = sorted((r.h, r.id) for r in rows.where(f"label = '{label}'").selectExpr("id", "xxhash64(id, label) as h").collect())
+        assert {r.text for r in got if r.label == label} == {str(i) for _, i in hashed[:n]} and len(ids) >= n
+
+
+def test_quality_with_empty_partitions(spark, many_partitions):
+    rows = [(i, f"good words and more of them number {i}" if i % 2 else "# " * i, "en", "s") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = quality.fit(frame(spark, rows), labels)
+    assert len(quality.classify(frame(spark, rows).repartition(40), model).collect()) == 60
+
+
+def test_quality_solves_the_ridge_equations(spark):
+    rows = [(i, f"good words and more of them number {i} " * (i % 7 + 1) if i % 3 else "#! " * (i % 11 + 1), "en", "s") for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(120)], "doc_id long, quality int")
+    model = quality.fit(frame(spark, rows), labels, features=20, ridge=0.3)
+    held = {r.id for r in spark.range(120).selectExpr("id", "pmod(xxhash64('calibration', id), 4) as h").collect() if r.h == 0}
+    mine = [r for r in rows if r[0] not in held]
+    z, y = model.features(quality.statistics([r[1] for r in mine])), np.array([float(r[0] % 3 > 0) for r in mine])
+    stacked = np.vstack([z, np.diag(np.sqrt(np.array([0.3] * 20 + [1e-6])))])
+    want = np.linalg.lstsq(stacked, np.concatenate([y, np.zeros(21)]), rcond=None)[0]
+    assert np.allclose(model.weights, want, atol=1e-6)
+
+
 def test_bundle_is_the_sum_of_bound_letters():
     letters = langid.Space(64).letters()
     code = langid.codes()
@@ -208,11 +283,11 @@ def near_rows():
     return out + [(400, None), (401, None), (402, ""), (403, ""), (404, " \n"), (405, "a b"), (406, "a  b"), (407, "a b c"), (None, "a b"), (3, out[3][1])]
 
 
-@pytest.mark.parametrize("blocks", [(1024, 384), (7, 11)])
-def test_near_duplicates_against_all_pairs(spark, blocks):
+@pytest.mark.parametrize("crowd, blocks", [(64, (2048, 768)), (2, (7, 11)), (10_000, (60, 40))])
+def test_near_duplicates_against_all_pairs(spark, crowd, blocks):
     rows = near_rows()
     df = frame(spark, [(i, t, "en", "a") for i, t in rows]).repartition(5)
-    got = neardup.near_duplicates(df, bucket_block=blocks[0], verify_block=blocks[1]).collect()
+    got = neardup.near_duplicates(df, crowd=crowd, bucket_block=blocks[0], verify_block=blocks[1], verify_chars=20_000).collect()
     classes, links = plain_classes(rows)
     least = {}
     for (i, _), k in zip(rows, classes):
@@ -232,9 +307,48 @@ def test_near_duplicates_of_nothing(spark):
 
 
 def test_depth_follows_the_recall():
-    assert neardup.plan_depth(0.8, 32, 0.999999) == 4 and neardup.plan_depth(0.5, 32, 0.99) < 4
+    assert neardup.plan_depth(0.8, 0.99999) == 4 and neardup.plan_depth(0.95, 0.999999) == 6 and neardup.plan_depth(0.5, 0.9) < 4
     with pytest.raises(ValueError):
-        neardup.plan_depth(0.1, 32, 0.999999)
+        neardup.plan_depth(0.1, 0.999999)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_trie_nodes_across_partitions(spark, parts):
+    """Sizes of all nodes as counted plainly, wherever partitions end."""
+    rng = random.Random(3)
+    words = [bytes([0, 0, 0, k]) for k in range(3)]
+    labels = [bytes([rng.randrange(2)]) + b"".join(words[0] if rng.random() < 0.85 else rng.choice(words) for _ in range(neardup.DEPTH)) for _ in range(300)]
+    df = spark.createDataFrame([(bytearray(x), bytearray(str(i).encode())) for i, x in enumerate(labels)], "label binary, key binary")
+    nodes = df.repartitionByRange(parts, "label", "key").sortWithinPartitions("label", "key").mapInArrow(neardup.trie_nodes(3), "label binary, key binary, part int, edge boolean, sizes array<int>").cache()
+    ends = nodes.groupBy("part").agg(F.min(F.struct("label", "sizes")).alias("first"), F.max(F.struct("label", "sizes")).alias("last")).orderBy("part").collect()
+    over = neardup.runs_over_ends(ends, 3)
+    assert len(ends) == parts and (parts == 1) == (not over)
+    want = {d: Counter(x[: 1 + 4 * d] for x in labels) for d in range(3, neardup.DEPTH + 1)}
+    assert {p: n for p, n in over.items()} == {p: want[(len(p) - 1) // 4][p] for p in over}
+    got = {bytes(r.key): (bytes(r.label), [over.get(bytes(r.label[: 1 + 4 * d]), r.sizes[d - 3]) for d in want]) for r in nodes.collect()}
+    for i, x in enumerate(labels):
+        sizes = [want[d][x[: 1 + 4 * d]] for d in want]
+        assert got.get(str(i).encode(), (x, [1] * len(want))) == (x, sizes)
+
+
+def test_forest_shortens_prefixes_until_the_recall(spark):
+    """A crowd of near copies beside few others: every pair at the threshold still shares a node."""
+    rng = random.Random(9)
+    page = [f"w{k}" for k in range(400)]
+    texts = [" ".join([*page[:-8], *(f"x{rng.randrange(10**6)}" for _ in range(8))]) for _ in range(150)]
+    texts += [" ".join(f"y{rng.randrange(10**6)}" for _ in range(60)) for _ in range(50)]
+    labels, sketches = neardup.signatures(texts, 5)
+    signed = spark.createDataFrame([(bytearray(str(i).encode()), bytearray(x)) for i, x in enumerate(labels)], "key binary, sig binary").cache()
+    for crowd in (4, 64, 1000):
+        slots = neardup.forest(signed, 0.8, 0.99999, crowd).collect()
+        mates = {}
+        for r in slots:
+            mates.setdefault(r.bucket, set()).add(int(bytes(r.key)))
+        assert all(r.n == len(mates[r.bucket]) for r in slots)
+        together = {(a, b) for m in mates.values() for a in m for b in m if a < b}
+        assert sum((a, b) in together for a in range(150) for b in range(a + 1, 150)) == 150 * 149 // 2
+    sketch = np.stack([np.frombuffer(x, dtype=np.uint8) for x in sketches])
+    assert len(neardup.near_tree(sketch, 90)) == 149 and len(neardup.near_tree(sketch, 0)) == 199
 
 
 def test_numbers(spark):
