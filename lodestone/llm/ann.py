@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,37 +20,55 @@ from pyspark.sql import functions as F
 from .common import cut, smallest_hashes
 
 
+#: Entries of a table of rows by centroids that is made at a time.
+TABLE = 1 << 22
+#: Queries whose tables of codewords are held at a time.
+QUERIES = 256
+#: Broadcast tables have a row for each list or crowded group; beyond this many they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def light(x: np.ndarray) -> np.ndarray:
+    """Single precision, where the numbers allow it; approximate scores need no more."""
+    return x.astype(np.float32) if not x.size or np.abs(x).max() < 1e15 else x
+
+
 def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     """k centroids (all rows, if fewer); empty ones take the rows farthest from theirs."""
     k = min(k, len(x))
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
         at, far = nearest(x, c)
-        sums = np.zeros_like(c)
-        np.add.at(sums, at, x)
+        order = np.argsort(at, kind="stable")
         n = np.bincount(at, minlength=k)
-        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+        some = np.flatnonzero(n)
+        c[some] = np.add.reduceat(x[order], (np.cumsum(n) - n)[some], axis=0) / n[some, None]
         empty = np.flatnonzero(n == 0)
         c[empty] = x[np.argsort(-far)[: len(empty)]]
     return c
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest centroid of each row and the squared distance, up to the row's own square."""
-    d = (c**2).sum(axis=1) - 2 * (x @ c.T)
-    at = d.argmin(axis=1)
-    return at, np.take_along_axis(d, at[:, None], axis=1)[:, 0] + (x**2).sum(axis=1)
+    """Nearest centroid of each row and the squared distance, up to the row's own square; some rows at a time."""
+    at, far, square = np.empty(len(x), dtype=np.int64), np.empty(len(x), dtype=x.dtype), (c**2).sum(axis=1)
+    step = max(1, TABLE // len(c))
+    for lo in range(0, len(x), step):
+        d = square - 2 * (x[lo : lo + step] @ c.T)
+        at[lo : lo + step] = d.argmin(axis=1)
+        far[lo : lo + step] = np.take_along_axis(d, at[lo : lo + step, None], axis=1)[:, 0]
+    return at, far + (x**2).sum(axis=1)
 
 
 @dataclass(frozen=True)
 class Index:
     """What fitting leaves: centroids, codebooks (parts x words x width), the lists a query visits, and how much an exact
-    score exceeds the approximate one at most, but for one pair in a thousand."""
+    score exceeds the approximate one (margin) or stays below it (excess) at most, but for one pair in a thousand."""
 
     centroids: np.ndarray
     books: np.ndarray
     visits: int = 1
     margin: float = 0.0
+    excess: float = 0.0
 
     def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, residual codes and scale of each row. The scale makes up for what coding takes from a row along itself."""
@@ -60,20 +77,21 @@ class Index:
         width = self.books.shape[2]
         codes = [nearest(left[:, p * width : (p + 1) * width], book)[0] for p, book in enumerate(self.books)]
         kept = self.centroids[at] + np.hstack([book[c] for book, c in zip(self.books, codes)])
-        along = (x * kept).sum(axis=1) / np.maximum((x**2).sum(axis=1), 1e-300)
-        return at.astype(np.int32), np.column_stack(codes).astype(np.uint8), 1 / np.clip(along, 0.5, 1.0)
-
-    def approximate(self, q: np.ndarray, tables: np.ndarray, at: int, codes: np.ndarray, scale: np.ndarray) -> np.ndarray:
-        """Scores of queries against coded rows of a list, from the queries' tables."""
-        near = np.repeat((q @ self.centroids[at])[:, None], len(codes), axis=1)
-        for p in range(codes.shape[1]):
-            near += tables[:, p, codes[:, p]]
-        return near * scale
+        along = (x * kept).sum(axis=1) / np.maximum((x**2).sum(axis=1), 1e-30)
+        return at.astype(np.int32), np.column_stack(codes).astype(np.uint8), (1 / np.clip(along, 0.5, 1.0)).astype(x.dtype)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """Inner products of each query's parts with all codewords: queries x parts x words."""
+        """Inner products of all codewords with each query's parts: parts x words x queries."""
         width = self.books.shape[2]
-        return np.stack([q[:, p * width : (p + 1) * width] @ book.T for p, book in enumerate(self.books)], axis=1)
+        return np.stack([book @ q[:, p * width : (p + 1) * width].T for p, book in enumerate(self.books)])
+
+    def approximate(self, q: np.ndarray, tables: np.ndarray, at: int, codes: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        """Scores of coded rows of a list (rows x queries), from the queries' tables: whole rows of them are added up."""
+        near = np.repeat((self.centroids[at] @ q.T)[None, :], len(codes), axis=0)
+        for p in range(codes.shape[1]):
+            near += tables[p][codes[:, p]]
+        near *= scale[:, None]
+        return near
 
 
 def matrix(column) -> np.ndarray:
@@ -89,21 +107,22 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).where(F.col("id").isNotNull() & F.col("x").isNotNull()).where(F.coalesce(whole, F.lit(False)) & F.exists("x", lambda v: v != 0))
 
 
-def fit(rows: DataFrame, count: int, k: int, list_rows: int = 256, max_lists: int = 4096, parts: int = 16, words: int = 256, share: float = 0.97, seed: int = 5) -> tuple[Index, np.ndarray, np.ndarray]:
-    """Index from a bounded sample (16 rows a list, 8,192 to 65,536 rows), and the sample itself: ids and vectors.
+def fit(rows: DataFrame, count: int, k: int, list_rows: int = 256, max_lists: int = 16_384, parts: int = 16, words: int = 256, share: float = 0.965, seed: int = 5) -> tuple[Index, np.ndarray, np.ndarray]:
+    """Index from a bounded sample (16 rows a list, 8,192 to 131,072 rows), and 8,192 rows of the sample: ids and vectors.
 
     The number of lists follows the row count, list_rows to a list, up to max_lists.
     """
     lists = int(np.clip(count // list_rows, 1, max_lists))
-    sample = smallest_hashes(rows, min(65_536, max(8_192, 16 * lists))).toPandas()
-    ids, x = sample["id"].to_numpy(), np.array(sample["x"].tolist(), dtype=np.float64)
+    sample = smallest_hashes(rows, min(131_072, max(8_192, 16 * lists))).toPandas()
+    ids, x = sample["id"].to_numpy(), np.stack(sample.pop("x").to_numpy()).astype(np.float64)
+    whole, x = x[:8_192], light(x)
     dim = x.shape[1]
     parts = max(p for p in range(1, parts + 1) if dim % p == 0)
     rng = np.random.default_rng(seed)
     centroids = k_means(x, lists, 10, rng)
     at, _ = nearest(x, centroids)
     left, width = x - centroids[at], dim // parts
-    books = [k_means(left[:, p * width : (p + 1) * width], words, 8, rng) for p in range(parts)]
+    books = [k_means(left[: 1 << 15, p * width : (p + 1) * width], words, 8, rng) for p in range(parts)]
     most = max(map(len, books))
     books = np.stack([np.vstack([b, np.repeat(b[:1], most - len(b), axis=0)]) for b in books])
     probe = x[: min(256, len(x))]
@@ -116,47 +135,57 @@ def fit(rows: DataFrame, count: int, k: int, list_rows: int = 256, max_lists: in
     needed = np.sort(np.take_along_axis(place, at[true], axis=1).ravel())
     visits = int(needed[min(len(needed) - 1, int(np.ceil(share * len(needed))))]) + 1
     index = Index(centroids, books, visits)
-    at, codes, scale = index.code(x)
+    some = x[: 1 << 14]
+    at, codes, scale = index.code(some)
     over, tables = [], index.tables(probe)
-    for one in range(len(centroids)):
+    for one in np.unique(at).tolist():
         mine = np.flatnonzero(at == one)
-        if len(mine):
-            over.append(probe @ x[mine].T - index.approximate(probe, tables, one, codes[mine], scale[mine]))
-    margin = float(np.quantile(np.concatenate([o.ravel() for o in over]), 0.999))
-    return Index(centroids, books, visits, max(margin, 0.0)), ids, x
+        over.append((some[mine] @ probe.T - index.approximate(probe, tables, one, codes[mine], scale[mine])).ravel())
+    low, high = np.quantile(np.concatenate(over), [0.001, 0.999])
+    return Index(centroids, books, visits, max(float(high), 0.0), max(float(-low), 0.0)), ids[:8_192], whole
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, shortlist: int = 64, group_rows: int = 4096, query_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding", **fitting) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, group_rows: int = 4096, query_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding", **fitting) -> DataFrame:
     """The k nearest found of each query, a row whose id is divisible by every, among all other rows.
 
     Columns: query_id, rank (from 1), vec_id, score (inner product in double precision on the original vectors). Equal
     scores go to the smaller id. A query has fewer than k rows only if there are fewer candidates.
-    Vectors that are null, zero, hold a null or non-finite component, or have another length than most, take no part,
-    nor do rows with a null id. Rows equal in id and vector count once, and an id is no candidate for itself. Of equal vectors
-    only the k + 1 with the smallest ids can be among the nearest, so a group of copies is reduced to these first. An
-    empty table gives an empty result. Other columns are not read.
+    Vectors that are null, zero or hold a null or non-finite component take no part, nor do rows with a null id. Vectors of
+    another length have no inner product with a query: each length is indexed and searched for itself. A result names ids,
+    so rows equal in id and vector count once, and an id is no candidate for itself. Of equal vectors only the k + 1 with
+    the smallest ids can be among the nearest, so a group of copies is reduced to these first. An empty table gives an
+    empty result. Other columns are not read.
     """
     rows = usable(vectors, id_col, vector_col)
-    length = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if length is None:
-        return vectors.sparkSession.createDataFrame([], schema)
-    rows = rows.where(F.size("x") == length.n)
+    out = None
+    for length in sorted(r.n for r in rows.groupBy(F.size("x").alias("n")).count().collect()):
+        got = search_length(rows.where(F.size("x") == length), every, k, group_rows, query_rows, fitting)
+        out = got if out is None else out.unionAll(got)
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return out.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def search_length(rows: DataFrame, every: int, k: int, group_rows: int, query_rows: int, fitting: dict) -> DataFrame:
+    """query_id, vec_id and score of at least the k nearest found; all rows have vectors of one length."""
+    spark = rows.sparkSession
     copies = Window.partitionBy("x").orderBy("id")
     base = cut(rows.withColumn("copy", F.dense_rank().over(copies)).where(F.col("copy") <= k + 1).drop("copy").dropDuplicates(["x", "id"]))
     queries = rows.where(F.col("id") % every == 0).dropDuplicates(["x", "id"])
-    index, ids, known = fit(base, base.count(), k, **fitting)
-    n_lists = len(index.centroids)
+    model = spark.sparkContext.broadcast(fit(base, base.count(), k, **fitting))
+    n_lists = len(model.value[0].centroids)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = model.value[0]
         for b in batches:
             if b.num_rows:
-                at, codes, scale = index.code(matrix(b.column(1)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale)], names=["id", "x", "list", "code", "scale"])
+                at, codes, scale = index.code(light(matrix(b.column(1))))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale.astype(np.float64))], names=["id", "x", "list", "code", "scale"])
 
     filed = cut(base.mapInArrow(coded, "id long, x array<double>, list int, code binary, scale double"))
     sizes = np.zeros(n_lists, dtype=np.int64)
-    for r in filed.groupBy("list").count().collect():  # as many rows as lists, 4,096 at most
+    for r in filed.groupBy("list").count().collect():  # as many rows as lists, max_lists at most
         sizes[r["list"]] = r["count"]
     # Neighbouring small lists share a group, a large list is split over several.
     first, split, group, held = np.zeros(n_lists, dtype=np.int64), np.ones(n_lists, dtype=np.int64), 0, 0
@@ -165,75 +194,86 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, shortlist: int = 64
             group, held = group + 1, 0
         first[i], split[i] = group, max(1, -(-int(n) // group_rows))
         group, held = (group + int(split[i]), 0) if split[i] > 1 else (group, held + int(n))
-    blocks = max(1, -(-queries.count() // query_rows))
-    first_col, split_col = (F.get(F.array(*[F.lit(int(v)) for v in a]), F.col("list")) for a in (first, split))
-    stock = filed.select("id", "x", "list", "code", "scale", (first_col + F.pmod(F.xxhash64("id"), split_col)).alias("group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    places = spark.createDataFrame([(i, int(first[i]), int(split[i])) for i in range(n_lists)], "list int, first long, split long")
+    stock = filed.join(F.broadcast(places), "list").withColumn("group", F.col("first") + F.pmod(F.xxhash64("id"), "split")).drop("first", "split")
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for each query and group that holds lists it visits. floor is a score that k rows of the sample reach; a
         group need not return less, but for the query's nearest lists, k + 1 rows together, which return whatever they
         have. So each query finds k rows where there are k; where its lists are too small it visits more."""
-        for b in batches:
-            if not b.num_rows:
-                continue
-            q, own = matrix(b.column(1)), b.column(0).to_numpy()
-            order = np.argsort(-(q @ index.centroids.T), axis=1, kind="stable")
-            enough = (np.cumsum(sizes[order], axis=1) < k + 1).sum(axis=1) + 1
-            seen = q @ known.T
-            seen[own[:, None] == ids[None, :]] = -np.inf
-            reached = np.partition(seen, -k, axis=1)[:, -k] - 1e-9 if len(known) > k else np.full(len(q), -np.inf)
-            row, groups, lists, home = [], [], [], []
-            for i, mine in enumerate(order):
-                to: dict[int, list[int]] = {}
-                near = set()
-                for place, one in enumerate(mine[: max(index.visits, int(enough[i]))].tolist()):
-                    for g in range(int(first[one]), int(first[one] + split[one])):
-                        to.setdefault(g, []).append(one)
-                        if place < enough[i]:
-                            near.add(g)
-                row += [i] * len(to)
-                groups += to
-                lists += to.values()
-                home += [g in near for g in to]
-            at = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(reached[row]), pa.array(home, pa.bool_()), pa.array(groups, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["query_id", "q", "floor", "home", "group", "lists"])
+        index, ids, known = model.value
+        for whole in batches:
+            for b in (whole.slice(lo, 512) for lo in range(0, whole.num_rows, 512)):
+                q, own = matrix(b.column(1)), b.column(0).to_numpy()
+                order = np.argsort(-(light(q) @ index.centroids.T), axis=1, kind="stable")
+                enough = (np.cumsum(sizes[order], axis=1) < k + 1).sum(axis=1) + 1
+                seen = q @ known.T
+                seen[own[:, None] == ids[None, :]] = -np.inf
+                reached = np.partition(seen, -k, axis=1)[:, -k] if len(known) > k else np.full(len(q), -np.inf)
+                row, groups, lists, home = [], [], [], []
+                for i, mine in enumerate(order):
+                    to: dict[int, list[int]] = {}
+                    near = set()
+                    for place, one in enumerate(mine[: max(index.visits, int(enough[i]))].tolist()):
+                        for g in range(int(first[one]), int(first[one] + split[one])):
+                            to.setdefault(g, []).append(one)
+                            if place < enough[i]:
+                                near.add(g)
+                    row += [i] * len(to)
+                    groups += to
+                    lists += to.values()
+                    home += [g in near for g in to]
+                at = pa.array(row, pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(reached[row] - 1e-9 * np.abs(reached[row])), pa.array(home, pa.bool_()), pa.array(groups, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], names=["query_id", "q", "floor", "home", "group", "lists"])
 
     asked = queries.mapInArrow(routed, "query_id long, q array<double>, floor double, home boolean, group long, lists array<int>")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    # A group's rows are read once; only where many queries meet they are read again for each block of queries.
+    crowded = cut(asked.groupBy("group").count().where(F.col("count") > query_rows).select("group", F.ceil(F.col("count") / query_rows).cast("int").alias("blocks")))
+    crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_ROWS else crowded
+    blocks = F.coalesce("blocks", F.lit(1))
+    stock = stock.join(crowded, "group", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+    asked = asked.join(crowded, "group", "left").withColumn("block", F.pmod(F.xxhash64("query_id"), blocks).cast("int")).drop("blocks")
 
     def scored(left, right):
-        out = {"query_id": [], "vec_id": [], "score": []}
+        index, found = model.value[0], []
         if left.num_rows and right.num_rows:
-            cand = left.column("id").to_numpy()
-            order = np.argsort(cand, kind="stable")  # equal scores then go to the smaller id
-            cand, x = cand[order], matrix(left.column("x"))[order]
+            order = np.lexsort([left.column("id").to_numpy(), left.column("list").to_numpy()])
+            cand, x = left.column("id").to_numpy()[order], matrix(left.column("x"))[order]
             codes = np.frombuffer(b"".join(left.column("code").to_pylist()), dtype=np.uint8).reshape(len(cand), -1)[order]
-            in_list = left.column("list").to_numpy()[order]
-            scale = left.column("scale").to_numpy()[order]
+            in_list, scale = left.column("list").to_numpy()[order], light(left.column("scale").to_numpy()[order])
+            start = np.flatnonzero(np.diff(in_list, prepend=-1))
+            bounds = {int(in_list[a]): (a, b) for a, b in zip(start.tolist(), [*start[1:].tolist(), len(in_list)])}
             q, floor, own = matrix(right.column("q")), right.column("floor").to_numpy(), right.column("query_id").to_numpy()
-            least = np.where(np.asarray(right.column("home").combine_chunks()), -np.inf, floor)
-            wanted: dict[int, list[int]] = {}
-            for i, lists in enumerate(right.column("lists").to_pylist()):
-                for one in lists:
-                    wanted.setdefault(one, []).append(i)
-            for one, who in wanted.items():
-                mine = np.flatnonzero(in_list == one)
-                for lo in range(0, len(who) if len(mine) else 0, 256):
-                    some = np.array(who[lo : lo + 256])
-                    near = index.approximate(q[some], index.tables(q[some]), one, codes[mine], scale[mine])
-                    near[own[some][:, None] == cand[mine][None, :]] = -np.inf
-                    few = np.partition(near, max(0, len(mine) - shortlist - k), axis=1)[:, max(0, len(mine) - shortlist - k)]
-                    r, c = np.nonzero((near >= np.minimum(few, floor[some] - index.margin)[:, None]) & (near > -np.inf))
-                    exact = np.einsum("pd,pd->p", x[mine[c]], q[some[r]])
-                    keep = exact >= least[some[r]]
-                    out["query_id"].append(own[some[r]][keep])
-                    out["vec_id"].append(cand[mine[c]][keep])
-                    out["score"].append(exact[keep])
-        joined = {n: np.concatenate(v) if v else np.zeros(0) for n, v in out.items()}
-        frame = pd.DataFrame({"query_id": joined["query_id"].astype(np.int64), "vec_id": joined["vec_id"].astype(np.int64), "score": joined["score"].astype(np.float64)})
-        best = frame.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-        return pa.Table.from_pandas(best, preserve_index=False)
-
-    found = stock.groupBy("group", "block").cogroup(asked.groupBy("group", "block")).applyInArrow(scored, "query_id long, vec_id long, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            floor = np.where(np.asarray(right.column("home").combine_chunks()), -np.inf, floor)
+            lists = right.column("lists").to_pylist()
+            for lo in range(0, len(q), QUERIES):
+                some = slice(lo, lo + QUERIES)
+                asking = light(q[some])
+                tables, wanted = index.tables(asking), {}
+                for i, ones in enumerate(lists[some]):
+                    for one in ones:
+                        wanted.setdefault(one, []).append(i)
+                near = np.full((len(cand), len(asking)), -np.inf, dtype=asking.dtype)
+                for one, who in wanted.items():
+                    a, b = bounds.get(one, (0, 0))
+                    if b > a and len(who) == len(asking):
+                        near[a:b] = index.approximate(asking, tables, one, codes[a:b], scale[a:b])
+                    elif b > a:
+                        near[a:b, who] = index.approximate(asking[who], tables[:, :, who], one, codes[a:b], scale[a:b])
+                near[cand[:, None] == own[some][None, :]] = -np.inf
+                # What k rows here reach, less both errors of the approximation, is left by no row that counts.
+                kth = np.partition(near, len(cand) - k, axis=0)[len(cand) - k] if len(cand) > k else np.full(len(asking), -np.inf)
+                least = np.maximum(kth - index.margin - index.excess, floor[some] - index.margin)
+                c, r = np.nonzero((near >= least[None, :]) & (near > -np.inf))
+                exact = np.einsum("pd,pd->p", x[c], q[some][r])
+                keep = exact >= floor[some][r]
+                c, r, exact = c[keep], r[keep], exact[keep]
+                best = np.lexsort([cand[c], -exact, r])
+                r = r[best]
+                first_of = np.flatnonzero(np.diff(r, prepend=-1))
+                head = np.arange(len(r)) - np.repeat(first_of, np.diff(np.append(first_of, len(r)))) < k
+                found.append((own[some][r[head]], cand[c[best]][head], exact[best][head]))
+        parts = [np.concatenate(v) for v in zip(*found)] if found else [np.zeros(0)] * 3
+        return pa.table({"query_id": pa.array(parts[0].astype(np.int64)), "vec_id": pa.array(parts[1].astype(np.int64)), "score": pa.array(parts[2].astype(np.float64))})
+
+    return stock.groupBy("group", "block").cogroup(asked.groupBy("group", "block")).applyInArrow(scored, "query_id long, vec_id long, score double")

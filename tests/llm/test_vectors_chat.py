@@ -48,6 +48,18 @@ def test_copies_ties_and_rows_that_take_no_part(spark):
         assert [v for _, v in sorted(f)] == [901, *[i for i in range(300) if i != q][:19]]
 
 
+def test_every_length_is_searched(spark):
+    rng = np.random.default_rng(6)
+    long, short = rng.normal(size=(90, 8)).tolist(), rng.normal(size=(30, 3)).tolist()
+    rows = list(enumerate(long)) + [(1000 + i, v) for i, v in enumerate(short)]
+    got = {}
+    for r in ann.search(table(spark, rows), every=20, k=20).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for part in (list(enumerate(long)), [(1000 + i, v) for i, v in enumerate(short)]):
+        for q, want in plain_search([(i, np.float32(v)) for i, v in part], 20, 20).items():
+            assert [v for _, v in sorted(got[q])] == [j for _, j in want]
+
+
 def test_few_rows(spark):
     assert ann.search(table(spark, [(0, [1.0, 2.0])]).limit(0)).count() == 0
     assert ann.search(table(spark, [(0, [1.0, 2.0])])).count() == 0
