@@ -2,8 +2,9 @@
 
 An example asks for a vector of resources: tokens, one segment, loss-bearing tokens. A sequence offers a vector of
 limits. The next piece for a sequence is the one that fits and has the largest dot product of its demand with what the
-sequence has left, each in units of the limit. Where nothing fits any more, the longest waiting example is cut so that
-its head fills the rest. Each task packs its own rows from a bounded pool, so there is no shuffle and at most one
+sequence has left, each in units of the limit. Where nothing fits any more, the waiting example of which most fits is cut
+so that its head fills the rest. Instruction data bears loss on answers only: here the first line of a text of several
+lines is its prompt and bears none, and a sequence takes fewer loss-bearing tokens than tokens, so prompts fill it up. Each task packs its own rows from a bounded pool, so there is no shuffle and at most one
 sequence a task is left short.
 """
 
@@ -49,45 +50,40 @@ class Packer:
 
     def place(self, lengths: np.ndarray, quiet: np.ndarray):
         """Pack items of these lengths, of which the first quiet[i] tokens bear no loss. The last sequence stays open."""
-        start = np.zeros(len(lengths), dtype=np.int64)
-        end, quiet = lengths.astype(np.int64), np.minimum(quiet, lengths).astype(np.int64)
-        need, loss, items = end.copy(), end - quiet, np.arange(len(end))
-        live = len(items)
-        while live:
+        need, still = lengths.astype(np.int64), np.minimum(quiet, lengths).astype(np.int64)
+        start, loss, items = np.zeros(len(need), dtype=np.int64), need - still, np.arange(len(need))
+        while len(items):
             left = self.left
-            fits = (need <= left[0]) & (loss <= left[2])
             score = need * (left[0] / self.limits[0] ** 2) + loss * (left[2] / self.limits[2] ** 2) + left[1] / self.limits[1] ** 2
-            score[~fits] = -1
+            score[(need > left[0]) | (loss > left[2])] = -1
             at = int(score.argmax())
-            i = int(items[at])
             if score[at] >= 0:
-                yield self.put(i, int(start[i]), int(need[at]), int(loss[at]))
-            else:
-                at = int(need.argmax())
-                i = int(items[at])
-                still = max(0, int(quiet[i] - start[i]))
-                room = int(min(left[0], left[2] + still))
+                yield self.put(int(items[at]), int(start[at]), int(need[at]), int(loss[at]))
+            else:  # the item of which most fits, then the longest
+                rooms = np.minimum(np.minimum(left[0], left[2] + still), need)
+                at = int((rooms * (1 << 40) + need).argmax())
+                room, calm = int(rooms[at]), int(still[at])
                 if room < min(self.least_cut, self.limits[0], self.limits[2]) and self.fill:
                     self.close()
                     continue
-                room = min(room, int(need[at]))
-                yield self.put(i, int(start[i]), room, max(0, room - still))
-                start[i] += room
+                yield self.put(int(items[at]), int(start[at]), room, max(0, room - calm))
+                start[at] += room
                 need[at] -= room
-                loss[at] = need[at] - max(0, int(quiet[i] - start[i]))
+                still[at] = max(0, calm - room)
+                loss[at] = need[at] - still[at]
                 if need[at]:
                     continue
-            live -= 1
             keep = np.ones(len(items), dtype=bool)
             keep[at] = False
-            items, need, loss = items[keep], need[keep], loss[keep]
+            items, start, need, still, loss = items[keep], start[keep], need[keep], still[keep], loss[keep]
 
 
-def pack(docs: DataFrame, path: str | None = None, max_tokens: int = 2048, max_segments: int = 64, max_loss: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", quiet_col: str | None = None, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, max_tokens: int = 2048, max_segments: int = 32, max_loss: int = 2016, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", quiet_col: str | None = None, quiet_line: bool = True, keep_ids: bool = False) -> DataFrame:
     """Tokenise whole texts, end each with end_id and pack them; one row per piece.
 
     Columns: the id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens, and with keep_ids also ids.
     quiet_col may name a column with the number of leading ids that bear no loss (null: none), such as a prompt's length.
+    Without it the first line of a text of several lines is its prompt, whose ids bear no loss, unless quiet_line is false.
     A null text counts as empty: one piece with the end id alone. Null and repeated ids are packed as rows of their own.
     Sequence ids are unique: task number times 2**32, plus a count. Other columns are not read; an empty table gives none.
     """
@@ -95,6 +91,7 @@ def pack(docs: DataFrame, path: str | None = None, max_tokens: int = 2048, max_s
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = dict(docs.dtypes)[id_col]
     end = int(end_id).to_bytes(4, "little")
+    by_line = quiet_line and quiet_col is None
 
     def run(batches):
         coder, packer = coder_of(spec.value), Packer(max_tokens, max_segments, max_loss)
@@ -105,7 +102,14 @@ def pack(docs: DataFrame, path: str | None = None, max_tokens: int = 2048, max_s
             for a, b in in_groups(texts, CHUNK_CHARS):
                 ids = []
                 for c, d in in_groups(texts[a:b]):
-                    ids += [x + end for x in coder.encode(texts[a + c : a + d])]
+                    some = texts[a + c : a + d]
+                    if by_line:  # no pre-token goes over the end of a line
+                        heads = [t[: t.find("\n") + 1] for t in some]
+                        heads, tails = coder.encode(heads), coder.encode([t[len(h) :] for t, h in zip(some, heads)])
+                        ids += [x + y + end for x, y in zip(heads, tails)]
+                        quiets[a + c : a + d] = [len(x) // 4 for x in heads]
+                    else:
+                        ids += [x + end for x in coder.encode(some)]
                 lengths = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
                 rows, out = [], []
                 for lo in range(0, len(ids), POOL):
