@@ -31,6 +31,8 @@ BYTE_LATIN = re.compile(r" ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|
 WORD_LATIN = re.compile(r"[a-zªµºß-öø-ÿ]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 NO_RANK = np.int32(2**31 - 1)
 MEMO_WORDS = 600_000
+#: Longer words are not kept, so that the memo is bounded in bytes too.
+MEMO_CHARS = 64
 BATCH_CHARS = 500_000
 #: Rows of an Arrow batch that are Python strings at a time.
 SLICE_ROWS = 1000
@@ -150,12 +152,14 @@ class Encoder:
             return self.any(text)
         return self.latin(text.lower() if self.lower else text)
 
-    def learn(self, words: list[str]) -> None:
-        """Merge words that the memo lacks, all in one call."""
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Merge words that the memo lacks, all in one call; it keeps all but long ones."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         ids, counts = self.table.merge(raw)
         data, bounds = ids.tobytes(), (np.cumsum(counts) * 4).tolist()
-        self.memo.update((w, data[a:b]) for w, a, b in zip(words, [0, *bounds[:-1]], bounds))
+        made = {w: data[a:b] for w, a, b in zip(words, [0, *bounds[:-1]], bounds)}
+        self.memo.update((w, v) for w, v in made.items() if len(w) <= MEMO_CHARS)
+        return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. Strings of special tokens become their ids, as in the library."""
@@ -172,22 +176,23 @@ class Encoder:
                     continue
                 words = self.words(part)
                 found = list(map(get, words))
-                if None in found:
+                try:
+                    ids.append(b"".join(found))
+                except TypeError:  # a word that the memo lacks
                     base = len(ids)
                     holes += [(len(out), base + k, words[k]) for k, v in enumerate(found) if v is None]
-                ids += found
+                    ids += found
             out.append(ids)
         if holes:
             missing = {w for _, _, w in holes}
-            again = missing & self.old.keys() if self.old else set()
-            self.memo.update((w, self.old[w]) for w in again)
-            if again:
-                missing -= again
+            made = {w: self.old[w] for w in missing & self.old.keys()}
+            self.memo.update(made)
+            missing -= made.keys()
             if missing:
-                self.learn(list(missing))
+                made |= self.learn(list(missing))
             for doc, at, word in holes:
-                out[doc][at] = get(word)
-        return [b"".join(ids) for ids in out]
+                out[doc][at] = made[word]
+        return [ids[0] if len(ids) == 1 else b"".join(ids) for ids in out]
 
     def decode(self, ids: bytes) -> str:
         """Text of ids; bytes that aren't UTF-8 become replacement characters. Ids outside the vocabulary stand for nothing."""

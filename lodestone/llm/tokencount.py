@@ -20,12 +20,15 @@ from .common import held, tokenizer_path
 #: The sign that stands before each word (fixed value of the format).
 START = "▁"
 MEMO_WORDS = 400_000
+#: Longer words are not kept, so that the memo is bounded in bytes too.
+MEMO_CHARS = 64
 UNKNOWN_PENALTY = 10.0
 
 
 def load_pieces(path: str) -> list[tuple[str, float]]:
     """Pieces with log probabilities. The file ranks its pieces by merge order and has no probabilities of its own, so
-    they follow Zipf's law of the rank: log p = -log(rank + 1) - log(sum of 1 / (rank + 1))."""
+    they are assumed to follow Zipf's law of the rank: log p = -log(rank + 1) - log(sum of 1 / (rank + 1)). Counts are thus
+    those of this unigram model over the file's pieces, not those that the file's own merges would give."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
@@ -89,12 +92,12 @@ class Counter:
         holes = [(d, k, split[d][k]) for d, counts in enumerate(found) if None in counts for k, v in enumerate(counts) if v is None]
         if holes:
             missing = {w for _, _, w in holes}
-            again = missing & self.old.keys()
-            self.memo.update((w, self.old[w]) for w in again)
-            new = sorted(missing - again)
-            self.memo.update(zip(new, self.walk(new)))
+            made = {w: self.old[w] for w in missing & self.old.keys()}
+            new = sorted(missing - made.keys())
+            made.update(zip(new, self.walk(new)))
+            self.memo.update((w, n) for w, n in made.items() if len(w) <= MEMO_CHARS)
             for d, k, word in holes:
-                found[d][k] = get(word)
+                found[d][k] = made[word]
         return list(map(sum, found)), list(map(len, split))
 
 
@@ -104,9 +107,9 @@ def counter_of(pieces: bytes) -> Counter:
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Count the tokens of each whole text; one row per row of docs.
+    """Count the tokens of each whole text under the unigram model of load_pieces; one row per row of docs.
 
-    Columns: the id, n_tokens, n_words. Words are runs without white space, each with the start sign before it. A null
+    Columns: the id, n_tokens (of that model's best path, not of the vocabulary's own merges), n_words. Words are runs without white space, each with the start sign before it. A null
     or empty text has none. Null and repeated ids are rows of their own. Rows stay in their partition; other columns are
     not read; an empty table gives an empty result.
     """
