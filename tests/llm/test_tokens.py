@@ -87,6 +87,56 @@ def test_packing(spark, sf, limits):
     tk = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     docs = {i: [*tk.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(some)}
     check_packing(pieces, docs, limits, quiet)
+    pieces = packing.pack(df, max_tokens=limits[0], max_segments=limits[1], max_loss=limits[2], keep_ids=True).collect()
+    check_packing(pieces, docs, limits, {i: len(tk.encode(t.split("\n")[0], add_special_tokens=False).ids) if t and "\n" in t else 0 for i, t in enumerate(some)})
+
+
+def test_the_dot_product_is_not_the_longest_fit():
+    """What is scarce in a sequence counts more: a shorter item with loss goes before a longer one without."""
+    packer = packing.Packer(100, 8, 50, least_cut=1)
+    placed = [(item, length, sequence) for item, _, length, _, sequence, _ in packer.place(np.array([60, 50, 30, 20]), np.array([60, 0, 30, 15]))]
+    assert placed[0] == (1, 50, 0) and placed[1] == (2, 30, 0)  # 60 no longer fit after 50
+    placed = [(item, sequence) for item, *_, sequence, _ in packing.Packer(100, 8, 50).place(np.array([40, 45, 50]), np.array([0, 45, 0]))]
+    assert placed == [(2, 0), (1, 0), (0, 1)]  # the loss limit keeps 40 out although it would fit beside 50
+    packer = packing.Packer(100, 2, 100)
+    assert [s for *_, s, _ in packer.place(np.array([10, 10, 10, 10, 10]), np.zeros(5, dtype=int))] == [0, 0, 1, 1, 2]
+
+
+def test_hard_rows_are_packed_whole(spark):
+    hard = [(1, None), (2, ""), (None, "a b"), (3, "word " * 5000), (3, "word " * 5000), (4, "x" * 200_000), (5, "one\n" * 3000), (6, "\n\nword")]
+    df = spark.createDataFrame([(i, t, 1, "o", 7) for i, t in hard], "doc_id long, text string, length int, offset string, sequence_id int").repartition(2)
+    tk = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    pieces = packing.pack(df, keep_ids=True).collect()
+    want = sorted((-1 if i is None else i, len(tk.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in hard)
+    whole = {}
+    for p in pieces:
+        whole[-1 if p.doc_id is None else p.doc_id] = whole.get(-1 if p.doc_id is None else p.doc_id, 0) + p.length
+    assert whole == {i: sum(n for j, n in want if j == i) for i, _ in want}
+    for i, t in hard:
+        starts = sorted((p.start, p.length) for p in pieces if p.doc_id == i)
+        assert sum(n for s, n in starts) == sum(n for j, n in want if j == (-1 if i is None else i))
+    assert max(sum(p.length for p in pieces if p.sequence_id == s) for s in {p.sequence_id for p in pieces}) <= 2048
+
+
+def test_long_and_repeated_rows(spark):
+    """Megabyte words, null and repeated ids and clashing columns in encoding and counting."""
+    some = ["y" * 300_000, "ab cd " * 60_000, "q" * 70 + " q", None, "same", "same"]
+    df = spark.createDataFrame([(None if i > 3 else 1, t, "a", "b", 3) for i, t in enumerate(some)], "doc_id long, text string, ids_sha256 string, n_words string, n_tokens int").repartition(3)
+    tk = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    got = bpe.encode_decode(df).collect()
+    want = [(None if i > 3 else 1, len(tk.encode(t or "", add_special_tokens=False).ids)) for i, t in enumerate(some)]
+    assert sorted(map(str, ((r.doc_id, r.n_tokens) for r in got))) == sorted(map(str, want))
+    counted = tokencount.count_tokens(df).collect()
+    assert sorted((r.doc_id is None, r.n_words) for r in counted) == sorted([(False, 1), (False, 120_000), (False, 2), (False, 0), (True, 1), (True, 1)])
+
+
+def test_memos_are_bounded_in_bytes():
+    coder = bpe.Encoder(open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8").read())
+    coder.encode([f"{'w' * 1000}{i} ok" for i in range(50)])
+    assert max(map(len, coder.memo)) <= bpe.MEMO_CHARS
+    counter = tokencount.Counter([("a", -1.0)])
+    counter.count(["a" * 5000 + " a"])
+    assert max(map(len, counter.memo)) <= tokencount.MEMO_CHARS
 
 
 def test_little_padding(spark):

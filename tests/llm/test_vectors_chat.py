@@ -136,3 +136,62 @@ def test_short_quotes(spark):
 
 def test_levels():
     assert chat.levels("a\n> b\n> > c\n>>d\n  > e") == [(0, "a"), (1, "b"), (2, "c"), (2, "d"), (1, "e")]
+
+
+def plain_links(rows):
+    """(conv, turn) to parent, depth and link of every message, by plain loops over each conversation."""
+    talks = {}
+    for conv, turn, _, text in rows:
+        talks.setdefault(conv, {}).setdefault(turn, []).append(chat.parse(text)[1])
+    out = {}
+    for conv, turns in talks.items():
+        order = sorted(turns)
+        wrote = {t: {h for found in turns[t] for level, h, _ in found if level == 0} for t in order}
+        for k, t in enumerate(order):
+            options = []
+            for level, h, n in (p for found in turns[t] for p in found if p[0] > 0):
+                origin = max((e for e in order[:k] if h in wrote[e]), default=None)
+                if origin is not None:
+                    options.append((-level, n, origin))
+            parent = max(options)[2] if options else order[k - 1] if k else None
+            depth = out[conv, parent][1] + 1 if parent is not None else 0
+            out[conv, t] = (parent, depth, "quote" if options else "order" if k else "start")
+    return out
+
+
+def random_talks():
+    """Conversations whose messages quote earlier ones, whole or in part, at several levels, some lines being common."""
+    rng, rows = np.random.default_rng(8), []
+    for conv in range(12):
+        said = []
+        for turn in range(int(rng.integers(3, 14))):
+            own = [" ".join(f"w{rng.integers(30)}" for _ in range(rng.integers(1, 6))) for _ in range(rng.integers(1, 4))]
+            lines = ["Agreed"] if rng.random() < 0.3 else []
+            for _ in range(int(rng.integers(0, 3)) if said else 0):
+                quoted = said[rng.integers(len(said))].split("\n")
+                a = rng.integers(len(quoted))
+                lines += ["> " * int(rng.integers(1, 3)) + x.upper() for x in quoted[a : a + 1 + rng.integers(3)]] + ([""] if rng.random() < 0.5 else [])
+            said.append("\n".join(lines + own))
+            rows.append((conv, turn, "user", said[-1]))
+            if rng.random() < 0.1:
+                rows.append((conv, turn, "user", "> agreed\nagain"))
+    return rows
+
+
+def test_links_against_plain_loops(spark):
+    given = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    for rows in (random_talks(), given):
+        got = chat.link(talk(spark, rows)).collect()
+        want = plain_links(rows)
+        assert len(got) == len(rows)
+        assert {((r.conv_id, r.turn), (r.parent_turn, r.depth, r.link)) for r in got} == set(want.items())
+        quotes = sum(w[2] == "quote" for w in want.values())
+        assert rows is given or quotes > 30
+
+
+def test_very_long_message_and_one_hot_line(spark):
+    long = "\n".join(f"line {i} of it" for i in range(20_000))
+    rows = [(1, 0, "u", long), (1, 1, "u", "> line 19999 of it\nyes")] + [(2, t, "u", "Thanks" if t % 2 == 0 else "> thanks\nok") for t in range(400)]
+    got = {(r.conv_id, r.turn): r for r in chat.link(talk(spark, rows)).collect()}
+    assert got[1, 1].parent_turn == 0 and got[1, 1].link == "quote"
+    assert all(got[2, t].parent_turn == t - 1 for t in range(1, 400, 2)) and len(got) == 402
