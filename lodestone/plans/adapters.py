@@ -108,3 +108,31 @@ def footprints(spark: SparkSession) -> DataFrame:
 FOOTPRINTS = "boxes(dep_id, x0, x1, y0, y1) as (values " + ", ".join(f"({d}, {a}::double, {b}::double, {c}::double, {e}::double)" for d, a, b, c, e in BOXES) + """),
     dep_cells as (select dep_id, r, c, (least(x1, c + 1) - greatest(x0, c)) * (least(y1, r + 1) - greatest(y0, r)) as area from boxes, every_cell where x0 < c + 1 and x1 > c and y0 < r + 1 and y1 > r),
     dep_area as (select dep_id, sum(area) as dep_area from dep_cells group by 1)"""
+
+
+def pca(k: int, s: str = "", source: str = "alls", steps: int = 34) -> str:
+    """SQL of k components of source (window_id, is_ref, j, v), columns standardised; with recursive is needed.
+
+    The correlation matrix is squared again and again, which leaves its leading component; this is taken off, and so on.
+    Gives z (standardised values), ld (pc, val, j, load; the largest load by size is positive), sc (scores) and rs (the
+    reference's), with the suffix s.
+    """
+    return f"""
+    st{s} as (select j, avg(v) as m, coalesce(nullif(stddev_samp(v), 0), 1) as sd from {source} group by 1),
+    z{s} as (select window_id, is_ref, j, (v - m) / sd as z from {source} join st{s} using (j)),
+    gram{s} as (select a.j as i, b.j as j, sum(a.z * b.z) / (count(*) - 1) as r from z{s} a join z{s} b on a.window_id = b.window_id and a.is_ref = b.is_ref group by 1, 2),
+    cm{s} as (select list(x order by i) as m from (select i, list(r order by j) as x from gram{s} group by 1)),
+    it{s} as (select 0 as pc, 0 as step, m, m as b, [0.0::double] as e, 0.0::double as val from cm{s}
+        union all select * from (
+            with one as (select *, step % {steps + 1} = {steps} as ready from it{s} where pc < {k}),
+            sq as (select *, case when ready then b else list_transform(b, lambda x: list_transform(b, lambda y: list_dot_product(x, y))) end as q from one),
+            tr as (select *, list_transform(range(1, len(m) + 1), lambda i: q[i][i]) as d from sq),
+            co as (select *, case when ready then q[list_position(d, list_max(d))] end as c from tr),
+            un as (select *, case when ready then list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) end as u from co),
+            sg as (select *, case when ready then list_transform(u, lambda x: x * sign(u[list_position(list_transform(u, lambda y: round(abs(y), 12)), list_max(list_transform(u, lambda y: round(abs(y), 12))))])) end as w from un),
+            va as (select *, case when ready then list_dot_product(w, list_transform(m, lambda x: list_dot_product(x, w))) end as l from sg),
+            nx as (select *, case when ready then list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: m[i][j] - l * w[i] * w[j])) end as dm from va)
+            select case when ready then pc + 1 else pc end, step + 1, case when ready then dm else m end, case when ready then dm else list_transform(q, lambda x: list_transform(x, lambda y: y / list_sum(d))) end, case when ready then w else e end, case when ready then l else val end from nx)),
+    ld{s} as (select pc, val, unnest(e) as load, generate_subscripts(e, 1) - 1 as j from (select pc, arg_min(val, step) as val, arg_min(e, step) as e from it{s} where pc > 0 group by 1)),
+    sc{s} as (select window_id, is_ref, pc, val, sum(z * load) as s from z{s} join ld{s} using (j) group by 1, 2, 3, 4),
+    rs{s} as (select pc, s as rz from sc{s} where is_ref)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import center_of, with_box
 from ..operators import linalg
 from ..operators.windows import Shape, circle_mask, window_ids, windows, windows_sql
-from .adapters import CELLS, EVENT_CELLS, EVENT_WINDOWS, EVENTS, HOURS, LINE_CELLS, LINES, VECTORS, event_cells, event_windows, line_cells, query, rounded, table, vectors
+from .adapters import CELLS, EVENT_CELLS, EVENT_WINDOWS, EVENTS, HOURS, LINE_CELLS, LINES, VECTORS, event_cells, event_windows, line_cells, pca, query, rounded, table, vectors
 
 
 @query("select (day(ts) - 1)::int as r, hour(ts)::int as c, event_type as var, count(*) as n, round(sum(value), 2) as total from events group by 1, 2, 3")
@@ -78,14 +78,6 @@ def window_totals(spark, sf_dir):
     return w.select("window_id", F.aggregate("n", F.lit(0.0), lambda a, v: a + v).alias("total"))
 
 
-@query(f"with {EVENT_CELLS} select r - 6 as row, c - 9 as col, v1 as v, (v1 >= 0 and power(r - 6 + 0.5 - 2.5, 2) + power(c - 9 + 0.5 - 2.5, 2) <= 6.25 + 1e-9) as inside from cells where r between 6 and 10 and c between 9 and 13")
-def template_extract(spark, sf_dir):
-    """A rectangular template and its circle mask."""
-    t = event_cells(spark, sf_dir).where("r between 6 and 10 and c between 9 and 13")
-    inside = F.pow(F.col("r") - 6 + 0.5 - 2.5, F.lit(2.0)) + F.pow(F.col("c") - 9 + 0.5 - 2.5, F.lit(2.0)) <= 6.25 + 1e-9
-    return t.select((F.col("r") - 6).alias("row"), (F.col("c") - 9).alias("col"), F.col("v1").alias("v"), inside.alias("inside"))
-
-
 @query("select (i.range * 8 + k.range)::bigint as window_id, (k.range * 3)::double as x0, (k.range * 3 + 4)::double as x1, (i.range * 2)::double as y0, (i.range * 2 + 3)::double as y1, k.range * 3 + 0.5::double as cx, i.range * 2 + 0.5::double as cy from range(0, 15) i, range(0, 8) k")
 def pixel_to_map(spark, sf_dir):
     """Boxes and first cells' centres of windows on the map."""
@@ -117,7 +109,8 @@ def correlation_matrix(spark, sf_dir):
     return rounded(rows.select("i", F.posexplode("row").alias("j", "r")), "r")
 
 
-@query()
+@query(f"""with recursive {VECTORS}, {pca(64)}, e as (select distinct pc, val from ld), g as (select pc, val, (val - coalesce(lead(val) over (order by pc), 0)) / val as gap from e)
+    select pc::int as pc, round(val, 6) as eigval, round(val / sum(val) over (), 6) as ratio, round(gap, 6) as gap, gap < 1e-4 as degenerate from g""")
 def eigen_spectrum(spark, sf_dir):
     """Eigenvalues, explained ratios and relative gaps of the embeddings."""
     m = linalg.fit(vectors(spark, sf_dir))
@@ -125,7 +118,11 @@ def eigen_spectrum(spark, sf_dir):
     return rounded(spark.createDataFrame(rows, "pc int, eigval double, ratio double, gap double, degenerate boolean"), "eigval", "ratio", "gap")
 
 
-@query()
+EV1 = EVENT_WINDOWS.replace("alls as (", "alls0 as (") + ", alls as (select window_id, is_ref, j, v1 as v from alls0)"
+
+
+@query(f"""with recursive {EV1}, {pca(12)}, part as (select j, pc, rz * load as p from ld join rs using (pc)), built as (select j, pc, sum(p) over (partition by j order by pc) as z from part)
+    select pc::int as k, round(sum(power((b.z - zz.z) * sd, 2)), 4) + 0.0 as error from built b join z zz using (j) join st using (j) where zz.is_ref group by 1""")
 def reconstruction_error(spark, sf_dir):
     """Squared error of the reference rebuilt from its first k components, for every k."""
     import numpy as np

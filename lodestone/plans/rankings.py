@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import ranking as R
 from ..operators.linalg import fit
 from ..operators.ordering import number, top, top_per_group
-from .adapters import EVENT_WINDOWS, VECTORS, event_windows, query, rounded, table, vectors
+from .adapters import EVENT_WINDOWS, VECTORS, event_windows, pca, query, rounded, table, vectors
 
 REF = "ref as (select j, v as rv from alls where is_ref)"
 EV1 = EVENT_WINDOWS.replace("alls as (", "alls0 as (") + ", alls as (select window_id, is_ref, j, v1 as v from alls0)"
-#: Standardised squared differences of both variables' first two cells, for closed forms.
 STD = "st as (select j, avg(v) as m, coalesce(nullif(stddev_samp(v), 0), 1) as sd from alls group by 1)"
 RAW_STD = f"{REF}, {STD}, d as (select window_id, sum(power((v - rv) / sd, 2)) as d2 from alls join ref using (j) join st using (j) where not is_ref group by 1)"
 
@@ -59,39 +58,36 @@ def rank_full_unweighted(spark, sf_dir):
     return rounded(R.rank_components(vectors(spark, sf_dir), mode="uniform"), "dist")
 
 
-PAIR = """pair as (select window_id, is_ref, max(case when j = 0 then {a} end) as p, max(case when j = 1 then {a} end) as q from alls where j < 2 group by 1, 2),
-    ps as (select avg(p) as mp, stddev_samp(p) as sp, avg(q) as mq, stddev_samp(q) as sq, corr(p, q) as rho from pair),
-    z as (select window_id, is_ref, ((p - mp) / sp + (q - mq) / sq) / sqrt(2) as a, ((p - mp) / sp - (q - mq) / sq) / sqrt(2) as b, rho from pair, ps)"""
+def weighted(weight: str, scale: str = "1", where: str = "true", k: int = 8) -> str:
+    """SQL of the distances in k components with weights from wt (pc, w), given as a select list over rs and ld."""
+    return f"wt as ({weight}), d as (select window_id, sqrt(sum(w * power((s - rz) / ({scale}), 2))) as dist from sc join rs using (pc) join wt using (pc) where not is_ref and pc <= {k} and {where} group by 1)"
 
 
-@query(f"with {VECTORS}, {PAIR.format(a='v')}, rz as (select a as ra, b as rb from z where is_ref) select window_id, round(sqrt((ra * ra * power(a - ra, 2) + rb * rb * power(b - rb, 2)) / (ra * ra + rb * rb)), 6) as dist from z, rz where not is_ref")
-def pca_two_feature_rank(spark, sf_dir):
-    """Two features: components are their sum and difference."""
-    return rounded(R.rank_components(vectors(spark, sf_dir).withColumn("x", F.slice("x", 1, 2))), "dist")
+SQUARE = "select pc, rz * rz / sum(rz * rz) over () as w from rs where pc <= 8"
 
 
-@query(f"with {VECTORS}, {PAIR.format(a='v')}, rz as (select abs(a) as wa, abs(b) as wb, a as ra, b as rb from z where is_ref) select window_id, round(sqrt((wa * power(a - ra, 2) / (1 + rho) + wb * power(b - rb, 2) / (1 - rho)) / (wa + wb)), 6) as dist from z, rz where not is_ref")
-def pca_two_feature_whitened_abs(spark, sf_dir):
-    return rounded(R.rank_components(vectors(spark, sf_dir).withColumn("x", F.slice("x", 1, 2)), mode="abs", whiten=True), "dist")
-
-
-@query()
+@query(f"with recursive {VECTORS}, {pca(8)}, {weighted(SQUARE)} select window_id, round(dist, 6) as dist, row_number() over (order by round(dist, 9), window_id) as rank from d qualify rank <= 100")
 def rank_pca_k(spark, sf_dir):
-    """The 100 patches nearest to patch 0 in eight weighted components."""
-    return top(R.rank_components(vectors(spark, sf_dir), k=8), 100, ["dist", "window_id"])
+    """The 100 patches nearest to patch 0 in eight weighted components, a top-k report."""
+    return rounded(top(R.rank_components(vectors(spark, sf_dir), k=8), 100, [F.round("dist", 9), "window_id"]), "dist")
 
 
-@query()
+@query(f"with recursive {VECTORS}, {pca(8)}, {weighted(SQUARE, 'sqrt(val)')} select window_id, round(dist, 6) as dist from d")
 def rank_pca_whitened(spark, sf_dir):
     return rounded(R.rank_components(vectors(spark, sf_dir), k=8, whiten=True), "dist")
 
 
-@query()
+@query(f"with recursive {VECTORS}, {pca(64)}, {weighted('select pc, abs(rz) / sum(abs(rz)) over () as w from rs')} select window_id, round(dist, 6) as dist from d")
 def rank_pca_abs(spark, sf_dir):
+    """Eight components, weights over all."""
     return rounded(R.rank_components(vectors(spark, sf_dir), k=8, mode="abs", over="all"), "dist")
 
 
-@query()
+RULES = """rules as (select 'whitened' as rule, pc, (rz * rz / val) / sum(rz * rz / val) over () as w from rs join (select distinct pc, val from ld) using (pc)
+    union all select 'inverse', pc, 1 / val from (select distinct pc, val from ld) union all select 'uniform', pc, 1 from (select distinct pc from ld))"""
+
+
+@query(f"with recursive {VECTORS}, {pca(8)}, {RULES} select window_id, rule, round(sqrt(sum(w * power(s - rz, 2))), 6) as dist from sc join rs using (pc) join rules using (pc) where not is_ref group by 1, 2")
 def rank_weight_rules(spark, sf_dir):
     """Ablation of the weights: whitened scores', inverse eigenvalues, none."""
     v, out = vectors(spark, sf_dir), None
@@ -101,57 +97,60 @@ def rank_weight_rules(spark, sf_dir):
     return rounded(out, "dist")
 
 
-def two_cells(spark, sf_dir):
-    return event_windows(spark, sf_dir).withColumn("v1", F.slice("v1", 1, 2)).withColumn("v2", F.slice("v2", 1, 2))
+EACH = "".join(f""",
+    one{n} as (select window_id, is_ref, j, v{n} as v from alls), {pca(4, str(n), f"one{n}")},
+    d{n} as (select window_id, is_ref, sum(rz * rz * power(s - rz, 2)) / sum(rz * rz) as d{n} from sc{n} join rs{n} using (pc) group by 1, 2)""" for n in (1, 2))
+BLOCKS = EACH + ",\n    dd as (select d1.window_id, d1.is_ref, d1, d2 from d1 join d2 on d1.window_id = d2.window_id and d1.is_ref = d2.is_ref)"
+MEDIANS = "m as (select case when median(d1) > 1e-12 then median(d1) else 1 end as m1, case when median(d2) > 1e-12 then median(d2) else 1 end as m2 from dd)"
+#: Both variables' first four scores as one vector of eight.
+SIDE = EACH + ",\n    side as (select window_id, is_ref, pc - 1 as j, s as v from sc1 union all select window_id, is_ref, pc + 3, s from sc2)"
+KS = [4, 4]
 
 
-BLOCKS = "".join(f""",
-    pair{n} as (select window_id, is_ref, max(case when j = 0 then v{n} end) as p, max(case when j = 1 then v{n} end) as q from alls where j < 2 group by 1, 2),
-    ps{n} as (select avg(p) as mp, coalesce(nullif(stddev_samp(p), 0), 1) as sp, avg(q) as mq, coalesce(nullif(stddev_samp(q), 0), 1) as sq from pair{n}),
-    z{n} as (select window_id, is_ref, ((p - mp) / sp + (q - mq) / sq) / sqrt(2) as a, ((p - mp) / sp - (q - mq) / sq) / sqrt(2) as b from pair{n}, ps{n}),
-    d{n} as (select z.window_id, z.is_ref, (r.a * r.a * power(z.a - r.a, 2) + r.b * r.b * power(z.b - r.b, 2)) / (r.a * r.a + r.b * r.b) as d{n} from z{n} z, z{n} r where r.is_ref)""" for n in (1, 2)) + """,
-    dd as (select d1.window_id, d1.is_ref, d1, d2 from d1 join d2 on d1.window_id = d2.window_id and d1.is_ref = d2.is_ref)"""
-
-
-@query(f"with {EVENT_WINDOWS}{BLOCKS}, m as (select case when median(d1) > 1e-12 then median(d1) else 1 end as m1, case when median(d2) > 1e-12 then median(d2) else 1 end as m2 from dd) select window_id, round(sqrt(0.5 * d1 / m1 + 0.5 * d2 / m2), 6) as dist from dd, m where not is_ref")
+@query(f"with recursive {EVENT_WINDOWS}{BLOCKS}, {MEDIANS} select window_id, round(sqrt(0.5 * d1 / m1 + 0.5 * d2 / m2), 6) as dist from dd, m where not is_ref")
 def fusion_sum(spark, sf_dir):
-    return rounded(R.fuse("late_sum", two_cells(spark, sf_dir), ["v1", "v2"], [2, 2]), "dist")
+    return rounded(R.fuse("late_sum", event_windows(spark, sf_dir), ["v1", "v2"], KS), "dist")
 
 
-@query(f"with {EVENT_WINDOWS}{BLOCKS}, m as (select case when median(d1) > 1e-12 then median(d1) else 1 end as m1, case when median(d2) > 1e-12 then median(d2) else 1 end as m2 from dd) select window_id, round(sqrt(greatest(d1 / m1, d2 / m2)), 6) as dist from dd, m where not is_ref")
+@query(f"with recursive {EVENT_WINDOWS}{BLOCKS}, {MEDIANS} select window_id, round(sqrt(greatest(d1 / m1, d2 / m2)), 6) as dist from dd, m where not is_ref")
 def fusion_max(spark, sf_dir):
-    return rounded(R.fuse("late_max", two_cells(spark, sf_dir), ["v1", "v2"], [2, 2]), "dist")
+    return rounded(R.fuse("late_max", event_windows(spark, sf_dir), ["v1", "v2"], KS), "dist")
 
 
-@query(f"with {EVENT_WINDOWS}{BLOCKS} select window_id, round(sqrt(0.503 * d1 + (1 - 0.503) * d2), 6) as dist from dd where not is_ref")
+@query(f"with recursive {EVENT_WINDOWS}{BLOCKS} select window_id, round(sqrt(0.503 * d1 + (1 - 0.503) * d2), 6) as dist from dd where not is_ref")
 def fusion_concat_alpha(spark, sf_dir):
-    return rounded(R.fuse("concat_alpha", two_cells(spark, sf_dir), ["v1", "v2"], [2, 2], 0.503), "dist")
+    return rounded(R.fuse("concat_alpha", event_windows(spark, sf_dir), ["v1", "v2"], KS, 0.503), "dist")
 
 
-@query(f"with {EVENT_WINDOWS}{BLOCKS} select window_id, alpha, round(sqrt(alpha * d1 + (1 - alpha) * d2), 6) as dist from dd, (select unnest([0.0, 0.25, 0.5, 0.75, 1.0])::double as alpha) where not is_ref")
+@query(f"with recursive {EVENT_WINDOWS}{BLOCKS} select window_id, alpha, round(sqrt(alpha * d1 + (1 - alpha) * d2), 6) as dist from dd, (select unnest([0.0, 0.25, 0.5, 0.75, 1.0])::double as alpha) where not is_ref")
 def alpha_sweep(spark, sf_dir):
-    d = R.squared_by_variable(two_cells(spark, sf_dir), ["v1", "v2"], [2, 2])
+    d = R.squared_by_variable(event_windows(spark, sf_dir), ["v1", "v2"], KS)
     return rounded(R.sweep_alpha(d, [0.0, 0.25, 0.5, 0.75, 1.0]), "dist")
 
 
-@query(f"""with {EVENT_WINDOWS}{BLOCKS}, long as (select window_id, is_ref, 1 as c, a as v from z1 union all select window_id, is_ref, 2, b from z1 union all select window_id, is_ref, 3, a from z2 union all select window_id, is_ref, 4, b from z2),
-    ss as (select c, avg(v) as m, stddev_samp(v) as s from long group by 1), zz as (select window_id, is_ref, c, (v - m) / s as z from long join ss using (c)), rr as (select c, z as rz from zz where is_ref)
-    select window_id, round(sqrt(sum(rz * rz * power(z - rz, 2)) / sum(rz * rz)), 6) as dist from zz join rr using (c) where not is_ref group by 1""")
+@query(f"""with recursive {EVENT_WINDOWS}{SIDE}, ss as (select j, avg(v) as m, stddev_samp(v) as s from side group by 1), zz as (select window_id, is_ref, j, (v - m) / s as z from side join ss using (j)), rr as (select j, z as rz from zz where is_ref)
+    select window_id, round(sqrt(sum(rz * rz * power(z - rz, 2)) / sum(rz * rz)), 6) as dist from zz join rr using (j) where not is_ref group by 1""")
 def fusion_concat_standardized(spark, sf_dir):
-    return rounded(R.fuse("concat_standardized", two_cells(spark, sf_dir), ["v1", "v2"], [2, 2]), "dist")
+    return rounded(R.fuse("concat_standardized", event_windows(spark, sf_dir), ["v1", "v2"], KS), "dist")
 
 
-@query()
+@query(f"with recursive {EVENT_WINDOWS}{SIDE}, {pca(5, '', 'side')}, {weighted('select pc, rz * rz / sum(rz * rz) over () as w from rs')} select window_id, round(dist, 6) as dist from d")
 def fusion_two_stage(spark, sf_dir):
-    return rounded(R.fuse("two_stage", event_windows(spark, sf_dir), ["v1", "v2"], [4, 4], 5), "dist")
+    """Components of both variables' scores."""
+    return rounded(R.fuse("two_stage", event_windows(spark, sf_dir), ["v1", "v2"], KS, 5), "dist")
+
+
+JOINT = EVENT_WINDOWS + ", both_ as (select window_id, is_ref, j, v1 as v from alls union all select window_id, is_ref, j + 12, v2 from alls)"
 
 
-@query()
+@query(f"with recursive {JOINT}, {pca(6, '', 'both_')}, {weighted('select pc, rz * rz / sum(rz * rz) over () as w from rs')} select window_id, round(dist, 6) as dist from d")
 def fusion_joint(spark, sf_dir):
+    """Components of both variables' features."""
     return rounded(R.fuse("joint", event_windows(spark, sf_dir), ["v1", "v2"], 6), "dist")
 
 
-@query()
+@query(f"""with recursive {VECTORS}, {pca(64)}, run as (select window_id, pc, sum(rz * rz * power(s - rz, 2)) over (partition by window_id order by pc) as num, sum(rz * rz) over (partition by window_id order by pc) as den from sc join rs using (pc) where not is_ref)
+    select window_id, pc::int as k, round(sqrt(num / den), 6) as dist from run where pc in (1, 2, 4, 8, 16, 32, 64)""")
 def k_sweep(spark, sf_dir):
     return rounded(R.sweep_k(vectors(spark, sf_dir), [1, 2, 4, 8, 16, 32, 64]), "dist")
 
@@ -188,12 +187,13 @@ def rank_agreement(spark, sf_dir):
     return rounded(R.agreement(a, b), "mean_rank", "median_rank", "mrr", "rank_mae")
 
 
-@query()
+@query(f"with recursive {VECTORS}, {pca(64)} select pc::int as pc, round(rz * rz, 6) as z_square, round(rz * rz / sum(rz * rz) over (), 6) as weight, round(val / sum(val) over (), 6) as ratio, row_number() over (order by round(rz * rz, 9) desc, pc) as place from rs join (select distinct pc, val from ld) using (pc)")
 def weights_table(spark, sf_dir):
-    """The reference's squared scores and weights by component."""
+    """The reference's squared scores and weights by component, numbered by falling weight."""
     v = vectors(spark, sf_dir)
     m, (ref,) = fit(v), R.reference(v, "x")
     z = m.scores(ref)
     w = R.weights(z, len(z))
     rows = [(k + 1, float(a * a), float(b), float(r)) for k, (a, b, r) in enumerate(zip(z, w, m.ratio))]
-    return rounded(spark.createDataFrame(rows, "pc int, z_square double, weight double, ratio double"), "z_square", "weight", "ratio")
+    table_ = number(spark.createDataFrame(rows, "pc int, z_square double, weight double, ratio double"), [], [-F.round("z_square", 9), "pc"], "place")
+    return rounded(table_, "z_square", "weight", "ratio")
