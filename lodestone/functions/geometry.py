@@ -1,6 +1,7 @@
 """Affine, polygon and projection functions. Columns where the formula allows, small array kernels elsewhere.
 
-A polygon is an array of rings, a ring an array of structs (x, y). The first ring is the outline, the others are holes.
+A polygon is an array of rings, a ring an array of structs (x, y). The first ring is an outline; of the others those that
+run the same way are outlines too (a polygon of several islands), those that run the other way are holes.
 """
 
 from __future__ import annotations
@@ -74,10 +75,16 @@ def signed_area(ring: Column) -> Column:
     return F.when(n < 3, F.lit(0.0)).otherwise(F.aggregate(F.transform(ring, term), F.lit(0.0), lambda a, v: a + v) / 2)
 
 
+def signed_sum(rings: Column, of) -> Column:
+    """of(ring) added over rings, with the sign that makes the first ring's own area positive; 0 at least."""
+    parts = F.transform(rings, of)
+    total = F.aggregate(parts, F.lit(0.0), lambda a, v: a + v)
+    return F.greatest(F.lit(0.0), F.signum(signed_area(F.get(rings, F.lit(0)))) * total)
+
+
 def area(rings: Column) -> Column:
-    """Outline less holes, whatever way the rings run."""
-    parts = F.transform(rings, lambda ring, i: F.when(i == 0, 1.0).otherwise(-1.0) * F.abs(signed_area(ring)))
-    return F.aggregate(parts, F.lit(0.0), lambda a, v: a + v)
+    """Area of a polygon. Rings that run like the first are outlines (islands) and add up, others are holes."""
+    return signed_sum(rings, signed_area)
 
 
 def outline_size(rings: Column) -> Column:
@@ -108,7 +115,7 @@ def dipole_azimuth(cells: DataFrame, group: list[str], share: float = 0.1) -> Da
     limits = cells.groupBy(*group).agg(F.percentile("v", F.lit(share)).alias("lo"), F.percentile("v", F.lit(1 - share)).alias("hi"))
     j = cells.join(limits, group)
     low, high = F.col("v") <= F.col("lo"), F.col("v") >= F.col("hi")
-    m = j.groupBy(*group).agg(*[F.avg(F.when(k, c)).alias(n) for k, c, n in ((low, "r", "rl"), (low, "c", "cl"), (high, "r", "rh"), (high, "c", "ch"))])
+    m = j.groupBy(*group).agg(*[F.avg(F.when(k, F.col(c))).alias(n) for k, c, n in ((low, "r", "rl"), (low, "c", "cl"), (high, "r", "rh"), (high, "c", "ch"))])
     return m.select(*group, F.pmod(F.degrees(F.atan2(F.col("ch") - F.col("cl"), F.col("rl") - F.col("rh"))), F.lit(360.0)).alias("azimuth"))
 
 
@@ -118,10 +125,10 @@ def signed_difference(angle: Column, ref: Column | float, period: float = 360.0)
 
 
 def nice_length(x: Column) -> Column:
-    """The largest of 1, 2 and 5 times a power of ten that isn't over x; 0 and less give null."""
+    """The smallest of 1, 2, 5 and 10 times a power of ten that isn't below x; 1000 for 0 and less."""
     power = F.pow(F.lit(10.0), F.floor(F.log10(x)))
     lead = x / power
-    return F.when(x > 0, F.when(lead >= 5, 5).when(lead >= 2, 2).otherwise(1) * power)
+    return F.when(x <= 0, 1000.0).otherwise(F.when(lead <= 1, 1).when(lead <= 2, 2).when(lead <= 5, 5).otherwise(10) * power)
 
 
 def clip_ring(x: np.ndarray, y: np.ndarray, x0: float, x1: float, y0: float, y1: float) -> tuple[np.ndarray, np.ndarray]:
@@ -140,51 +147,58 @@ def clip_ring(x: np.ndarray, y: np.ndarray, x0: float, x1: float, y0: float, y1:
     return x, y
 
 
-def shoelace(x: np.ndarray, y: np.ndarray) -> float:
-    return abs(float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2) if len(x) > 2 else 0.0
-
-
-def rings_in_box(rings, x0: float, x1: float, y0: float, y1: float) -> float:
-    total = 0.0
-    for i, ring in enumerate(rings):
-        x, y = np.array([p["x"] for p in ring], dtype=float), np.array([p["y"] for p in ring], dtype=float)
-        total += (1 if i == 0 else -1) * shoelace(*clip_ring(x, y, x0, x1, y0, y1))
-    return total
-
-
-def clip_area(rings, x0, x1, y0, y1) -> Column:
-    """Area of a polygon, less its holes, inside a box."""
+def ring_arrays(ring) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([p["x"] for p in ring], dtype=float), np.array([p["y"] for p in ring], dtype=float)
 
-    @pandas_udf("double")
-    def of(rings: pd.Series, x0: pd.Series, x1: pd.Series, y0: pd.Series, y1: pd.Series) -> pd.Series:
-        return pd.Series([rings_in_box(*row) for row in zip(rings, x0, x1, y0, y1)], dtype="float64")
-
-    return of(rings, x0, x1, y0, y1)
 
+def shoelace(x: np.ndarray, y: np.ndarray) -> float:
+    return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2 if len(x) > 2 else 0.0
 
-def inside_rings(rings, x: float, y: float) -> bool:
-    crossings = 0
-    for ring in rings:
-        px, py = np.array([p["x"] for p in ring], dtype=float), np.array([p["y"] for p in ring], dtype=float)
-        qx, qy = np.roll(px, -1), np.roll(py, -1)
-        over = (py > y) != (qy > y)
-        at = px + np.divide((y - py) * (qx - px), qy - py, out=np.zeros_like(px), where=over)
-        crossings += int((over & (x < at)).sum())
-    return crossings % 2 == 1
 
+def rings_in_box(rings, x0: float, x1: float, y0: float, y1: float) -> float:
+    """clip_area of one polygon by cutting its rings; a plain form for small work and for tests."""
+    if not len(rings):
+        return 0.0
+    way = np.sign(shoelace(*ring_arrays(rings[0])))
+    return max(0.0, float(way * sum(shoelace(*clip_ring(*ring_arrays(r), x0, x1, y0, y1)) for r in rings)))
+
+
+def clip_area(rings: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    """Area of a polygon, less its holes, inside a box.
+
+    On a line of constant y, the length inside is the sum over the edges it meets of their x, held within the box, with
+    the sign of their way up or down. So each edge gives the integral of its x held within the box, over its y within the
+    box; on a straight edge this has a closed form. Only DataFrame functions.
+    """
+    wide = x1 - x0
+    held = lambda v, lo, hi: F.least(F.greatest(v, lo), hi)
+    zero = F.lit(0.0)
+
+    def primitive(x: Column) -> Column:
+        """Integral of x held within 0 and the box's width."""
+        inside = held(x, zero, wide)
+        return inside * inside / 2 + wide * (F.greatest(x, wide) - wide)
+
+    def along(ring: Column) -> Column:
+        n = F.size(ring)
 
-def contains(rings, x, y) -> Column:
-    """Whether a point lies in a polygon, by the even-odd rule."""
+        def edge(p, i):
+            q = F.element_at(ring, (i + 1) % n + 1)
+            rise = q["y"] - p["y"]
+            low, high = held(p["y"], y0, y1), held(q["y"], y0, y1)
+            at = lambda y: p["x"] - x0 + (y - p["y"]) * (q["x"] - p["x"]) / F.when(rise != 0, rise)
+            a, b = at(low), at(high)
+            steep = F.abs(b - a) <= 1e-9 * (wide + F.abs(a))
+            mean = F.when(steep, held((a + b) / 2, zero, wide)).otherwise((primitive(b) - primitive(a)) / F.when(~steep, b - a))
+            return F.when((low == high) | (rise == 0), zero).otherwise((high - low) * mean)
 
-    @pandas_udf("boolean")
-    def of(rings: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([inside_rings(*row) for row in zip(rings, x, y)], dtype="bool")
+        return F.when(n < 3, zero).otherwise(F.aggregate(F.transform(ring, edge), zero, lambda a, v: a + v))
 
-    return of(rings, x, y)
+    return signed_sum(rings, along)
 
 
-def contains_native(rings: Column, x: Column, y: Column) -> Column:
-    """The same with higher-order functions alone."""
+def contains(rings: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies in a polygon, by the even-odd rule; only DataFrame functions."""
 
     def crossings(ring: Column) -> Column:
         n = F.size(ring)
@@ -199,14 +213,19 @@ def contains_native(rings: Column, x: Column, y: Column) -> Column:
     return F.aggregate(F.transform(rings, crossings), F.lit(0), lambda a, v: a + v) % 2 == 1
 
 
-def first_containing(points: DataFrame, polygons: DataFrame, tile: float, point_id: str = "pid", fid: str = "fid") -> DataFrame:
-    """points with the first polygon (by fid) that holds them, null where none does; candidates by tiles of the bounds."""
+def containing(points: DataFrame, polygons: DataFrame, tile: float, point_id: str = "pid", fid: str = "fid") -> DataFrame:
+    """(pid, fid) of all polygons that hold a point; candidates by tiles of the bounds, so no pair far apart is made."""
     box = polygons.select(fid, "rings", bounds(F.col("rings")).alias("b"))
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / tile), F.floor(F.col(hi) / tile))
     tiles = box.withColumn("tx", F.explode(span("b.x0", "b.x1"))).withColumn("ty", F.explode(span("b.y0", "b.y1")))
     placed = points.withColumn("tx", F.floor(F.col("x") / tile)).withColumn("ty", F.floor(F.col("y") / tile))
     found = placed.join(tiles, ["tx", "ty"]).where((F.col("x") >= F.col("b.x0")) & (F.col("x") <= F.col("b.x1")) & (F.col("y") >= F.col("b.y0")) & (F.col("y") <= F.col("b.y1")))
-    found = found.where(contains("rings", "x", "y")).groupBy(point_id).agg(F.min(fid).alias(fid))
+    return found.where(contains(F.col("rings"), F.col("x"), F.col("y"))).select(point_id, fid)
+
+
+def first_containing(points: DataFrame, polygons: DataFrame, tile: float, point_id: str = "pid", fid: str = "fid") -> DataFrame:
+    """points with the first polygon (by fid) that holds them, null where none does."""
+    found = containing(points, polygons, tile, point_id, fid).groupBy(point_id).agg(F.min(fid).alias(fid))
     return points.join(found, point_id, "left")
 
 
@@ -308,13 +327,16 @@ def to_geocentric(el: Ellipsoid, lon: np.ndarray, lat: np.ndarray) -> tuple[np.n
     return v * np.cos(phi) * np.cos(lam), v * np.cos(phi) * np.sin(lam), v * (1 - el.e2) * np.sin(phi)
 
 
-def from_geocentric(el: Ellipsoid, x: np.ndarray, y: np.ndarray, z: np.ndarray, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """Longitude and latitude, by fixed-point steps."""
-    p = np.hypot(x, y)
+def from_geocentric(el: Ellipsoid, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longitude and latitude. The latitude comes from that of the auxiliary sphere, which is improved until it stays."""
+    p, b = np.hypot(x, y), el.a * math.sqrt(1 - el.e2)
     phi = np.arctan2(z, p * (1 - el.e2))
-    for _ in range(rounds):
-        v = el.a / np.sqrt(1 - el.e2 * np.sin(phi) ** 2)
-        phi = np.arctan2(z + el.e2 * v * np.sin(phi), p)
+    while phi.size:
+        beta = np.arctan2(b * np.sin(phi), el.a * np.cos(phi))
+        now = np.arctan2(z + el.e2 / (1 - el.e2) * b * np.sin(beta) ** 3, p - el.e2 * el.a * np.cos(beta) ** 3)
+        if not np.nanmax(np.abs(now - phi), initial=0.0) > 1e-15:
+            break
+        phi = now
     return np.degrees(np.arctan2(y, x)), np.degrees(phi)
 
 
@@ -372,7 +394,11 @@ def reproject(polygons: DataFrame, source: str, target: str) -> DataFrame:
     return polygons.where("rings is not null").withColumn("rings", moved("rings"))
 
 
-def shift_datum(df: DataFrame, source: Grid, target: Grid, shift: tuple[float, float, float] = (-67.35, 3.88, -38.22), x: str = "x", y: str = "y") -> DataFrame:
+#: Geocentric shift from the older South American datum to the present one, in metres (fixed values, as published).
+OLDER_DATUM = (-67.35, 3.88, -38.22)
+
+
+def shift_datum(df: DataFrame, source: Grid, target: Grid, shift: tuple[float, float, float] = OLDER_DATUM, x: str = "x", y: str = "y") -> DataFrame:
     """Grid coordinates moved to another datum by a geocentric shift in metres."""
 
     def move(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

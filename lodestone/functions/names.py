@@ -21,12 +21,20 @@ def int_list_token(values: list[int]) -> str:
     return "-".join(str(int(v)) for v in values)
 
 
-def label_with_unit(name: Column, units: dict[str, str]) -> Column:
-    """Display label: the name in upper case with its unit in brackets, if known."""
-    unit = F.lit(None).cast("string")
-    for k, u in units.items():
-        unit = F.when(F.lower(name) == k.lower(), u).otherwise(unit)
-    return F.concat(F.upper(name), F.coalesce(F.concat(F.lit(" ("), unit, F.lit(")")), F.lit("")))
+#: Variables with a unit: their names (upper case, blanks and dashes as underscores), the name shown instead if any, and
+#: the unit (fixed values).
+UNITS = [
+    (("TMI", "MAG"), None, "nT"),
+    (("RADIOMETRIC_U", "RAD_U", "RAD_EU", "EU", "U"), "eU", "ppm"),
+]
+
+
+def label_with_unit(name: Column, units=UNITS) -> Column:
+    """Display label of a variable: its name, or the one shown instead, with its unit in brackets; others stay as they are."""
+    key, out = F.regexp_replace(F.upper(F.trim(name)), "[ -]", "_"), name
+    for names, shown, unit in units:
+        out = F.when(key.isin(*names), F.concat(F.lit(shown) if shown else name, F.lit(f" ({unit})"))).otherwise(out)
+    return out
 
 
 def component_index(v: Column) -> Column:

@@ -22,7 +22,9 @@ def gains(scores: DataFrame, base: str) -> DataFrame:
     """scores: (grp, dep_id, score). Long table of each group's gain over the base group, null where either lacks it."""
     b = scores.where(F.col("grp") == base).select("dep_id", F.col("score").alias("base_score"))
     deps, groups = scores.select("dep_id").distinct(), scores.where(F.col("grp") != base).select("grp").distinct()
-    every = deps.join(F.broadcast(groups.limit(1000)))  # groups are run settings, a handful by nature
+    # One table of all groups for each footprint: the result itself has a row for every footprint and group.
+    lists = groups.agg(F.collect_set("grp").alias("groups"))
+    every = deps.join(F.broadcast(lists)).select("dep_id", F.explode("groups").alias("grp"))  # one row of settings
     return every.join(scores, ["grp", "dep_id"], "left").join(b, "dep_id", "left").withColumn("gain", F.col("score") - F.col("base_score"))
 
 
@@ -65,10 +67,11 @@ def normalized_profile(profiles: DataFrame, group: list[str], step: float, cente
 
 
 def weight_order_agreement(weights: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """Spearman correlation of falling weight with the component's number. weights: (pc, w)."""
+    """Spearman correlation of falling weight with the component's number, null for a single one. weights: (pc, w)."""
     w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(F.desc("w"), "pc")
     ranked = weights.withColumn("place", F.row_number().over(w))
-    return ranked.groupBy(*(group or [])).agg(F.corr(F.col("place").cast("double"), F.col("pc").cast("double")).alias("spearman"))
+    rho = F.corr(F.col("place").cast("double"), F.col("pc").cast("double"))
+    return ranked.groupBy(*(group or [])).agg(F.when(F.count(F.lit(1)) > 1, rho).alias("spearman"))
 
 
 def adjacent_pairs(weights: DataFrame) -> DataFrame:
@@ -78,17 +81,22 @@ def adjacent_pairs(weights: DataFrame) -> DataFrame:
     return p.where("pc_b is not null").select("place", F.col("pc").alias("pc_a"), "pc_b")
 
 
-def classify(df: DataFrame, text: str, vocabulary: dict[str, list[str]], generic: list[str] | None = None, sep: str = ",", key: str = "id") -> DataFrame:
-    """(key, label, weight): the class whose keywords weigh most among the labels of a text; generic words count half.
+def classify(df: DataFrame, text: str, vocabulary: dict[str, list[str]], generic: list[str] | None = None, unless: dict[str, list[str]] | None = None, sep: str = ",", key: str = "id") -> DataFrame:
+    """(key, label, weight): the class that most of a text's parts belong to.
 
-    Labels are cut at sep. Ties go to the class named first. Texts without any keyword have a null label.
+    A text is cut at sep into parts; empty ones don't count. A part belongs to a class if it holds any of its words, and
+    counts once for it: by half if the whole part is a generic term. A part that holds a word of unless[class] doesn't
+    count for that class. Ties go to the class named first. Texts without any have a null label and weight 0.
     """
-    words = [(word.lower(), label, 0.5 if word in (generic or []) else 1.0, i) for i, (label, some) in enumerate(vocabulary.items()) for word in some]
-    parts = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), sep), lambda p: F.trim(p))
-    hit = lambda word, weight: F.size(F.filter("parts", lambda p: p.contains(word))) * F.lit(weight)
-    scored = df.select(F.col(key), parts.alias("parts"))
-    totals = [sum((hit(w, k) for w, lab, k, _ in words if lab == label), F.lit(0.0)).alias(f"total {i}") for i, label in enumerate(vocabulary)]
-    scored = scored.select(key, *totals)
+    parts = F.filter(F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), sep), lambda p: F.trim(p)), lambda p: p != "")
+    holds = lambda p, words: F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: p.contains(w)) if words else F.lit(False)
+    weight = lambda p: F.when(p.isin(*[g.lower() for g in generic or []]), 0.5).otherwise(1.0) if generic else F.lit(1.0)
+
+    def total(label: str) -> Column:
+        mine = lambda p: F.when(holds(p, vocabulary[label]) & ~holds(p, (unless or {}).get(label, [])), weight(p)).otherwise(0.0)
+        return F.aggregate(F.transform("parts", mine), F.lit(0.0), lambda a, v: a + v)
+
+    scored = df.select(F.col(key), parts.alias("parts")).select(key, *[total(label).alias(f"total {i}") for i, label in enumerate(vocabulary)])
     order = F.array_max(F.array(*[F.struct(F.col(f"`total {i}`").alias("t"), F.lit(-i).alias("o"), F.lit(label).alias("label")) for i, label in enumerate(vocabulary)]))
     return scored.select(key, F.when(order["t"] > 0, order["label"]).alias("label"), order["t"].alias("weight"))
 
@@ -100,3 +108,8 @@ def has_any(text: Column, words: list[str]) -> Column:
     for w in words:
         out = out | low.contains(w.lower())
     return F.coalesce(out, F.lit(False))
+
+
+def with_best_k(cases: DataFrame, best: DataFrame, default: int | None = None) -> DataFrame:
+    """cases (with dep_id) with the k that best (dep_id, k) has for each footprint, else the default."""
+    return cases.join(best.select("dep_id", "k"), "dep_id", "left").withColumn("k", F.coalesce("k", F.lit(default).cast("int")))

@@ -25,7 +25,7 @@ def burn(polygons: DataFrame, t: Affine, height: int, width: int, value: str | N
 
     cells = b.withColumn("r", span(row_a, row_b, height)).withColumn("c", span(col_a, col_b, width))
     x, y = t.to_map(F.col("r") + 0.5, F.col("c") + 0.5)
-    cells = cells.withColumn("x", x).withColumn("y", y).where(contains("rings", "x", "y"))
+    cells = cells.withColumn("x", x).withColumn("y", y).where(contains(F.col("rings"), F.col("x"), F.col("y")))
     return cells.groupBy("r", "c").agg(F.max_by(value, "fid").alias(value)) if value else cells.select("r", "c").distinct()
 
 
@@ -62,6 +62,26 @@ def enrichment(cover: DataFrame, baseline: float) -> DataFrame:
     return cover.agg(F.count(F.lit(1)).alias("n"), F.avg("cover").alias("mean_cover"), (F.avg("cover") / F.lit(baseline if baseline else None).cast("double")).alias("ratio"), F.avg((F.col("cover") > 0).cast("double")).alias("touching"))
 
 
+def envelope(at: np.ndarray, height: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Lowest value at each x of the parabolas (x - at) ** 2 + height; at rises. One pass, whatever the row's length."""
+    kept: list[int] = []
+    start: list[float] = []  # from where on each kept parabola is the lowest
+    foot, lift = at.tolist(), (height + at**2).tolist()
+    for i in range(len(foot)):
+        since = -np.inf
+        while kept:
+            since = (lift[i] - lift[kept[-1]]) / (2 * (foot[i] - foot[kept[-1]]))
+            if since > start[-1]:
+                break
+            kept.pop()
+            start.pop()
+            since = -np.inf
+        kept.append(i)
+        start.append(since)
+    low = np.array(kept)[np.searchsorted(start, x, side="right") - 1]
+    return (x - at[low]) ** 2 + height[low]
+
+
 def distance_to(cells: DataFrame, mask: str = "v", cell: float = 1.0) -> DataFrame:
     """(r, c, distance) of every cell to the nearest cell where mask is true; null where there is none.
 
@@ -77,12 +97,8 @@ def distance_to(cells: DataFrame, mask: str = "v", cell: float = 1.0) -> DataFra
         f = f.sort_values("c")
         c, g = f["c"].to_numpy(np.float64), f["g"].to_numpy(np.float64) ** 2
         known = ~np.isnan(g)
-        out = np.full(len(f), np.nan)
-        if known.any():
-            ck, gk = c[known], g[known]
-            for lo in range(0, len(c), 1024):
-                out[lo : lo + 1024] = np.sqrt(((c[lo : lo + 1024, None] - ck) ** 2 + gk).min(axis=1))
-        return pd.DataFrame({"r": f["r"], "c": f["c"], "distance": out * cell})
+        out = envelope(c[known], g[known], c) if known.any() else np.full(len(f), np.nan)
+        return pd.DataFrame({"r": f["r"], "c": f["c"], "distance": np.sqrt(out) * cell})
 
     got = columns.groupBy("r").applyInPandas(along, "r int, c int, distance double")
     return got.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))

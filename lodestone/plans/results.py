@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import compare as C
 from ..operators import inference as I
+from ..operators.ordering import top
+from ..operators.windows import Shape, windows
 from .adapters import EVENT_CELLS, event_cells, query, rounded, table
 
 RUNS = "runs as (select c_nationkey as dep_id, c_mktsegment as grp, (c_custkey % 9)::int as k, round(avg(c_acctbal), 3) as auc from customer group by 1, 2, 3)"
@@ -64,16 +66,23 @@ def profile_smooth(spark, sf_dir):
     return rounded(C.normalized_profile(p, ["g"], 0.5, scale="sd", width=5).drop("g"), "distance", "y")
 
 
-VOCABULARY = {"metal": ["bolt", "ring"], "tool": ["gear", "lever", "widget"], "red": ["red"], "cold": ["blue", "ice"]}
+VOCABULARY = {"metal": ["bolt", "ring", "spring"], "tool": ["gear", "lever", "widget", "small"], "red": ["red", "promo"], "cold": ["blue", "ice"]}
+GENERIC, UNLESS = ["small", "promo"], {"metal": ["red"]}
 
 
-@query("""with t as (select p_partkey as id, list_transform(string_split(lower(p_name || ',' || p_type), ','), lambda e: trim(e)) as parts from part),
-    h as (select id, len(list_filter(parts, lambda e: contains(e, 'bolt'))) * 1.0 + len(list_filter(parts, lambda e: contains(e, 'ring'))) * 1.0 as a, len(list_filter(parts, lambda e: contains(e, 'gear'))) * 1.0 + len(list_filter(parts, lambda e: contains(e, 'lever'))) * 1.0 + len(list_filter(parts, lambda e: contains(e, 'widget'))) * 0.5 as b,
-    len(list_filter(parts, lambda e: contains(e, 'red'))) * 1.0 as c, len(list_filter(parts, lambda e: contains(e, 'blue'))) * 1.0 + len(list_filter(parts, lambda e: contains(e, 'ice'))) * 1.0 as d from t)
-    select id, case when greatest(a, b, c, d) = 0 then null when a >= greatest(b, c, d) then 'metal' when b >= greatest(c, d) then 'tool' when c >= d then 'red' else 'cold' end as label, greatest(a, b, c, d)::double as weight from h""")
+def counted_sql(label: str) -> str:
+    """Parts that hold a word of the class, each once; by half where the whole part is a generic term."""
+    holds = lambda words: "(" + " or ".join(f"contains(e, '{w}')" for w in words) + ")" if words else "false"
+    return f"list_sum(list_transform(parts, lambda e: case when {holds(VOCABULARY[label])} and not {holds(UNLESS.get(label, []))} then (case when e in ({', '.join(repr(g) for g in GENERIC)}) then 0.5 else 1.0 end) else 0.0 end))::double"
+
+
+@query(f"""with t as (select p_partkey as id, list_filter(list_transform(string_split(lower(p_name || ',' || p_type || ', ,' || p_name), ','), lambda e: trim(e)), lambda e: e <> '') as parts from part),
+    h as (select id, {counted_sql("metal")} as a, {counted_sql("tool")} as b, {counted_sql("red")} as c, {counted_sql("cold")} as d from t)
+    select id, case when greatest(a, b, c, d) = 0 then null when a >= greatest(b, c, d) then 'metal' when b >= greatest(c, d) then 'tool' when c >= d then 'red' else 'cold' end as label, greatest(a, b, c, d) as weight from h""")
 def keyword_classify(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(",", "p_name", "p_type").alias("t"))
-    return C.classify(p, "t", VOCABULARY, ["widget"])
+    """Classes by the parts of a text; a part that names two words of a class counts once."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(",", "p_name", "p_type", F.lit(" "), "p_name").alias("t"))
+    return C.classify(p, "t", VOCABULARY, GENERIC, UNLESS)
 
 
 @query("select doc_id, contains(lower(text), 'license') or contains(lower(text), 'copyright') as hit from documents")
@@ -81,13 +90,12 @@ def keyword_predicate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", C.has_any(F.col("text"), ["License", "copyright"]).alias("hit"))
 
 
-@query("with p as (select s_nationkey as g, row_number() over (partition by s_nationkey order by s_suppkey) as pc, s_acctbal as w from supplier), q as (select g, pc, row_number() over (partition by g order by w desc, pc) as place from p) select g, round(corr(place, pc), 6) + 0.0 as spearman from q group by 1 having count(*) > 2")
+@query("with p as (select s_nationkey as g, row_number() over (partition by s_nationkey order by s_suppkey) as pc, s_acctbal as w from supplier), q as (select g, pc, row_number() over (partition by g order by w desc, pc) as place from p) select g, case when count(*) > 1 then round(corr(place, pc), 6) + 0.0 end as spearman from q group by 1")
 def weight_spearman(spark, sf_dir):
     from pyspark.sql import Window
 
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("g"), F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).alias("pc"), F.col("s_acctbal").alias("w"))
-    some = s.groupBy("g").count().where("count > 2").select("g")
-    return rounded(C.weight_order_agreement(s.join(some, "g", "left_semi"), ["g"]), "spearman")
+    return rounded(C.weight_order_agreement(s, ["g"]), "spearman")
 
 
 @query("with p as (select n_nationkey as pc, count(*)::double as w from customer join nation on c_nationkey = n_nationkey group by 1), q as (select row_number() over (order by w desc, pc) as place, pc as pc_a, lead(pc) over (order by w desc, pc) as pc_b from p) select * from q where pc_b is not null")
@@ -150,16 +158,34 @@ def random_band(spark, sf_dir):
     return rounded(I.band(I.random_recovery(spark, owners, share, n, V.TOP, 200, 23)), "low", "mean", "high")
 
 
-@query("select dep_id, max(score) as score from (select c_nationkey as dep_id, c_mktsegment as grp, sum(round(c_acctbal)::bigint)::double as score from customer group by 1, 2) group by 1 order by score desc, dep_id limit 10")
+@query(f"with {GAIN}, g as (select e.grp, e.dep_id, s.score - b.score as gain from e left join s on s.dep_id = e.dep_id and s.grp = e.grp left join s b on b.dep_id = e.dep_id and b.grp = 'BUILDING') select grp, dep_id, gain, row_number() over (order by gain desc nulls last, dep_id, grp) as rank from g qualify rank <= 10")
 def top_gain(spark, sf_dir):
-    """A top-10 report."""
-    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("dep_id"), "c_mktsegment").agg(F.sum(F.round("c_acctbal").cast("long")).cast("double").alias("score"))
-    return c.groupBy("dep_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "dep_id").limit(10)
+    """A top-10 report of gains over a base group."""
+    s = shares(spark, sf_dir).groupBy("dep_id", "grp").agg(F.max("auc").alias("score"))
+    return top(C.gains(s, "BUILDING").select("grp", "dep_id", "gain"), 10, [F.desc_nulls_last("gain"), "dep_id", "grp"])
+
+
+MISSING = """g as (select (day(ts) - 1)::int as r, hour(ts)::int as c, count(*) filter (where event_type = 'purchase') as v1, count(*) filter (where event_type = 'error') as v2 from events group by 1, 2),
+    win as (select (i.range * 22 + k.range)::bigint as window_id, v1, v2 from range(0, 29) i, range(0, 22) k, g where r between i.range and i.range + 1 and c between k.range and k.range + 2),
+    one as (select window_id from win where v1 > 0 group by 1 having count(*) = 6), two as (select window_id from win where v2 > 0 group by 1 having count(*) = 6)"""
 
 
-@query("select user_id, any_value(one) as one from (select user_id, 1 as one from events where event_type = 'view' intersect select user_id, 1 from events where event_type = 'purchase') group by 1")
+@query(f"with {MISSING} select window_id from one intersect select window_id from two")
 def common_ids(spark, sf_dir):
-    """Ids that both variables have."""
-    e = table(spark, sf_dir, "events")
-    ids = lambda k: e.where(F.col("event_type") == k).select("user_id")
-    return ids("view").intersect(ids("purchase")).withColumn("one", F.lit(1))
+    """Windows that are whole in both variables: the ids of windows cut of both together."""
+    n = lambda k: F.sum(F.when(F.col("event_type") == k, 1.0))
+    g = table(spark, sf_dir, "events").groupBy((F.dayofmonth("ts") - 1).alias("r"), F.hour("ts").alias("c")).agg(n("purchase").alias("v1"), n("error").alias("v2"))
+    return windows(g, Shape(30, 24, 2, 3), ["v1", "v2"]).select("window_id")
+
+
+@query(f"with {SHARES}, b as (select dep_id, grp, k, auc from runs qualify row_number() over (partition by dep_id order by auc desc, k, grp) = 1) select dep_id, k from b")
+def sweep_best_only(spark, sf_dir):
+    """The third table of a sweep: each footprint's best k alone."""
+    one = shares(spark, sf_dir).groupBy("dep_id", "k").agg(F.max("auc").alias("auc"))
+    return C.sweep_tables(one)[2]
+
+
+@query("select count(l_tax) as n, (1 + sum((l_tax >= 0.07)::int)) / (1 + count(l_tax))::double as p from lineitem")
+def permutation_p(spark, sf_dir):
+    """Share of draws at least as large as the observed one."""
+    return I.permutation_p(table(spark, sf_dir, "lineitem"), 0.07, "l_tax")

@@ -97,7 +97,12 @@ def crop_polygon(cells: DataFrame, t: Affine, rings: list[list[tuple[float, floa
     xs, ys = [p[0] for ring in rings for p in ring], [p[1] for ring in rings for p in ring]
     poly = F.array(*[F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in ring]) for ring in rings])
     boxed = cells.withColumn("center x", x).withColumn("center y", y).where((F.col("center x") >= min(xs)) & (F.col("center x") <= max(xs)) & (F.col("center y") >= min(ys)) & (F.col("center y") <= max(ys)))
-    return boxed.where(contains(poly, "center x", "center y")).drop("center x", "center y")
+    return boxed.where(contains(poly, F.col("center x"), F.col("center y"))).drop("center x", "center y")
+
+
+def turn(ring) -> float:
+    """Twice the signed area of a ring of (x, y, ...); positive where it runs anticlockwise."""
+    return sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, [*ring[1:], ring[0]]))
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
@@ -114,6 +119,8 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
                     kind, xy = g.get("type"), g.get("coordinates") or []
                     parts = {"Point": [[[xy]]], "MultiPoint": [[[p]] for p in xy], "LineString": [[xy]], "MultiLineString": [[line] for line in xy], "Polygon": [xy], "MultiPolygon": xy}.get(kind, [])
                     for rings in parts:
+                        if kind in ("Polygon", "MultiPolygon"):  # outline clockwise, holes the other way, whatever the file has
+                            rings = [r if not r or (turn(r) > 0) == (k > 0) else r[::-1] for k, r in enumerate(rings)]
                         points = [[{"x": float(p[0]), "y": float(p[1])} for p in ring] for ring in rings if ring and ring[0]]
                         if points:
                             out.append((source, i, kind.removeprefix("Multi"), json.dumps(feature.get("properties") or {}, ensure_ascii=False), points))
@@ -124,7 +131,8 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
-    """Polygons of .shp files, one row a record; outlines run clockwise, holes the other way. Null shapes are dropped."""
+    """Polygons of .shp files, one row a record; outlines run clockwise and come first, holes the other way. A record may
+    have several outlines. Null shapes are dropped."""
 
     def parse(frames):
         for f in frames:
@@ -138,7 +146,8 @@ def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
                         first = [*struct.unpack(f"<{parts}i", raw[at + 52 : at + 52 + 4 * parts]), points]
                         start = at + 52 + 4 * parts
                         xy = np.frombuffer(raw[start : start + 16 * points], dtype="<f8").reshape(-1, 2)
-                        rings = [[{"x": float(x), "y": float(y)} for x, y in xy[a:b]] for a, b in zip(first[:-1], first[1:])]
+                        rings = sorted((xy[a:b].tolist() for a, b in zip(first[:-1], first[1:])), key=lambda r: turn(r) > 0)
+                        rings = [[{"x": x, "y": y} for x, y in r] for r in rings]
                         out.append((source, number - 1, "Polygon", "{}", rings))
                     at += 8 + 2 * words
                 yield pd.DataFrame(out, columns=["source", "fid", "kind", "props", "rings"])
@@ -160,3 +169,9 @@ def densify(layer: DataFrame, step: float) -> DataFrame:
     seg = seg.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), n)))
     along = lambda a, b: F.col(a) + (F.coalesce(b, a) - F.col(a)) * F.col("k") / F.col("n")
     return seg.select("fid", along("x", "nx").alias("x"), along("y", "ny").alias("y")).distinct()
+
+
+def first_of_each(layer: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row of each key: the first in the given order, such as a feature that several requests returned."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return layer.withColumn("row of key", place).where("`row of key` = 1").drop("row of key")
