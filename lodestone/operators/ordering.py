@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names; only where none is named (tests) take a temporary one."""
+    """Use the folder that the cluster names; only on a local master, where none is named, take a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
 
 
@@ -49,3 +52,24 @@ def top_per_group(df: DataFrame, groups: list[str], k: int, order: list, name: s
     """The first k rows of each group with their number from 1; partial limits run before the shuffle."""
     place = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
     return df.withColumn(name, place.cast("long")).where(F.col(name) <= k)
+
+
+#: Rows up to which exact quantiles are taken in one aggregation.
+FEW = 1_000_000
+
+
+def quantiles(df: DataFrame, columns: list[str], share: float = 0.5) -> list[float | None]:
+    """Exact quantile of each column over its non-null rows, between neighbouring values; null where there is none.
+
+    Of many rows no task holds all: each column is numbered over ranged partitions and the rows around the place are read.
+    """
+    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    if max(counts) <= FEW:
+        return list(df.agg(*[F.percentile(c, F.lit(share)).alias(c) for c in columns]).first())
+    out = []
+    for c in columns:
+        at = share * (counts[c] - 1) + 1
+        near = number(df.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("v")), [], ["v"], "place").where(F.col("place").between(int(at), int(at) + 1)).orderBy("place").collect()
+        low, high = (near[0].v, near[-1].v) if near else (None, None)
+        out.append(None if low is None else low + (at - int(at)) * (high - low))
+    return out

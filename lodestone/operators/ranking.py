@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .linalg import Components, fit, moments
+from .ordering import quantiles
 
 WEIGHT_NAMES = {"square": "square", "squared": "square", "sq": "square", "abs": "abs", "absolute": "abs", "uniform": "uniform", "none": "uniform"}
 OVER_NAMES = {"selected": "selected", "selected_pcs": "selected", "all": "all", "all_pcs": "all"}
@@ -141,7 +142,7 @@ def fuse_late(df: DataFrame, columns: list[str], ks: list[int], combine: str = "
     """Squared distances over their medians (reference row included), added with weights or the largest of them."""
     d = squared_by_variable(df, columns, ks, **options)
     names = [f"d{i}" for i in range(1, len(columns) + 1)]
-    med = d.agg(*[F.median(c).alias(c) for c in names]).first()
+    med = dict(zip(names, quantiles(d, names)))
     parts = [F.col(c) / (med[c] if med[c] and med[c] > EPS else 1.0) for c in names]
     alpha = alpha or [1 / len(parts)] * len(parts)
     if combine not in ("sum", "max"):

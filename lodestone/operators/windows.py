@@ -1,7 +1,7 @@
 """Sliding windows over grids of cells, and the reference templates they are compared with.
 
-Cells come as (r, c, one column a variable). Windows are cut in bands of rows: every cell goes to the bands whose windows
-need it (one, or two for the h - 1 rows of overlap), and a band is cut with array views, so a cell is shuffled about
+Cells come as (r, c, one column a variable). Windows are cut in tiles: every cell goes to the tiles whose windows need it
+(one, but for the h - 1 rows and w - 1 columns of overlap), and a tile is cut with array views, so a cell is shuffled about
 once instead of once for each window that covers it.
 """
 
@@ -61,50 +61,61 @@ def no_nan(cells: DataFrame, columns: list[str], nodata: float | None = None) ->
     return cells
 
 
-def windows(cells: DataFrame, shape: Shape, columns: list[str], mask: np.ndarray | None = None, band: int = 64) -> DataFrame:
+#: Numbers that the windows of one tile hold at most, about.
+TILE_VALUES = 8_000_000
+
+
+def windows(cells: DataFrame, shape: Shape, columns: list[str], mask: np.ndarray | None = None, band: int = 64, tile: int | None = None) -> DataFrame:
     """(window_id, r0, c0, one array a variable) of all windows whose cells (those in mask) are present in all variables.
 
     Null and NaN are missing. Windows over the grid's edge are missing cells; with a mask they may still be whole. Vectors
-    run along rows. No rows give no windows; a cell given twice counts once, with either value.
+    run along rows. No rows give no windows; a cell given more than once counts once, with the largest of its values.
+
+    A task holds a tile: the windows that start in band rows and tile columns, by default as many columns as keep a tile's
+    windows to a few million numbers, whatever the grid's width. Cells beside a tile go to both.
     """
     names = [f"v{k}" for k in range(len(columns))]
     per_band = max(1, band // shape.sy) * shape.sy
-    bands = (shape.per_column * shape.sy - 1) // per_band
+    fit = TILE_VALUES // (shape.h * shape.w * len(columns) * (per_band // shape.sy))
+    per_tile = (max(1, tile // shape.sx) if tile else max(1, fit, -(-shape.w // shape.sx))) * shape.sx
+    bands, tiles = (shape.per_column * shape.sy - 1) // per_band, (shape.per_row * shape.sx - 1) // per_tile
     keep = np.ones(shape.h * shape.w, dtype=bool) if mask is None else np.asarray(mask, dtype=bool).ravel()
-    low = F.greatest(F.lit(0), F.ceil((F.col("r") - shape.h + 1 - (per_band - 1)) / per_band)).cast("int")
-    high = F.least(F.lit(bands), F.floor(F.col("r") / per_band)).cast("int")
+
+    def parts(at: str, size: int, step: int, last: int):
+        low = F.greatest(F.lit(0), F.ceil((F.col(at) - size + 1 - (step - 1)) / step)).cast("int")
+        high = F.least(F.lit(last), F.floor(F.col(at) / step)).cast("int")
+        return F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>")))
+
     clean = no_nan(cells.select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), *[F.col(c).cast("double").alias(n) for c, n in zip(columns, names)]), names)
-    dealt = clean.where((F.col("r") >= 0) & (F.col("c") >= 0)).withColumn("band", F.explode(F.sequence(low, F.greatest(low, high)))).where(F.col("band") <= bands)
-    wide = (shape.per_row - 1) * shape.sx + shape.w
-
-    def cut_band(key, f):
-        top = int(key[0]) * per_band
-        starts = min(per_band, shape.per_column * shape.sy - top)
-        grid = np.full((len(names), starts + shape.h - 1, max(wide, shape.width)), np.nan)
-        inside = (f["r"] >= top) & (f["r"] < top + grid.shape[1]) & (f["c"] < grid.shape[2])
-        f = f[inside]
+    dealt = clean.where((F.col("r") >= 0) & (F.col("c") >= 0)).withColumn("band", parts("r", shape.h, per_band, bands)).withColumn("tile", parts("c", shape.w, per_tile, tiles))
+
+    def cut_tile(key, f):
+        top, left = int(key[0]) * per_band, int(key[1]) * per_tile
+        rows, cols = min(per_band, shape.per_column * shape.sy - top), min(per_tile, shape.per_row * shape.sx - left)
+        grid = np.full((len(names), rows + shape.h - 1, cols + shape.w - 1), np.nan)
+        r, c = f["r"].to_numpy() - top, f["c"].to_numpy() - left
+        inside = (r >= 0) & (r < grid.shape[1]) & (c >= 0) & (c < grid.shape[2])
         for k, n in enumerate(names):
-            grid[k, f["r"] - top, f["c"]] = f[n]
+            np.fmax.at(grid[k], (r[inside], c[inside]), f[n].to_numpy(np.float64)[inside])
         views = np.lib.stride_tricks.sliding_window_view(grid, (shape.h, shape.w), axis=(1, 2))[:, :: shape.sy, :: shape.sx]
-        views = views[:, :, : shape.per_row]
         out = []
         for i in range(views.shape[1]):
             flat = views[:, i].reshape(len(names), views.shape[2], -1)[:, :, keep]
             whole = np.flatnonzero(~np.isnan(flat).any(axis=(0, 2)))
             if len(whole):
-                r0 = top + i * shape.sy
-                out.append(pd.DataFrame({"window_id": shape.window_id(r0, whole * shape.sx), "r0": r0, "c0": whole * shape.sx} | {c: list(flat[k, whole]) for k, c in enumerate(columns)}))
+                r0, c0 = top + i * shape.sy, left + whole * shape.sx
+                out.append(pd.DataFrame({"window_id": shape.window_id(r0, c0), "r0": r0, "c0": c0} | {c: list(flat[k, whole]) for k, c in enumerate(columns)}))
         if out:
             return pd.concat(out)
         return pd.DataFrame({"window_id": np.zeros(0, np.int64), "r0": np.zeros(0, np.int32), "c0": np.zeros(0, np.int32)} | {c: pd.Series([], dtype=object) for c in columns})
 
     schema = "window_id long, r0 int, c0 int" + "".join(f", `{c}` array<double>" for c in columns)
-    return dealt.groupBy("band").applyInPandas(cut_band, schema)
+    return dealt.groupBy("band", "tile").applyInPandas(cut_tile, schema)
 
 
 def windows_sql(cells: DataFrame, shape: Shape, column: str) -> DataFrame:
     """The same for one variable with DataFrame functions alone: each cell names the windows that cover it. Shuffles a
-    cell h * w / (sy * sx) times, so it suits small windows."""
+    cell h * w / (sy * sx) times, so it suits small windows; each cell must be given once."""
 
     def starts(at: str, size: int, step: int, count: int):
         low = F.greatest(F.lit(0), F.ceil((F.col(at) - size + 1) / step)).cast("int")
