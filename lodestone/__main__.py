@@ -1,11 +1,14 @@
 """python -m lodestone CONFIG --cells PATH --footprints PATH --height N --width N: run a configuration and write its tables.
 
 CONFIG is YAML or JSON; cells is Parquet with r, c and a column for each variable; footprints is GeoJSON.
+
+python -m lodestone compare FOLDER... --output PATH [--base METHOD]: tables that set the stored results of runs side by side.
 """
 
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +18,20 @@ from .operators import runs
 from .sources import config, grids, sinks
 
 
+def compare(argv: list[str]) -> int:
+    p = argparse.ArgumentParser(prog="lodestone compare")
+    p.add_argument("folders", nargs="+")
+    p.add_argument("--output", required=True)
+    p.add_argument("--base", help="method over which gains are taken")
+    a = p.parse_args(argv)
+    sinks.write_tables(runs.compared(SparkSession.builder.getOrCreate(), a.folders, a.base), a.output, "csv")
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
+    argv = sys.argv[1:] if argv is None else argv
+    if argv[:1] == ["compare"]:
+        return compare(argv[1:])
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("config")
     p.add_argument("--cells", required=True)

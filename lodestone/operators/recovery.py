@@ -33,7 +33,7 @@ def box_cells(boxes: DataFrame, t: Affine = Affine(), key: str = "dep_id") -> Da
 
 
 def polygon_cells(polygons: DataFrame, t: Affine = Affine(), key: str = "dep_id") -> DataFrame:
-    """(key, r, c, area) of polygons (column rings); each cell's area by clipping."""
+    """(key, r, c, area) of polygons (column rings); each cell's area by clipping, added over the parts of one key."""
     boxed = polygons.select(key, "rings", bounds(F.col("rings")).alias("b"))
     row_a, col_a = t.to_cell(F.col("b.x0"), F.col("b.y0"))
     row_b, col_b = t.to_cell(F.col("b.x1"), F.col("b.y1"))
@@ -41,8 +41,8 @@ def polygon_cells(polygons: DataFrame, t: Affine = Affine(), key: str = "dep_id"
     cells = boxed.withColumn("r", span(row_a, row_b)).withColumn("c", span(col_a, col_b))
     xa, ya = t.to_map(F.col("r"), F.col("c"))
     xb, yb = t.to_map(F.col("r") + 1, F.col("c") + 1)
-    cells = cells.withColumn("area", clip_area("rings", F.least(xa, xb), F.greatest(xa, xb), F.least(ya, yb), F.greatest(ya, yb)))
-    return cells.where("area > 0").select(key, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "area")
+    cells = cells.withColumn("area", clip_area(F.col("rings"), F.least(xa, xb), F.greatest(xa, xb), F.least(ya, yb), F.greatest(ya, yb)))
+    return cells.where("area > 0").groupBy(key, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")).agg(F.sum("area").alias("area"))
 
 
 def areas(cells: DataFrame, key: str = "dep_id") -> DataFrame:
@@ -192,3 +192,10 @@ def equal_area(curves: DataFrame, unions: DataFrame, null: DataFrame, null_area:
 
 def polygon_areas(polygons: DataFrame, key: str = "dep_id") -> DataFrame:
     return polygons.select(key, area(F.col("rings")).alias("dep_area"))
+
+
+def reranked(ranked: DataFrame, pool: DataFrame, t_max: int) -> DataFrame:
+    """The first t_max of a ranking's windows that are in pool (window_id), numbered anew."""
+    from .ordering import top
+
+    return top(ranked.withColumnRenamed("rank", "old rank").join(pool.select("window_id"), "window_id", "left_semi"), t_max, ["old rank"]).drop("old rank")

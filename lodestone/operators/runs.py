@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +21,11 @@ REFERENCES = "dep_ref int, method string, analysis string, variable string, join
 
 
 def reference_patch(cells: DataFrame, column: str, polygon: DataFrame, t: Affine, h: int, w: int, rotation: float = 0.0, scale: float = 1.0) -> np.ndarray:
-    """The h x w patch about a footprint's bounds, turned and scaled where asked. Raises where cells are missing."""
-    b = polygon.select(bounds(F.col("rings")).alias("b")).first().b
+    """The h x w patch about a footprint's bounds, turned and scaled where asked. A footprint may have parts, one a row;
+    the bounds are those of all. Raises where cells are missing, and without a footprint."""
+    b = polygon.select(bounds(F.col("rings")).alias("b")).agg(*[f(f"b.{c}").alias(c) for f, c in ((F.min, "x0"), (F.max, "x1"), (F.min, "y0"), (F.max, "y1"))]).first()
+    if b.x0 is None:
+        raise ValueError("the reference has no footprint")
     rows, cols = zip(*(t.to_cell(x, y) for x, y in ((b.x0, b.y0), (b.x1, b.y1))))
     r0, c0 = int(np.floor(min(rows))), int(np.floor(min(cols)))
     if rotation == 0 and scale == 1:
@@ -91,29 +97,91 @@ def swap_references(run: Run, cells: DataFrame, footprints: DataFrame, t: Affine
     return out
 
 
+def fingerprint(*tables: DataFrame) -> str:
+    """Digest of tables' rows, whatever their order: counts and sums of hashes, one pass each."""
+    parts = []
+    for t in tables:
+        hashed = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(t.columns)])
+        parts += list(t.agg(F.count(F.lit(1)), F.sum(hashed.cast("decimal(38,0)"))).first()) + sorted(t.columns)
+    return hashlib.sha256(repr(parts).encode()).hexdigest()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in any store that Spark reads."""
+    try:
+        spark.read.text(path).limit(1).count()
+        return True
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return False
+        raise
+
+
 def run_all(run: Run, cells: DataFrame, footprints: DataFrame, t: Affine, height: int, width: int, write: bool = True) -> dict[str, DataFrame]:
-    """Every case of a run, written to its folder (a finished one is read instead), and all summaries together."""
+    """Every case of a run, written to its folder, and all summaries together.
+
+    A folder's name holds the digest of settings and data, and its last file is the resolved configuration: a case with
+    the same digest that was written to its end is read instead.
+    """
+    from ..sources.sinks import write_json, write_tables
+
     spark: SparkSession = cells.sparkSession
+    data = fingerprint(cells, footprints) + repr((t, height, width)) if write else ""
     every = None
     for reference, k in run.cases():
-        folder = run.folder(reference, k)
-        try:
-            summary = spark.read.parquet(f"{folder}/summary") if write else None
-        except Exception as e:  # not there yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            summary = None
-        if summary is None:
-            tables = case(run, cells, footprints, t, height, width, reference, k)
-            if write:
-                from ..sources.sinks import write_tables
-
-                write_tables(tables, folder)
-            summary = tables["summary"]
+        folder = run.folder(reference, k, data)
+        if not write:
+            summary = case(run, cells, footprints, t, height, width, reference, k)["summary"]
+        else:
+            if not exists(spark, f"{folder}/finished"):
+                write_tables(case(run, cells, footprints, t, height, width, reference, k), folder)
+                write_json(spark, run.resolved() | {"reference": reference, "k": k, "data": data}, f"{folder}/finished")
+            summary = spark.read.parquet(f"{folder}/summary")
         every = summary if every is None else every.unionByName(summary)
     return {"summary": every}
 
 
+def swept(run: Run, cells: DataFrame, footprints: DataFrame, t: Affine, height: int, width: int, rotations: list[float], scales: list[float]) -> DataFrame:
+    """Summaries of every case with the template turned and scaled, each against a random selection of equal area."""
+    out = None
+    for angle, scale in [(a, s) for a in rotations for s in scales]:
+        turned = replace(run, rotation=float(angle), scale=float(scale))
+        for reference, k in turned.cases():
+            tables = case(turned, cells, footprints, t, height, width, reference, k)
+            ratio = against_random(turned, tables, cells).where(F.col("rank") == min(run.top_k, tables["windows"].count())).select("ratio", F.lit(reference).alias("dep_ref"))
+            one = tables["summary"].withColumn("angle", F.lit(float(angle))).withColumn("scale", F.lit(float(scale))).join(ratio, "dep_ref", "left")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def rescored(run: Run, ranked: DataFrame, footprints: DataFrame, t: Affine, pool: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Curve, coverage and first hits of a finished ranking (window_id, rank, r0, c0) against other footprints, and with
+    pool (window_id) of the windows in it alone, numbered anew."""
+    h, w = run.window
+    ranked = ranked if pool is None else V.reranked(ranked, pool, run.top_k)
+    tested = cut(V.polygon_cells(footprints, t))
+    gained, areas = V.gains(ranked, tested, h, w), V.areas(tested)
+    covered = cut(V.coverage(gained, areas))
+    return {"ranked": ranked, "curve": V.curve(gained, areas, run.top_k), "coverage": covered, "hits": V.first_hits(covered, run.min_cover)}
+
+
+def compared(spark: SparkSession, folders: list[str], base: str | None = None) -> dict[str, DataFrame]:
+    """Stored results of several runs side by side: all summaries with the settings of their folders, each footprint's best
+    case, bands of the curves over the cases of a method, and gains over a base method."""
+    from ..functions.names import parse_case
+    from ..sources.sinks import read_results
+    from . import compare as C
+
+    tagged = lambda name: read_results(spark, [f"{f}/*/*/*/*/{name}" for f in folders]).withColumn("case", parse_case(F.col("source")))
+    settings = ["case.dep_id", "case.method", F.array_join(F.transform("case.ks", lambda k: k.cast("string")), "-").alias("k")]
+    summary = cut(tagged("summary").select(*settings, "auc", "end_fraction", "n_hits"))
+    curves = tagged("curve").select(*settings, "rank", "mean_fraction")
+    out = {"summary": summary, "best": C.best(summary, ["dep_id", "method"], "auc", "k"), "bands": C.bands(curves, "mean_fraction", ["method"])}
+    if base is not None:
+        out["gains"] = C.gains(summary.groupBy(F.col("method").alias("grp"), "dep_id").agg(F.max("auc").alias("score")), base)
+    return out
+
+
 def reference_vectors(cases: DataFrame, method: str = "raw", analysis: str | None = None, variable: str | None = None) -> DataFrame:
     """(dep_ref, x, shape, source): each reference's vector, from the first of five sources in which any case has one.
 

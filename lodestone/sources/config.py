@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 import json
 import os
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from ..functions.geometry import crs_grid
 from ..operators.ranking import FUSIONS, WEIGHT_NAMES
@@ -82,10 +83,21 @@ class Run:
                 return p
         raise KeyError(f"no grid for {variable!r}; known: {', '.join(sorted(self.grids))}")
 
-    def folder(self, reference: int, k: int | tuple[int, ...]) -> str:
-        """Folder of one case's results, the same for the same settings."""
+    def resolved(self) -> dict:
+        """All settings, as the run uses them."""
+        return asdict(self)
+
+    def digest(self, data: str = "") -> str:
+        """Short digest of every setting that changes a case's results, and of the data's own digest where given."""
+        skip = ("name", "output", "references", "ks", "best_k")
+        text = json.dumps({k: v for k, v in self.resolved().items() if k not in skip}, sort_keys=True, default=str)
+        return hashlib.sha256(f"{text}\n{data}".encode()).hexdigest()[:12]
+
+    def folder(self, reference: int, k: int | tuple[int, ...], data: str = "") -> str:
+        """Folder of one case's results: the same for the same settings and data, another one for others."""
         ks = "-".join(map(str, k if isinstance(k, tuple) else (k,)))
-        return f"{self.output}/{self.name}/dep={reference}/method={self.fusion if self.analysis == 'multivariate' else 'components'}/k={ks}"
+        method = self.fusion if self.analysis == "multivariate" else "components"
+        return f"{self.output}/{self.name}/run={self.digest(data)}/dep={reference}/method={method}/k={ks}"
 
     def variables(self) -> list[str]:
         """The variables that a case ranks by."""
