@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import figures, linalg
 from ..operators import overlay as O
-from .adapters import CELLS, DAYS, EVENT_CELLS, HOURS, MONTHS, QUANTITIES, VECTORS, event_cells, query, rounded, table, vectors
+from ..operators.compare import with_best_k
+from ..sources.grids import first_of_each
+from .adapters import CELLS, DAYS, EVENT_CELLS, HOURS, MONTHS, QUANTITIES, VECTORS, event_cells, pca, query, rounded, table, vectors
 from .overlays import FULL, RARE, all_windows, full, rare
 from .recoveries import RANKED, ranked
 
@@ -29,14 +31,6 @@ def top_union_mask(spark, sf_dir):
     return window_cells(ranked(spark, sf_dir), 3, 4).distinct()
 
 
-@query()
-def group_attributes(spark, sf_dir):
-    """Area, centroid and classes of groups of marked cells."""
-    g = O.cell_groups(rare(spark, sf_dir).where("v").select("r", "c"), HOURS)
-    k = event_cells(spark, sf_dir).select("r", "c", F.when(F.col("r") % 2 == 0, "even").otherwise("odd").alias("k"))
-    return rounded(O.group_attributes(g, k, 4.0), "area", "row", "col", "share")
-
-
 @query(f"with {RARE}, g as (select distinct a.r, a.c from every_cell a join m b on b.v and abs(a.r - b.r) <= 1 and abs(a.c - b.c) <= 1), o as (select r, c from every_cell except select r, c from g), s as (select distinct a.r, a.c from every_cell a join o on abs(a.r - o.r) <= 1 and abs(a.c - o.c) <= 1) select r, c from every_cell except select r, c from s")
 def closed_mask(spark, sf_dir):
     return O.closed(rare(spark, sf_dir).where("v"), 1, DAYS, HOURS)
@@ -71,33 +65,33 @@ def window_chips(spark, sf_dir):
     return rounded(figures.chips(vectors(spark, sf_dir), ids, 8), "v")
 
 
-@query()
+LEAD = "lead as (select pc, rz from rs order by round(abs(rz), 9) desc, pc limit 1)"
+
+
+@query(f"with recursive {VECTORS}, {pca(64)}, {LEAD} select window_id, pc::int as pc, round(s, 6) + 0.0 as score, round(lead.rz - sqrt(val), 6) + 0.0 as low, round(lead.rz + sqrt(val), 6) + 0.0 as high from sc join lead using (pc) where not is_ref")
 def score_map(spark, sf_dir):
-    """Distance of each window's score to the reference's on the leading component; free of sign."""
+    """Scores on the component on which the reference stands out most, and the limits of the picture."""
     v = vectors(spark, sf_dir)
-    m = linalg.fit(v)
-    out, limits = figures.score_map(v, m)
-    mid = (limits["low"] + limits["high"]) / 2
-    return rounded(out.select("window_id", F.abs(F.col("score") - mid).alias("off")), "off")
+    out, limits = figures.score_map(v, linalg.fit(v))
+    return rounded(out.select("window_id", F.lit(limits["pc"]).alias("pc"), "score", F.lit(limits["low"]).alias("low"), F.lit(limits["high"]).alias("high")), "score", "low", "high")
 
 
-@query()
+@query(f"with recursive {VECTORS}, {pca(64)} select pc::int as pc, (j // 8)::int as row, (j % 8)::int as col, round(load, 5) + 0.0 as loading, round(load * load, 5) as energy from ld")
 def loading_energy(spark, sf_dir):
-    """Squared loadings by component and place; free of sign."""
-    m = linalg.fit(vectors(spark, sf_dir))
-    t = figures.loadings(spark, m, 8)
-    return rounded(t.select("pc", "row", "col", (F.col("loading") * F.col("loading")).alias("energy")), "energy", digits=5)
+    """Loadings and their squares by component and place."""
+    t = figures.loadings(spark, linalg.fit(vectors(spark, sf_dir)), 8)
+    return rounded(t.withColumn("energy", F.col("loading") * F.col("loading")), "loading", "energy", digits=5)
 
 
-@query("select c_nationkey as dep_id, c_custkey as id, k from customer join (select c_nationkey as n, (count(*) % 9)::int as k from customer group by 1) on n = c_nationkey")
+@query("select c_nationkey as dep_id, c_custkey as id, coalesce(k, 8)::int as k from customer left join (select c_nationkey as n, (count(*) % 9)::int as k from customer where c_nationkey < 20 group by 1) on n = c_nationkey")
 def best_k_lookup(spark, sf_dir):
-    """A setting looked up by footprint."""
-    c = table(spark, sf_dir, "customer")
-    k = c.groupBy("c_nationkey").agg((F.count(F.lit(1)) % 9).cast("int").alias("k"))
-    return c.join(k, "c_nationkey", "left").select(F.col("c_nationkey").alias("dep_id"), F.col("c_custkey").alias("id"), "k")
+    """A setting looked up by footprint, with a default for footprints that have none."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("dep_id"), F.col("c_custkey").alias("id"))
+    best = c.where("dep_id < 20").groupBy("dep_id").agg((F.count(F.lit(1)) % 9).cast("int").alias("k"))
+    return with_best_k(c, best, 8)
 
 
-@query("select distinct user_id, event_type from events")
+@query("select user_id, event_type, ts, event_id from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1")
 def distinct_features(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
-
+    """The first of repeated features."""
+    return first_of_each(table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], ["ts", "event_id"])
