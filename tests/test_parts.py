@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import geometry as G
 from lodestone.functions import names as N
-from lodestone.operators import compare, inference, ordering, overlay
+from lodestone.operators import compare, inference, joins, ordering, overlay, windows
 from lodestone.operators.graph import components
 from lodestone.operators.joins import overlapping
 from lodestone.operators.ranking import FUSIONS, block, fuse
@@ -26,7 +26,7 @@ def polygons(spark, rings=SQUARE):
 
 def test_area_with_hole(spark):
     p = polygons(spark)
-    r = p.select(G.area(F.col("rings")).alias("a"), G.clip_area("rings", F.lit(0.0), F.lit(2.0), F.lit(0.0), F.lit(2.0)).alias("c")).first()
+    r = p.select(G.area(F.col("rings")).alias("a"), G.clip_area(F.col("rings"), F.lit(0.0), F.lit(2.0), F.lit(0.0), F.lit(2.0)).alias("c")).first()
     assert abs(r.a - 15) < 1e-12 and abs(r.c - 3) < 1e-12
     pts = G.ring_points(p, "fid")
     assert {x.ring: abs(x.signed_area) for x in G.shoelace_rows(pts, "fid").collect()} == {0: 16.0, 1: 1.0}
@@ -137,8 +137,8 @@ def test_config(tmp_path):
 
 def test_names(spark):
     df = spark.createDataFrame([("a b--c(d)", "PC12", "dep=3/method=late_sum/k=2-8/alpha=0p5", " 1.5 ")], "t string, p string, f string, n string")
-    r = df.select(N.file_token(F.col("t")).alias("t"), N.component_index(F.col("p")).alias("p"), N.parse_case(F.col("f")).alias("f"), N.safe_number(F.col("n")).alias("n"), N.label_with_unit(F.lit("tmi"), {"TMI": "nT"}).alias("u")).first()
-    assert (r.t, r.p, r.n, r.u) == ("a_b_c_d", 11, 1.5, "TMI (nT)") and r.f.dep_id == 3 and r.f.ks == [2, 8] and r.f.alpha == 0.5
+    r = df.select(N.file_token(F.col("t")).alias("t"), N.component_index(F.col("p")).alias("p"), N.parse_case(F.col("f")).alias("f"), N.safe_number(F.col("n")).alias("n"), N.label_with_unit(F.lit("tmi")).alias("u")).first()
+    assert (r.t, r.p, r.n, r.u) == ("a_b_c_d", 11, 1.5, "tmi (nT)") and r.f.dep_id == 3 and r.f.ks == [2, 8] and r.f.alpha == 0.5
     assert N.decimal_token(0.503) == "0p503" and N.int_list_token([2, 8]) == "2-8"
 
 
@@ -191,3 +191,134 @@ def test_registry_and_stream(spark, sf, tmp_path):
     want = {r.start: r.dist for r in score(hourly, frozen).collect()}
     got = {r.start: r.dist for r in spark.table("scored").collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def polygon(*rings):
+    return [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in rings]
+
+
+def test_areas_of_islands_and_holes(spark):
+    square = lambda x, y, s: [(x, y), (x, y + s), (x + s, y + s), (x + s, y)]
+    shapes = {
+        "islands": (polygon(square(0, 0, 1), square(5, 0, 2)), 5.0), "islands and hole": (polygon(square(0, 0, 4), square(9, 0, 2), square(1, 1, 2)[::-1]), 16.0),
+        "the other way": (polygon(square(0, 0, 4)[::-1], square(9, 0, 2)[::-1], square(1, 1, 2)), 16.0), "line": (polygon([(0, 0), (1, 1)]), 0.0),
+    }
+    df = spark.createDataFrame([(n, r) for n, (r, _) in shapes.items()], f"name string, rings {G.RINGS}")
+    inside = G.clip_area(F.col("rings"), F.lit(0.5), F.lit(9.5), F.lit(0.25), F.lit(3.0))
+    for r in df.select("name", "rings", G.area(F.col("rings")).alias("area"), inside.alias("inside")).collect():
+        assert abs(r.area - shapes[r.name][1]) < 1e-12
+        assert abs(r.inside - G.rings_in_box(r.rings, 0.5, 9.5, 0.25, 3.0)) < 1e-12
+
+
+def test_clipping_of_random_polygons(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(200):
+        n = int(rng.integers(3, 12))
+        at = np.sort(rng.uniform(0, 2 * np.pi, n))
+        size = rng.uniform(0.2, 4, n)
+        ring = list(zip(size * np.cos(at), size * np.sin(at)))
+        if i % 3 == 0:
+            ring = [(round(x), round(y)) for x, y in ring]  # edges along the box's sides
+        box = sorted(rng.integers(-3, 4, 2).tolist()), sorted(rng.integers(-3, 4, 2).tolist())
+        rows.append((i, polygon(ring if i % 2 else ring[::-1]), *(float(v) for v in (box[0][0], box[0][1] + 1, box[1][0], box[1][1] + 1))))
+    df = spark.createDataFrame(rows, f"i int, rings {G.RINGS}, x0 double, x1 double, y0 double, y1 double")
+    for r in df.withColumn("inside", G.clip_area(F.col("rings"), *map(F.col, ("x0", "x1", "y0", "y1")))).collect():
+        assert abs(r.inside - G.rings_in_box(r.rings, r.x0, r.x1, r.y0, r.y1)) < 1e-9
+
+
+def test_files_with_several_outlines(spark, tmp_path):
+    ring = lambda x, s: [[x, 0], [x, s], [x + s, s], [x + s, 0], [x, 0]]
+    hole = [[1, 1], [1, 2], [2, 2], [2, 1], [1, 1]]
+    for k, coordinates in enumerate(([ring(0, 4), hole], [ring(0, 4)[::-1], hole], [ring(0, 4), hole[::-1]])):
+        (tmp_path / f"{k}.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": coordinates}}]}))
+    assert [r.a for r in grids.read_geojson(spark, str(tmp_path)).select(G.area(F.col("rings")).alias("a")).collect()] == [15.0] * 3
+    inner = [[0.2, 0.2], [0.8, 0.2], [0.8, 0.8], [0.2, 0.8], [0.2, 0.2]]
+    parts = [inner, ring(0, 1), ring(5, 2)]  # a hole that comes first
+    flat = [p for part in parts for p in part]
+    body = struct.pack("<i4d", 5, 0, 0, 7, 2) + struct.pack("<ii3i", 3, len(flat), 0, 5, 10) + b"".join(struct.pack("<2d", *p) for p in flat)
+    (tmp_path / "x.shp").write_bytes(b"\0" * 100 + struct.pack(">ii", 1, len(body) // 2) + body)
+    got = grids.read_shapefile(spark, str(tmp_path / "x.shp")).select(G.area(F.col("rings")).alias("a")).first()
+    assert abs(got.a - (1 + 4 - 0.36)) < 1e-12
+
+
+def test_published_coordinates():
+    """Worked examples of published guidance and gazetteers."""
+    airy = G.Ellipsoid(6377563.396, 299.3249646)
+    plain = G.Grid(airy, -2.0, 0.9996012717, 400_000.0, 0.0)
+    origin = G.to_grid_arrays(plain, np.array([-2.0]), np.array([49.0]))[1][0]
+    grid = G.Grid(airy, -2.0, 0.9996012717, 400_000.0, -100_000.0 - origin)
+    x, y = G.to_grid_arrays(grid, np.array([0.5]), np.array([50.5]))
+    assert abs(x[0] - 577274.99) < 0.02 and abs(y[0] - 69740.50) < 0.02
+    lon, lat = G.from_grid_arrays(grid, x, y)
+    assert abs(lon[0] - 0.5) < 1e-9 and abs(lat[0] - 50.5) < 1e-9
+    x, y = G.to_grid_arrays(G.crs_grid("EPSG:32617"), np.array([-79.387139]), np.array([43.642567]))
+    assert abs(x[0] - 630084) < 2 and abs(y[0] - 4833438) < 2
+
+
+def test_geocentric_round_trip():
+    lon, lat = np.array([-51.0, 10.0, 179.0, 0.0]), np.array([-6.0, 89.9, -89.99, 0.0])
+    back = G.from_geocentric(G.WGS84, *G.to_geocentric(G.WGS84, lon, lat))
+    assert np.allclose(back[0], lon, atol=1e-10) and np.allclose(back[1], lat, atol=1e-10)
+
+
+def test_lower_envelope():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 60):
+        at, height, x = np.sort(rng.choice(200, n, replace=False)).astype(float), rng.integers(0, 900, n).astype(float), np.arange(200.0)
+        assert np.allclose(overlay.envelope(at, height, x), ((x[:, None] - at) ** 2 + height).min(axis=1))
+
+
+@pytest.mark.parametrize("most", [10**6, 7])
+def test_interpolation_of_short_and_long_curves(spark, most):
+    rng = np.random.default_rng(5)
+    x, y, v = rng.permutation(40) * 1.5, rng.normal(size=40), rng.uniform(-10, 80, 300)
+    curve = spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "x double, y double")
+    values = spark.createDataFrame([(i, float(a)) for i, a in enumerate([*v, *x])] + [(-1, None), (-2, float("nan"))], "i int, at double")
+    got = {r.i: r.v for r in joins.interpolate(values, curve, "at", "x", "y", "v", most).collect()}
+    o = np.argsort(x)
+    assert got[-1] is None and got[-2] is None and len(got) == 342
+    assert np.allclose([got[i] for i in range(340)], np.interp([*v, *x], x[o], y[o]))
+    assert {r.v for r in joins.interpolate(values, curve.limit(0), "at", "x", "y", "v").collect()} == {None}
+
+
+def test_exact_quantiles(spark, monkeypatch):
+    v = np.random.default_rng(6).normal(size=501)
+    df = spark.createDataFrame([(float(a), None if i % 3 else float(a)) for i, a in enumerate(v)], "a double, b double").repartition(5)
+    want = [np.quantile(v, 0.37), np.quantile(v[::3], 0.37)]
+    assert np.allclose(ordering.quantiles(df, ["a", "b"], 0.37), want)
+    monkeypatch.setattr(ordering, "FEW", 10)
+    assert np.allclose(ordering.quantiles(df, ["a", "b"], 0.37), want)
+
+
+@pytest.mark.parametrize("band, tile", [(64, None), (4, 6), (3, 100)])
+def test_windows_in_tiles(spark, band, tile):
+    rng = np.random.default_rng(7)
+    grid = rng.normal(size=(20, 33))
+    grid[4, 5] = grid[11, 20] = np.nan
+    rows = [(r, c, None if np.isnan(grid[r, c]) else float(grid[r, c])) for r in range(20) for c in range(33)]
+    rows += [(0, 0, -50.0), (19, 32, -50.0), (3, 3, None)]  # of repeated cells the largest value counts
+    shape = windows.Shape(20, 33, 4, 6, 2, 3)
+    got = {r.window_id: (r.r0, r.c0, r.v) for r in windows.windows(spark.createDataFrame(rows, "r int, c int, v double"), shape, ["v"], band=band, tile=tile).collect()}
+    want = {}
+    for i in range(shape.per_column):
+        for k in range(shape.per_row):
+            patch = grid[i * 2 : i * 2 + 4, k * 3 : k * 3 + 6]
+            if patch.shape == (4, 6) and not np.isnan(patch).any():
+                want[i * shape.per_row + k] = (i * 2, k * 3, patch.ravel().tolist())
+    assert got == want
+
+
+def test_no_shared_folder_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": lambda self, key, other: other})()
+
+    with pytest.raises(RuntimeError):
+        ordering.ensure_checkpoint_dir(Session())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.__main__ import main
 from lodestone.functions.geometry import Affine
 from lodestone.operators import linalg, runs
+from lodestone.operators import recovery as V
 from lodestone.operators.figures import score_pairs, two_stage_rebuild
 from lodestone.operators.windows import windows, with_reference
 from lodestone.sources import config
@@ -64,11 +65,59 @@ def test_rotated_reference_and_swap(cells, footprints):
     assert {r.dep_ref for r in s.collect()} == {1, 2}
 
 
-def test_finished_cases_are_read(cells, footprints, tmp_path):
+def test_finished_cases_are_read(cells, footprints, tmp_path, monkeypatch):
     run = settings(output=str(tmp_path), ks=[2, 3])
-    a = {r.ks: r.auc for r in runs.run_all(run, cells, footprints, Affine(e=1.0), H, W)["summary"].collect()}
-    b = {r.ks: r.auc for r in runs.run_all(run, cells.limit(0), footprints, Affine(e=1.0), H, W)["summary"].collect()}
-    assert a == b and set(a) == {"2", "3"}
+    args = (footprints, Affine(e=1.0), H, W)
+    first = {r.ks: r.auc for r in runs.run_all(run, cells, *args)["summary"].collect()}
+    finished = list(tmp_path.glob("*/run=*/dep=*/method=*/k=*/finished/part-*"))
+    assert set(first) == {"2", "3"} and len(finished) == 2 and json.loads(finished[0].read_text())["window"] == list(run.window)
+    done, asked = runs.case, []
+    monkeypatch.setattr(runs, "case", lambda *a, **b: asked.append(a) or done(*a, **b))
+    assert {r.ks: r.auc for r in runs.run_all(run, cells, *args)["summary"].collect()} == first and not asked
+    # Other settings, other data and a case that broke off are computed.
+    runs.run_all(settings(output=str(tmp_path), ks=[2], whiten=True), cells, *args)
+    assert len(asked) == 1
+    runs.run_all(settings(output=str(tmp_path), ks=[2]), cells.where("r > 0 or c > 0"), *args)
+    assert len(asked) == 2
+    for part in finished[0].parent.iterdir():
+        part.unlink()
+    finished[0].parent.rmdir()
+    runs.run_all(run, cells, *args)
+    assert len(asked) == 3
+
+
+def test_stored_results_side_by_side(spark, cells, footprints, tmp_path):
+    for whiten in (False, True):
+        runs.run_all(settings(output=str(tmp_path), ks=[2, 3], whiten=whiten), cells, footprints, Affine(e=1.0), H, W)
+    name = settings().name
+    got = runs.compared(spark, [str(tmp_path / name)])
+    assert got["summary"].count() == 4 and got["best"].count() == 1 and got["bands"].count() > 0
+
+
+def test_parts_of_a_footprint_count_together(spark, cells, footprints):
+    whole = footprints.where("dep_id = 1").select("rings").first().rings
+    (x0, x1), (y0, y1) = ([f(p[c] for p in whole[0]) for f in (min, max)] for c in ("x", "y"))
+    middle = (x0 + x1) / 2
+    box = lambda a, b: [[{"x": a, "y": y0}, {"x": a, "y": y1}, {"x": b, "y": y1}, {"x": b, "y": y0}]]
+    parts = spark.createDataFrame([(1, box(x0, middle)), (1, box(middle, x1))], footprints.schema)
+    one, two = (V.polygon_cells(f.where("dep_id = 1"), Affine(e=1.0)) for f in (footprints, parts))
+    key = lambda df: sorted((r.r, r.c, round(r.area, 9)) for r in df.collect())
+    assert key(one) == key(two)
+    t = Affine(e=1.0)
+    assert np.array_equal(runs.reference_patch(cells, "A", footprints.where("dep_id = 1"), t, 4, 5), runs.reference_patch(cells, "A", parts, t, 4, 5))
+
+
+def test_turned_templates_and_other_footprints(spark, cells, footprints):
+    run = settings(ks=[2], references=[1])
+    args = (cells, footprints, Affine(e=1.0), H, W)
+    got = runs.swept(run, *args, [0.0], [1.0, 0.9]).collect()
+    assert len(got) == 2 and {r.scale for r in got} == {1.0, 0.9}
+    tables = runs.case(run, *args, 1, 2)
+    again = runs.rescored(run, tables["ranked"], footprints.where("dep_id <> 1"), Affine(e=1.0))
+    assert again["curve"].orderBy("rank").collect() == tables["curve"].select(*again["curve"].columns).orderBy("rank").collect()
+    pool = tables["windows"].where("r0 > 2").select("window_id")
+    fewer = runs.rescored(run, tables["ranked"], footprints.where("dep_id <> 1"), Affine(e=1.0), pool)["ranked"].orderBy("rank").collect()
+    assert [r["rank"] for r in fewer] == list(range(1, len(fewer) + 1)) and all(r.r0 > 2 for r in fewer)
 
 
 def test_command_line(cells, tmp_path):
