@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Affine, bounds, contains
 from .graph import components
+from .ordering import quantiles
 from .recovery import window_cells
 
 
@@ -113,7 +114,8 @@ def sample_at_center(windows: DataFrame, grid: DataFrame, h: int, w: int, height
 def distance_summary(df: DataFrame, limits: list[float], value: str = "distance", group: list[str] | None = None) -> DataFrame:
     """n, dropped (null), median, mean, and the share within each limit."""
     shares = [F.avg((F.col(value) <= t).cast("double")).alias(f"within_{t:g}") for t in limits]
-    return df.groupBy(*(group or [])).agg(F.count(value).alias("n"), F.sum(F.col(value).isNull().cast("long")).alias("dropped"), F.median(value).alias("median"), F.avg(value).alias("mean"), *shares)
+    median = F.median(value) if group else F.lit(quantiles(df, [value])[0]).cast("double")
+    return df.groupBy(*(group or [])).agg(F.count(value).alias("n"), F.sum(F.col(value).isNull().cast("long")).alias("dropped"), median.alias("median"), F.avg(value).alias("mean"), *shares)
 
 
 def contacts(classes: DataFrame, value: str = "k") -> DataFrame:

@@ -49,32 +49,34 @@ def areas(cells: DataFrame, key: str = "dep_id") -> DataFrame:
     return cells.groupBy(key).agg(F.sum("area").alias("dep_area"))
 
 
-def gains(ranked: DataFrame, cells: DataFrame, h: int, w: int, key: str = "dep_id") -> DataFrame:
-    """(key, rank, gain): the area of each footprint that is first covered at a rank. ranked has rank, r0, c0."""
-    covered = window_cells(ranked, h, w, "rank").join(cells, ["r", "c"]).groupBy(key, "r", "c").agg(F.min("rank").alias("rank"), F.max("area").alias("area"))
-    return covered.groupBy(key, "rank").agg(F.sum("area").alias("gain"))
+def gains(ranked: DataFrame, cells: DataFrame, h: int, w: int, key: str = "dep_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, key, rank, gain): the area of each footprint that is first covered at a rank. ranked has rank, r0, c0, and in
+    by the columns that tell several rankings apart."""
+    covered = window_cells(ranked, h, w, "rank", *by).join(cells, ["r", "c"]).groupBy(*by, key, "r", "c").agg(F.min("rank").alias("rank"), F.max("area").alias("area"))
+    return covered.groupBy(*by, key, "rank").agg(F.sum("area").alias("gain"))
 
 
-def coverage(gained: DataFrame, dep_areas: DataFrame, key: str = "dep_id") -> DataFrame:
-    """(key, rank, covered, fraction) at each rank that adds to a footprint."""
-    run = Window.partitionBy(key).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return gained.withColumn("covered", F.sum("gain").over(run)).join(dep_areas, key).select(key, "rank", "covered", (F.col("covered") / F.col("dep_area")).alias("fraction"))
+def coverage(gained: DataFrame, dep_areas: DataFrame, key: str = "dep_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, key, rank, covered, fraction) at each rank that adds to a footprint."""
+    run = Window.partitionBy(*by, key).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    return gained.withColumn("covered", F.sum("gain").over(run)).join(dep_areas, key).select(*by, key, "rank", "covered", (F.col("covered") / F.col("dep_area")).alias("fraction"))
 
 
-def first_hits(covered: DataFrame, min_cover: float, key: str = "dep_id") -> DataFrame:
-    """(key, first_hit): the smallest rank with min_cover of the footprint covered."""
-    return covered.where(F.col("fraction") >= min_cover - 1e-9).groupBy(key).agg(F.min("rank").alias("first_hit"))
+def first_hits(covered: DataFrame, min_cover: float, key: str = "dep_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, key, first_hit): the smallest rank with min_cover of the footprint covered."""
+    return covered.where(F.col("fraction") >= min_cover - 1e-9).groupBy(*by, key).agg(F.min("rank").alias("first_hit"))
 
 
-def curve(gained: DataFrame, dep_areas: DataFrame, t_max: int, key: str = "dep_id") -> DataFrame:
-    """(rank, recovered_area, total_fraction, mean_fraction) for ranks 1 to t_max."""
+def curve(gained: DataFrame, dep_areas: DataFrame, t_max: int, key: str = "dep_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, rank, recovered_area, total_fraction, mean_fraction) for ranks 1 to t_max; with by, of each ranking that gains."""
     total = dep_areas.agg(F.sum("dep_area").alias("all_area"), F.count(F.lit(1)).alias("deps"))
-    per_rank = gained.join(dep_areas, key).groupBy("rank").agg(F.sum("gain").alias("gain"), F.sum(F.col("gain") / F.col("dep_area")).alias("share"))
-    ranks = gained.sparkSession.range(1, t_max + 1).select(F.col("id").alias("rank"))
-    rows = ranks.join(per_rank, "rank", "left").na.fill(0.0, ["gain", "share"]).join(F.broadcast(total))  # one row
-    run = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)  # t_max rows
+    per_rank = gained.join(dep_areas, key).groupBy(*by, "rank").agg(F.sum("gain").alias("gain"), F.sum(F.col("gain") / F.col("dep_area")).alias("share"))
+    one = gained.select(*by).distinct() if by else gained.sparkSession.range(1)
+    ranks = one.select(*by, F.explode(F.sequence(F.lit(1).cast("long"), F.lit(t_max).cast("long"))).alias("rank"))
+    rows = ranks.join(per_rank, [*by, "rank"], "left").na.fill(0.0, ["gain", "share"]).join(F.broadcast(total))  # one row
+    run = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)  # t_max rows
     area_, share = F.sum("gain").over(run), F.sum("share").over(run)
-    return rows.select("rank", area_.alias("recovered_area"), (area_ / F.col("all_area")).alias("total_fraction"), (share / F.col("deps")).alias("mean_fraction"))
+    return rows.select(*by, "rank", area_.alias("recovered_area"), (area_ / F.col("all_area")).alias("total_fraction"), (share / F.col("deps")).alias("mean_fraction"))
 
 
 def hit_table(covered: DataFrame, min_cover: float, key: str = "dep_id") -> DataFrame:
@@ -128,6 +130,15 @@ def summary(curves: DataFrame, hits: DataFrame, group: list[str], budgets: tuple
     return ends.join(found, group, "left").na.fill(0, ["n_hits", "n_hit_ranks"])
 
 
+def by_k(ranked: DataFrame, cells: DataFrame, h: int, w: int, t_max: int, min_cover: float) -> DataFrame:
+    """summary of every k of a sweep at once; ranked has k, rank, r0, c0, cells are those of the footprints."""
+    from .ordering import cut
+
+    gained, dep_areas = cut(gains(ranked, cells, h, w, by=("k",))), areas(cells)
+    covered = coverage(gained, dep_areas, by=("k",))
+    return summary(curve(gained, dep_areas, t_max, by=("k",)), first_hits(covered, min_cover, by=("k",)), ["k"], tuple(b for b in (25, 50, 100, 250) if b <= t_max))
+
+
 def union_area(ranked: DataFrame, h: int, w: int, t_max: int, cell_area: float = 1.0) -> DataFrame:
     """(rank, union_area): area covered by the first windows together."""
     fresh = window_cells(ranked, h, w, "rank").groupBy("r", "c").agg(F.min("rank").alias("rank")).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))

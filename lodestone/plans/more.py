@@ -12,7 +12,7 @@ from ..operators import figures, linalg
 from ..operators import overlay as O
 from ..operators import ranking as R
 from ..operators import recovery as V
-from ..operators.ordering import cut, top
+from ..operators.ordering import cut, top_per_group
 from ..operators.runs import reference_patch
 from ..operators.windows import Shape, circle_mask, no_nan, resample, template, windows
 from ..sources import grids, sinks
@@ -153,17 +153,9 @@ SWEEP_KS = [1, 2, 4, 8]
     select s.k::int as k, round(end_fraction, 6) as end_fraction, coalesce(n_hits, 0) as n_hits from (select k, sum(gain / dep_area) / (select count(*) from dep_area) as end_fraction from kg join dep_area using (dep_id) group by 1) s left join (select k, count(*) as n_hits from kh group by 1) h on s.k = h.k""")
 def recovery_by_k(spark, sf_dir):
     """End of the recovery curve and hits for several numbers of components, from one fit."""
-    swept = cut(R.sweep_k(event_windows(spark, sf_dir), SWEEP_KS, "v1"))
-    cells = cut(V.box_cells(footprints(spark), CELLS))
-    areas, out = V.areas(cells), None
-    for k in SWEEP_KS:
-        first = top(swept.where(F.col("k") == k), TOP, [F.round("dist", 9), "window_id"])
-        r = cut(first.select("rank", (F.floor(F.col("window_id") / 8) * 2).cast("int").alias("r0"), (F.col("window_id") % 8 * 3).cast("int").alias("c0")))
-        gained = cut(V.gains(r, cells, 3, 4))
-        one = F.lit(k).alias("k")
-        s = V.summary(V.curve(gained, areas, TOP).select("*", one), V.first_hits(V.coverage(gained, areas), COVER).select("*", one), ["k"], (TOP,)).select("k", "end_fraction", "n_hits")
-        out = s if out is None else out.unionByName(s)
-    return rounded(out, "end_fraction")
+    first = top_per_group(R.sweep_k(event_windows(spark, sf_dir), SWEEP_KS, "v1"), ["k"], TOP, [F.round("dist", 9), "window_id"])
+    r = first.select("k", "rank", (F.floor(F.col("window_id") / 8) * 2).cast("int").alias("r0"), (F.col("window_id") % 8 * 3).cast("int").alias("c0"))
+    return rounded(V.by_k(r, cut(V.box_cells(footprints(spark), CELLS)), 3, 4, TOP, COVER).select("k", "end_fraction", "n_hits"), "end_fraction")
 
 
 @query(f"with {FULL}, first_ as (select window_id, r0, c0 from win order by window_id limit 20), n as (select window_id, k, count(*) as n from first_ join full_ on r between r0 and r0 + 5 and c between c0 and c0 + 4 group by 1, 2), p as (select *, row_number() over (partition by window_id order by n desc, k) as place, sum(n) over (partition by window_id) as total from n) select window_id, max(case when place = 1 then k end) as mode, round(max(case when place = 1 then n / total end), 6) as share, string_agg(k || ':' || n, ';' order by place) as tally from p group by 1")

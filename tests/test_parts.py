@@ -160,6 +160,21 @@ def test_inference(spark):
     assert inference.permutation_p(spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "v double"), 2.5).first().p == 0.5
 
 
+def test_random_draws_against_plain_loops(spark):
+    rows = [(i % 5, float(i * i % 17)) for i in range(50)]
+    b = inference.bootstrap(spark.createDataFrame(rows, "g int, v double"), "g", "v", 60, 9).first()
+    sums = np.array([sum(v for g, v in rows if g == k) for k in range(5)])
+    seeds = [r.seed & (2**63 - 1) for r in inference.draws(spark, 60, 9).orderBy("draw").collect()]
+    means = [sums[np.random.default_rng(s).integers(0, 5, 5)].sum() / 50 for s in seeds]
+    assert np.allclose([b["mean"], b.low, b.high], [sums.sum() / 50, np.quantile(means, 0.025), np.quantile(means, 0.975)])
+    owners, share = [np.array([0, 1]), np.array([5]), np.array([2, 5, 7])], np.array([0.5, 0.2, 0.3])
+    got = {(r.draw, r["rank"]): r.fraction for r in inference.random_recovery(spark, owners, share, 10, 6, 60, 9).collect()}
+    for d, s in enumerate(seeds):
+        chosen = np.random.default_rng(s).choice(10, size=6, replace=False).tolist()
+        for t in range(1, 7):
+            assert np.isclose(got[d, t], sum(w for o, w in zip(owners, share) if set(o.tolist()) & set(chosen[:t])))
+
+
 def test_compare(spark):
     rows = spark.createDataFrame([(1, 3, 0.5), (1, 2, 0.5), (2, 9, 0.1)], "dep_id int, k int, auc double")
     assert sorted((r.dep_id, r.k) for r in compare.sweep_tables(rows)[2].collect()) == [(1, 2), (2, 9)]
