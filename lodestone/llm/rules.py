@@ -16,6 +16,8 @@ from .common import cut
 #: White space of these rules: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+#: Hosts whose rates are sent to all tasks (some tens of bytes each); beyond, a host's documents are dealt to SALTS tasks.
+BROADCAST_HOSTS, SALTS = 200_000, 32
 
 
 @dataclass(frozen=True)
@@ -78,7 +80,13 @@ def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_
     prior = hosts.agg(F.sum("f").alias("f"), F.sum("n").alias("n"), F.var_samp(rate).alias("v"), F.avg(1 / F.col("n")).alias("noise"), F.count(F.lit(1)).alias("hosts")).first()
     a, b = beta_prior(prior)
     shrunk = hosts.select("host", ((F.col("f") + a) / (F.col("n") + a + b)).alias("host_rate"))
-    out = rows.join(shrunk, "host", "left")
+    if prior.hosts <= BROADCAST_HOSTS:
+        out = rows.join(F.broadcast(shrunk), "host", "left")
+    else:  # many hosts: no one's documents meet in one task, and those without a host meet nowhere
+        salt = F.pmod(F.xxhash64("doc", "n_words", "word_chars"), F.lit(SALTS)).cast("int")
+        spread = shrunk.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = rows.where("host is not null").withColumn("salt", salt).join(spread, ["host", "salt"], "left").drop("salt")
+        out = out.unionByName(rows.where("host is null").withColumn("host_rate", F.lit(None).cast("double")))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= rules.most_host_rate)
     return out.select(F.col("doc").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "host_rate")
 
