@@ -88,7 +88,7 @@ def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield f.drop(columns="text")
 
 
-def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", keep_text: bool = False, stretch: int = 4096) -> DataFrame:
     """Link quotations and order each conversation by replies; one row per row of messages.
 
     Columns: the conversation, turn and role, parent_turn (null: none), link ("quote", "order" or "start"), thread_turn
@@ -110,9 +110,15 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     said = parsed.select("key", "at", F.explode("found").alias("p")).select("key", "at", "p.*")
     # Of each passage in a conversation, who wrote it last before a quote of it: no pair of rows is ever made.
     quoted = said.where("level > 0").select("key", "hash").distinct()
-    origin = F.last(F.when(F.col("level") == 0, F.col("at")), ignorenulls=True)
-    earlier = Window.partitionBy("key", "hash").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    found = said.join(quoted, ["key", "hash"], "left_semi").withColumn("origin", origin.over(earlier)).where("level > 0 and origin is not null")
+    # Turns are dealt to stretches, so that a line that a long conversation repeats is not ranked in one task: each stretch
+    # gets the last writer of the stretches before it, and looks for a later one among its own.
+    own_at = F.when(F.col("level") == 0, F.col("at"))
+    said = said.join(quoted, ["key", "hash"], "left_semi").withColumn("stretch", F.floor(F.col("at") / stretch))
+    before = Window.partitionBy("key", "hash").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = said.groupBy("key", "hash", "stretch").agg(F.max(own_at).alias("last")).withColumn("carried", F.last("last", ignorenulls=True).over(before)).drop("last")
+    earlier = Window.partitionBy("key", "hash", "stretch").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    found = said.withColumn("origin", F.last(own_at, ignorenulls=True).over(earlier)).join(carried, ["key", "hash", "stretch"])
+    found = found.withColumn("origin", F.coalesce("origin", "carried")).where("level > 0 and origin is not null")
     by_quote = found.groupBy("key", "at").agg(F.max_by("origin", F.struct(-F.col("level"), "chars", "origin")).alias("parent"))
     nodes = cut(number_in_groups(parsed.select("key", "at").distinct(), ["key"], ["at"], "k"))
     before = nodes.select("key", F.col("at").alias("previous"), (F.col("k") + 1).alias("k"))
