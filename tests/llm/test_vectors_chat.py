@@ -180,8 +180,8 @@ def random_talks():
 
 def test_links_against_plain_loops(spark):
     given = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
-    for rows in (random_talks(), given):
-        got = chat.link(talk(spark, rows)).collect()
+    for rows, stretch in ((random_talks(), 4096), (random_talks(), 2), (given, 4096)):
+        got = chat.link(talk(spark, rows), stretch=stretch).collect()
         want = plain_links(rows)
         assert len(got) == len(rows)
         assert {((r.conv_id, r.turn), (r.parent_turn, r.depth, r.link)) for r in got} == set(want.items())
