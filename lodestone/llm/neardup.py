@@ -316,28 +316,19 @@ def runs(batches, group: list[str]):
         yield ready(held)
 
 
-class Union:
-    """Union-find; link() tells whether two parts became one."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def top(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def link(self, i: int, j: int) -> bool:
-        i, j = self.top(i), self.top(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
-def spanning(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
-    union = Union(n)
-    return [(i, j) for i, j in pairs.tolist() if union.link(i, j)]
+def linked_tree(linked: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric table of links; no list of all links is made."""
+    edges, waiting = [], np.ones(len(linked), dtype=bool)
+    for first in range(len(linked)):
+        frontier = [first] if waiting[first] else []
+        waiting[first] = False
+        while frontier:
+            i = frontier.pop()
+            new = np.flatnonzero(linked[i] & waiting).tolist()
+            waiting[new] = False
+            edges += [(i, j) for j in new]
+            frontier += new
+    return edges
 
 
 def near_tree(sketch: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -425,17 +416,20 @@ def verify(n: int, threshold: float):
                     sets += [np.unique(s) for s in np.split(grams, np.cumsum(counts)[:-1])]
                 sizes = np.fromiter(map(len, sets), dtype=np.float64, count=len(sets))
                 common = overlaps(sets)
-                linked = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9
-                linked &= (common > 0) & ~np.eye(len(sets), dtype=bool)
-                side = sides[order]
-                if side[0] != side[-1]:
-                    linked &= side[:, None] != side[None, :]
-                weight = linked @ copies[order]
+                side, linked = sides[order], np.zeros(common.shape, dtype=bool)
+                for x in range(0, len(sets), 256):  # some rows at a time, in double precision
+                    some = common[x : x + 256].astype(np.float64)
+                    linked[x : x + 256] = (some > 0) & (some >= threshold * (sizes[x : x + 256, None] + sizes[None, :] - some) - 1e-9)
+                    if side[0] != side[-1]:
+                        linked[x : x + 256] &= side[x : x + 256, None] != side[None, :]
+                np.fill_diagonal(linked, False)
+                mine = copies[order]
+                weight = np.array([int(mine[row].sum()) for row in linked], dtype=np.int64)
                 for i in np.flatnonzero(weight):
                     a.append(int(order[i]))
                     b.append(None)
                     links.append(int(weight[i]))
-                for i, j in spanning(np.argwhere(np.triu(linked)), len(sets)):
+                for i, j in linked_tree(linked):
                     a.append(int(order[i]))
                     b.append(int(order[j]))
                     links.append(0)
@@ -457,7 +451,7 @@ def in_cells(rows: DataFrame, blocks: Column) -> DataFrame:
     return rows.withColumn("cell", cell.cast("long")).withColumn("side", F.col("mine")).drop("blocks", "mine", "other", "n")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, sigmas: float = 5.2, crowd: int = 64, bucket_block: int = 2048, verify_block: int = 768, verify_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, sigmas: float = 5.2, crowd: int = 64, bucket_block: int = 2048, verify_block: int = 512, verify_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Join all texts whose sets of word n-grams have a Jaccard similarity of threshold or more.
 
     One row per row of docs: the id, class_id (smallest id of the documents linked directly or over others), n_links
