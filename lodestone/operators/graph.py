@@ -8,22 +8,28 @@ from pyspark.sql import functions as F
 from .ordering import cut
 
 
-#: Edges for each salt, and the most salts: a node's edges are dealt to so many tasks.
-SALT_EDGES, MOST_SALTS = 2000, 64
+#: Edges up to which each node's smallest neighbour is sent to all tasks (a row of two nodes for each).
+BROADCAST_EDGES = 200_000
+#: Of more edges a node's are dealt to several tasks: edges for each salt, and the most salts.
+SALT_EDGES, MOST_SALTS = 200_000, 64
 
 
-def star(edges: DataFrame, large: bool, salts: int = 1) -> DataFrame:
+def star(edges: DataFrame, large: bool, salts: int = 0) -> DataFrame:
     """One star operation on edges (a, b), a > b. Large: each node's larger neighbours link to the smallest node around
-    it. Small: the node and its smaller neighbours do. With salts the edges of a hub meet in so many tasks, each of which
-    gets the hub's smallest neighbour."""
+    it. Small: the node and its smaller neighbours do. A hub's edges never meet in one task: without salts the smallest
+    neighbours are broadcast, with salts they are joined to each of so many parts of a node's edges."""
     if large:
         around = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         around = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    around = around.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
-    some = around.groupBy("u", "salt").agg(F.min("v").alias("m"))
-    least = some.groupBy("u").agg(F.min("m").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = around.join(some.select("u", "salt").join(least, "u"), ["u", "salt"]) if salts > 1 else around.join(least, "u")
+    if salts:
+        around = around.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+        some = around.groupBy("u", "salt").agg(F.min("v").alias("m"))
+        least = some.groupBy("u").agg(F.min("m").alias("m")).select("u", F.least("u", "m").alias("m"))
+        joined = around.join(some.select("u", "salt").join(least, "u"), ["u", "salt"])
+    else:
+        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        joined = around.join(F.broadcast(least), "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -38,7 +44,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     about log(n) ** 2 rounds at most; every round is materialised in the shared checkpoint folder. Loops say nothing.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark, salts = None, min(MOST_SALTS, 1 + edges.count() // SALT_EDGES)
+    n = edges.count()
+    mark, salts = None, 0 if n <= BROADCAST_EDGES else min(MOST_SALTS, 1 + n // SALT_EDGES)
     for _ in range(most_rounds):
         edges = cut(star(star(edges, True, salts), False, salts))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

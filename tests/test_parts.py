@@ -337,3 +337,16 @@ def test_no_shared_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError):
         ordering.ensure_checkpoint_dir(Session())
+
+
+@pytest.mark.parametrize("most, edges_a_salt", [(10**6, 10), (0, 10**6), (0, 5)])
+def test_components_of_hubs_and_chains(spark, monkeypatch, most, edges_a_salt):
+    from lodestone.operators import graph
+
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", most)
+    monkeypatch.setattr(graph, "SALT_EDGES", edges_a_salt)
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(20)] + [(300, 300), (400, 401), (401, 402), (402, 400), (401, 402)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {i: 0 for i in range(60)} | {i: 100 for i in range(100, 121)} | {400: 400, 401: 400, 402: 400}
+    assert got == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
