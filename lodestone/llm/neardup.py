@@ -451,7 +451,7 @@ def in_cells(rows: DataFrame, blocks: Column) -> DataFrame:
     return rows.withColumn("cell", cell.cast("long")).withColumn("side", F.col("mine")).drop("blocks", "mine", "other", "n")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, sigmas: float = 5.2, crowd: int = 64, bucket_block: int = 2048, verify_block: int = 512, verify_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, sigmas: float = 5.2, crowd: int = 64, bucket_block: int = 2048, verify_block: int = 512, verify_chars: int = 4_000_000, salts: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Join all texts whose sets of word n-grams have a Jaccard similarity of threshold or more.
 
     One row per row of docs: the id, class_id (smallest id of the documents linked directly or over others), n_links
@@ -488,8 +488,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     out = members.join(copies, "key", "left").join(links, "key", "left").join(classes.select(F.col("node").alias("key"), "component"), "key", "left")
     alone = F.concat(F.lit("row "), F.col("row").cast("string")).cast("binary")
     out = cut(out.withColumn("class", F.coalesce("component", "key", alone)))
-    best = out.groupBy("class").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("class_size"))
-    named = out.join(best, "class")
+    # Rows alone in their class need no look at others. Of the rest a large class is dealt to parts, none meets in one task.
+    single = F.col("component").isNull() & (F.coalesce("copies", F.lit(1)) == 1)
+    several = out.where(~single).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+    parts = several.groupBy("class", "salt").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    best = parts.groupBy("class").agg(F.min("first").alias("first"), F.sum("rows").alias("class_size"))
+    named = several.join(parts.select("class", "salt").join(best, "class"), ["class", "salt"]).drop("salt")
+    named = named.unionByName(out.where(single).withColumn("first", F.struct("id", "row")).withColumn("class_size", F.lit(1).cast("long")))
     return named.select(
         F.col("id").alias(id_col), F.col("first.id").alias("class_id"),
         F.when(F.col("key").isNull(), 0).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
