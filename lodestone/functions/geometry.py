@@ -229,6 +229,11 @@ def first_containing(points: DataFrame, polygons: DataFrame, tile: float, point_
     return points.join(found, point_id, "left")
 
 
+def outside(points: DataFrame, polygons: DataFrame, tile: float, point_id: str = "pid", fid: str = "fid") -> DataFrame:
+    """points that no polygon holds."""
+    return points.join(containing(points, polygons, tile, point_id, fid).select(point_id).distinct(), point_id, "left_anti")
+
+
 # Transverse Mercator by the sixth-order series in the third flattening, and datum shifts between such grids.
 
 

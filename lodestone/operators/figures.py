@@ -29,6 +29,12 @@ def score_pairs(frame: DataFrame, model: Components, pairs: list[tuple[int, int]
     return s.select("window_id", F.col("p.a").alias("pc_a"), F.col("p.b").alias("pc_b"), F.get("z", F.col("p.a") - 1).alias("z_a"), F.get("z", F.col("p.b") - 1).alias("z_b"), "is_top", "is_ref")
 
 
+def highlights(ranked: DataFrame, n: int, reference_id: int | None = None) -> DataFrame:
+    """The first n windows of a ranking (window_id, rank), the reference's own left out."""
+    rows = ranked if reference_id is None else ranked.where(F.col("window_id") != reference_id)
+    return rows.select("window_id", "rank").orderBy("rank").limit(max(0, n))
+
+
 def loadings(spark, model: Components, w: int, keep: np.ndarray | None = None) -> DataFrame:
     """(pc, row, col, loading); keep is the mask of features in the patch, all by default."""
     p = model.loadings.shape[1]

@@ -85,6 +85,22 @@ def random_recovery(spark, owners: list[np.ndarray], weights: np.ndarray, n: int
     return draws(spark, n_draws, seed).mapInPandas(draw, "draw long, rank long, fraction double")
 
 
+def random_means(spark, values: np.ndarray, t: int, n_draws: int, seed: int) -> DataFrame:
+    """(draw, v): mean of a quantity over t windows drawn at random without repetition; values has one number a window, NaN
+    where it has none, which is left out of the mean."""
+
+    def draw(frames):
+        for f in frames:
+            out = []
+            for s in f["seed"]:
+                some = values[np.random.default_rng(int(s) & (2**63 - 1)).choice(len(values), size=min(t, len(values)), replace=False)]
+                some = some[~np.isnan(some)]
+                out.append(some.mean() if len(some) else np.nan)
+            yield pd.DataFrame({"draw": f["draw"], "v": out})
+
+    return draws(spark, n_draws, seed).mapInPandas(draw, "draw long, v double").withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+
+
 def band(drawn: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """(rank, low, mean, high) over draws."""
     return drawn.groupBy("rank").agg(F.percentile("fraction", F.lit(low)).alias("low"), F.avg("fraction").alias("mean"), F.percentile("fraction", F.lit(high)).alias("high"))

@@ -138,3 +138,15 @@ def column_moments(df: DataFrame, x: str = "x") -> DataFrame:
     long = df.select(F.posexplode(x).alias("j", "v"))
     one = lambda s: F.when(s.isNull() | (s == 0), F.lit(1.0)).otherwise(s)
     return long.groupBy("j").agg(F.avg("v").alias("mean"), one(F.stddev_samp("v")).alias("sd_samp"), one(F.stddev_pop("v")).alias("sd_pop"))
+
+
+def variables_in(features: int, size: int) -> int:
+    """How many variables of size features a vector holds; raises where it holds no whole number of them."""
+    if size < 1 or features < size or features % size:
+        raise ValueError(f"{features} features are no whole number of variables with {size} each")
+    return features // size
+
+
+def components_to_show(k: int, most: int, extra: int = 0, per_row: int = 5) -> int:
+    """k and some extra components, filled up to whole rows of a picture, but not more than there are."""
+    return min(most, -(-(k + extra) // per_row) * per_row)

@@ -188,11 +188,18 @@ def cell_groups(mask: DataFrame, width: int, diagonal: bool = True) -> DataFrame
     return cells.join(components(edges).withColumnRenamed("node", "cell"), "cell", "left").select("r", "c", F.coalesce("component", "cell").alias("group"))
 
 
-def group_attributes(groups: DataFrame, classes: DataFrame, cell_area: float = 1.0, step: int = 1) -> DataFrame:
-    """Area, centroid, dominant class and its share of each group of cells; classes read at every step-th cell."""
+def group_attributes(groups: DataFrame, classes: DataFrame, cell_area: float = 1.0, step: int = 1, hosts: list | None = None) -> DataFrame:
+    """Area, centroid, dominant class and its share of each group of cells; classes read at every step-th cell. With hosts,
+    host tells whether the dominant class is one of them."""
     size = groups.groupBy("group").agg((F.count(F.lit(1)) * float(cell_area)).alias("area"), F.avg("r").alias("row"), F.avg("c").alias("col"))
     read = groups.where((F.col("r") % step == 0) & (F.col("c") % step == 0)).join(classes, ["r", "c"])
-    return size.join(tally(read, ["group"], "k"), "group", "left")
+    out = size.join(tally(read, ["group"], "k"), "group", "left")
+    return out if hosts is None else out.withColumn("host", F.coalesce(F.col("mode").isin(hosts), F.lit(False)))
+
+
+def union_masks(masks: DataFrame, group: str) -> DataFrame:
+    """(r, c, group, v): masks of one group as one, true where any of them is."""
+    return masks.groupBy("r", "c", group).agg(F.bool_or("v").alias("v"))
 
 
 def clear_of(ranked: DataFrame, footprints: DataFrame, h: int, w: int) -> DataFrame:

@@ -210,3 +210,14 @@ def reranked(ranked: DataFrame, pool: DataFrame, t_max: int) -> DataFrame:
     from .ordering import top
 
     return top(ranked.withColumnRenamed("rank", "old rank").join(pool.select("window_id"), "window_id", "left_semi"), t_max, ["old rank"]).drop("old rank")
+
+
+def breakpoints(windows: DataFrame, h: int, w: int) -> DataFrame:
+    """(axis, at): the distinct rows and columns at which any window begins or ends."""
+    ends = F.array(*[F.struct(F.lit(a).alias("axis"), (F.col(c) + d).cast("int").alias("at")) for a, c, d in (("r", "r0", 0), ("r", "r0", h), ("c", "c0", 0), ("c", "c0", w))])
+    return windows.select(F.explode(ends).alias("e")).select("e.axis", "e.at").distinct()
+
+
+def up_to(curve: DataFrame, k: int) -> DataFrame:
+    """A curve's first k ranks."""
+    return curve.where(F.col("rank") <= k)

@@ -159,6 +159,26 @@ def template(cells: DataFrame, column: str, r0: int, r1: int, c0: int, c1: int)
     return out
 
 
+def circle_template(cells: DataFrame, column: str, t, cx: float, cy: float, radius: float) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+    """Patch about a point of the map, the mask of cells whose centres lie within radius of it, and the patch's first cell.
+
+    The patch has as many cells on each side of the centre's cell as the radius needs; cells beyond the grid are NaN.
+    Raises where a cell of the mask is missing.
+    """
+    if radius <= 0:
+        raise ValueError("the radius must be positive")
+    row, col = t.to_cell(cx, cy)
+    row, col = int(np.round(row - 0.5)), int(np.round(col - 0.5))
+    dr, dc = int(np.ceil(radius / abs(t.e))), int(np.ceil(radius / abs(t.a)))
+    patch = template(cells, column, row - dr, row + dr + 1, col - dc, col + dc + 1)
+    r, c = np.mgrid[row - dr : row + dr + 1, col - dc : col + dc + 1]
+    x, y = t.to_map(r + 0.5, c + 0.5)
+    mask = (x - cx) ** 2 + (y - cy) ** 2 <= radius * radius + 1e-12
+    if np.isnan(patch[mask]).any():
+        raise ValueError(f"the circle lacks {int(np.isnan(patch[mask]).sum())} cells of {column}")
+    return patch, mask, (row - dr, col - dc)
+
+
 def bilinear(patch: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """Values between cell centres; NaN where a needed cell is missing or outside."""
     r, c = np.floor(rows).astype(int), np.floor(cols).astype(int)

@@ -14,9 +14,11 @@ from ..operators import ranking as R
 from ..operators import recovery as V
 from ..operators.ordering import cut, top_per_group
 from ..operators.runs import reference_patch
-from ..operators.windows import Shape, circle_mask, no_nan, resample, template, windows
+from ..operators.compare import has_any
+from ..operators.windows import Shape, circle_mask, circle_template, no_nan, resample, template, windows
 from ..sources import grids, sinks
 from .adapters import CELLS, DAYS, EVENT_CELLS, HOURS, LINES, VECTORS, event_cells, event_windows, pca, query, rounded, table, vectors
+from .geometry import NEXT, SPOTS, polygons, spots
 from .matrices import EV1
 from .overlays import FULL, RARE, all_windows, full, rare
 from .adapters import FOOTPRINTS, footprints
@@ -177,12 +179,12 @@ def score_pairs(spark, sf_dir):
     g as (select a as node, b as other from e union select g.node, e.b from g join e on g.other = e.a), f as (select r, c, min(other) as grp from g join k on n = node group by 1, 2),
     s as (select grp, count(*) * 4.0 as area, avg(r) as row, avg(c) as col from f group by 1), n as (select grp, case when r % 2 = 0 then 'even' else 'odd' end as kk, count(*) as n from f group by 1, 2),
     p as (select *, row_number() over (partition by grp order by n desc, kk) as place, sum(n) over (partition by grp) as total from n)
-    select s.grp as "group", area::double as area, round(row, 6) as row, round(col, 6) as col, max(case when place = 1 then kk end) as mode, round(max(case when place = 1 then n / total end), 6) as share, string_agg(kk || ':' || n, ';' order by place) as tally from s join p on s.grp = p.grp group by 1, 2, 3, 4""")
+    select s.grp as "group", area::double as area, round(row, 6) as row, round(col, 6) as col, max(case when place = 1 then kk end) as mode, round(max(case when place = 1 then n / total end), 6) as share, string_agg(kk || ':' || n, ';' order by place) as tally, max(case when place = 1 then kk end) = 'even' as host from s join p on s.grp = p.grp group by 1, 2, 3, 4""")
 def group_attributes(spark, sf_dir):
     """Area, centroid and classes of groups of marked cells."""
     g = O.cell_groups(rare(spark, sf_dir).where("v").select("r", "c"), HOURS)
     k = event_cells(spark, sf_dir).select("r", "c", F.when(F.col("r") % 2 == 0, "even").otherwise("odd").alias("k"))
-    return rounded(O.group_attributes(g, k, 4.0), "area", "row", "col", "share")
+    return rounded(O.group_attributes(g, k, 4.0, hosts=["even"]), "area", "row", "col", "share")
 
 
 @query(f"with {FULL}, three as (select *, c < 25 as w from full_), p(a, b, both_, either_) as (select 'v', 'u', sum((v and u)::int), sum((v or u)::int) from three union all select 'v', 'w', sum((v and w)::int), sum((v or w)::int) from three union all select 'u', 'w', sum((u and w)::int), sum((u or w)::int) from three) select a, b, both_::bigint as both, either_::bigint as either, round(both_ / either_, 6) as iou from p")
@@ -220,3 +222,59 @@ def grid_on_map(spark, sf_dir):
     return G.with_box(cells, t, 1, 1).select(F.col("y0").cast("int").alias("y0"), F.col("x0").cast("int").alias("x0"), "total")
 
 
+
+
+@query(f"with {NEXT}, {SPOTS}, hit as (select distinct pid from (select id, pid from nx, q group by 1, 2 having sum(case when (y > py) <> (y2 > py) and px < x + (py - y) * (x2 - x) / (y2 - y) then 1 else 0 end) % 2 = 1)) select pid, px as x, py as y from q where pid not in (select pid from hit)")
+def points_outside(spark, sf_dir):
+    """Points that lie in no polygon."""
+    return G.outside(spots(spark, sf_dir), polygons(spark, sf_dir).withColumnRenamed("id", "fid"), 4.0)
+
+
+@query("select p_partkey as id, p_type in ('SMALL', 'PROMO') as listed, contains(lower(p_name), 'ring') as named, trim(replace(p_name, 'small', ''), ', ') <> '' as present from part")
+def features_by_attribute(spark, sf_dir):
+    """Membership, substring and presence of attributes."""
+    p = table(spark, sf_dir, "part")
+    present = F.trim(F.replace(F.col("p_name"), F.lit("small"), F.lit("")), F.lit(", ")) != ""
+    return p.select(F.col("p_partkey").alias("id"), F.col("p_type").isin("SMALL", "PROMO").alias("listed"), has_any(F.col("p_name"), ["ring"]).alias("named"), present.alias("present"))
+
+
+@query(f"with {RANKED} select window_id, rank from ranked where window_id <> 18 order by rank limit 12")
+def highlighted_windows(spark, sf_dir):
+    """The first windows of a picture, a top-k report, without the reference's own."""
+    return figures.highlights(ranked(spark, sf_dir), 12, 18)
+
+
+@query(f"with {RANKED} select r.window_id, rank, label from ranked r join (values (0, 'a'), (9, 'b'), (18, 'c'), (41, 'd'), (100, 'e')) k(window_id, label) on r.window_id = k.window_id")
+def known_windows(spark, sf_dir):
+    """Known windows and their ranks."""
+    known = spark.createDataFrame([(0, "a"), (9, "b"), (18, "c"), (41, "d"), (100, "e")], "window_id long, label string")
+    return ranked(spark, sf_dir).select("window_id", "rank").join(known, "window_id")
+
+
+@query(f"with {RANKED} select rank, round(mean_fraction, 6) as mean_fraction from curve where rank <= 15")
+def curve_cut(spark, sf_dir):
+    """A recovery curve's first ranks."""
+    cells = V.box_cells(footprints(spark), CELLS)
+    curve = V.curve(cut(V.gains(ranked(spark, sf_dir), cells, 3, 4)), V.areas(cells), TOP)
+    return rounded(V.up_to(curve, 15).select("rank", "mean_fraction"), "mean_fraction")
+
+
+@query(f"""with {RANKED} select 'r' as axis, x::int as "at" from (select r0 as x from ranked union select r0 + 3 from ranked) union all select 'c', x::int from (select c0 as x from ranked union select c0 + 4 from ranked)""")
+def window_breakpoints(spark, sf_dir):
+    """Rows and columns at which windows begin or end."""
+    return V.breakpoints(ranked(spark, sf_dir), 3, 4)
+
+
+@query("with g as (select (l_quantity - 1)::int as c, (l_linenumber - 1)::int as r, l_returnflag as unit, count(*) as n from lineitem group by 1, 2, 3) select r, c, case when unit = 'A' then 'old' else 'young' end as era, bool_or(n % 3 = 0) as v from g group by 1, 2, 3")
+def era_masks(spark, sf_dir):
+    """Masks of units as one mask of each era."""
+    g = table(spark, sf_dir, "lineitem").groupBy((F.col("l_linenumber") - 1).cast("int").alias("r"), (F.col("l_quantity") - 1).cast("int").alias("c"), F.col("l_returnflag").alias("unit")).agg(F.count(F.lit(1)).alias("n"))
+    return O.union_masks(g.select("r", "c", F.when(F.col("unit") == "A", "old").otherwise("young").alias("era"), (F.col("n") % 3 == 0).alias("v")), "era")
+
+
+@query(f"with {EVENT_CELLS}, p as (select r, c, v1, power(c + 0.5 - 11.3, 2) + power(r + 0.5 - 13.8, 2) <= 2.6 * 2.6 as inside from cells where r between 10 and 16 and c between 8 and 14) select (r - 10)::int as row, (c - 8)::int as col, v1 as v, inside from p")
+def circle_template_cells(spark, sf_dir):
+    """A patch about a point of the map, and which of its cells lie in the circle."""
+    patch, mask, _ = circle_template(event_cells(spark, sf_dir), "v1", CELLS, 11.3, 13.8, 2.6)
+    inside = as_rows(spark, mask.astype(float)).select("row", "col", (F.col("v") > 0).alias("inside"))
+    return as_rows(spark, patch).join(inside, ["row", "col"])

@@ -166,6 +166,21 @@ def read_best_k(path: str) -> dict[int, int]:
     return out
 
 
+#: Settings that named the files of the first and second variable in older configurations (fixed values).
+OLDER_PATHS = (("variable_1_file_path", "tmi_file_path"), ("variable_2_file_path", "rad_file_path"))
+
+
+def older_grids(paths: dict, variables: list[str]) -> dict[str, str]:
+    """Grids by variable from a configuration's paths: variable_paths, whatever the case, else the older names by place."""
+    named = {str(k).upper(): v for k, v in (paths.get("variable_paths") or {}).items()}
+    out = {}
+    for v, older in zip(variables, OLDER_PATHS):
+        found = [named[v.upper()]] if v.upper() in named else [paths[k] for k in older if k in paths]
+        if found:
+            out[v] = found[0]
+    return out
+
+
 def build(doc: dict) -> Run:
     """A validated run; settings that aren't known are an error. A variable's best_k is a mapping or the path of a CSV."""
     known = set(Run.__dataclass_fields__)

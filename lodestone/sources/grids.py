@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import RINGS, Affine, contains
+from ..functions.geometry import RINGS, Affine, contains, crs_grid, signed_area
 
 LAYER = f"source string, fid long, kind string, props string, rings {RINGS}"
 
@@ -68,6 +68,15 @@ def read_header(text: str) -> dict[str, str]:
     return out
 
 
+def resolve_crs(source: str | None, forced: str | None = None) -> str:
+    """The reference system of a layer: the forced one, else its own. Raises where there is neither, or an unknown one."""
+    name = forced or source
+    if not name:
+        raise ValueError("the layer names no reference system; force one only if it is known")
+    crs_grid(name)
+    return name.strip().upper()
+
+
 def check_registered(metas: dict[str, Meta]) -> Meta:
     """The common size, transform and reference system of variables; raises where they differ."""
     names = list(metas)
@@ -156,8 +165,10 @@ def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fix_rings(layer: DataFrame) -> DataFrame:
-    """Rings with fewer than three points go, and with them polygons without an outline."""
-    return layer.withColumn("rings", F.filter("rings", lambda r: F.size(r) >= 3)).where(F.size("rings") > 0)
+    """Points equal to the one before go, then rings with fewer than three points or without area, and with them polygons
+    without an outline."""
+    plain = F.transform("rings", lambda r: F.filter(r, lambda p, i: (i == 0) | (p != F.get(r, i - 1))))
+    return layer.withColumn("rings", F.filter(plain, lambda r: (F.size(r) >= 3) & (F.abs(signed_area(r)) > 0))).where(F.size("rings") > 0)
 
 
 def densify(layer: DataFrame, step: float) -> DataFrame:

@@ -84,3 +84,17 @@ def provenance(spark: SparkSession, command: list[str] | None = None, repo: str
 def write_json(spark: SparkSession, doc: dict, path: str) -> None:
     """A document as one JSON file, in any store that Spark writes to."""
     spark.createDataFrame([(json.dumps(doc, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, sha256) of the files below a path; each file is read by one task."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def verify(found: DataFrame, expected: dict[str, str]) -> list[str]:
+    """What is wrong with artefacts: names (ends of paths) that are missing or have another digest than expected."""
+    spark = found.sparkSession
+    want = spark.createDataFrame(list(expected.items()), "name string, digest string")
+    got = want.join(found, F.col("path").endswith(F.concat(F.lit("/"), F.col("name"))), "left")  # one row a name
+    return [f"{r.name}: {'missing' if r.sha256 is None else 'differs'}" for r in got.where("sha256 is null or sha256 <> digest").orderBy("name").collect()]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import geometry as G
 from lodestone.functions import names as N
-from lodestone.operators import compare, inference, joins, ordering, overlay, windows
+from lodestone.operators import compare, inference, joins, linalg, ordering, overlay, windows
 from lodestone.operators.graph import components
 from lodestone.operators.joins import overlapping
 from lodestone.operators.ranking import FUSIONS, block, fuse
@@ -350,3 +350,38 @@ def test_components_of_hubs_and_chains(spark, monkeypatch, most, edges_a_salt):
     want = {i: 0 for i in range(60)} | {i: 100 for i in range(100, 121)} | {400: 400, 401: 400, 402: 400}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_small_rules(tmp_path):
+    assert linalg.variables_in(24, 12) == 2 and linalg.components_to_show(17, 100, 2) == 20 and linalg.components_to_show(8, 9) == 9
+    with pytest.raises(ValueError):
+        linalg.variables_in(25, 12)
+    assert grids.resolve_crs(" epsg:4326 ") == "EPSG:4326" and grids.resolve_crs("EPSG:4326", "EPSG:32722") == "EPSG:32722"
+    for wrong in ((None, None), ("EPSG:29192", None)):
+        with pytest.raises(ValueError):
+            grids.resolve_crs(*wrong)
+    paths = {"variable_paths": {"tmi": "a.gxf"}, "tmi_file_path": "b", "rad_file_path": "c"}
+    assert config.older_grids(paths, ["TMI", "eU"]) == {"TMI": "a.gxf", "eU": "c"} and config.older_grids({}, ["TMI"]) == {}
+
+
+def test_artefacts_are_verified(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.csv").write_text("x\n1\n")
+    (tmp_path / "b.json").write_text("{}")
+    found = sinks.digests(spark, str(tmp_path))
+    right = hashlib.sha256(b"x\n1\n").hexdigest()
+    assert sinks.verify(found, {"a.csv": right}) == [] and found.count() == 2
+    assert sinks.verify(found, {"a.csv": right, "b.json": "0", "c": "1"}) == ["b.json: differs", "c: missing"]
+
+
+def test_random_means_and_repaired_rings(spark):
+    values = np.array([1.0, 4.0, np.nan, 2.0])
+    got = {r.draw: r.v for r in inference.random_means(spark, values, 2, 40, 3).collect()}
+    for r in inference.draws(spark, 40, 3).collect():
+        some = values[np.random.default_rng(r.seed & (2**63 - 1)).choice(4, 2, replace=False)]
+        assert np.isclose(got[r.draw], np.nanmean(some))
+    ring = [(0, 0), (0, 0), (0, 2), (2, 2), (2, 2), (2, 0)]
+    df = spark.createDataFrame([(1, polygon(ring, [(1, 1), (1, 1)])), (2, polygon([(0, 0), (1, 1), (2, 2)])), (3, polygon([(5, 5)]))], f"fid long, rings {G.RINGS}")
+    fixed = grids.fix_rings(df).collect()
+    assert [r.fid for r in fixed] == [1] and [(p.x, p.y) for p in fixed[0].rings[0]] == [(0, 0), (0, 2), (2, 2), (2, 0)] and len(fixed[0].rings) == 1
