@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .ordering import cut
 
 
+#: Edges that a task of a round holds, about: few edges are not spread over as many files as there are shuffle partitions.
+EDGES_A_TASK = 20_000
 #: Edges up to which each node's smallest neighbour is sent to all tasks (a row of two nodes for each).
 BROADCAST_EDGES = 200_000
 #: Of more edges a node's are dealt to several tasks: edges for each salt, and the most salts.
@@ -45,9 +47,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     n = edges.count()
+    parts = 1 + n // EDGES_A_TASK
     mark, salts = None, 0 if n <= BROADCAST_EDGES else min(MOST_SALTS, 1 + n // SALT_EDGES)
     for _ in range(most_rounds):
-        edges = cut(star(star(edges, True, salts), False, salts))
+        edges = cut(star(star(edges, True, salts), False, salts).coalesce(parts))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compare as C
 from ..operators import inference as I
-from ..operators.ordering import top
+from ..operators.ordering import number, top
 from ..operators.windows import Shape, windows
 from .adapters import EVENT_CELLS, event_cells, query, rounded, table
 
@@ -151,9 +151,11 @@ def random_band(spark, sf_dir):
     from . import recoveries as V
 
     deps, _, n = V.counted(spark, sf_dir)
-    rows = deps.toPandas()  # the footprints' cells
-    w = V.windows(V.event_cells(spark, sf_dir), V.EVENTS, ["v1"]).select("r0", "c0").toPandas().to_numpy()
-    owners = [np.flatnonzero((w[:, 0] <= r) & (r < w[:, 0] + 3) & (w[:, 1] <= c) & (c < w[:, 1] + 4)) for r, c in zip(rows["r"], rows["c"])]
+    placed = number(V.windows(V.event_cells(spark, sf_dir), V.EVENTS, ["v1"]).select("window_id", "r0", "c0"), [], ["window_id"], "at")
+    # Only the footprints' cells leave the executors, each with the windows that cover it.
+    over = V.V.window_cells(placed, 3, 4, "at").join(deps, ["r", "c"]).groupBy("dep_id", "r", "c").agg(F.sort_array(F.collect_list(F.col("at") - 1)).alias("owners"))
+    rows = deps.join(over, ["dep_id", "r", "c"], "left").orderBy("dep_id", "r", "c").toPandas()
+    owners = [np.array([] if o is None else o, dtype=int) for o in rows["owners"]]
     share = (rows["area"] / rows.groupby("dep_id")["area"].transform("sum") / rows["dep_id"].nunique()).to_numpy()
     return rounded(I.band(I.random_recovery(spark, owners, share, n, V.TOP, 200, 23)), "low", "mean", "high")
 
