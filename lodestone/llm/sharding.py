@@ -33,7 +33,7 @@ def shard(docs: DataFrame, weights: list[float] | int = 24, new_weight: float |
     Columns: the id, size (UTF-8 bytes of the text plus 8), text_crc32, law ("key"), shard, slot (gapless from 0 in each
     shard, by id, text_crc32 and size), grown_shard (with one more shard of new_weight, by default the mean weight). A
     null text has no bytes. The key is the id alone: rows of one id, null ids too, share a shard, also where that makes
-    the shard large. Equal rows get slots next to each other. Other columns are not read.
+    the shard large. Groups of equal texts are not kept together: equal texts of different ids need not meet. Equal rows get slots next to each other. Other columns are not read.
 
     Slots need no task to hold a whole shard: rows are ranged by shard and id over many partitions, numbered in each, and
     each partition's first slot is the sum of the shard's row counts before it.
