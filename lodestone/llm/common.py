@@ -6,6 +6,7 @@ import ctypes
 import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -88,14 +89,20 @@ _HELD: dict = {}
 
 
 def release() -> None:
-    """Drop what another operator left in this reused Python worker, and give the memory back where libc can."""
+    """Drop what another operator left in this reused Python worker."""
     if _HELD:
         _HELD.clear()
         gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except OSError:  # another libc: the memory stays with the process
-            pass
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as far as the allocators can: an idle worker shouldn't keep a task's peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another libc: the memory stays with the process
+        pass
 
 
 def held(key, build):

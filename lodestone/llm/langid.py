@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .bpe import in_groups
-from .common import bounded_sample, crc_mod, release
+from .common import bounded_sample, crc_mod, give_back, release
 
 SYMBOLS = 64
 #: One more than the largest code.
@@ -219,15 +219,17 @@ def predict(model: Model):
         release()
         letters = model.space.letters()
         for texts in series:
-            vectors = bundle([t if isinstance(t, str) else None for t in texts], letters)
-            norms = np.linalg.norm(vectors, axis=1)
-            known = norms > 0
             langs, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
-            if model.langs and known.any():
-                cosine = (vectors[known] / norms[known, None]) @ model.prototypes.T
-                langs[known] = np.array(model.langs, dtype=object)[cosine.argmax(axis=1)]
-                score[known] = np.clip(cosine.max(axis=1), 0, 1)
+            for lo in range(0, len(texts) if model.langs else 0, SLICE_ROWS):
+                vectors = bundle([t if isinstance(t, str) else None for t in texts.iloc[lo : lo + SLICE_ROWS]], letters)
+                norms = np.linalg.norm(vectors, axis=1)
+                known = np.flatnonzero(norms > 0)
+                if len(known):
+                    cosine = (vectors[known] / norms[known, None]) @ model.prototypes.T
+                    langs[lo + known] = np.array(model.langs, dtype=object)[cosine.argmax(axis=1)]
+                    score[lo + known] = np.clip(cosine.max(axis=1), 0, 1)
             yield pd.DataFrame({"lang": langs, "score": score})
+        give_back()
 
     return of
 

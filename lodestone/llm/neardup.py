@@ -22,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import cut, release
+from .common import cut, give_back, release
 
 TREES, DEPTH = 24, 6
 HASHES = TREES * DEPTH
 #: A label is a byte for the tree and DEPTH values of 4 bytes.
 LABEL = 1 + 4 * DEPTH
-GROUP_BYTES = 1_000_000
+GROUP_BYTES = 400_000
+#: Rows of an Arrow batch whose texts are Python strings at a time.
+SLICE_ROWS = 1000
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: Largest table of 16-byte keys that is broadcast; a larger one is joined by a shuffle.
@@ -263,7 +265,7 @@ def batches_of(texts: list[str]) -> Iterator[tuple[int, int]]:
 def sign(n: int):
     def run(batches):
         release()
-        for b in batches:
+        for b in (whole.slice(lo, SLICE_ROWS) for whole in batches for lo in range(0, whole.num_rows, SLICE_ROWS)):
             texts = b.column("text").to_pylist()
             first: dict[bytes, int] = {}
             keys = b.column("key").to_pylist()
@@ -275,6 +277,7 @@ def sign(n: int):
                 for whole, part in zip((labels, sketches), signatures(own[lo:hi], n)):
                     whole += part
             yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in fresh], pa.binary()), pa.array(labels, pa.binary()), pa.array(sketches, pa.binary())], names=["key", "sig", "sketch"])
+        give_back()
 
     return run
 
@@ -434,6 +437,7 @@ def verify(n: int, threshold: float):
                     b.append(int(order[j]))
                     links.append(0)
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(a, pa.int64())), keys.take(pa.array(b, pa.int64())), pa.array(links, pa.int64())], names=["a", "b", "links"])
+        give_back()
 
     return run
 

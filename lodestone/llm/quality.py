@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .bpe import in_groups
-from .common import crc_mod, cut, release, smallest_hashes
+from .common import crc_mod, cut, give_back, release, smallest_hashes
 
 #: Character classes: lower-case letter, upper-case letter, digit, space, symbol, exclamation mark, other mark.
 LOWER, UPPER, DIGIT, SPACE, SYMBOL, BANG, MARK = range(7)
@@ -29,7 +29,9 @@ SYMBOL_SIGNS = "#*$%&|<>"
 STATISTICS = 16
 #: Tasks that share the bounded sample.
 SAMPLE_TASKS = 8
-GROUP_CHARS = 2_000_000
+#: Rows of a batch that are measured at a time.
+SLICE_ROWS = 1000
+GROUP_CHARS = 500_000
 _CLASSES: list[np.ndarray] = []
 
 
@@ -183,9 +185,12 @@ def scorer(model: Model):
     """A column function: whole text to score."""
 
     @pandas_udf("double")
-    def of(series: pd.Series) -> pd.Series:
+    def of(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         release()
-        return pd.Series(model.score(statistics(series.tolist())))
+        for texts in series:
+            parts = [statistics(texts.iloc[lo : lo + SLICE_ROWS].tolist()) for lo in range(0, len(texts), SLICE_ROWS)]
+            yield pd.Series(model.score(np.concatenate(parts)) if parts else [], dtype="float64")
+        give_back()
 
     return of
 
