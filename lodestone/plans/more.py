@@ -17,7 +17,7 @@ from ..operators.runs import reference_patch
 from ..operators.compare import has_any
 from ..operators.windows import Shape, circle_mask, circle_template, no_nan, resample, template, windows
 from ..sources import grids, sinks
-from .adapters import CELLS, DAYS, EVENT_CELLS, HOURS, LINES, VECTORS, event_cells, event_windows, pca, query, rounded, table, vectors
+from .adapters import CELLS, DAYS, EVENT_CELLS, HOURS, VECTORS, event_cells, event_windows, pca, query, rounded, table, vectors
 from .geometry import NEXT, SPOTS, polygons, spots
 from .matrices import EV1
 from .overlays import FULL, RARE, all_windows, full, rare
@@ -160,11 +160,10 @@ def recovery_by_k(spark, sf_dir):
     return rounded(V.by_k(r, cut(V.box_cells(footprints(spark), CELLS)), 3, 4, TOP, COVER).select("k", "end_fraction", "n_hits"), "end_fraction")
 
 
-@query(f"with {FULL}, first_ as (select window_id, r0, c0 from win order by window_id limit 20), n as (select window_id, k, count(*) as n from first_ join full_ on r between r0 and r0 + 5 and c between c0 and c0 + 4 group by 1, 2), p as (select *, row_number() over (partition by window_id order by n desc, k) as place, sum(n) over (partition by window_id) as total from n) select window_id, max(case when place = 1 then k end) as mode, round(max(case when place = 1 then n / total end), 6) as share, string_agg(k || ':' || n, ';' order by place) as tally from p group by 1")
-def top_windows_classes(spark, sf_dir):
-    """The classes of a thematic map under the first 20 windows, a top-k report."""
-    first = all_windows(spark, sf_dir).orderBy("window_id").limit(20)
-    under = V.window_cells(first, 6, 5, "window_id").join(full(spark, sf_dir).select("r", "c", "k"), ["r", "c"])
+@query(f"with {FULL}, n as (select window_id, k, count(*) as n from win join full_ on r between r0 and r0 + 5 and c between c0 and c0 + 4 group by 1, 2), p as (select *, row_number() over (partition by window_id order by n desc, k) as place, sum(n) over (partition by window_id) as total from n) select window_id, max(case when place = 1 then k end) as mode, round(max(case when place = 1 then n / total end), 6) as share, string_agg(k || ':' || n, ';' order by place) as tally from p group by 1")
+def classes_under_windows(spark, sf_dir):
+    """The classes of a thematic map under every window."""
+    under = V.window_cells(all_windows(spark, sf_dir), 6, 5, "window_id").join(full(spark, sf_dir).select("r", "c", "k"), ["r", "c"])
     return rounded(O.tally(under, ["window_id"], "k"), "share")
 
 
@@ -207,13 +206,6 @@ def densified_lines(spark, sf_dir):
     return rounded(grids.densify(lines, 2.0), "x", "y").distinct()
 
 
-@query(f"with {FULL}, w0 as (select * from win where window_id in (0, 5, 30, 77)) select window_id, round(sum(v::int) / 30.0, 6) as cover from w0 join full_ on r between r0 and r0 + 5 and c between c0 and c0 + 4 group by 1")
-def coverage_of_few(spark, sf_dir):
-    """Coverage of chosen windows by joining their cells."""
-    some = all_windows(spark, sf_dir).where(F.col("window_id").isin(0, 5, 30, 77))
-    return rounded(O.coverage_join(some, full(spark, sf_dir).withColumn("v", F.col("v").cast("double")), LINES.h, LINES.w), "cover")
-
-
 @query("with a as (select (l_quantity - 1)::int as c, (l_linenumber - 1)::int as r, count(*)::double as n from lineitem group by 1, 2) select r * 2 as y0, c as x0, n as total from a")
 def grid_on_map(spark, sf_dir):
     """Cells of a grid with two units a row, by the corner they have on the map."""
