@@ -70,11 +70,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exacttopk import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefixtrie import trie
+
+    return trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from .sql import HOST_RULES, NEAR_DUPLICATES
+    from .sql import EXACT_TOPK, HOST_RULES, IMPORTANCE, NEAR_DUPLICATES, PREFIX_TRIE
 
-    return {"op4_near_duplicates": NEAR_DUPLICATES, "op6_host_rules": HOST_RULES}
+    return {"op4_near_duplicates": NEAR_DUPLICATES, "op6_host_rules": HOST_RULES, "op11_exact_topk": EXACT_TOPK, "op12_prefix_trie": PREFIX_TRIE, "op13_importance": IMPORTANCE}
