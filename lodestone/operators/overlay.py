@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Affine, bounds, contains
@@ -13,7 +13,6 @@ from .ordering import quantiles
 from .recovery import window_cells
 
 
-
 def burn(polygons: DataFrame, t: Affine, height: int, width: int, value: str | None = None) -> DataFrame:
     """(r, c[, value]) of cells whose centres lie in a polygon; of several the one of largest fid has its value kept."""
     b = polygons.select("*", bounds(F.col("rings")).alias("b"))
@@ -36,6 +35,49 @@ def burn_touched(points: DataFrame, t: Affine) -> DataFrame:
     return points.select(F.floor(row).cast("int").alias("r"), F.floor(col).cast("int").alias("c")).distinct()
 
 
+def crossed_cells(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Cells (r, c) that a straight way passes through; x counts columns and y rows. A way along a border belongs to the
+    cells on its right or below, a way of no length to the cell of its point.
+
+    The way is cut where it meets a line between cells; the middle of each piece lies in one cell, whatever the slope.
+    """
+    zero, one = F.lit(0.0), F.lit(1.0)
+
+    def meetings(a: Column, b: Column) -> Column:
+        low, high = F.ceil(F.least(a, b)).cast("long"), F.floor(F.greatest(a, b)).cast("long")
+        return F.when((a == b) | (low > high), F.array().cast("array<double>")).otherwise(F.transform(F.sequence(low, F.greatest(low, high)), lambda k: (k - a) / F.when(a != b, b - a)))
+
+    at = F.array_sort(F.array_distinct(F.concat(F.array(zero, one), F.filter(F.concat(meetings(x1, x2), meetings(y1, y2)), lambda t: (t > 0) & (t < 1)))))
+    middle = F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda a, b: (a + b) / 2)
+    cell = lambda t: F.struct(F.floor(y1 + t * (y2 - y1)).cast("int").alias("r"), F.floor(x1 + t * (x2 - x1)).cast("int").alias("c"))
+    return F.array_distinct(F.transform(middle, cell))
+
+
+def burn_lines(layer: DataFrame, t: Affine, height: int | None = None, width: int | None = None) -> DataFrame:
+    """(r, c) of all cells that lines, outlines or points of a layer (kind, rings) pass through, each once.
+
+    Polygons' rings are closed, lines are not; a ring of one point is a point. Nothing of a line is lost between points, as
+    each segment finds its own cells. With height and width cells outside the grid are left out.
+    """
+    rings = layer.select(F.col("kind"), F.explode("rings").alias("ring")).where(F.size("ring") > 0)
+    n = F.size("ring")
+    last = F.when(F.col("kind") == "Polygon", n).otherwise(F.greatest(n - 1, F.lit(1)))
+    pair = lambda i: F.struct(F.get("ring", i).alias("p"), F.get("ring", F.when(n == 1, 0).otherwise((i + 1) % n)).alias("q"))
+    seg = rings.select(F.explode(F.transform(F.sequence(F.lit(0), last - 1), pair)).alias("s"))
+    row1, col1 = t.to_cell(F.col("s.p.x"), F.col("s.p.y"))
+    row2, col2 = t.to_cell(F.col("s.q.x"), F.col("s.q.y"))
+    cells = seg.select(F.explode(crossed_cells(col1, row1, col2, row2)).alias("k")).select("k.r", "k.c")
+    if height is not None and width is not None:
+        cells = cells.where((F.col("r") >= 0) & (F.col("r") < height) & (F.col("c") >= 0) & (F.col("c") < width))
+    return cells.distinct()
+
+
+def burn_all_touched(polygons: DataFrame, t: Affine, height: int, width: int) -> DataFrame:
+    """(r, c) of cells of which a polygon (fid, rings) holds any part: those its outline passes, and those inside."""
+    outline = burn_lines(polygons.select(F.lit("Polygon").alias("kind"), "rings"), t, height, width)
+    return outline.union(burn(polygons, t, height, width)).distinct()
+
+
 def integral(mask: DataFrame, value: str = "v") -> DataFrame:
     """(r, c, s): sums over all cells above and to the left, the cell included. mask has a row for every cell."""
     down = Window.partitionBy("c").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)

@@ -1,6 +1,6 @@
 """Registered queries and the SQL that says the same."""
 
-from . import extras, geometry, matrices, more, overlays, rankings, recoveries, results  # noqa: F401
+from . import extras, geometry, matrices, more, overlays, polygons, rankings, recoveries, results  # noqa: F401
 from .adapters import QUERIES, SQL
 
 
