@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import cut
+from .ordering import Rounds, cut
 
 
 #: Edges that a task of a round holds, about: few edges are not spread over as many files as there are shuffle partitions.
@@ -48,9 +48,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     n = edges.count()
     parts = 1 + n // EDGES_A_TASK
+    rounds = Rounds(edges.sparkSession)
     mark, salts = None, 0 if n <= BROADCAST_EDGES else min(MOST_SALTS, 1 + n // SALT_EDGES)
     for _ in range(most_rounds):
-        edges = cut(star(star(edges, True, salts), False, salts).coalesce(parts))
+        edges = rounds.write(star(star(edges, True, salts), False, salts).coalesce(parts))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break

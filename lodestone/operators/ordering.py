@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Rounds:
+    """Tables of a loop's rounds in the shared folder; a table goes when the one after its next is written.
+
+    A checkpoint remembers how large the planner guessed its rows to be, and the guess for a join is the product of both
+    sides: over the rounds of a loop its digits double until planning takes longer than the work. A table that is read back
+    has the size of its files.
+    """
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.kept = spark, []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.spark.sparkContext.getCheckpointDir()}/round-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.kept.append(path)
+        if len(self.kept) > 2:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(self.kept.pop(0))
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def number(df: DataFrame, groups: list[str], order: list, name: str) -> DataFrame:
     """df with a gapless number from 1 in each group (in all rows, without groups), in the given order.
 

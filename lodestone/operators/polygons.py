@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import signed_area
-from .ordering import cut
+from ..functions.geometry import RINGS, signed_area
+from .ordering import Rounds, cut
 
 #: Groups whose extents are sent to all tasks (some tens of bytes each); those of more groups are joined by a shuffle.
 BROADCAST_GROUPS = 500_000
@@ -181,12 +181,13 @@ def rings_of(edges: DataFrame, snap: float) -> DataFrame:
     later = F.first("goes", ignorenulls=True).over(around.rowsBetween(1, Window.unboundedFollowing))
     first = F.first("goes", ignorenulls=True).over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     links = leaving.unionByName(coming).withColumn("to", F.coalesce(later, first)).where("came is not null and to is not null")
-    now = cut(links.select(F.col("came").alias("e"), "to", F.col("came").alias("least"), F.lit(0).cast("long").alias("away")))
+    rounds = Rounds(edges.sparkSession)
+    now = rounds.write(links.select(F.col("came").alias("e"), "to", F.col("came").alias("least"), F.lit(0).cast("long").alias("away")))
     reach = 1
     while True:
-        ahead = now.select(F.col("e").alias("to"), F.col("to").alias("next"), F.col("least").alias("there"), F.col("away").alias("from there"))
+        ahead = now.select(F.col("e").alias("to"), F.col("to").alias("next"), F.col("least").alias("there"), F.col("away").alias("further"))
         lower = F.col("there") < F.col("least")
-        moved = cut(now.join(ahead, "to").select("e", F.col("next").alias("to"), F.least("least", "there").alias("least"), F.when(lower, reach + F.col("from there")).otherwise(F.col("away")).alias("away"), lower.alias("changed")))
+        moved = rounds.write(now.join(ahead, "to").select("e", F.col("next").alias("to"), F.least("least", "there").alias("least"), F.when(lower, reach + F.col("further")).otherwise(F.col("away")).alias("away"), lower.alias("changed")))
         now, reach = moved.drop("changed"), 2 * reach
         if not moved.where("changed").limit(1).count():
             break
@@ -223,7 +224,8 @@ def combined(parts: DataFrame, way: str = "union", rules: tuple[str, str] = ("no
     kept = sided.withColumns({"on left": inside("l"), "on right": inside("r")}).where(F.col("on left") != F.col("on right"))
     pick = lambda a, b: F.when(F.col("on right"), F.col(a)).otherwise(F.col(b))
     kept = kept.select("gid", pick("x1", "x2").alias("a1"), pick("y1", "y2").alias("b1"), pick("x2", "x1").alias("a2"), pick("y2", "y1").alias("b2")).toDF("gid", *SEGMENT)
-    return parts.select("gid").distinct().join(rings_of(kept, snap), "gid", "left").withColumn("rings", F.coalesce("rings", F.array().cast("array<array<struct<x:double,y:double>>>")))
+    # Rings are read many times by whatever measures them, so they are made once.
+    return cut(parts.select("gid").distinct().join(rings_of(kept, snap), "gid", "left").withColumn("rings", F.coalesce("rings", F.array().cast(RINGS))))
 
 
 def overlay(a: DataFrame, b: DataFrame, way: str, key: str = "fid", snap: float = 1e-7) -> DataFrame:
@@ -250,7 +252,7 @@ def dissolve(layer: DataFrame, key: str, matched: bool = False, snap: float = 1e
     back = F.col("wa") > 0  # outlines run anticlockwise there, and clockwise in a layer
     pick = lambda a, b: F.when(back, F.col(a)).otherwise(F.col(b))
     turned = left.select("gid", pick("x2", "x1").alias("a1"), pick("y2", "y1").alias("b1"), pick("x1", "x2").alias("a2"), pick("y1", "y2").alias("b2")).toDF("gid", *SEGMENT)
-    return rings_of(turned, snap).withColumnRenamed("gid", key)
+    return cut(rings_of(turned, snap)).withColumnRenamed("gid", key)
 
 
 def boundary_lines(layer: DataFrame, key: str, snap: float = 1e-7) -> DataFrame:
