@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import Rounds
 from .common import cut, number_in_groups
 
 #: A node to which more rows point is looked up apart, and this many such nodes may be sent to all tasks.
@@ -133,20 +134,20 @@ def roll_up(nodes: DataFrame, sums: list[str], deepest: int) -> DataFrame:
     none = F.lit(None).cast("long")
     now = nodes.withColumns({"ta": F.col("pa"), "tb": F.col("pb"), "parent_conv_id": none, "n_children": F.lit(0).cast("long")}).drop("pa", "pb")
     root = nodes.where("depth = 0").select("conv_id").first()[0]
-    reach = 1
+    rounds, reach = Rounds(nodes.sparkSession), 1
     while reach <= deepest:
         given = now.where(F.col("depth") >= reach).groupBy(F.col("ta").alias("a"), F.col("tb").alias("b")).agg(F.count(F.lit(1)).alias("fan"), *[F.sum(c).alias(f"more {c}") for c in sums])
         now = now.join(given, ["a", "b"], "left").withColumns({c: F.col(c) + F.coalesce(F.col(f"more {c}"), F.lit(0)) for c in sums}).drop(*[f"more {c}" for c in sums])
         if reach == 1:
             now = now.withColumns({"n_children": F.coalesce("fan", F.lit(0).cast("long")), "parent_conv_id": F.when(F.col("depth") == 1, root)})
-        now = cut(now)
+        now = rounds.write(now)
         # Nodes at most 2 * reach - 1 deep point to no further node; the root is never looked up.
         above = now.where((F.col("depth") >= reach) & F.col("fan").isNotNull()).select("a", "b", "fan", F.col("ta").alias("na"), F.col("tb").alias("nb"), F.col("conv_id").alias("above"))
         still = now.where(F.col("depth") < 2 * reach).drop("fan").withColumns({"ta": none, "tb": none})
         moved = look_up(now.where(F.col("depth") >= 2 * reach).drop("fan"), ["ta", "tb"], above).withColumns({"ta": F.col("na"), "tb": F.col("nb")})
         if reach == 1:
             moved = moved.withColumn("parent_conv_id", F.col("above"))
-        now = cut(still.unionByName(moved.drop("na", "nb", "above")))
+        now = rounds.write(still.unionByName(moved.drop("na", "nb", "above")))
         reach *= 2
     return now
 
