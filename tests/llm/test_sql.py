@@ -11,9 +11,10 @@ from lodestone.llm import queries
 def test_query(name, spark):
     folder = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    con.register("documents", ds.dataset(f"{folder}/documents.parquet").to_table())
-    got, want = queries.queries()[name](spark, folder).toPandas(), con.sql(queries.oracle_sql()[name]).df()
-    assert sorted(got.columns) == sorted(want.columns)
-    c = sorted(got.columns)
-    plain = lambda f: sorted(tuple(str(v) for v in r) for r in f[c].itertuples(index=False))
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
+        con.register(t, ds.dataset(f"{folder}/{t}.parquet").to_table())
+    got, want = queries.queries()[name](spark, folder).toArrow(), con.sql(queries.oracle_sql()[name]).to_arrow_table()
+    c = sorted(got.column_names)
+    assert c == sorted(want.column_names)
+    plain = lambda t: sorted(tuple(map(str, r)) for r in zip(*(t.column(n).to_pylist() for n in c)))
     assert plain(got) == plain(want)
