@@ -48,6 +48,14 @@ class Rounds:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def number(df: DataFrame, groups: list[str], order: list, name: str) -> DataFrame:
     """df with a gapless number from 1 in each group (in all rows, without groups), in the given order.
 
