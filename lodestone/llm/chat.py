@@ -81,7 +81,7 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str, int]]]:
 
 
 def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
+    for f in (whole.iloc[lo : lo + 1000].copy() for whole in frames for lo in range(0, len(whole), 1000)):
         parsed = [parse(t if isinstance(t, str) else None) for t in f["text"]]
         f["own"] = [p[0] for p in parsed]
         f["found"] = [[{"level": a, "hash": b, "chars": c} for a, b, c in p[1]] for p in parsed]
@@ -113,7 +113,12 @@ def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     # Turns are dealt to stretches, so that a line that a long conversation repeats is not ranked in one task: each stretch
     # gets the last writer of the stretches before it, and looks for a later one among its own.
     own_at = F.when(F.col("level") == 0, F.col("at"))
-    said = said.join(quoted, ["key", "hash"], "left_semi").withColumn("stretch", F.floor(F.col("at") / stretch))
+    # The quoted passages are named once for each stretch, so that the rows of a line that a long conversation repeats are
+    # dealt before they meet them.
+    said = said.withColumn("stretch", F.floor(F.col("at") / stretch))
+    places = said.select("key", "stretch").distinct()
+    quoted = quoted.join(places, "key")
+    said = said.join(quoted, ["key", "hash", "stretch"], "left_semi")
     before = Window.partitionBy("key", "hash").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     carried = said.groupBy("key", "hash", "stretch").agg(F.max(own_at).alias("last")).withColumn("carried", F.last("last", ignorenulls=True).over(before)).drop("last")
     earlier = Window.partitionBy("key", "hash", "stretch").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.ordering import cut, ensure_checkpoint_dir
+from ..operators.ordering import cut, ensure_checkpoint_dir, free_name
 
 #: Unicode White_Space, as the tokenizer patterns mean it (fixed values of the Unicode standard).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -65,18 +65,19 @@ def number_in_groups(df: DataFrame, groups: list[str], order: list[str], name: s
 
     Rows are ranged by group and order over many partitions and numbered in each; a partition's first number is the sum
     of the group's row counts in the partitions before it. Rows equal in all of these columns get numbers next to each
-    other. df must not have columns named like the helpers ("part of rows", "row of rows").
+    other. Columns of df keep their names and values, whatever they are called; name itself is the number.
     """
-    rows = df.withColumn("row of rows", F.monotonically_increasing_id())
-    order = [*order, "row of rows"]
+    row, part, n, first_row = (free_name(df, c) for c in ("row of rows", "part of rows", "rows", "first"))
+    rows = df.withColumn(row, F.monotonically_increasing_id())
+    order = [*order, row]
     spread = rows.repartitionByRange(partitions, *groups, *order) if partitions else rows.repartitionByRange(*groups, *order)
-    placed = cut(spread.withColumn("part of rows", F.spark_partition_id()))
-    keys = [*groups, "part of rows"]
-    counts = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    before = Window.partitionBy(*groups).orderBy("part of rows").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(*keys, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
+    placed = cut(spread.withColumn(part, F.spark_partition_id()))
+    keys = [*groups, part]
+    counts = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(*groups).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(*keys, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first_row))
     numbered = placed.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).join(first, keys)
-    return numbered.withColumn(name, (F.col("first") + F.col(name) - 1).cast("long")).drop("first", "row of rows", "part of rows")
+    return numbered.withColumn(name, (F.col(first_row) + F.col(name) - 1).cast("long")).drop(first_row, row, part)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .bpe import in_groups
-from .common import bounded_sample, crc_mod, give_back, release
+from .common import bounded_sample, crc_mod, free_name, give_back, release
 
 SYMBOLS = 64
 #: One more than the largest code.
@@ -253,5 +253,5 @@ def fit_on_fold(docs: DataFrame, folds: int = 3, held: int = 1, **options) -> Mo
 def keep_known(docs: DataFrame, model: Model, least: float = 0.2, text_col: str = "text") -> DataFrame:
     """Rows whose language is known with a cosine of least or more; the columns of docs are kept as they are."""
     p = predict(model)(F.col(text_col))
-    name = "language of row"
+    name = free_name(docs, "language of row")
     return docs.withColumn(name, p).where((F.col(f"`{name}`.lang") != UNKNOWN) & (F.col(f"`{name}`.score") >= least)).drop(name)

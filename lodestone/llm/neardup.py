@@ -12,6 +12,7 @@ pairs of a group: blocks give link counts and a spanning forest of the links.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import cut, give_back, release
+from .common import cut, free_name, give_back, release
 
 TREES, DEPTH = 24, 6
 HASHES = TREES * DEPTH
@@ -35,6 +36,10 @@ BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: Largest table of 16-byte keys that is broadcast; a larger one is joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Labels that a task sorts and holds, about: the number of tasks follows the number of texts.
+TASK_LABELS = 400_000
+#: Rows of one text beyond which what is known of it is sent to all tasks, so that no task gets all these rows.
+CROWDED = 1000
 
 
 def odd_numbers(n: int, seed: int) -> np.ndarray:
@@ -195,16 +200,21 @@ def choose(shortest: int, threshold: float, crowd: int, turn: int, over: dict[by
     """
     miss = np.log1p(-(threshold ** np.arange(shortest, DEPTH + 1)))
     missed = np.append(miss - miss[0], -miss[0])
+    prefixes = sorted(over)
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             label, sizes = bytes_matrix(b.column("label"), LABEL), b.column("sizes").flatten().to_numpy().reshape(b.num_rows, -1).copy()
-            for i in np.flatnonzero(np.asarray(b.column("edge"))).tolist() if over else ():
-                whole = label[i].tobytes()
-                for k in range(sizes.shape[1]):
-                    sizes[i, k] = over.get(whole[: 1 + 4 * (shortest + k)], sizes[i, k])
+            edge = np.flatnonzero(np.asarray(b.column("edge"))) if over else ()
+            if len(edge):
+                some = label[edge]
+                # Labels come in order, so few of the runs over ends begin between the first and the last of them.
+                low, high = some[0].tobytes(), some[-1].tobytes()
+                for key in prefixes[bisect.bisect_left(prefixes, low[: 1 + 4 * shortest]) : bisect.bisect_right(prefixes, high)]:
+                    hit = (some[:, : len(key)] == np.frombuffer(key, dtype=np.uint8)).all(axis=1)
+                    sizes[edge[hit], (len(key) - 1) // 4 - shortest] = over[key]
             fits = sizes <= crowd
             at = np.where(fits.any(axis=1), fits.argmax(axis=1), sizes.shape[1])
             rows = np.where(at < sizes.shape[1], sizes[np.arange(len(at)), np.minimum(at, sizes.shape[1] - 1)], 0)
@@ -230,8 +240,9 @@ def forest(signed: DataFrame, threshold: float, recall: float, crowd: int = 64)
     allowed = float(np.log1p(-recall) - TREES * np.log1p(-(threshold**shortest)))
     labels = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("sig", t * LABEL + 1, F.lit(LABEL)))
     found, active, rows, turn = None, signed, signed.count(), 0
+    usual = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        leaves = active.select(F.explode(labels).alias("label"), "key").repartitionByRange("label", "key").sortWithinPartitions("label", "key")
+        leaves = active.select(F.explode(labels).alias("label"), "key").repartitionByRange(max(usual, -(-rows * TREES // TASK_LABELS)), "label", "key").sortWithinPartitions("label", "key")
         nodes = cut(leaves.mapInArrow(trie_nodes(shortest), "label binary, key binary, part int, edge boolean, sizes array<int>"))
         # One row for each task of the sort, not of the data.
         ends = nodes.groupBy("part").agg(F.min(F.struct("label", "sizes")).alias("first"), F.max(F.struct("label", "sizes")).alias("last")).orderBy("part").collect()
@@ -489,7 +500,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     found = cut(checked.mapInArrow(verify(n, threshold), "a binary, b binary, links long"))
     links = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     classes = components(found.where("b is not null").select("a", "b"))
-    out = members.join(copies, "key", "left").join(links, "key", "left").join(classes.select(F.col("node").alias("key"), "component"), "key", "left")
+    # What is known of a text is found text by text; its rows then meet it, those of a text with very many rows not in one task.
+    known = copies.join(links, "key", "left").join(classes.select(F.col("node").alias("key"), "component"), "key", "left")
+    out = with_known(members, cut(known))
     alone = F.concat(F.lit("row "), F.col("row").cast("string")).cast("binary")
     out = cut(out.withColumn("class", F.coalesce("component", "key", alone)))
     # Rows alone in their class need no look at others. Of the rest a large class is dealt to parts, none meets in one task.
@@ -506,23 +519,35 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     )
 
 
+def with_known(members: DataFrame, known: DataFrame) -> DataFrame:
+    """members with what is known of their key (key, copies, ...), null without one."""
+    usual = members.join(known, "key", "left")
+    crowded = known.where(F.col("copies") > CROWDED)
+    if not 0 < crowded.count() <= BROADCAST_KEYS:
+        return usual
+    few, names = F.broadcast(crowded), F.broadcast(crowded.select("key"))
+    rest = members.join(names, "key", "left_anti").join(known.where(F.col("copies") <= CROWDED), "key", "left")
+    return members.join(few, "key").unionByName(rest)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one row of each near-duplicate class, the one of smallest id; all columns are kept as they are.
 
     Rows equal in id and text stay once. Rows with a null text all stay.
     """
     judged = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    per = cut(judged.where("text_key is not null").groupBy(F.col(id_col).alias("judged id"), F.col("text_key").alias("judged key")).agg(F.count(F.lit(1)).alias("rows"), F.max("kept").alias("kept")))
-    same = F.col("judged id").eqNullSafe(docs[id_col]) & (F.col("judged key") == text_key(docs[text_col]))
+    who, what = free_name(docs, "judged id"), free_name(docs, "judged key")
+    per = cut(judged.where("text_key is not null").groupBy(F.col(id_col).alias(who), F.col("text_key").alias(what)).agg(F.count(F.lit(1)).alias("rows"), F.max("kept").alias("kept")))
+    same = F.col(f"`{who}`").eqNullSafe(docs[id_col]) & (F.col(f"`{what}`") == text_key(docs[text_col]))
 
     def bounded(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
 
-    gone = per.where("not kept or rows > 1").select("judged id", "judged key")
+    gone = per.where("not kept or rows > 1").select(who, what)
     out = docs.join(bounded(gone), same, "left_anti")
-    again = per.where("kept and rows > 1").select("judged id", "judged key")
+    again = per.where("kept and rows > 1").select(who, what)
     if again.count():
-        mark = "key of row"
+        mark = free_name(docs, "key of row")
         once = docs.join(bounded(again), same, "left_semi").withColumn(mark, text_key(docs[text_col]))
         out = out.unionByName(once.dropDuplicates([id_col, mark]).drop(mark))
     return out

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .bpe import in_groups
-from .common import crc_mod, cut, give_back, release, smallest_hashes
+from .common import crc_mod, cut, free_name, give_back, release, smallest_hashes
 
 #: Character classes: lower-case letter, upper-case letter, digit, space, symbol, exclamation mark, other mark.
 LOWER, UPPER, DIGIT, SPACE, SYMBOL, BANG, MARK = range(7)
@@ -212,5 +212,5 @@ def fit_on_fold(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int =
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """Rows that score threshold or more; the columns of docs are kept as they are."""
-    name = "score of row"
+    name = free_name(docs, "score of row")
     return docs.withColumn(name, scorer(model)(F.col(text_col))).where(F.col(f"`{name}`") >= threshold).drop(name)

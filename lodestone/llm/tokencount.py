@@ -118,7 +118,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
 
     def run(batches):
         counter = counter_of(pieces.value)
-        for batch in batches:
+        for batch in (whole.slice(lo, 1000) for whole in batches for lo in range(0, whole.num_rows, 1000)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             tokens, words = [], []
             for a, b in in_groups(texts):
