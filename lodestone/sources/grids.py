@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,26 +35,14 @@ def read_csv_grid(spark: SparkSession, path: str, header: bool = True, sep: str
 
 
 def read_float32_grid(spark: SparkSession, path: str, width: int, nodata: float | None = None, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None, big_endian: bool = False) -> DataFrame:
-    """(r, c, v) of a headerless float32 grid. Each record is one grid row, so the file is read in parallel splits.
+    """(r, c, v) of a headerless float32 grid, read in byte ranges; the file's size gives its height.
 
-    rows and cols cut before cells are made. nodata is compared as float32; it and NaN are null.
+    Only the rows and columns asked for are read. nodata is compared as float32; it and NaN are null.
     """
-    numbered = spark.sparkContext.binaryRecords(path, 4 * width).zipWithIndex().map(lambda x: (x[1], x[0]))
-    lines = spark.createDataFrame(numbered, "r long, raw binary")
-    if rows:
-        lines = lines.where((F.col("r") >= rows[0]) & (F.col("r") < rows[1]))
-    lo, hi = cols or (0, width)
-    kind = ">f4" if big_endian else "<f4"
-
-    def cells(batches):
-        for b in batches:
-            for r, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                v = np.frombuffer(raw, dtype=kind)[lo:hi].astype(np.float32)
-                bad = np.isnan(v) if nodata is None else np.isnan(v) | (v == np.float32(nodata))
-                n = len(v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r, np.int32)), pa.array(np.arange(lo, hi, dtype=np.int32)), pa.array(v.astype(np.float64), mask=bad)], names=["r", "c", "v"])
-
-    return lines.mapInArrow(cells, "r int, c int, v double")
+    from .raster import file_size, read_raster
+
+    span = lambda x: None if x is None else f"{x[0]}:{x[1]}"
+    return read_raster(spark, path, width=width, height=file_size(path) // (4 * width), order="big" if big_endian else "little", nodata=nodata, rows=span(rows), cols=span(cols))
 
 
 def read_header(text: str) -> dict[str, str]:
