@@ -11,9 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -256,6 +258,7 @@ class Ellipsoid:
 #: Fixed values of the public ellipsoids.
 WGS84 = Ellipsoid(6378137.0, 298.257223563)
 GRS67 = Ellipsoid(6378160.0, 298.25)
+GRS80 = Ellipsoid(6378137.0, 298.257222101)
 #: Series coefficients of published tables: for each order the factors of n, n**2, ... (fixed values).
 FORWARD = (
     (1 / 2, -2 / 3, 5 / 16, 41 / 180, -127 / 288, 7891 / 37800),
@@ -366,43 +369,77 @@ def from_grid(g: Grid, x, y) -> Column:
     return pairs(lambda u, v: from_grid_arrays(g, u, v), x, y)
 
 
-def crs_grid(name: str) -> Grid | None:
-    """Grid of a CRS name: a WGS84 UTM zone (EPSG:32601-32660 north, 32701-32760 south), or None for degrees (EPSG:4326)."""
+#: Geocentric shift from the older South American datum to the present one, in metres (fixed values, as published).
+OLDER_DATUM = (-67.35, 3.88, -38.22)
+
+
+@dataclass(frozen=True)
+class System:
+    """A reference system: a grid, or degrees where there is none, on an ellipsoid that is shifted against that of WGS84."""
+
+    grid: Grid | None
+    ellipsoid: Ellipsoid
+    shift: tuple[float, float, float] = (0.0, 0.0, 0.0)
+
+
+#: Zones of transverse Mercator grids by EPSG code: first code, first zone, last zone, south, datum (fixed values, as
+#: published). Degrees of a datum have a code of their own.
+ZONES = (
+    (32601, 1, 60, False, "wgs84"), (32701, 1, 60, True, "wgs84"), (31965, 11, 22, False, "sirgas"), (31977, 17, 25, True, "sirgas"),
+    (29168, 18, 22, False, "older"), (29188, 18, 25, True, "older"),
+)
+DEGREES = {4326: "wgs84", 4674: "sirgas", 4618: "older"}
+DATUMS = {"wgs84": (WGS84, (0.0, 0.0, 0.0)), "sirgas": (GRS80, (0.0, 0.0, 0.0)), "older": (GRS67, OLDER_DATUM)}
+
+
+def system(name: str) -> System:
+    """The system of a CRS name: degrees (EPSG:4326, 4674, 4618) or a UTM zone of WGS84, SIRGAS 2000 or the older South
+    American datum. Raises for others."""
     kind, _, code = name.strip().upper().partition(":")
     number = int(code) if kind == "EPSG" and code.isdigit() else 0
-    if number == 4326:
-        return None
-    if number // 100 in (326, 327) and 1 <= number % 100 <= 60:
-        return Grid(central_meridian=6.0 * (number % 100) - 183, northing=0.0 if number // 100 == 326 else 10_000_000.0)
-    raise ValueError(f"unknown CRS {name!r}; known: EPSG:4326, EPSG:32601-32660, EPSG:32701-32760")
+    if number in DEGREES:
+        return System(None, *DATUMS[DEGREES[number]])
+    for first, low, high, south, datum in ZONES:
+        if 0 <= number - first <= high - low:
+            ellipsoid, shift = DATUMS[datum]
+            return System(Grid(ellipsoid, 6.0 * (low + number - first) - 183, northing=10_000_000.0 if south else 0.0), ellipsoid, shift)
+    raise ValueError(f"unknown CRS {name!r}; known: EPSG:4326, 4674, 4618 and UTM zones of EPSG:326xx, 327xx, 31965-31985, 29168-29172, 29188-29195")
+
+
+def crs_grid(name: str) -> Grid | None:
+    """Grid of a CRS name, None for degrees."""
+    return system(name).grid
+
+
+def moved_arrays(a: System, b: System, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates led from one system to another: off the grid, over the geocentric shift between datums, onto the grid."""
+    lon, lat = (x, y) if a.grid is None else from_grid_arrays(a.grid, x, y)
+    if a.shift != b.shift:
+        at = to_geocentric(a.ellipsoid, lon, lat)
+        lon, lat = from_geocentric(b.ellipsoid, *(p + s - t for p, s, t in zip(at, a.shift, b.shift)))
+    return (lon, lat) if b.grid is None else to_grid_arrays(b.grid, lon, lat)
 
 
 def reproject(polygons: DataFrame, source: str, target: str) -> DataFrame:
-    """polygons with the points of rings moved from one CRS to another of the same datum; both as crs_grid names them."""
-    a, b = crs_grid(source), crs_grid(target)
+    """polygons with the points of rings moved from one CRS to another, as system names them. Datums without a shift between
+    them share their degrees. All points of a batch are moved as two arrays."""
+    a, b = system(source), system(target)
     if a == b:
         return polygons
 
-    @pandas_udf("array<array<struct<x:double,y:double>>>")
-    def moved(column: pd.Series) -> pd.Series:
-        out = []
-        for rings in column:
-            new = []
-            for ring in rings:
-                x, y = np.array([p["x"] for p in ring], dtype=float), np.array([p["y"] for p in ring], dtype=float)
-                x, y = (x, y) if a is None else from_grid_arrays(a, x, y)
-                x, y = (x, y) if b is None else to_grid_arrays(b, x, y)
-                new.append([{"x": float(u), "y": float(v)} for u, v in zip(x, y)])
-            out.append(new)
-        return pd.Series(out)
+    @arrow_udf(RINGS)
+    def moved(rings: pa.Array) -> pa.Array:
+        inner = rings.flatten()
+        points = inner.flatten()
+        x, y = (pc.struct_field(points, c).to_numpy(zero_copy_only=False).astype(np.float64) for c in "xy")
+        x, y = moved_arrays(a, b, x, y)
+        ends = lambda lists: np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int32)
+        made = pa.ListArray.from_arrays(ends(inner), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"]))
+        return pa.ListArray.from_arrays(ends(rings), made)
 
     return polygons.where("rings is not null").withColumn("rings", moved("rings"))
 
 
-#: Geocentric shift from the older South American datum to the present one, in metres (fixed values, as published).
-OLDER_DATUM = (-67.35, 3.88, -38.22)
-
-
 def shift_datum(df: DataFrame, source: Grid, target: Grid, shift: tuple[float, float, float] = OLDER_DATUM, x: str = "x", y: str = "y") -> DataFrame:
     """Grid coordinates moved to another datum by a geocentric shift in metres."""
 

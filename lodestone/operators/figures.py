@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linalg import Components, scores
+from .ordering import quantiles
 from .ranking import reference
 
 
@@ -56,8 +57,8 @@ def decimated(cells: DataFrame, step: int) -> DataFrame:
 
 def display_limits(cells: DataFrame, value: str = "v", share: float = 0.98, step: float = 50.0) -> DataFrame:
     """One row (low, high): the share's percentile of the absolute value, rounded up to a multiple of step."""
-    high = F.ceil(F.percentile(F.abs(value), F.lit(share)) / step) * step
-    return cells.agg(high.cast("double").alias("high")).select((-F.col("high")).alias("low"), "high")
+    at = F.lit(quantiles(cells.select(F.abs(value).alias("v")), ["v"], share)[0]).cast("double")
+    return cells.sparkSession.range(1).select((F.ceil(at / step) * step).cast("double").alias("high")).select((-F.col("high")).alias("low"), "high")
 
 
 def two_stage_rebuild(first: list[Components], ks: list[int], second: Components, z: np.ndarray, k: int) -> list[np.ndarray]:

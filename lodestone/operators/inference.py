@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import quantiles
+
 
 def alpha_from_single(frame: DataFrame, a: str, b: str) -> DataFrame:
     """One row: alpha = a's mean over the sum of both means, 0.5 where the sum is 0."""
@@ -56,7 +58,8 @@ def sign_flips(differences: DataFrame, value: str = "d") -> DataFrame:
 
 def percentile_of(values: DataFrame, observed: float, value: str = "v") -> DataFrame:
     """One row: n, the share of values below the observed, and the values' 5th and 95th percentiles."""
-    return values.agg(F.count(value).alias("n"), F.avg((F.col(value) < observed).cast("double")).alias("below"), F.percentile(value, F.lit(0.05)).alias("p05"), F.percentile(value, F.lit(0.95)).alias("p95"))
+    low, high = (F.lit(quantiles(values, [value], q)[0]).cast("double") for q in (0.05, 0.95))
+    return values.agg(F.count(value).alias("n"), F.avg((F.col(value) < observed).cast("double")).alias("below"), low.alias("p05"), high.alias("p95"))
 
 
 def draws(spark, n: int, seed: int, tasks: int | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -33,6 +34,11 @@ class Moments:
     mean: np.ndarray
     gram: np.ndarray
 
+    def with_row(self, x: np.ndarray) -> Moments:
+        """The moments with one more row: the Gram matrix grows by a product of the row's distance from the mean."""
+        off = x - self.mean
+        return Moments(self.n + 1, self.mean + off / (self.n + 1), self.gram + np.outer(off, off) * (self.n / (self.n + 1)))
+
     def sd(self, ddof: int = 1) -> np.ndarray:
         """Column deviations; a constant column counts as 1."""
         s = np.sqrt(np.maximum(np.diag(self.gram), 0) / max(self.n - ddof, 1))
@@ -42,7 +48,8 @@ class Moments:
 def moments(df: DataFrame, x: str = "x", tasks: int = 64) -> Moments:
     """Moments of an array column. Rows are shifted by a first row, against cancellation. Raises if a value is missing.
 
-    At most about `tasks` partial matrices are shuffled, whatever the number of input partitions.
+    Every input partition gives one partial matrix, in as many tasks as there are partitions. They are added by row in two
+    levels, by about `tasks` parts of the partitions first, so that no task adds all of them.
     """
     shift = df.select(x).first()
     if shift is None:
@@ -59,15 +66,18 @@ def moments(df: DataFrame, x: str = "x", tasks: int = 64) -> Moments:
                     raise ValueError(f"{int((~np.isfinite(rows)).sum())} values are missing or not finite")
                 rows = np.column_stack([rows - shift, np.ones(len(rows))])
                 total += rows.T @ rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(p + 1, dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "g"])
+        part = np.full(p + 1, TaskContext.get().partitionId() % tasks, dtype=np.int32)
+        if total[p, p]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(p + 1, dtype=np.int32)), pa.array(part), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "part", "g"])
 
     def add(key, table):
         rows = matrix(table.column("g"))
         rows = rows[np.lexsort(rows.T[::-1])]  # a fixed order of summation
-        return pa.table({"i": pa.array([key[0].as_py()], pa.int32()), "g": pa.array([rows.sum(axis=0)], pa.list_(pa.float64()))})
+        return pa.table({"i": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "g": pa.array([rows.sum(axis=0)], pa.list_(pa.float64()))})
 
-    rows = df.select(x).coalesce(tasks).mapInArrow(partial, "i int, g array<double>")
-    full = np.array([r.g for r in sorted(rows.groupBy("i").applyInArrow(add, "i int, g array<double>").collect(), key=lambda r: r.i)])
+    schema = "i int, part int, g array<double>"
+    parts = df.select(x).mapInArrow(partial, schema).groupBy("i", "part").applyInArrow(add, schema)
+    full = np.array([r.g for r in sorted(parts.groupBy("i").applyInArrow(add, schema).collect(), key=lambda r: r.i)])
     n, sums = int(round(full[p, p])), full[p, :p]
     return Moments(n, sums / n + shift, full[:p, :p] - np.outer(sums, sums) / n)
 
@@ -101,7 +111,11 @@ class Components:
 
 def fit(df: DataFrame, x: str = "x", ddof: int = 1, standardize: bool = True) -> Components:
     """Principal components of standardised columns; as many as the smaller of rows and columns."""
-    m = moments(df, x)
+    return components_of(moments(df, x), ddof, standardize)
+
+
+def components_of(m: Moments, ddof: int = 1, standardize: bool = True) -> Components:
+    """The same from moments."""
     sd = m.sd(ddof) if standardize else np.ones(len(m.mean))
     values, vectors = np.linalg.eigh(m.gram / np.outer(sd, sd) / max(m.n - ddof, 1))
     order = np.argsort(-values, kind="stable")[: min(m.n, len(m.mean))]

@@ -85,22 +85,52 @@ def top_per_group(df: DataFrame, groups: list[str], k: int, order: list, name: s
     return df.withColumn(name, place.cast("long")).where(F.col(name) <= k)
 
 
-#: Rows up to which exact quantiles are taken in one aggregation.
-FEW = 1_000_000
+#: Rows up to which exact quantiles are taken in one aggregation, values that come to the driver, and classes of a pass.
+FEW, CLOSE, CLASSES = 1_000_000, 10_000, 1024
 
 
 def quantiles(df: DataFrame, columns: list[str], share: float = 0.5) -> list[float | None]:
     """Exact quantile of each column over its non-null rows, between neighbouring values; null where there is none.
 
-    Of many rows no task holds all: each column is numbered over ranged partitions and the rows around the place are read.
+    Of many rows no task holds all: each pass counts the values of all columns in CLASSES classes between two bounds, and the
+    bounds close in on the class that holds the place, until few values are left there. A pass returns CLASSES rows a column.
     """
-    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    wide = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    names = wide.columns
+    counts = wide.agg(*[F.count(c).alias(c) for c in names]).first()
     if max(counts) <= FEW:
-        return list(df.agg(*[F.percentile(c, F.lit(share)).alias(c) for c in columns]).first())
-    out = []
-    for c in columns:
-        at = share * (counts[c] - 1) + 1
-        near = number(df.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("v")), [], ["v"], "place").where(F.col("place").between(int(at), int(at) + 1)).orderBy("place").collect()
-        low, high = (near[0].v, near[-1].v) if near else (None, None)
-        out.append(None if low is None else low + (at - int(at)) * (high - low))
-    return out
+        return list(wide.agg(*[F.percentile(c, F.lit(share)).alias(c) for c in names]).first())
+    ends = wide.agg(*[f(c).alias(f"{k} {c}") for c in names for k, f in (("min", F.min), ("max", F.max))]).first()
+    bounds = {c: (ends[f"min {c}"], ends[f"max {c}"], 0, counts[c]) for c in names if counts[c]}
+    place = {c: int(share * (counts[c] - 1)) for c in bounds}  # from 0
+    found: dict[str, tuple[float, float]] = {}
+    while bounds:
+        for c, (low, high, before, n) in list(bounds.items()):
+            if low == high:
+                found[c] = (low, low)
+            elif n <= CLOSE:
+                near = sorted(r[0] for r in wide.where(F.col(c).between(low, high)).select(c).collect())
+                at = place[c] - before
+                found[c] = (near[at], near[min(at + 1, n - 1)])
+            else:
+                continue
+            del bounds[c]
+        if not bounds:
+            break
+        pieces = [F.when(F.col(c).between(low, high), F.struct(F.lit(c).alias("c"), F.col(c).alias("v"), F.least(F.lit(CLASSES - 1), F.floor((F.col(c) - low) / (high - low) * CLASSES)).alias("k"))) for c, (low, high, _, _) in bounds.items()]
+        seen: dict[str, list] = {c: [] for c in bounds}
+        for r in wide.select(F.explode(F.array_compact(F.array(*pieces))).alias("p")).groupBy("p.c", "p.k").agg(F.count(F.lit(1)).alias("n"), F.min("p.v").alias("low"), F.max("p.v").alias("high")).collect():
+            seen[r.c].append(r)
+        for c, (_, _, before, _) in list(bounds.items()):
+            classes = sorted(seen[c], key=lambda r: r.k)
+            for i, r in enumerate(classes):
+                if before + r.n > place[c]:
+                    if before + r.n == place[c] + 1 and i + 1 < len(classes):  # the place is its class's last value
+                        found[c] = (r.high, classes[i + 1].low)
+                        del bounds[c]
+                    else:
+                        bounds[c] = (r.low, r.high, before, r.n)
+                    break
+                before += r.n
+    part = {c: share * (counts[c] - 1) - place[c] for c in place}
+    return [None if c not in found else found[c][0] + part[c] * (found[c][1] - found[c][0]) for c in names]

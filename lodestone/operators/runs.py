@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from dataclasses import replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.geometry import Affine, bounds, reproject
 from ..sources.config import Run
 from . import recovery as V
-from .ordering import cut, top
-from .ranking import fuse, rank_components, rank_raw
+from .ordering import cut, top, top_per_group
+from .ranking import fuse, rank_components, rank_raw, rank_references
 from .windows import Shape, circle_mask, resample, template, windows, with_reference
 
 #: A case's reference vector: joint is that of all variables, raw_vector and raw_shape are those of a raw comparison.
@@ -38,8 +38,36 @@ def reference_patch(cells: DataFrame, column: str, polygon: DataFrame, t: Affine
     return patch
 
 
-def case(run: Run, cells: DataFrame, footprints: DataFrame, t: Affine, height: int, width: int, reference: int, k: int | tuple[int, ...], raw: bool = False) -> dict[str, DataFrame]:
-    """One reference and k: ranked windows, cells, curve, coverage, hits, events, summary. footprints has dep_id, rings."""
+@dataclass(frozen=True)
+class Shared:
+    """What cases of one grid share: the windows, cut once, and distances that one scan has given (window_id, ref, k, dist),
+    with the number in it of each reference, angle and scale."""
+
+    places: DataFrame
+    dist: DataFrame | None = None
+    numbers: dict = field(default_factory=dict)
+
+
+def shared(run: Run, cells: DataFrame, footprints: DataFrame, t: Affine, height: int, width: int, wanted: list[tuple[int, float, float]], ks: list) -> Shared:
+    """Windows for all cases, and all distances of one variable's components in one scan: wanted has the reference, angle
+    and scale of each case. Fusions and ks by variable share the windows alone."""
+    h, w = run.window
+    mask = circle_mask(h, w, run.radius) if run.patch == "circle" else None
+    places = cut(windows(cells, Shape(height, width, h, w, *run.stride), run.variables(), mask))
+    if len(run.variables()) > 1 or any(isinstance(k, tuple) for k in ks):
+        return Shared(places)
+    if run.crs_policy == "reproject":
+        footprints = reproject(footprints, run.footprint_crs, run.grid_crs)
+    column, keep = run.variables()[0], slice(None) if mask is None else mask.ravel()
+    vectors = {n: reference_patch(cells, column, footprints.where(F.col("dep_id") == r), t, h, w, angle, scale).ravel()[keep] for n, (r, angle, scale) in enumerate(wanted)}
+    dist = rank_references(places, vectors, ks, column, run.weight_mode, run.weights_over, run.whiten)
+    best = top_per_group(dist, ["ref", "k"], run.top_k, ["dist", "window_id"]).drop("rank")
+    return Shared(places, cut(best), {one: n for n, one in enumerate(wanted)})
+
+
+def case(run: Run, cells: DataFrame, footprints: DataFrame, t: Affine, height: int, width: int, reference: int, k: int | tuple[int, ...], raw: bool = False, common: Shared | None = None) -> dict[str, DataFrame]:
+    """One reference and k: ranked windows, cells, curve, coverage, hits, events, summary. footprints has dep_id, rings.
+    common: what this case shares with others, from shared()."""
     h, w = run.window
     shape = Shape(height, width, h, w, *run.stride)
     columns = run.variables()
@@ -49,10 +77,13 @@ def case(run: Run, cells: DataFrame, footprints: DataFrame, t: Affine, height: i
     polygon = footprints.where(F.col("dep_id") == reference)
     keep = slice(None) if mask is None else mask.ravel()
     vectors = {c: reference_patch(cells, c, polygon, t, h, w, run.rotation, run.scale).ravel()[keep] for c in columns}
-    places = windows(cells, shape, columns, mask)
-    frame = cut(with_reference(places.drop("r0", "c0"), vectors=vectors))
+    places = common.places if common else windows(cells, shape, columns, mask)
     options = {"mode": run.weight_mode, "over": run.weights_over, "whiten": run.whiten}
-    if raw:
+    number = common.numbers.get((reference, run.rotation, run.scale)) if common and not raw else None
+    frame = cut(with_reference(places.drop("r0", "c0"), vectors=vectors)) if number is None else None
+    if number is not None:
+        dist = common.dist.where((F.col("ref") == number) & (F.col("k") == k)).select("window_id", "dist")
+    elif raw:
         dist = rank_raw(frame, columns[0])
     elif len(columns) == 1:
         dist = rank_components(frame, columns[0], k=k, **options)
@@ -90,9 +121,10 @@ def against_random(run: Run, tables: dict[str, DataFrame], grid: DataFrame, cell
 
 def swap_references(run: Run, cells: DataFrame, footprints: DataFrame, t: Affine, height: int, width: int, references: list[int], k: int) -> DataFrame:
     """Summaries with each footprint as the reference in turn."""
+    common = shared(run, cells, footprints, t, height, width, [(r, run.rotation, run.scale) for r in references], [k])
     out = None
     for r in references:
-        one = case(run, cells, footprints, t, height, width, r, k)["summary"]
+        one = case(run, cells, footprints, t, height, width, r, k, common=common)["summary"]
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -128,13 +160,16 @@ def run_all(run: Run, cells: DataFrame, footprints: DataFrame, t: Affine, height
     spark: SparkSession = cells.sparkSession
     data = fingerprint(cells, footprints) + repr((t, height, width)) if write else ""
     every = None
+    todo = [(r, k) for r, k in run.cases() if not write or not exists(spark, f"{run.folder(r, k, data)}/finished")]
+    wanted = list(dict.fromkeys((r, run.rotation, run.scale) for r, _ in todo))
+    common = shared(run, cells, footprints, t, height, width, wanted, list(dict.fromkeys(k for _, k in todo))) if todo else None
     for reference, k in run.cases():
         folder = run.folder(reference, k, data)
         if not write:
-            summary = case(run, cells, footprints, t, height, width, reference, k)["summary"]
+            summary = case(run, cells, footprints, t, height, width, reference, k, common=common)["summary"]
         else:
-            if not exists(spark, f"{folder}/finished"):
-                write_tables(case(run, cells, footprints, t, height, width, reference, k), folder)
+            if (reference, k) in todo:
+                write_tables(case(run, cells, footprints, t, height, width, reference, k, common=common), folder)
                 write_json(spark, run.resolved() | {"reference": reference, "k": k, "data": data}, f"{folder}/finished")
             summary = spark.read.parquet(f"{folder}/summary")
         every = summary if every is None else every.unionByName(summary)
@@ -143,11 +178,14 @@ def run_all(run: Run, cells: DataFrame, footprints: DataFrame, t: Affine, height
 
 def swept(run: Run, cells: DataFrame, footprints: DataFrame, t: Affine, height: int, width: int, rotations: list[float], scales: list[float]) -> DataFrame:
     """Summaries of every case with the template turned and scaled, each against a random selection of equal area."""
+    turns = [(float(a), float(s)) for a in rotations for s in scales]
+    cases = run.cases()
+    common = shared(run, cells, footprints, t, height, width, [(r, a, s) for a, s in turns for r in dict.fromkeys(r for r, _ in cases)], list(dict.fromkeys(k for _, k in cases)))
     out = None
-    for angle, scale in [(a, s) for a in rotations for s in scales]:
+    for angle, scale in turns:
         turned = replace(run, rotation=float(angle), scale=float(scale))
         for reference, k in turned.cases():
-            tables = case(turned, cells, footprints, t, height, width, reference, k)
+            tables = case(turned, cells, footprints, t, height, width, reference, k, common=common)
             ratio = against_random(turned, tables, cells).where(F.col("rank") == min(run.top_k, tables["windows"].count())).select("ratio", F.lit(reference).alias("dep_ref"))
             one = tables["summary"].withColumn("angle", F.lit(float(angle))).withColumn("scale", F.lit(float(scale))).join(ratio, "dep_ref", "left")
             out = one if out is None else out.unionByName(one)

@@ -213,3 +213,27 @@ def dipole_azimuth(spark, sf_dir):
     """Direction from the lowest values' centroid to the highest's."""
     cells = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 60).alias("g"), F.col("l_linenumber").alias("r"), F.col("l_quantity").alias("c")).agg(F.avg(F.col("l_tax") + F.col("l_discount") * 3 + F.col("l_extendedprice") / 1e6).alias("v"))
     return rounded(G.dipole_azimuth(cells, ["g"]), "azimuth", digits=4)
+
+
+CORNERS = "g as (select s_suppkey * 3 + j.range as id, 280000 + s_suppkey % 500 * 900.0 + case when j.range = 1 then 900 else 0 end as x, 9200000 + s_suppkey % 400 * 1000.0 + case when j.range = 2 then 700 else 0 end as y from supplier, range(0, 3) j)"
+
+
+@query(f"""with {CORNERS}, {inverse_sql(OLD, 'g', 'x', 'y')}, {GEO}, {forward_sql(GRID, 'back', 'x', 'y')},
+    t as (select id // 3 as id, list(x order by id) as x, list(y order by id) as y from back_p group by 1)
+    select id, round(x[1], 3) as x, round(y[1], 3) as y, round(x[2], 3) as x2, round(y[3], 3) as y3 from t""")
+def reprojected_layer(spark, sf_dir):
+    """Triangles in a zone of the older datum, led through degrees and the geocentric shift to the present zone."""
+    x, y = 280_000 + F.col("s_suppkey") % 500 * 900.0, 9_200_000 + F.col("s_suppkey") % 400 * 1000.0
+    point = lambda dx, dy: F.struct((x + dx).cast("double").alias("x"), (y + dy).cast("double").alias("y"))
+    p = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.array(F.array(point(0, 0), point(900, 0), point(0, 700))).alias("rings"))
+    moved = G.reproject(p, "EPSG:29192", "EPSG:32722")
+    at = lambda i: F.get(F.get("rings", F.lit(0)), F.lit(i))
+    return rounded(moved.select("id", at(0)["x"].alias("x"), at(0)["y"].alias("y"), at(1)["x"].alias("x2"), at(2)["y"].alias("y3")), "x", "y", "x2", "y3", digits=3)
+
+
+@query(f"with {PLACES}, {forward_sql(G.system('EPSG:31982').grid, 'p', 'x', 'y')} select id, round(x, 4) as x, round(y, 4) as y from p_p")
+def sirgas_zone(spark, sf_dir):
+    """Degrees of one datum to a zone of its own, as a layer of points."""
+    p = places(spark, sf_dir).select("id", F.array(F.array(F.struct(F.col("lon").cast("double").alias("x"), F.col("lat").cast("double").alias("y")))).alias("rings"))
+    first = F.get(F.get("rings", F.lit(0)), F.lit(0))
+    return rounded(G.reproject(p, "EPSG:4674", "EPSG:31982").select("id", first["x"].alias("x"), first["y"].alias("y")), "x", "y", digits=4)

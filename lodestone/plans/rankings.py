@@ -197,3 +197,26 @@ def weights_table(spark, sf_dir):
     rows = [(k + 1, float(a * a), float(b), float(r)) for k, (a, b, r) in enumerate(zip(z, w, m.ratio))]
     table_ = number(spark.createDataFrame(rows, "pc int, z_square double, weight double, ratio double"), [], [-F.round("z_square", 9), "pc"], "place")
     return rounded(table_, "z_square", "weight", "ratio")
+
+
+SWAPPED = (0, 5, 17)
+
+
+def swapped(ref: int) -> str:
+    """SQL of the nearest patches with another patch as the reference: names end in its number."""
+    source = f"""
+    rows{ref} as (select vec_id as window_id, false as is_ref, embedding from embeddings union all select -1, true, embedding from embeddings where vec_id = {ref}),
+    alls{ref} as (select window_id, is_ref, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as j from rows{ref}),"""
+    tail = "".join(f""",
+    n{ref}k{k} as (select {ref} as ref, {k} as k, window_id, dist, row_number() over (order by round(dist, 9), window_id) as rank from (select window_id, sqrt(sum(w * (s - rz) ** 2)) as dist
+        from sc{ref} join rs{ref} using (pc) join (select pc, rz * rz / sum(rz * rz) over () as w from rs{ref} where pc <= {k}) using (pc) where not is_ref group by 1) qualify rank <= 20)""" for k in (3, 6))
+    return source + pca(6, str(ref), f"alls{ref}") + tail
+
+
+@query(f"with recursive {','.join(swapped(r) for r in SWAPPED)} select ref, k, window_id, rank, round(dist, 6) as dist from ({' union all '.join(f'select * from n{r}k{k}' for r in SWAPPED for k in (3, 6))})")
+def swapped_references(spark, sf_dir):
+    """The 20 nearest patches to each of three references, with three and six components, from one scan."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("window_id"), F.col("embedding").cast("array<double>").alias("x"))
+    chosen = {r.window_id: r.x for r in rows.where(F.col("window_id").isin(*SWAPPED)).collect()}
+    got = R.rank_references(rows, {r: chosen[r] for r in SWAPPED}, [3, 6])
+    return rounded(top_per_group(got, ["ref", "k"], 20, [F.round("dist", 9), "window_id"]), "dist")

@@ -385,3 +385,44 @@ def test_random_means_and_repaired_rings(spark):
     df = spark.createDataFrame([(1, polygon(ring, [(1, 1), (1, 1)])), (2, polygon([(0, 0), (1, 1), (2, 2)])), (3, polygon([(5, 5)]))], f"fid long, rings {G.RINGS}")
     fixed = grids.fix_rings(df).collect()
     assert [r.fid for r in fixed] == [1] and [(p.x, p.y) for p in fixed[0].rings[0]] == [(0, 0), (0, 2), (2, 2), (2, 0)] and len(fixed[0].rings) == 1
+
+
+def test_systems_and_their_chains(spark):
+    from lodestone.functions import geometry as G
+
+    assert G.system("EPSG:31982").grid.central_meridian == -51 and G.system("epsg:31977").grid.central_meridian == -81 and G.system("EPSG:31985").grid.central_meridian == -33
+    assert G.system("EPSG:31976").grid.northing == 0 and G.system("EPSG:29192").ellipsoid == G.GRS67 and G.system("EPSG:4674").grid is None
+    for unknown in ("EPSG:31986", "EPSG:29196", "EPSG:3857", "x", ""):
+        with pytest.raises(ValueError):
+            G.system(unknown)
+    ring = [{"x": -51.0, "y": 0.0}, {"x": -51.5, "y": -9.0}, {"x": -50.0, "y": -10.0}]
+    layer = spark.createDataFrame([(1, [ring, ring[::-1]]), (2, []), (3, None), (4, [ring[:1]])], f"fid int, rings {G.RINGS}")
+    there = G.reproject(layer, "EPSG:4674", "EPSG:31982")
+    got = {r.fid: r.rings for r in there.collect()}
+    assert set(got) == {1, 2, 4} and got[2] == [] and abs(got[1][0][0].x - 500_000) < 1e-6 and abs(got[1][0][0].y - 10_000_000) < 1e-6
+    for path in (("EPSG:31982", "EPSG:4674"), ("EPSG:31982", "EPSG:29192", "EPSG:4618", "EPSG:4326", "EPSG:4674")):
+        back = there
+        for a, b in zip(path, path[1:]):
+            back = G.reproject(back, a, b)
+        for r in back.collect():
+            want = {1: [ring, ring[::-1]], 2: [], 4: [ring[:1]]}[r.fid]
+            assert np.allclose([[p.x, p.y] for q in r.rings for p in q], [[p["x"], p["y"]] for q in want for p in q], atol=1e-8) if want else r.rings == []
+    # The published shift moves points of the older datum by some tens of metres.
+    old, new = (next(r for r in G.reproject(layer, "EPSG:4618", t).collect() if r.fid == 4).rings[0][0] for t in ("EPSG:29192", "EPSG:31982"))
+    assert 30 < np.hypot(old.x - new.x, old.y - new.y) < 100
+
+
+def test_quantiles_in_passes(spark, monkeypatch):
+    from lodestone.operators import ordering
+
+    rng = np.random.default_rng(2)
+    data = {"a": rng.normal(size=3000), "b": np.round(rng.exponential(size=3000) ** 4), "c": np.full(3000, 7.0)}
+    rows = [(float(a), float(b) if i % 3 else None, float(c), None) for i, (a, b, c) in enumerate(zip(*data.values()))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    wants = {q: [np.quantile([r[k] for r in rows if r[k] is not None], q) for k in range(3)] for q in (0.0, 0.05, 0.5, 0.73, 1.0)}
+    monkeypatch.setattr(ordering, "FEW", 10)
+    monkeypatch.setattr(ordering, "CLOSE", 20)
+    monkeypatch.setattr(ordering, "CLASSES", 8)
+    for q, want in wants.items():
+        got = ordering.quantiles(df, ["a", "b", "c", "d"], q)
+        assert np.allclose(got[:3], want) and got[3] is None

@@ -195,3 +195,29 @@ def test_reference_vectors_fall_back(spark, cells, footprints):
     assert take("other", "none") == {(1, 3.0, "all"), (2, 4.0, "all"), (3, 5.0, "all")}
     with pytest.raises(ValueError, match="no case"):
         runs.reference_vectors(table.limit(0))
+
+
+def test_many_references_in_one_scan(spark, cells, footprints, monkeypatch):
+    """Swaps, sweeps and runs of many cases cut the windows once, and give what single cases give."""
+    run, args = settings(ks=[2, 3], references=[1, 2], whiten=True), (cells, footprints, Affine(e=1.0), H, W)
+    alone = {(r, k): runs.case(run, *args, r, k) for r, k in run.cases()}
+    made, plain = [], runs.windows
+    monkeypatch.setattr(runs, "windows", lambda *a, **b: made.append(1) or plain(*a, **b))
+    common = runs.shared(run, *args, [(1, 0.0, 1.0), (2, 0.0, 1.0)], [2, 3])
+    for (r, k), one in alone.items():
+        both = [t["ranked"].select("rank", "window_id", F.round("dist", 9)).orderBy("rank").collect() for t in (one, runs.case(run, *args, r, k, common=common))]
+        assert both[0] == both[1]
+    key = lambda df: sorted((r.dep_ref, r.ks, round(r.auc, 9), r.n_hits) for r in df.collect())
+    assert len(made) == 1
+    assert key(runs.run_all(run, *args, write=False)["summary"]) == sorted(x for t in alone.values() for x in key(t["summary"])) and len(made) == 2
+    assert key(runs.swap_references(run, *args, [1, 2], 3)) == sorted(x for (_, k), t in alone.items() if k == 3 for x in key(t["summary"])) and len(made) == 3
+
+
+
+def test_moments_with_one_more_row(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(50, 6))
+    rows = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>")
+    more = linalg.moments(rows.repartition(9)).with_row(np.arange(6.0))
+    whole = np.vstack([x, np.arange(6.0)])
+    assert more.n == 51 and np.allclose(more.mean, whole.mean(axis=0)) and np.allclose(more.gram, (whole - whole.mean(axis=0)).T @ (whole - whole.mean(axis=0)))
