@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import quantiles
+from .ordering import cut, number, quantiles
 
 
 def alpha_from_single(frame: DataFrame, a: str, b: str) -> DataFrame:
@@ -62,46 +60,50 @@ def percentile_of(values: DataFrame, observed: float, value: str = "v") -> DataF
     return values.agg(F.count(value).alias("n"), F.avg((F.col(value) < observed).cast("double")).alias("below"), low.alias("p05"), high.alias("p95"))
 
 
-def draws(spark, n: int, seed: int, tasks: int | None = None) -> DataFrame:
-    """(draw, seed): one row for each draw with a seed of its own, the same however the rows are dealt."""
-    return spark.range(n, numPartitions=tasks).select(F.col("id").alias("draw"), F.xxhash64(F.lit(seed), "id").alias("seed"))
+#: Keys of draws have so many bits: the first thirteen digits of a digest, which a long and a double hold.
+BITS = 52
 
 
-def random_recovery(spark, owners: list[np.ndarray], weights: np.ndarray, n: int, t_max: int, n_draws: int, seed: int) -> DataFrame:
-    """(draw, rank, fraction): recovery by windows drawn at random. owners lists, for each cell, the windows that cover it;
-    weights is the cell's share of the mean fraction. Arrays of the footprints' cells only."""
-    cell = np.repeat(np.arange(len(owners)), [len(o) for o in owners])
-    window = np.concatenate(owners) if owners else np.zeros(0, dtype=int)
+def key(seed: int, draw: Column, item: Column) -> Column:
+    """The place of an item in a draw's random order, a number below 2 ** BITS from the MD5 of "seed:draw:item"; SQL finds
+    the same."""
+    text = F.concat_ws(":", F.lit(str(seed)), draw.cast("string"), item.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, BITS // 4), 16, 10).cast("long")
 
-    def draw(frames):
-        for f in frames:
-            for d, s in zip(f["draw"], f["seed"]):
-                rng = np.random.default_rng(int(s) & (2**63 - 1))
-                place = np.full(n, t_max + 1)
-                chosen = rng.choice(n, size=min(t_max, n), replace=False)
-                place[chosen] = np.arange(1, len(chosen) + 1)
-                first = np.full(len(owners), t_max + 1)
-                np.minimum.at(first, cell, place[window])
-                gain = np.bincount(first, weights=weights, minlength=t_max + 2)[1 : t_max + 1]
-                yield pd.DataFrame({"draw": d, "rank": np.arange(1, t_max + 1), "fraction": np.cumsum(gain)})
 
-    return draws(spark, n_draws, seed).mapInPandas(draw, "draw long, rank long, fraction double")
+def drawn(items: DataFrame, t: int, n_draws: int, seed: int, item: str = "window_id") -> DataFrame:
+    """(draw, item, rank): t of the distinct whole-numbered items for each draw, at random without repetition.
 
-
-def random_means(spark, values: np.ndarray, t: int, n_draws: int, seed: int) -> DataFrame:
-    """(draw, v): mean of a quantity over t windows drawn at random without repetition; values has one number a window, NaN
-    where it has none, which is left out of the mean."""
-
-    def draw(frames):
-        for f in frames:
-            out = []
-            for s in f["seed"]:
-                some = values[np.random.default_rng(int(s) & (2**63 - 1)).choice(len(values), size=min(t, len(values)), replace=False)]
-                some = some[~np.isnan(some)]
-                out.append(some.mean() if len(some) else np.nan)
-            yield pd.DataFrame({"draw": f["draw"], "v": out})
-
-    return draws(spark, n_draws, seed).mapInPandas(draw, "draw long, v double").withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    The items of lowest key are drawn. A limit that leaves a few more than t keeps all others from being ranked; should it
+    ever leave fewer, the draws are made without it. Nothing of the items comes to the driver.
+    """
+    n = items.count()
+    share = min(1.0, (t + 8 * t**0.5 + 32) / max(n, 1))
+    while True:
+        keyed = items.select(item, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_draws - 1).cast("long"))).alias("draw")).withColumn("key", key(seed, F.col("draw"), F.col(item)))
+        place = F.row_number().over(Window.partitionBy("draw").orderBy("key", item)).cast("long")
+        got = cut(keyed.where(F.col("key") < int(share * (1 << BITS))).withColumn("rank", place).where(F.col("rank") <= t).select("draw", item, "rank"))
+        if share == 1.0 or got.count() == n_draws * min(t, n):
+            return got
+        share = 1.0
+
+
+def random_recovery(cover: DataFrame, weights: DataFrame, windows: DataFrame, t_max: int, n_draws: int, seed: int) -> DataFrame:
+    """(draw, rank, fraction): recovery by windows (window_id) drawn at random. cover has cell and window_id, a row for each
+    window over a cell; weights has cell and weight, the cell's share of the mean fraction."""
+    picks = drawn(windows.select("window_id"), t_max, n_draws, seed)
+    first = cover.join(picks, "window_id").groupBy("draw", "cell").agg(F.min("rank").alias("rank"))
+    gained = first.join(weights, "cell").groupBy("draw", "rank").agg(F.sum("weight").alias("gain"))
+    every = cover.sparkSession.range(n_draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(t_max).cast("long"))).alias("rank"))
+    so_far = Window.partitionBy("draw").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    return every.join(gained, ["draw", "rank"], "left").select("draw", "rank", F.sum(F.coalesce("gain", F.lit(0.0))).over(so_far).alias("fraction"))
+
+
+def random_means(values: DataFrame, t: int, n_draws: int, seed: int, value: str = "v") -> DataFrame:
+    """(draw, v): mean of a quantity over t windows drawn at random without repetition. values has window_id and the
+    quantity; windows without one are drawn too but left out of the mean, which is null where none has one."""
+    found = drawn(values.select("window_id"), t, n_draws, seed).join(values, "window_id").groupBy("draw").agg(F.avg(F.when(~F.isnan(value), F.col(value))).alias("v"))
+    return values.sparkSession.range(n_draws).select(F.col("id").alias("draw")).join(found, "draw", "left")
 
 
 def band(drawn: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
@@ -115,20 +117,18 @@ def permutation_p(drawn: DataFrame, observed: float, value: str = "v") -> DataFr
 
 
 def bootstrap(rows: DataFrame, cluster: str, value: str, n_draws: int, seed: int, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """One row: mean and percentile interval of the mean, whole clusters drawn with repetition. Only each cluster's sum and
-    count leave the executors' grouping."""
-    c = rows.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n")).orderBy(cluster).toPandas()
-    s, n = c["s"].to_numpy(np.float64), c["n"].to_numpy(np.float64)
-
-    def draw(frames):
-        for f in frames:
-            out = []
-            for seed_ in f["seed"]:
-                at = np.random.default_rng(int(seed_) & (2**63 - 1)).integers(0, len(s), len(s))
-                out.append(s[at].sum() / n[at].sum())
-            yield pd.DataFrame({"v": out})
-
-    if not len(s):
+    """One row: mean and percentile interval of the mean, whole clusters drawn with repetition.
+
+    A draw has as many picks as there are clusters; the key of draw and pick names the picked one. Picks are counted by
+    cluster and meet its sum and count; one number for each draw is left.
+    """
+    sums = rows.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    numbered = cut(number(sums, [], [cluster], "at").select("at", "s", "n"))
+    count = numbered.count()
+    if not count:
         raise ValueError("no clusters to draw from")
-    got = draws(rows.sparkSession, n_draws, seed).mapInPandas(draw, "v double")
-    return got.agg(F.lit(float(s.sum() / n.sum())).alias("mean"), F.percentile("v", F.lit(low)).alias("low"), F.percentile("v", F.lit(high)).alias("high"))
+    picks = numbered.select("at", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw"))
+    picks = picks.select("draw", (key(seed, F.col("draw"), F.col("at")) % count + 1).alias("at")).groupBy("draw", "at").agg(F.count(F.lit(1)).alias("times"))
+    means = picks.join(numbered, "at").groupBy("draw").agg((F.sum(F.col("times") * F.col("s")) / F.sum(F.col("times") * F.col("n"))).alias("v"))
+    whole = numbered.agg((F.sum("s") / F.sum("n")).alias("mean")).first()
+    return means.agg(F.lit(whole["mean"]).cast("double").alias("mean"), F.percentile("v", F.lit(low)).alias("low"), F.percentile("v", F.lit(high)).alias("high"))

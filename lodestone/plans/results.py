@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import compare as C
 from ..operators import inference as I
-from ..operators.ordering import number, top
+from ..operators.ordering import cut, top
 from ..operators.windows import Shape, windows
-from .adapters import EVENT_CELLS, event_cells, query, rounded, table
+from .adapters import EVENT_CELLS, EVENT_WINDOWS, FOOTPRINTS, event_cells, query, rounded, table
 
 RUNS = "runs as (select c_nationkey as dep_id, c_mktsegment as grp, (c_custkey % 9)::int as k, round(avg(c_acctbal), 3) as auc from customer group by 1, 2, 3)"
 
@@ -140,24 +139,44 @@ def percentile_of_observed(spark, sf_dir):
     return rounded(I.percentile_of(table(spark, sf_dir, "lineitem"), 0.043, "l_discount"), "below", "p05", "p95")
 
 
-@query()
+def keys_sql(source: str, seed: int, draw: str, item: str) -> str:
+    """SQL of source with key, the place of an item in a draw's random order."""
+    return f"(select *, ('0x' || substr(md5('{seed}:' || {draw} || ':' || {item}), 1, {I.BITS // 4}))::bigint as key from {source})"
+
+
+BOOT = f"""with s as (select row_number() over (order by c_nationkey) as place, sum(c_acctbal) as s, count(c_acctbal) as n from customer group by c_nationkey),
+    k as (select draw, key % (select count(*) from s) + 1 as pick from {keys_sql('(select s.place, d.range as draw from s, range(0, 500) d)', 17, "draw", "place")}),
+    m as (select draw, sum(s) / sum(n) as v from k join s on s.place = k.pick group by 1)
+    select round((select sum(s) / sum(n) from s), 6) as mean, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.975), 6) as high from m"""
+
+
+@query(BOOT)
 def bootstrap_interval(spark, sf_dir):
     return rounded(I.bootstrap(table(spark, sf_dir, "customer"), "c_nationkey", "c_acctbal", 500, 17), "mean", "low", "high")
 
 
-@query()
+BAND = f"""with {EVENT_WINDOWS}, {FOOTPRINTS},
+    cover as (select distinct dep_id, r, c, window_id from dep_cells join whole on r - window_id // 8 * 2 between 0 and 2 and c - window_id % 8 * 3 between 0 and 3),
+    weight as (select dep_id, r, c, area / dep_area / (select count(*) from dep_area) as weight from dep_cells join dep_area using (dep_id)),
+    pick as (select draw, window_id, row_number() over (partition by draw order by key, window_id) as rank from {keys_sql('(select window_id, d.range as draw from whole, range(0, 200) d)', 23, 'draw', 'window_id')} qualify rank <= 40),
+    first as (select draw, dep_id, r, c, min(rank) as rank from cover join pick using (window_id) group by 1, 2, 3, 4),
+    gained as (select draw, rank, sum(weight) as gain from first join weight using (dep_id, r, c) group by 1, 2),
+    line as (select d.range as draw, k.range as rank, sum(coalesce(gain, 0)) over (partition by d.range order by k.range) as fraction from range(0, 200) d cross join range(1, 41) k left join gained g on g.draw = d.range and g.rank = k.range)
+    select rank, round(quantile_cont(fraction, 0.05), 6) as low, round(avg(fraction), 6) as mean, round(quantile_cont(fraction, 0.95), 6) as high from line group by 1"""
+
+
+@query(BAND)
 def random_band(spark, sf_dir):
     """Recovery by random windows: 5th to 95th percentile over seeded draws."""
     from . import recoveries as V
 
-    deps, _, n = V.counted(spark, sf_dir)
-    placed = number(V.windows(V.event_cells(spark, sf_dir), V.EVENTS, ["v1"]).select("window_id", "r0", "c0"), [], ["window_id"], "at")
-    # Only the footprints' cells leave the executors, each with the windows that cover it.
-    over = V.V.window_cells(placed, 3, 4, "at").join(deps, ["r", "c"]).groupBy("dep_id", "r", "c").agg(F.sort_array(F.collect_list(F.col("at") - 1)).alias("owners"))
-    rows = deps.join(over, ["dep_id", "r", "c"], "left").orderBy("dep_id", "r", "c").toPandas()
-    owners = [np.array([] if o is None else o, dtype=int) for o in rows["owners"]]
-    share = (rows["area"] / rows.groupby("dep_id")["area"].transform("sum") / rows["dep_id"].nunique()).to_numpy()
-    return rounded(I.band(I.random_recovery(spark, owners, share, n, V.TOP, 200, 23)), "low", "mean", "high")
+    deps, _, _ = V.counted(spark, sf_dir)
+    places = cut(V.windows(V.event_cells(spark, sf_dir), V.EVENTS, ["v1"]).select("window_id", "r0", "c0"))
+    cell = F.struct("dep_id", "r", "c").alias("cell")
+    cover = V.V.window_cells(places, 3, 4, "window_id").join(deps, ["r", "c"]).select(cell, "window_id")
+    totals = deps.groupBy("dep_id").agg(F.sum("area").alias("whole"))
+    weights = deps.join(totals, "dep_id").select(cell, (F.col("area") / F.col("whole") / F.lit(totals.count())).alias("weight"))
+    return rounded(I.band(I.random_recovery(cover, weights, places, V.TOP, 200, 23)), "low", "mean", "high")
 
 
 @query(f"with {GAIN}, g as (select e.grp, e.dep_id, s.score - b.score as gain from e left join s on s.dep_id = e.dep_id and s.grp = e.grp left join s b on b.dep_id = e.dep_id and b.grp = 'BUILDING') select grp, dep_id, gain, row_number() over (order by gain desc nulls last, dep_id, grp) as rank from g qualify rank <= 10")

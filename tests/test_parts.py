@@ -1,5 +1,6 @@
 """Geometry, sources, configuration, inference and streaming."""
 
+import hashlib
 import json
 import struct
 
@@ -154,23 +155,44 @@ def test_inference(spark):
         assert np.allclose(got[t], np.mean(rest, axis=0))
     b = inference.bootstrap(spark.createDataFrame([(i % 5, float(i)) for i in range(50)], "g int, v double"), "g", "v", 200, 1).first()
     assert b.low <= b["mean"] <= b.high
-    null = inference.random_recovery(spark, [np.array([0, 1]), np.array([5])], np.array([0.5, 0.5]), 10, 10, 400, 3)
+    cover, weights = spark.createDataFrame([(0, 0), (0, 1), (1, 5)], "cell int, window_id long"), spark.createDataFrame([(0, 0.5), (1, 0.5)], "cell int, weight double")
+    null = inference.random_recovery(cover, weights, spark.range(10).withColumnRenamed("id", "window_id"), 10, 400, 3)
     band = {r["rank"]: r for r in inference.band(null).collect()}
     assert abs(band[10]["mean"] - 1) < 1e-12 and abs(band[1]["mean"] - 0.15) < 0.04
     assert inference.permutation_p(spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "v double"), 2.5).first().p == 0.5
 
 
+def plain_key(seed, draw, item):
+    return int(hashlib.md5(f"{seed}:{draw}:{item}".encode()).hexdigest()[:13], 16)
+
+
+def test_draws_are_even_and_whole(spark):
+    """Every item is drawn about as often, never twice in a draw, and a limit that is too low is lifted."""
+    items = spark.range(3000).withColumnRenamed("id", "window_id")
+    got = inference.drawn(items, 300, 200, 5)
+    assert got.count() == 60_000 and got.select("draw", "window_id").distinct().count() == 60_000 and got.groupBy("draw").agg(F.max("rank").alias("m")).where("m = 300").count() == 200
+    times = np.array([r["count"] for r in got.groupBy("window_id").count().collect()])
+    assert len(times) > 2990 and 0.8 < times.var() / (200 * 0.1 * 0.9) < 1.25
+    first = np.array([r.window_id for r in got.where("rank = 1").collect()])
+    assert len(set(first.tolist())) > 180 and 1200 < first.mean() < 1800
+    assert inference.drawn(items.limit(5), 9, 3, 1).count() == 15 and inference.drawn(items.limit(0), 9, 3, 1).count() == 0
+    large = spark.createDataFrame([(2**40 + i,) for i in range(50)], "window_id long")
+    assert {(r.draw, r.window_id): r["rank"] for r in inference.drawn(large, 50, 2, 3).collect()} == {(d, w): k for d in range(2) for k, w in enumerate(sorted((2**40 + i for i in range(50)), key=lambda w: (plain_key(3, d, w), w)), 1)}
+
+
 def test_random_draws_against_plain_loops(spark):
     rows = [(i % 5, float(i * i % 17)) for i in range(50)]
     b = inference.bootstrap(spark.createDataFrame(rows, "g int, v double"), "g", "v", 60, 9).first()
     sums = np.array([sum(v for g, v in rows if g == k) for k in range(5)])
-    seeds = [r.seed & (2**63 - 1) for r in inference.draws(spark, 60, 9).orderBy("draw").collect()]
-    means = [sums[np.random.default_rng(s).integers(0, 5, 5)].sum() / 50 for s in seeds]
+    means = [sums[[plain_key(9, d, j) % 5 for j in range(1, 6)]].sum() / 50 for d in range(60)]
     assert np.allclose([b["mean"], b.low, b.high], [sums.sum() / 50, np.quantile(means, 0.025), np.quantile(means, 0.975)])
     owners, share = [np.array([0, 1]), np.array([5]), np.array([2, 5, 7])], np.array([0.5, 0.2, 0.3])
-    got = {(r.draw, r["rank"]): r.fraction for r in inference.random_recovery(spark, owners, share, 10, 6, 60, 9).collect()}
-    for d, s in enumerate(seeds):
-        chosen = np.random.default_rng(s).choice(10, size=6, replace=False).tolist()
+    cover = spark.createDataFrame([(c, int(w)) for c, o in enumerate(owners) for w in o], "cell int, window_id long")
+    weights = spark.createDataFrame([(c, float(v)) for c, v in enumerate(share)], "cell int, weight double")
+    got = {(r.draw, r["rank"]): r.fraction for r in inference.random_recovery(cover, weights, spark.range(10).withColumnRenamed("id", "window_id"), 6, 60, 9).collect()}
+    assert len(got) == 360
+    for d in range(60):
+        chosen = sorted(range(10), key=lambda w: (plain_key(9, d, w), w))[:6]
         for t in range(1, 7):
             assert np.isclose(got[d, t], sum(w for o, w in zip(owners, share) if set(o.tolist()) & set(chosen[:t])))
 
@@ -365,7 +387,6 @@ def test_small_rules(tmp_path):
 
 
 def test_artefacts_are_verified(spark, tmp_path):
-    import hashlib
 
     (tmp_path / "a.csv").write_text("x\n1\n")
     (tmp_path / "b.json").write_text("{}")
@@ -376,11 +397,13 @@ def test_artefacts_are_verified(spark, tmp_path):
 
 
 def test_random_means_and_repaired_rings(spark):
-    values = np.array([1.0, 4.0, np.nan, 2.0])
-    got = {r.draw: r.v for r in inference.random_means(spark, values, 2, 40, 3).collect()}
-    for r in inference.draws(spark, 40, 3).collect():
-        some = values[np.random.default_rng(r.seed & (2**63 - 1)).choice(4, 2, replace=False)]
-        assert np.isclose(got[r.draw], np.nanmean(some))
+    values = np.array([1.0, 4.0, np.nan, 2.0, np.nan])
+    rows = spark.createDataFrame([(i, float(v) if i != 4 else None) for i, v in enumerate(values)], "window_id long, v double")
+    got = {r.draw: r.v for r in inference.random_means(rows, 2, 40, 3).collect()}
+    assert len(got) == 40
+    for d, v in got.items():
+        some = values[sorted(range(5), key=lambda w: plain_key(3, d, w))[:2]]
+        assert v is None if np.isnan(some).all() else np.isclose(v, np.nanmean(some))
     ring = [(0, 0), (0, 0), (0, 2), (2, 2), (2, 2), (2, 0)]
     df = spark.createDataFrame([(1, polygon(ring, [(1, 1), (1, 1)])), (2, polygon([(0, 0), (1, 1), (2, 2)])), (3, polygon([(5, 5)]))], f"fid long, rings {G.RINGS}")
     fixed = grids.fix_rings(df).collect()
