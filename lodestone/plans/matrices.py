@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import center_of, with_box
 from ..operators import linalg
 from ..operators.windows import Shape, circle_mask, window_ids, windows, windows_sql
-from .adapters import CELLS, EVENT_CELLS, EVENT_WINDOWS, EVENTS, HOURS, LINE_CELLS, LINES, VECTORS, event_cells, event_windows, line_cells, pca, query, rounded, table, vectors
+from .adapters import CELLS, EVENTS, EVENT_CELLS, EVENT_WINDOWS, HOURS, LINES, LINE_CELLS, VECTORS, event_cells, event_windows, line_cells, pca, query, rounded, table, vectors
 
 
 @query("select (day(ts) - 1)::int as r, hour(ts)::int as c, event_type as var, count(*) as n, round(sum(value), 2) as total from events group by 1, 2, 3")
@@ -65,10 +65,11 @@ def window_matrix_circle(spark, sf_dir):
     return w.select("window_id", F.size("n").cast("long").alias("cells"), total(F.col("n")).alias("total"), total(F.zip_with("n", where, lambda a, b: a * b)).alias("moment"))
 
 
-@query("select (i.range * 13 + k.range)::bigint as window_id, (i.range * 3)::int as r0, (k.range * 4)::int as c0 from range(0, 27) i, range(0, 13) k")
+@query(f"with {LINE_CELLS} select (i.range * 13 + k.range)::bigint as window_id, (i.range * 3)::int as r0, (k.range * 4)::int as c0, n from range(0, 27) i cross join range(0, 13) k left join lines on r = i.range * 3 and c = k.range * 4")
 def window_ids_strided(spark, sf_dir):
-    """Ids of the padded grid of windows."""
-    return window_ids(spark, LINES)
+    """Ids of the padded grid of windows, with the value of each window's first cell where it has one."""
+    first = line_cells(spark, sf_dir).select(F.col("r").alias("r0"), F.col("c").alias("c0"), "n")
+    return window_ids(spark, LINES).join(first, ["r0", "c0"], "left").select("window_id", "r0", "c0", "n")
 
 
 @query(f"""with {LINE_CELLS}, win as (select (i.range * 13 + k.range)::bigint as window_id, count(*) as present, sum(n) as total from range(0, 27) i, range(0, 13) k, lines where r between i.range * 3 and i.range * 3 + 5 and c between k.range * 4 and k.range * 4 + 4 group by 1)
@@ -78,12 +79,12 @@ def window_totals(spark, sf_dir):
     return w.select("window_id", F.aggregate("n", F.lit(0.0), lambda a, v: a + v).alias("total"))
 
 
-@query("select (i.range * 8 + k.range)::bigint as window_id, (k.range * 3)::double as x0, (k.range * 3 + 4)::double as x1, (i.range * 2)::double as y0, (i.range * 2 + 3)::double as y1, k.range * 3 + 0.5::double as cx, i.range * 2 + 0.5::double as cy from range(0, 15) i, range(0, 8) k")
+@query(f"with {EVENT_CELLS} select (i.range * 8 + k.range)::bigint as window_id, (k.range * 3)::double as x0, (k.range * 3 + 4)::double as x1, (i.range * 2)::double as y0, (i.range * 2 + 3)::double as y1, k.range * 3 + 0.5::double as cx, i.range * 2 + 0.5::double as cy, v1 from range(0, 15) i, range(0, 8) k, cells where r = i.range * 2 and c = k.range * 3")
 def pixel_to_map(spark, sf_dir):
-    """Boxes and first cells' centres of windows on the map."""
-    b = with_box(window_ids(spark, EVENTS), CELLS, 3, 4)
+    """Boxes and first cells' centres of windows on the map, with the value there."""
+    b = with_box(window_ids(spark, EVENTS), CELLS, 3, 4).join(event_cells(spark, sf_dir).select(F.col("r").alias("r0"), F.col("c").alias("c0"), "v1"), ["r0", "c0"])
     cx, cy = center_of(CELLS, "r0", "c0")
-    return b.select("window_id", "x0", "x1", "y0", "y1", cx.alias("cx"), cy.alias("cy"))
+    return b.select("window_id", "x0", "x1", "y0", "y1", cx.alias("cx"), cy.alias("cy"), "v1")
 
 
 @query(f"with {VECTORS} select j::int as j, round(avg(v), 6) + 0.0 as mean, round(stddev_samp(v), 6) as sd_samp, round(stddev_pop(v), 6) as sd_pop from alls group by 1")

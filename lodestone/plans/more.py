@@ -48,8 +48,9 @@ ANGLE, SCALE = 30.0, 0.8
     select row::int as row, col::int as col, round(sum(v1 * (case when dr = 1 then fy else 1 - fy end) * (case when dc = 1 then fx else 1 - fx end)), 6) + 0.0 as v from q group by 1, 2""")
 def template_turned(spark, sf_dir):
     """A 5 x 7 template at (10, 8), turned by 30 degrees and shrunk, read between cell centres."""
-    grid = template(event_cells(spark, sf_dir), "v1", 0, DAYS, 0, HOURS)
-    return rounded(as_rows(spark, resample(grid, 10, 8, 5, 7, ANGLE, SCALE)), "v")
+    m = 9  # the longer side, enlarged by the scale: only the patch and this margin leave the executors
+    patch = template(event_cells(spark, sf_dir), "v1", 10 - m, 15 + m, 8 - m, 15 + m)
+    return rounded(as_rows(spark, resample(patch, m, m, 5, 7, ANGLE, SCALE)), "v")
 
 
 @query(f"with {EVENT_CELLS} select r - 7 as row, c - 14 as col, v2 as v from cells where r between 7 and 9 and c between 14 and 17")

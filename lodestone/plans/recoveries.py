@@ -10,7 +10,7 @@ from ..operators.ordering import cut, top
 from ..operators.overlay import clear_of
 from ..operators.ranking import rank_raw
 from ..operators.windows import windows
-from .adapters import CELLS, EVENT_WINDOWS, EVENTS, FOOTPRINTS, event_cells, event_windows, footprints, query, rounded
+from .adapters import CELLS, EVENT_WINDOWS, EVENTS, FOOTPRINTS, event_cells, event_windows, footprints, query, rounded, table
 
 TOP, COVER = 40, 0.5
 RANKED = EVENT_WINDOWS + f""",
@@ -47,9 +47,10 @@ def ranked_windows(spark, sf_dir):
     return ranked(spark, sf_dir)
 
 
-@query(f"with {EVENT_WINDOWS}, {FOOTPRINTS} select dep_id, r, c, round(area, 6) as area from dep_cells")
+@query(f"with {EVENT_WINDOWS}, {FOOTPRINTS} select dep_id, r, c, round(area, 6) as area, v1 from dep_cells join cells using (r, c)")
 def footprint_cells(spark, sf_dir):
-    return rounded(V.box_cells(footprints(spark), CELLS), "area")
+    """The cells of each footprint, how much of them it covers, and the grid's value there."""
+    return rounded(V.box_cells(footprints(spark), CELLS).join(event_cells(spark, sf_dir).select("r", "c", "v1"), ["r", "c"]), "area")
 
 
 @query(f"with {RANKED} select rank, round(recovered_area, 6) as recovered_area, round(total_fraction, 6) as total_fraction, round(mean_fraction, 6) as mean_fraction from curve")
@@ -162,9 +163,12 @@ def window_footprint_overlap(spark, sf_dir):
     return rounded(both.select(F.col("a_rank").alias("rank"), F.col("b_dep_id").alias("dep_id"), ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("shared")), "shared")
 
 
-@query("with p as (select range * 10 as x, (range * range)::double as y from range(0, 8)), q as (select range as i, range * 1.7 - 5 as pos from range(0, 60)), s as (select x, y, lead(x) over (order by x) as nx, lead(y) over (order by x) as ny from p) select i, round(case when pos <= 0 then 0.0 when pos >= 70 then 49.0 else (select max(y + (pos - x) / (nx - x) * (ny - y)) from s where x <= pos and pos < nx) end, 6) as v from q")
+@query("""with p as (select l_quantity::bigint as x, sum(round(l_tax * 100)::bigint)::double as y from lineitem where l_quantity::bigint % 3 = 1 group by 1), q as (select s_suppkey as i, s_suppkey * 1.7 % 60 - 5 as pos from supplier),
+    s as (select x, y, lead(x) over (order by x) as nx, lead(y) over (order by x) as ny from p), e as (select min(x) as x0, max(x) as x1, arg_min(y, x) as y0, arg_max(y, x) as y1 from p)
+    select i, round(case when pos <= x0 then y0 when pos >= x1 then y1 else (select max(y + (pos - x) / (nx - x) * (ny - y)) from s where x <= pos and pos < nx) end, 6) as v from q, e""")
 def interpolation_join(spark, sf_dir):
-    """Linear look-up, constant beyond the ends."""
-    p = spark.range(8).select((F.col("id") * 10).alias("x"), (F.col("id") * F.col("id")).cast("double").alias("y"))
-    q = spark.range(60).select(F.col("id").alias("i"), (F.col("id") * 1.7 - 5).alias("at"))
+    """Linear look-up on a curve of sums by quantity, constant beyond the ends."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("long").alias("x"), F.round(F.col("l_tax") * 100).cast("long").alias("t"))
+    p = lines.where(F.col("x") % 3 == 1).groupBy("x").agg(F.sum("t").cast("double").alias("y"))
+    q = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), (F.col("s_suppkey") * 1.7 % 60 - 5).cast("double").alias("at"))
     return rounded(interpolate(q, p, "at", "x", "y", "v").select("i", "v"), "v")
