@@ -140,7 +140,8 @@ def squared_by_variable(df: DataFrame, columns: list[str], ks: list[int], **opti
 
 
 def fuse_late(df: DataFrame, columns: list[str], ks: list[int], combine: str = "sum", alpha: list[float] | None = None, **options) -> DataFrame:
-    """Squared distances over their medians (reference row included), added with weights or the largest of them."""
+    """Squared distances over their medians (reference row included), added with weights or the largest of them. Where a
+    median is 0, the variable's distances stay as they are: divided by next to nothing, they would decide alone."""
     d = squared_by_variable(df, columns, ks, **options)
     names = [f"d{i}" for i in range(1, len(columns) + 1)]
     med = dict(zip(names, quantiles(d, names)))

@@ -14,20 +14,48 @@ from ..sources.config import Run
 from . import recovery as V
 from .ordering import cut, top, top_per_group
 from .ranking import fuse, rank_components, rank_raw, rank_references
-from .windows import Shape, circle_mask, resample, template, windows, with_reference
+from .windows import Shape, circle_mask, circle_template, resample, template, windows, with_reference
 
 #: A case's reference vector: joint is that of all variables, raw_vector and raw_shape are those of a raw comparison.
 REFERENCES = "dep_ref int, method string, analysis string, variable string, joint array<double>, vector array<double>, raw_vector array<double>, shape array<int>, raw_shape array<int>"
 
 
-def reference_patch(cells: DataFrame, column: str, polygon: DataFrame, t: Affine, h: int, w: int, rotation: float = 0.0, scale: float = 1.0) -> np.ndarray:
-    """The h x w patch about a footprint's bounds, turned and scaled where asked. A footprint may have parts, one a row;
-    the bounds are those of all. Raises where cells are missing, and without a footprint."""
+def footprint_bounds(polygon: DataFrame):
+    """x0, x1, y0 and y1 over all parts of a footprint; raises without one."""
     b = polygon.select(bounds(F.col("rings")).alias("b")).agg(*[f(f"b.{c}").alias(c) for f, c in ((F.min, "x0"), (F.max, "x1"), (F.min, "y0"), (F.max, "y1"))]).first()
     if b.x0 is None:
         raise ValueError("the reference has no footprint")
+    return b
+
+
+def footprint_box(polygon: DataFrame, t: Affine, height: int, width: int) -> tuple[int, int, int, int]:
+    """First and last row and column (the last ones beyond) of the cells that a footprint's bounds touch, held within the
+    grid; raises where they lie beside it."""
+    b = footprint_bounds(polygon)
+    rows, cols = zip(*(t.to_cell(x, y) for x, y in ((b.x0, b.y0), (b.x1, b.y1))))
+    box = [int(f) for f in (np.clip(np.floor(min(rows)), 0, height), np.clip(np.ceil(max(rows)), 0, height), np.clip(np.floor(min(cols)), 0, width), np.clip(np.ceil(max(cols)), 0, width))]
+    if box[0] >= box[1] or box[2] >= box[3]:
+        raise ValueError("the reference's footprint lies outside the grid")
+    return tuple(box)
+
+
+def window_of(box: tuple[int, int, int, int]) -> tuple[int, int]:
+    return box[1] - box[0], box[3] - box[2]
+
+
+def footprint_circle(run: Run, polygon: DataFrame, t: Affine) -> tuple[float, float, float]:
+    """Centre of a footprint's bounds and the radius on the map: that of the run, in cells, else half the larger extent."""
+    b = footprint_bounds(polygon)
+    radius = run.radius * abs(t.a) if run.radius else max(b.x1 - b.x0, b.y1 - b.y0) / 2
+    return (b.x0 + b.x1) / 2, (b.y0 + b.y1) / 2, radius
+
+
+def reference_patch(cells: DataFrame, column: str, polygon: DataFrame, t: Affine, h: int, w: int, rotation: float = 0.0, scale: float = 1.0) -> np.ndarray:
+    """The h x w patch about a footprint's bounds, turned and scaled where asked. A footprint may have parts, one a row;
+    the bounds are those of all. Raises where cells are missing, and without a footprint."""
+    b = footprint_bounds(polygon)
     rows, cols = zip(*(t.to_cell(x, y) for x, y in ((b.x0, b.y0), (b.x1, b.y1))))
-    r0, c0 = int(np.floor(min(rows))), int(np.floor(min(cols)))
+    r0, c0 = max(0, int(np.floor(min(rows)))), max(0, int(np.floor(min(cols))))
     if rotation == 0 and scale == 1:
         patch = template(cells, column, r0, r0 + h, c0, c0 + w)
     else:
@@ -41,9 +69,9 @@ def reference_patch(cells: DataFrame, column: str, polygon: DataFrame, t: Affine
 @dataclass(frozen=True)
 class Shared:
     """What cases of one grid share: the windows, cut once, and distances that one scan has given (window_id, ref, k, dist),
-    with the number in it of each reference, angle and scale."""
+    with the number in it of each reference, angle and scale. Nothing, where each reference has a window of its own."""
 
-    places: DataFrame
+    places: DataFrame | None
     dist: DataFrame | None = None
     numbers: dict = field(default_factory=dict)
 
@@ -51,6 +79,8 @@ class Shared:
 def shared(run: Run, cells: DataFrame, footprints: DataFrame, t: Affine, height: int, width: int, wanted: list[tuple[int, float, float]], ks: list) -> Shared:
     """Windows for all cases, and all distances of one variable's components in one scan: wanted has the reference, angle
     and scale of each case. Fusions and ks by variable share the windows alone."""
+    if run.window is None:
+        return Shared(None)
     h, w = run.window
     mask = circle_mask(h, w, run.radius) if run.patch == "circle" else None
     places = cut(windows(cells, Shape(height, width, h, w, *run.stride), run.variables(), mask))
@@ -68,16 +98,21 @@ def shared(run: Run, cells: DataFrame, footprints: DataFrame, t: Affine, height:
 def case(run: Run, cells: DataFrame, footprints: DataFrame, t: Affine, height: int, width: int, reference: int, k: int | tuple[int, ...], raw: bool = False, common: Shared | None = None) -> dict[str, DataFrame]:
     """One reference and k: ranked windows, cells, curve, coverage, hits, events, summary. footprints has dep_id, rings.
     common: what this case shares with others, from shared()."""
-    h, w = run.window
-    shape = Shape(height, width, h, w, *run.stride)
     columns = run.variables()
     if run.crs_policy == "reproject":
         footprints = reproject(footprints, run.footprint_crs, run.grid_crs)
-    mask = circle_mask(h, w, run.radius) if run.patch == "circle" else None
     polygon = footprints.where(F.col("dep_id") == reference)
-    keep = slice(None) if mask is None else mask.ravel()
-    vectors = {c: reference_patch(cells, c, polygon, t, h, w, run.rotation, run.scale).ravel()[keep] for c in columns}
-    places = common.places if common else windows(cells, shape, columns, mask)
+    if run.window is None and run.patch == "circle":
+        found = {c: circle_template(cells, c, t, *footprint_circle(run, polygon, t)) for c in columns}
+        (first, mask, _), keep = found[columns[0]], found[columns[0]][1].ravel()
+        (h, w), vectors = first.shape, {c: patch.ravel()[keep] for c, (patch, _, _) in found.items()}
+    else:
+        h, w = run.window or window_of(footprint_box(polygon, t, height, width))
+        mask = circle_mask(h, w, run.radius) if run.patch == "circle" else None
+        keep = slice(None) if mask is None else mask.ravel()
+        vectors = {c: reference_patch(cells, c, polygon, t, h, w, run.rotation, run.scale).ravel()[keep] for c in columns}
+    shape = Shape(height, width, h, w, *run.stride)
+    places = common.places if common and common.places is not None else windows(cells, shape, columns, mask)
     options = {"mode": run.weight_mode, "over": run.weights_over, "whiten": run.whiten}
     number = common.numbers.get((reference, run.rotation, run.scale)) if common and not raw else None
     frame = cut(with_reference(places.drop("r0", "c0"), vectors=vectors)) if number is None else None
@@ -112,7 +147,7 @@ def case(run: Run, cells: DataFrame, footprints: DataFrame, t: Affine, height: i
 
 def against_random(run: Run, tables: dict[str, DataFrame], grid: DataFrame, cell_area: float = 1.0) -> DataFrame:
     """Recovery over that of a random selection of equal area, for a finished case. grid has the cells that count."""
-    (h, w), (sy, sx) = run.window, run.stride
+    (h, w), (sy, sx) = run.window or tables["reference"].select("shape").first()[0], run.stride
     n, t_max = tables["windows"].count(), min(run.top_k, tables["windows"].count())
     null = V.null_curve(V.cover_counts(tables["tested"], tables["windows"], h, w, sy, sx), n, t_max)
     area = V.null_union(V.cover_counts(grid.select("r", "c"), tables["windows"], h, w, sy, sx), n, t_max, cell_area)

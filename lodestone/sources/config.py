@@ -29,13 +29,14 @@ class Run:
     """One analysis: grids, window, ranking and validation settings.
 
     With crs_policy "reproject" footprints are moved from footprint_crs to grid_crs; with "assume" they are taken as they
-    are. best_k has each variable's k by reference, and stands before ks: a case then takes one k for each variable.
+    are. Without a window each reference gives its own: the cells that its bounds touch, within the grid; with patch "circle"
+    the cells about its bounds' centre that a circle of half its larger extent needs, or one of radius cells. best_k has each variable's k by reference, and stands before ks: a case then takes one k for each variable.
     """
 
     name: str
     grids: dict[str, str]
     footprints: str
-    window: tuple[int, int]
+    window: tuple[int, int] | None = None
     stride: tuple[int, int] = (1, 1)
     analysis: str = "univariate"
     variable: str | None = None
@@ -65,11 +66,11 @@ class Run:
             "analysis": self.analysis in ANALYSES, "patch": self.patch in PATCHES, "crs_policy": self.crs_policy in POLICIES and (self.crs_policy != "reproject" or (known_crs(self.footprint_crs) and known_crs(self.grid_crs))),
             "best_k": not self.best_k or all(self.best_ks(r) for r in self.references),
             "fusion": self.fusion in FUSIONS, "weight_mode": self.weight_mode in WEIGHT_NAMES, "alpha": 0 <= self.alpha <= 1,
-            "min_cover": 0 < self.min_cover <= 1, "top_k": self.top_k >= 1, "window": len(self.window) == 2 and min(self.window) >= 1,
+            "min_cover": 0 < self.min_cover <= 1, "top_k": self.top_k >= 1, "window": self.window is None or (len(self.window) == 2 and min(self.window) >= 1),
             "stride": len(self.stride) == 2 and min(self.stride) >= 1, "ks": bool(self.ks) and min(self.ks) >= 1, "scale": self.scale > 0,
             "grids": len(self.grids) >= (2 if self.analysis == "multivariate" else 1), "references": bool(self.references),
             "variable": self.variable is None or any(v.lower() == self.variable.lower() for v in self.grids),
-            "radius": self.patch != "circle" or (self.radius or 0) > 0,
+            "radius": self.patch != "circle" or (self.radius or 0) > 0 or (self.window is None and self.radius is None),
             "rotation": self.patch != "circle" or (self.rotation == 0 and self.scale == 1),
         }
         wrong = [k for k, ok in checks.items() if not ok]
@@ -191,4 +192,4 @@ def build(doc: dict) -> Run:
     if "best_k" in doc:
         best = {v: read_best_k(t) if isinstance(t, str) else {int(r): int(k) for r, k in t.items()} for v, t in doc["best_k"].items()}
         doc = doc | {"best_k": best}
-    return Run(**{k: tuple(v) if k in lists else v for k, v in doc.items()})
+    return Run(**{k: tuple(v) if k in lists and v is not None else v for k, v in doc.items()})

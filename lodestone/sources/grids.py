@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import RINGS, Affine, contains, crs_grid, signed_area
+from ..operators.ordering import free_name
 
 LAYER = f"source string, fid long, kind string, props string, rings {RINGS}"
 
@@ -172,4 +173,5 @@ def densify(layer: DataFrame, step: float) -> DataFrame:
 def first_of_each(layer: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row of each key: the first in the given order, such as a feature that several requests returned."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return layer.withColumn("row of key", place).where("`row of key` = 1").drop("row of key")
+    name = free_name(layer, "row of key")
+    return layer.withColumn(name, place).where(F.col(f"`{name}`") == 1).drop(name)

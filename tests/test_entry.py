@@ -18,7 +18,7 @@ def test_queries_and_sql_agree():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and all(map(callable, queries.values()))
     if entry.HAS_LLM:
-        assert all(any(q.startswith(f"op{n}_") for q in queries) for n in range(1, 11))
+        assert all(any(q.startswith(f"op{n}_") for q in queries) for n in range(1, 14))
 
 
 def test_imports_without_the_corpus_operators(tmp_path):

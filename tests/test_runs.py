@@ -214,6 +214,30 @@ def test_many_references_in_one_scan(spark, cells, footprints, monkeypatch):
 
 
 
+def test_windows_from_the_footprints(spark, cells, footprints):
+    """Without a window the reference's bounds give it, within the grid; circles lie about the bounds' centre."""
+    t = Affine(e=1.0)
+    run = config.build({"name": "t", "grids": {"A": "a", "B": "b"}, "footprints": "f", "references": [1], "ks": [3], "top_k": 12, "variable": "A"})
+    fixed, free = (runs.case(r, cells, footprints, t, H, W, 1, 3) for r in (settings(), run))
+    assert free["reference"].first()["shape"] == [4, 5] and free["ranked"].orderBy("rank").collect() == fixed["ranked"].orderBy("rank").collect()
+    assert runs.against_random(run, free, cells).count() == 12
+    ring = [{"x": x, "y": y} for x, y in ((26.5, 21.5), (26.5, 26.0), (33.0, 26.0), (33.0, 21.5))]
+    edge = spark.createDataFrame([(9, [ring]), (8, [[{"x": p["x"] + 50, "y": p["y"]} for p in ring]])], footprints.schema)
+    assert runs.footprint_box(edge.where("dep_id = 9"), t, H, W) == (21, 24, 26, 30)
+    with pytest.raises(ValueError, match="outside"):
+        runs.footprint_box(edge.where("dep_id = 8"), t, H, W)
+    round_run = config.build(run.resolved() | {"patch": "circle"})
+    got = runs.case(round_run, cells, footprints, t, H, W, 1, 3)
+    x, y = PLACES[0]
+    grid = np.full((H, W), np.nan)
+    for r in cells.collect():
+        grid[r.r, r.c] = r.A
+    row, col = int(np.round(y + 2 - 0.5)), int(np.round(x + 2.5 - 0.5))
+    inside = [(r, c) for r in range(row - 3, row + 4) for c in range(col - 3, col + 4) if (r + 0.5 - y - 2) ** 2 + (c + 0.5 - x - 2.5) ** 2 <= 2.5**2]
+    assert np.allclose(got["reference"].first().vector, [grid[p] for p in inside]) and got["reference"].first()["shape"] == [7, 7]
+    assert (lambda f: (f.r0, f.c0))(got["ranked"].orderBy("rank").first()) == (row - 3, col - 3)
+
+
 def test_moments_with_one_more_row(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(50, 6))
