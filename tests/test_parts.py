@@ -379,7 +379,8 @@ def test_small_rules(tmp_path):
     with pytest.raises(ValueError):
         linalg.variables_in(25, 12)
     assert grids.resolve_crs(" epsg:4326 ") == "EPSG:4326" and grids.resolve_crs("EPSG:4326", "EPSG:32722") == "EPSG:32722"
-    for wrong in ((None, None), ("EPSG:29192", None)):
+    assert grids.resolve_crs("EPSG:29192") == "EPSG:29192"
+    for wrong in ((None, None), ("EPSG:3857", None)):
         with pytest.raises(ValueError):
             grids.resolve_crs(*wrong)
     paths = {"variable_paths": {"tmi": "a.gxf"}, "tmi_file_path": "b", "rad_file_path": "c"}
