@@ -20,6 +20,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
 
 
+def shared_place(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that the driver and all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder; lineage ends there."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -35,11 +41,10 @@ class Rounds:
     """
 
     def __init__(self, spark: SparkSession):
-        ensure_checkpoint_dir(spark)
         self.spark, self.kept = spark, []
 
     def write(self, df: DataFrame) -> DataFrame:
-        path = f"{self.spark.sparkContext.getCheckpointDir()}/round-{uuid.uuid4().hex}"
+        path = shared_place(self.spark, "round")
         df.write.parquet(path)
         self.kept.append(path)
         if len(self.kept) > 2:

@@ -106,23 +106,32 @@ def enrichment(cover: DataFrame, baseline: float) -> DataFrame:
 
 
 def envelope(at: np.ndarray, height: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Lowest value at each x of the parabolas (x - at) ** 2 + height; at rises. One pass, whatever the row's length."""
-    kept: list[int] = []
-    start: list[float] = []  # from where on each kept parabola is the lowest
-    foot, lift = at.tolist(), (height + at**2).tolist()
-    for i in range(len(foot)):
-        since = -np.inf
-        while kept:
-            since = (lift[i] - lift[kept[-1]]) / (2 * (foot[i] - foot[kept[-1]]))
-            if since > start[-1]:
-                break
-            kept.pop()
-            start.pop()
-            since = -np.inf
-        kept.append(i)
-        start.append(since)
-    low = np.array(kept)[np.searchsorted(start, x, side="right") - 1]
-    return (x - at[low]) ** 2 + height[low]
+    """Lowest value at each x of the parabolas (x - at) ** 2 + height; at and x rise.
+
+    The lowest parabola's place never falls as x grows. So the x in the middle are settled first, and those between two
+    settled ones look only at the parabolas between theirs: a round for each halving, each an array operation over about as
+    many values as there are parabolas and x.
+    """
+    n = len(x)
+    best = np.zeros(n + 2, dtype=np.int64)  # of x numbered from 1, with an end on either side
+    best[n + 1] = len(at) - 1
+    out = np.empty(n)
+    step = 1 << n.bit_length()
+    while step > 1:
+        half = step // 2
+        i = np.arange(half, n + 1, step)
+        low, high = best[i - half], best[np.minimum(i + half, n + 1)]
+        sizes = high - low + 1
+        starts = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(i)), sizes)
+        tried = np.arange(sizes.sum()) - starts[owner] + low[owner]
+        values = (x[i - 1][owner] - at[tried]) ** 2 + height[tried]
+        least = np.minimum.reduceat(values, starts)
+        hits = np.flatnonzero(values == least[owner])[::-1]
+        best[i[owner[hits]]] = tried[hits]  # the first of equal ones is written last
+        out[i - 1] = least
+        step = half
+    return out
 
 
 def distance_to(cells: DataFrame, mask: str = "v", cell: float = 1.0) -> DataFrame:
@@ -137,7 +146,7 @@ def distance_to(cells: DataFrame, mask: str = "v", cell: float = 1.0) -> DataFra
     columns = cells.select("r", "c", F.least(F.col("r") - up, down - F.col("r")).cast("double").alias("g"))
 
     def along(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("c")
+        f = f.sort_values("c", ignore_index=True)
         c, g = f["c"].to_numpy(np.float64), f["g"].to_numpy(np.float64) ** 2
         known = ~np.isnan(g)
         out = envelope(c[known], g[known], c) if known.any() else np.full(len(f), np.nan)

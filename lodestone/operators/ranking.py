@@ -6,6 +6,7 @@ Ties go to the smaller window id wherever rows are numbered.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -182,9 +183,25 @@ def fuse_concat_standardized(df: DataFrame, columns: list[str], ks: list[int], m
     return ranked(both, F.sqrt(by_vector(lambda v: (((v - mean) / sd - z) ** 2 * w).sum(axis=1), "x")))
 
 
-def fuse_two_stage(df: DataFrame, columns: list[str], ks: list[int], k: int, **options) -> DataFrame:
-    """Components of the variables' standardised scores, then the weighted distance of the first k of these."""
-    return rank_components(scores_side_by_side(df, columns, ks), "x", k=k, **options)
+def cut_gap(eigvals: np.ndarray, k: int) -> float:
+    """How far the k-th eigenvalue lies above the next, as a share of itself; infinite where nothing is cut off."""
+    return float("inf") if k == len(eigvals) else float((eigvals[k - 1] - eigvals[k]) / max(abs(eigvals[k - 1]), EPS))
+
+
+def fuse_two_stage(df: DataFrame, columns: list[str], ks: list[int], k: int | None = None, least_gap: float = 1e-4, **options) -> DataFrame:
+    """Components of the variables' standardised scores, then the weighted distance of the first k of these.
+
+    Between two eigenvalues that are nearly equal the components are any turn of one another, so a k that parts them gives a
+    ranking that another run need not repeat: a RuntimeWarning tells where the gap at k is under least_gap.
+    """
+    squared = options.pop("squared", False)
+    both = scores_side_by_side(df, columns, ks)
+    b = block(both, "x", k=k, **options)
+    gap = cut_gap(b.model.eigvals, b.k)
+    if gap < least_gap:
+        warnings.warn(f"k = {b.k} parts two components whose eigenvalues differ by a share of {gap:.2e}; take k at a wider gap", RuntimeWarning, stacklevel=2)
+    d = by_vector(b.squared, "x")
+    return ranked(both, d if squared else F.sqrt(d))
 
 
 def fuse_joint(df: DataFrame, columns: list[str], k: int, **options) -> DataFrame:

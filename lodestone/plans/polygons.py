@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..operators import overlay as O
 from ..operators import polygons as P
+from ..operators.ordering import shared_place
+from ..sources.grids import read_shapefile
+from ..sources.maps import read_geopackage, write_map
 from .adapters import CELLS, DAYS, HOURS, query, rounded, table
 from .geometry import NEXT, polygons
 from .overlays import order_maps
@@ -143,3 +146,26 @@ def burned_all_touched(spark, sf_dir):
     """Cells of which any supplier's box holds a part."""
     b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("fid"), ((F.col("s_suppkey") % 20).cast("double") + 0.2).alias("x0"), (F.col("s_suppkey") % 20 + 2.7).alias("x1"), ((F.col("s_suppkey") % 27).cast("double") + 0.3).alias("y0"), (F.col("s_suppkey") % 27 + 1.6).alias("y1"))
     return O.burn_all_touched(b.select("fid", G.box_rings("x0", "x1", "y0", "y1").alias("rings")), CELLS, DAYS, HOURS)
+
+
+NAMED = f"with {NEXT}, a as (select id, abs(sum(x * y2 - x2 * y)) / 2 as area, count(*) as corners from nx group by 1) select a.id, s_name as name, round(s_acctbal, 2) as balance, corners::bigint as corners, round(area, 6) as area from a join supplier on s_suppkey = a.id"
+
+
+def written(spark, sf_dir, kind, read):
+    """Every supplier's polygon with its name and balance, written as map files by all tasks and read back from them."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").cast("double").alias("balance"))
+    place = shared_place(spark, kind)
+    write_map(polygons(spark, sf_dir).join(s, "id"), place, kind, crs="EPSG:31982")
+    props = F.from_json("props", "id long, name string, balance double").alias("p")
+    got = read(spark, place).select(props, (F.size(F.get("rings", F.lit(0))) - 1).cast("long").alias("corners"), G.area(F.col("rings")).alias("area"))
+    return rounded(rounded(got.select("p.*", "corners", "area"), "area"), "balance", digits=2)
+
+
+@query(NAMED)
+def geopackage_written(spark, sf_dir):
+    return written(spark, sf_dir, "gpkg", read_geopackage)
+
+
+@query(NAMED)
+def shapefile_written(spark, sf_dir):
+    return written(spark, sf_dir, "shp", read_shapefile)

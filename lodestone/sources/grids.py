@@ -128,28 +128,40 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
-    """Polygons of .shp files, one row a record; outlines run clockwise and come first, holes the other way. A record may
-    have several outlines. Null shapes are dropped."""
+    """Features of .shp files, with the attributes of the .dbf beside each as props ({} without one). A polygon is one row a
+    record, which may have several outlines; outlines run clockwise and come first, holes the other way. Each part of a line
+    and each point is a row. Null shapes are dropped."""
+    from .maps import from_dbf
 
     def parse(frames):
         for f in frames:
-            for source, raw in zip(f["path"], f["content"]):
-                raw, at, out = bytes(raw), 100, []
+            for source, raw, table in zip(f["path"], f["content"], f["table"]):
+                raw, at, out, records = bytes(raw), 100, [], from_dbf(None if table is None else bytes(table))
                 while at + 12 <= len(raw):
                     number, words = struct.unpack(">ii", raw[at : at + 8])
-                    kind = struct.unpack("<i", raw[at + 8 : at + 12])[0]
-                    if kind in (5, 15, 25):
+                    kind = struct.unpack("<i", raw[at + 8 : at + 12])[0] % 10
+                    props = json.dumps(records[number - 1] if number <= len(records) else {}, ensure_ascii=False)
+                    if kind in (3, 5):
                         parts, points = struct.unpack("<ii", raw[at + 44 : at + 52])
                         first = [*struct.unpack(f"<{parts}i", raw[at + 52 : at + 52 + 4 * parts]), points]
                         start = at + 52 + 4 * parts
                         xy = np.frombuffer(raw[start : start + 16 * points], dtype="<f8").reshape(-1, 2)
-                        rings = sorted((xy[a:b].tolist() for a, b in zip(first[:-1], first[1:])), key=lambda r: turn(r) > 0)
-                        rings = [[{"x": x, "y": y} for x, y in r] for r in rings]
-                        out.append((source, number - 1, "Polygon", "{}", rings))
+                        rings = [xy[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
+                        shapes = [("Polygon", sorted(rings, key=lambda r: turn(r) > 0))] if kind == 5 else [("LineString", [r]) for r in rings]
+                    elif kind in (1, 8):
+                        start, points = (at + 12, 1) if kind == 1 else (at + 48, struct.unpack("<i", raw[at + 44 : at + 48])[0])
+                        shapes = [("Point", [[p]]) for p in np.frombuffer(raw[start : start + 16 * points], dtype="<f8").reshape(-1, 2).tolist()]
+                    else:
+                        shapes = []
+                    out += [(source, number - 1, name, props, [[{"x": x, "y": y} for x, y in r] for r in rings]) for name, rings in shapes]
                     at += 8 + 2 * words
                 yield pd.DataFrame(out, columns=["source", "fid", "kind", "props", "rings"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, LAYER)
+    folder, slash, name = path.rpartition("/")
+    files = lambda ending, glob: spark.read.format("binaryFile").option("pathGlobFilter", glob).load((folder or slash or ".") if path.lower().endswith(".shp") else path).select("path", "content", F.regexp_replace("path", rf"(?i)\.{ending}$", "").alias("stem"))
+    stem = name[:-4] if path.lower().endswith(".shp") else "*"
+    tables = files("dbf", stem + ".[dD][bB][fF]").select("stem", F.col("content").alias("table"))
+    return files("shp", stem + ".[sS][hH][pP]").join(tables, "stem", "left").select("path", "content", "table").mapInPandas(parse, LAYER)
 
 
 def fix_rings(layer: DataFrame) -> DataFrame:

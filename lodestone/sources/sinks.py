@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box_rings
+from .maps import KINDS, write_map
 
 
 def wkt(rings: str = "rings") -> Column:
@@ -29,8 +30,11 @@ def geojson_feature(df: DataFrame, rings: str = "rings") -> DataFrame:
     return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*props).alias("properties"), geometry.alias("geometry"))).alias("value"))
 
 
-def write_layer(df: DataFrame, path: str, kind: str = "geojson", mode: str = "errorifexists") -> None:
-    """Polygons as lines of GeoJSON features, as WKT in Parquet, or as CSV with WKT. An empty layer is an error."""
+def write_layer(df: DataFrame, path: str, kind: str = "geojson", mode: str = "errorifexists", **options) -> None:
+    """Polygons as lines of GeoJSON features, as WKT in Parquet, as CSV with WKT, or as GeoPackages (gpkg) and shapefiles
+    (shp) with the options of `maps.write_map`. An empty layer is an error."""
+    if kind in KINDS:
+        return write_map(df, path, kind, mode=mode, **options)
     if df.isEmpty():
         raise ValueError("the layer has no rows")
     if kind == "geojson":

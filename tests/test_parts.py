@@ -3,6 +3,7 @@
 import hashlib
 import json
 import struct
+import warnings
 
 import numpy as np
 import pytest
@@ -304,6 +305,26 @@ def test_lower_envelope():
     for n in (1, 2, 60):
         at, height, x = np.sort(rng.choice(200, n, replace=False)).astype(float), rng.integers(0, 900, n).astype(float), np.arange(200.0)
         assert np.allclose(overlay.envelope(at, height, x), ((x[:, None] - at) ** 2 + height).min(axis=1))
+    for case in range(300):  # many ties, places between the cells, one cell
+        n, m = rng.integers(1, 40, 2)
+        at, height, x = np.sort(rng.choice(60, n, replace=False)) / 2, rng.integers(0, 4, n).astype(float) ** 2, np.sort(rng.choice(60, m, replace=False)).astype(float)
+        assert (overlay.envelope(at, height, x) == ((x[:, None] - at) ** 2 + height).min(axis=1)).all()
+
+
+def test_a_cut_between_equal_eigenvalues_warns(spark):
+    """Four scores without correlation in a balanced design have equal eigenvalues, whatever k."""
+    from itertools import product
+
+    from lodestone.operators.ranking import cut_gap, fuse_two_stage
+
+    rows = [(i, i == 15, [float(a), float(b)], [float(c), float(d)]) for i, (a, b, c, d) in enumerate(product((-1, 1), repeat=4))]
+    frame = spark.createDataFrame(rows, "window_id long, is_ref boolean, a array<double>, b array<double>")
+    with pytest.warns(RuntimeWarning, match="k = 2 parts two components"):
+        fuse_two_stage(frame, ["a", "b"], [2, 2], 2)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", RuntimeWarning)
+        assert fuse_two_stage(frame, ["a", "b"], [2, 2]).count() == 15
+    assert cut_gap(np.array([3.0, 2.0, 1.0]), 1) == 1 / 3 and cut_gap(np.array([3.0, 2.0]), 2) == float("inf") and cut_gap(np.zeros(3), 1) == 0
 
 
 @pytest.mark.parametrize("most", [10**6, 7])
