@@ -169,3 +169,23 @@ def geopackage_written(spark, sf_dir):
 @query(NAMED)
 def shapefile_written(spark, sf_dir):
     return written(spark, sf_dir, "shp", read_shapefile)
+
+
+@query("""with r as (select vec_id, len(embedding) as n, unnest(range(0, len(embedding))) as i, unnest(embedding)::double as e from embeddings),
+    w as (select *, greatest(0.05, 1 + e) as radius from r), nx as (select *, coalesce(lead(radius) over o, first(radius) over o) as radius2 from w window o as (partition by vec_id order by i rows between unbounded preceding and unbounded following)),
+    a as (select vec_id, any_value(n)::bigint as corners, round(sum(radius * radius2 * sin(2 * pi() / n)) / 2, 6) as area from nx group by 1)
+    select vec_id, k.kind, corners, area from a, (values ('gpkg'), ('shp')) k(kind)""")
+def vector_outlines_written(spark, sf_dir):
+    """Every vector as an outline, its components as distances from a centre; written as map files of both kinds by all
+    tasks and read back from them."""
+    e, n = F.col("embedding"), F.size("embedding")
+    away = lambda v: F.greatest(F.lit(0.05), 1 + v.cast("double"))
+    ring = F.transform(e, lambda v, i: F.struct((away(v) * F.cos(2 * F.pi() * i / n)).alias("x"), (away(v) * F.sin(2 * F.pi() * i / n)).alias("y")))
+    layer = table(spark, sf_dir, "embeddings").select("vec_id", F.array(ring).alias("rings"))
+    out = []
+    for kind, read in (("gpkg", read_geopackage), ("shp", read_shapefile)):
+        place = shared_place(spark, kind)
+        write_map(layer, place, kind)
+        key, corners = F.get_json_object("props", "$.vec_id").cast("long").alias("vec_id"), (F.size(F.get("rings", F.lit(0))) - 1).cast("long").alias("corners")
+        out.append(read(spark, place).select(key, F.lit(kind).alias("kind"), corners, G.area(F.col("rings")).alias("area")))
+    return rounded(out[0].unionByName(out[1]), "area")
