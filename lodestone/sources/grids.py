@@ -155,6 +155,9 @@ def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
                         shapes = []
                     out += [(source, number - 1, name, props, [[{"x": x, "y": y} for x, y in r] for r in rings]) for name, rings in shapes]
                     at += 8 + 2 * words
+                    if len(out) >= 4096:
+                        yield pd.DataFrame(out, columns=["source", "fid", "kind", "props", "rings"])
+                        out = []
                 yield pd.DataFrame(out, columns=["source", "fid", "kind", "props", "rings"])
 
     folder, slash, name = path.rpartition("/")

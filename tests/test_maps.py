@@ -82,13 +82,13 @@ def test_shapefile(spark, tmp_path):
 
 @pytest.mark.parametrize("kind", ["gpkg", "shp"])
 def test_parts_hold_every_row(spark, tmp_path, kind):
-    boxes = spark.range(0, 3000, numPartitions=3).selectExpr("id", "id % 100 as x0", "id % 100 + 1 as x1", "0 as y0", "id + 1 as y1")
+    boxes = spark.range(0, 15000, numPartitions=3).selectExpr("id", "id % 100 as x0", "id % 100 + 1 as x1", "0 as y0", "id + 1 as y1")
     rows = boxes.select("id", G.box_rings("x0", "x1", "y0", "y1").alias("rings"))
-    maps.write_map(rows, str(tmp_path / "all"), kind, part_rows=512)
+    maps.write_map(rows, str(tmp_path / "all"), kind, part_rows=4608)
     assert len(list((tmp_path / "all").glob(f"*.{kind}"))) == 6 and not list((tmp_path / "all").glob("_*"))
     read = maps.read_geopackage if kind == "gpkg" else grids.read_shapefile
     got = read(spark, str(tmp_path / "all")).select(F.get_json_object("props", "$.id").cast("long").alias("id"), G.area(F.col("rings")).alias("a"))
-    assert got.where("a = id + 1").select("id").distinct().count() == 3000 == got.count()
+    assert got.where("a = id + 1").select("id").distinct().count() == 15000 == got.count()
     maps.write_map(rows.limit(10), str(tmp_path / "all"), kind, mode="overwrite")
     maps.write_map(rows.limit(7), str(tmp_path / "all"), kind, mode="append")
     assert read(spark, str(tmp_path / "all")).count() == 17
