@@ -161,10 +161,11 @@ def test_footprints_are_reprojected(spark, cells, footprints):
     assert want.keys() == got.keys() and want and all(abs(want[k] - got[k]) <= 1e-5 * want[k] for k in want)
 
 
-@pytest.mark.parametrize("crs", [{}, {"footprint_crs": "EPSG:4326"}, {"footprint_crs": "EPSG:4326", "grid_crs": "EPSG:29192"}])
+@pytest.mark.parametrize("crs", [{}, {"footprint_crs": "EPSG:4326"}, {"footprint_crs": "EPSG:4326", "grid_crs": "EPSG:3857"}])
 def test_reproject_needs_known_crs(crs):
     with pytest.raises(ValueError, match="crs_policy"):
         settings(crs_policy="reproject", **crs)
+    assert settings(crs_policy="reproject", footprint_crs="EPSG:4326", grid_crs="EPSG:29192").grid_crs == "EPSG:29192"
 
 
 def test_best_k_by_reference_and_variable(cells, footprints, tmp_path):
