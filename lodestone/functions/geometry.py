@@ -165,38 +165,49 @@ def rings_in_box(rings, x0: float, x1: float, y0: float, y1: float) -> float:
     return max(0.0, float(way * sum(shoelace(*clip_ring(*ring_arrays(r), x0, x1, y0, y1)) for r in rings)))
 
 
+def bound(value: Column, of) -> Column:
+    """of(value), where value is found once however often of reads it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def named(**values: Column) -> Column:
+    """A struct whose names hold before its values are resolved, as a bound lambda needs."""
+    return F.named_struct(*[c for n, v in values.items() for c in (F.lit(n), v)])
+
+
+def held_mean(lo: Column, hi: Column, wide: Column) -> Column:
+    """Mean of a number that runs evenly from lo to hi, lo <= hi, held within 0 and wide."""
+    held = lambda v: F.least(F.greatest(v, F.lit(0.0)), wide)
+    above = lambda v: F.greatest(v - wide, F.lit(0.0))
+    return F.when(lo == hi, held(lo)).otherwise(((held(hi) - held(lo)) * (held(lo) + held(hi)) / 2 + wide * (above(hi) - above(lo))) / F.when(lo != hi, hi - lo))
+
+
 def clip_area(rings: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
     """Area of a polygon, less its holes, inside a box.
 
     On a line of constant y, the length inside is the sum over the edges it meets of their x, held within the box, with
     the sign of their way up or down. So each edge gives the integral of its x held within the box, over its y within the
-    box; on a straight edge this has a closed form. Only DataFrame functions.
+    box; on a straight edge this has a closed form. Only DataFrame functions; what a formula reads more than once is bound.
     """
-    wide = x1 - x0
-    held = lambda v, lo, hi: F.least(F.greatest(v, lo), hi)
     zero = F.lit(0.0)
 
-    def primitive(x: Column) -> Column:
-        """Integral of x held within 0 and the box's width."""
-        inside = held(x, zero, wide)
-        return inside * inside / 2 + wide * (F.greatest(x, wide) - wide)
-
-    def along(ring: Column) -> Column:
+    def along(box: Column, ring: Column) -> Column:
         n = F.size(ring)
+        held = lambda v: F.least(F.greatest(v, box["y0"]), box["y1"])
+
+        def part(e: Column) -> Column:
+            """e: an edge from (x, y) on, its slope and its ends' y held within the box."""
+            at = lambda v: e["x"] + (v - e["y"]) * e["slope"]
+            mean = bound(named(a=at(e["low"]), b=at(e["high"])), lambda k: held_mean(F.least(k["a"], k["b"]), F.greatest(k["a"], k["b"]), box["wide"]))
+            return F.when(e["low"] == e["high"], zero).otherwise((e["high"] - e["low"]) * mean)
 
-        def edge(p, i):
+        def edge(p: Column, i: Column) -> Column:
             q = F.element_at(ring, (i + 1) % n + 1)
-            rise = q["y"] - p["y"]
-            low, high = held(p["y"], y0, y1), held(q["y"], y0, y1)
-            at = lambda y: p["x"] - x0 + (y - p["y"]) * (q["x"] - p["x"]) / F.when(rise != 0, rise)
-            a, b = at(low), at(high)
-            steep = F.abs(b - a) <= 1e-9 * (wide + F.abs(a))
-            mean = F.when(steep, held((a + b) / 2, zero, wide)).otherwise((primitive(b) - primitive(a)) / F.when(~steep, b - a))
-            return F.when((low == high) | (rise == 0), zero).otherwise((high - low) * mean)
+            return bound(q, lambda q: F.when(q["y"] == p["y"], zero).otherwise(bound(named(x=p["x"] - box["x0"], y=p["y"], slope=(q["x"] - p["x"]) / (q["y"] - p["y"]), low=held(p["y"]), high=held(q["y"])), part)))
 
         return F.when(n < 3, zero).otherwise(F.aggregate(F.transform(ring, edge), zero, lambda a, v: a + v))
 
-    return signed_sum(rings, along)
+    return bound(named(x0=x0, wide=x1 - x0, y0=y0, y1=y1), lambda k: signed_sum(rings, lambda ring: along(k, ring)))
 
 
 def contains(rings: Column, x: Column, y: Column) -> Column:

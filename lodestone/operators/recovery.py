@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Affine, area, bounds, clip_area
+from ..functions.geometry import Affine, area, held_mean, signed_area
 
 
 def window_cells(windows: DataFrame, h: int, w: int, *keep: str) -> DataFrame:
@@ -32,17 +32,39 @@ def box_cells(boxes: DataFrame, t: Affine = Affine(), key: str = "dep_id") -> Da
     return cells.where("area > 0").select(key, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "area")
 
 
+#: Rows of cells of a polygon that one task takes at least.
+BAND = 16
+
+
 def polygon_cells(polygons: DataFrame, t: Affine = Affine(), key: str = "dep_id") -> DataFrame:
-    """(key, r, c, area) of polygons (column rings); each cell's area by clipping, added over the parts of one key."""
-    boxed = polygons.select(key, "rings", bounds(F.col("rings")).alias("b"))
-    row_a, col_a = t.to_cell(F.col("b.x0"), F.col("b.y0"))
-    row_b, col_b = t.to_cell(F.col("b.x1"), F.col("b.y1"))
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b)), F.ceil(F.greatest(a, b)) - 1))
-    cells = boxed.withColumn("r", span(row_a, row_b)).withColumn("c", span(col_a, col_b))
-    xa, ya = t.to_map(F.col("r"), F.col("c"))
-    xb, yb = t.to_map(F.col("r") + 1, F.col("c") + 1)
-    cells = cells.withColumn("area", clip_area(F.col("rings"), F.least(xa, xb), F.greatest(xa, xb), F.least(ya, yb), F.greatest(ya, yb)))
-    return cells.where("area > 0").groupBy(key, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")).agg(F.sum("area").alias("area"))
+    """(key, r, c, area) of polygons (column rings), added over the parts of one key.
+
+    Each edge is cut to the rows that it crosses, and gives every cell from the polygon's first column up to its own place
+    the area that lies on its left there, with the sign of its way; a cell's sum is the part inside. So work follows rows that
+    edges cross, and cells, and no cell looks at edges of other rows. Edges are dealt by bands of rows.
+    """
+    inner = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.struct(*[v.alias(n) for v, n in zip(t.to_cell(p["x"], p["y"]), "yx")])))
+    placed = polygons.select(key, F.xxhash64("rings").alias("part"), inner.alias("rings"))
+    sign = F.signum(signed_area(F.get("rings", F.lit(0))))
+    rings = placed.select(key, "part", sign.alias("sign"), F.floor(F.array_min(F.transform(F.flatten("rings"), lambda p: p["x"]))).alias("c0"), F.explode("rings").alias("ring")).where((F.size("ring") > 2) & (F.col("sign") != 0))
+    edges = rings.select(key, "part", "sign", "c0", "ring", F.posexplode("ring").alias("i", "p"))
+    edges = edges.withColumn("q", F.element_at("ring", (F.col("i") + 1) % F.size("ring") + 1)).where("p.y != q.y")
+    up = F.col("p.y") < F.col("q.y")
+    pick = lambda a, b, c: F.when(up, F.col(f"{a}.{c}")).otherwise(F.col(f"{b}.{c}"))
+    edges = edges.select(key, "part", "c0", F.when(up, F.col("sign")).otherwise(-F.col("sign")).alias("sign"), *[pick(*w, c).alias(f"{c}{k}") for k, w in enumerate(("pq", "qp"), 1) for c in "xy"])
+    first, last = F.floor("y1"), F.ceil("y2") - 1
+    bands = edges.withColumn("band", F.explode(F.sequence(F.floor(first / BAND), F.floor(last / BAND)))).repartition(key, "band")
+    rows = bands.withColumn("r", F.explode(F.sequence(F.greatest(first, F.col("band") * BAND), F.least(last, F.col("band") * BAND + (BAND - 1)))))
+    rows = rows.withColumns({"low": F.greatest("y1", "r"), "high": F.least("y2", F.col("r") + 1)})
+    at = lambda y: F.col("x1") + (F.col(y) - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    rows = rows.select(key, "part", "band", "r", "c0", (F.col("sign") * (F.col("high") - F.col("low"))).alias("rise"), at("low").alias("a"), at("high").alias("b"))
+    rows = rows.select(key, "part", "band", "r", "c0", "rise", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cells = rows.withColumn("c", F.explode(F.sequence("c0", F.greatest(F.col("c0"), F.ceil("b") - 1))))
+    part = F.col("rise") * held_mean(F.col("a") - F.col("c"), F.col("b") - F.col("c"), F.lit(1.0))
+    # A part's own sums come first: what its rings enclose the wrong way takes nothing from other parts.
+    found = cells.groupBy(key, "part", "band", "r", "c").agg((F.sum(part) * float(abs(t.a * t.e - t.b * t.d))).alias("area")).where("area > 0")
+    found = found.groupBy(key, "band", "r", "c").agg(F.sum("area").alias("area"))
+    return found.select(key, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "area")
 
 
 def areas(cells: DataFrame, key: str = "dep_id") -> DataFrame:

@@ -115,3 +115,38 @@ def test_all_touched(spark):
     inner = layer(spark, [(1, [square(1.25, 1.25, 0.5)]), (2, [square(3.5, 3.5, 3)])])
     got = {(r.r, r.c) for r in O.burn_all_touched(inner, Affine(e=1.0), 6, 6).collect()}
     assert got == {(1, 1)} | {(r, c) for r in range(3, 6) for c in range(3, 6)}
+
+
+def test_cells_of_polygons(spark):
+    """Each cell as a plain clip gives it; part sums, holes, turned axes."""
+    from lodestone.operators.recovery import polygon_cells
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(40):
+        far = [rng.uniform(1, 30 if i == 0 else 5) for _ in range(rng.randint(3, 9))]
+        at = sorted(rng.uniform(0, 2 * math.pi) for _ in far)
+        ring = [(rng.uniform(-3, 3) + d * math.cos(a), d * math.sin(a)) for d, a in zip(far, at)]
+        rows.append((i // 2, [ring if i % 3 else ring[::-1]]))
+    rows += [(90, [square(0, 0, 4), square(1, 1, 2)[::-1]]), (91, [square(0.5, 0.5, 2), square(4, 0, 1.5)]), (92, [[(0, 0), (1, 1)]]), (93, None), (94, [])]
+    for t in (Affine(e=1.0), Affine(a=0.5, c=-20.0, e=-0.25, f=40.0)):
+        want = {}
+        for key, rings in rows:
+            rings = [[{"x": x, "y": y} for x, y in r] for r in rings or []]
+            if not rings:
+                continue
+            corners = [t.to_cell(p["x"], p["y"]) for r in rings for p in r]
+            for r in range(math.floor(min(v for v, _ in corners)), math.ceil(max(v for v, _ in corners))):
+                for c in range(math.floor(min(u for _, u in corners)), math.ceil(max(u for _, u in corners))):
+                    (xa, ya), (xb, yb) = t.to_map(r, c), t.to_map(r + 1, c + 1)
+                    want[key, r, c] = want.get((key, r, c), 0.0) + G.rings_in_box(rings, min(xa, xb), max(xa, xb), min(ya, yb), max(ya, yb))
+        got = {(r.dep_id, r.r, r.c): r.area for r in polygon_cells(layer(spark, rows).withColumnRenamed("fid", "dep_id"), t).collect()}
+        assert {k for k, v in want.items() if v > 1e-9} <= got.keys()
+        assert all(v == pytest.approx(want.get(k, 0.0), abs=1e-9) for k, v in got.items())
+
+
+def test_clipping_reads_each_number_once(spark):
+    """The plan of a clip stays small: formulas written out again and again made it, and its work, many times larger."""
+    a = G.clip_area(F.col("rings"), *[F.col(c) for c in ("x0", "x1", "y0", "y1")])
+    df = spark.createDataFrame([([[{"x": 0.0, "y": 0.0}]], 0.0, 1.0, 0.0, 1.0)], f"rings {G.RINGS}, x0 double, x1 double, y0 double, y1 double")
+    assert len(df.select(a)._jdf.queryExecution().analyzed().toString()) < 12_000
