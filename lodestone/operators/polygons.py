@@ -3,7 +3,8 @@
 Edges are held to a fine square grid, so that equal points are equal numbers, and are split where they meet, which tiles
 find. The winding number beside each piece tells whether it bounds the wanted area; pieces that do are linked at their
 ends, and rings are found by pointer doubling. Work on a group follows its number of edges and meetings: windings are
-carried along rows of tiles by running sums, and only pieces of one tile are compared with each other.
+carried along rows of tiles by running sums, and only pieces of one tile are compared with each other. Many polygons of a
+group are united by batches of neighbours, of which only the border goes on, so that covered edges don't meet all others.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import RINGS, signed_area
-from .ordering import Rounds, cut
+from ..functions.geometry import RINGS, bound, bounds, named, signed_area
+from .ordering import Rounds, cut, number
 
 #: Groups whose extents are sent to all tasks (some tens of bytes each); those of more groups are joined by a shuffle.
 BROADCAST_GROUPS = 500_000
@@ -22,6 +23,8 @@ SEGMENT = ["x1", "y1", "x2", "y2"]
 OFF_X, OFF_Y = 0.5, 0.5 * (3 - 5**0.5)
 #: Distance, in steps of the grid, within which an edge is led through another's end.
 NEAR = 0.75
+#: Polygons, then borders of batches, that are arranged together where many are united.
+BATCH = 16
 
 
 def point(x: Column, y: Column) -> Column:
@@ -211,6 +214,20 @@ RULES = {"nonzero": lambda w: w != 0, "evenodd": lambda w: w % 2 != 0, "positive
 WAYS = {"union": lambda a, b: a | b, "intersection": lambda a, b: a & b, "difference": lambda a, b: a & ~b, "either": lambda a, b: a != b, "first": lambda a, b: a}
 
 
+def bordering(edges: DataFrame, inside) -> DataFrame:
+    """Edges in the form of edges_of, wa alone, that bound the area of which inside("l") and inside("r") say whether it lies
+    left and right of a piece; pieces of equal sides are left out."""
+    sided = windings(split(edges)).withColumns({"on left": inside("l"), "on right": inside("r")}).where(F.col("on left") != F.col("on right"))
+    return sided.select("gid", *SEGMENT, F.when(F.col("on left"), 1).otherwise(-1).cast("long").alias("wa"), F.lit(0).cast("long").alias("wb"))
+
+
+def turned(edges: DataFrame) -> DataFrame:
+    """Edges of edges_of, run once, as directed ones that have the area on their right."""
+    back = F.col("wa") > 0
+    pick = lambda a, b: F.when(back, F.col(a)).otherwise(F.col(b))
+    return edges.select("gid", pick("x2", "x1").alias("a1"), pick("y2", "y1").alias("b1"), pick("x1", "x2").alias("a2"), pick("y1", "y2").alias("b2")).toDF("gid", *SEGMENT)
+
+
 def combined(parts: DataFrame, way: str = "union", rules: tuple[str, str] = ("nonzero", "nonzero"), snap: float = 1e-7) -> DataFrame:
     """(gid, rings) of the area that polygons (gid, side, rings) of sides 0 and 1 give together, by group; every gid has a row.
 
@@ -219,11 +236,7 @@ def combined(parts: DataFrame, way: str = "union", rules: tuple[str, str] = ("no
     of snap, and edges that come within three quarters of it count as meeting. Rings keep to the layer's convention: outlines
     first and clockwise, holes anticlockwise; a group without area has an empty array. Null or empty polygons have no area.
     """
-    sided = windings(split(edges_of(parts, snap)))
-    inside = lambda k: WAYS[way](RULES[rules[0]](F.col(f"{k}a")), RULES[rules[1]](F.col(f"{k}b")))
-    kept = sided.withColumns({"on left": inside("l"), "on right": inside("r")}).where(F.col("on left") != F.col("on right"))
-    pick = lambda a, b: F.when(F.col("on right"), F.col(a)).otherwise(F.col(b))
-    kept = kept.select("gid", pick("x1", "x2").alias("a1"), pick("y1", "y2").alias("b1"), pick("x2", "x1").alias("a2"), pick("y2", "y1").alias("b2")).toDF("gid", *SEGMENT)
+    kept = turned(bordering(edges_of(parts, snap), lambda k: WAYS[way](RULES[rules[0]](F.col(f"{k}a")), RULES[rules[1]](F.col(f"{k}b")))))
     # Rings are read many times by whatever measures them, so they are made once.
     return cut(parts.select("gid").distinct().join(rings_of(kept, snap), "gid", "left").withColumn("rings", F.coalesce("rings", F.array().cast(RINGS))))
 
@@ -239,6 +252,72 @@ def repair(layer: DataFrame, key: str = "fid", snap: float = 1e-7) -> DataFrame:
     return combined(layer.select(F.col(key).alias("gid"), F.lit(0).alias("side"), "rings"), "first", ("evenodd", "nonzero"), snap).withColumnRenamed("gid", key)
 
 
+def convex(ring: Column, snap: float) -> Column:
+    """Whether a ring without repeated points runs anticlockwise once about a convex area, with corners well above snap."""
+    n = F.size(ring)
+
+    def corner(p: Column, i: Column) -> Column:
+        a, b = F.element_at(ring, (i + n - 1) % n + 1), F.element_at(ring, (i + 1) % n + 1)
+        ways = bound(named(a=a, b=b), lambda k: named(ux=p["x"] - k["a"]["x"], uy=p["y"] - k["a"]["y"], vx=k["b"]["x"] - p["x"], vy=k["b"]["y"] - p["y"]))
+        sides = bound(ways, lambda w: named(cross=w["ux"] * w["vy"] - w["uy"] * w["vx"], dot=w["ux"] * w["vx"] + w["uy"] * w["vy"], long=F.greatest(F.hypot(w["ux"], w["uy"]), F.hypot(w["vx"], w["vy"]))))
+        # A corner that doesn't stand out to the left counts as turning too far.
+        return bound(sides, lambda k: F.when(k["cross"] > 16 * snap * k["long"], F.atan2(k["cross"], k["dot"])).otherwise(4 * F.pi()))
+
+    return F.when(n < 3, False).otherwise(F.aggregate(F.transform(ring, corner), F.lit(0.0), lambda a, v: a + v) < 3 * F.pi())
+
+
+def sorted_out(layer: DataFrame, snap: float) -> DataFrame:
+    """(gid, rings, ring, k) of polygons (gid, rings), each once in its group: ring is the only ring of a polygon that is
+    convex, anticlockwise, else null; k is the number of polygons of the group. Polygons are dealt to all tasks."""
+    once = layer.select("gid", "rings").distinct()
+    ring = once.withColumn("ring", F.when(F.size("rings") == 1, F.get(plain_rings(F.col("rings"), True), F.lit(0))))
+    ring = cut(ring.withColumn("ring", F.when(convex(F.col("ring"), snap), F.col("ring"))))
+    return ring.join(ring.groupBy("gid").agg(F.count(F.lit(1)).alias("k")), "gid", "left")
+
+
+def alone() -> Column:
+    """Whether a polygon of sorted_out is convex and all that its group has, so that nothing has to be arranged."""
+    return F.coalesce((F.col("k") == 1) & F.col("ring").isNotNull(), F.lit(False))
+
+
+def as_layer(ring: Column, snap: float) -> Column:
+    """An anticlockwise ring as the only one of a polygon, clockwise, in steps of snap."""
+    return F.array(F.reverse(F.transform(ring, lambda p: named(x=F.round(p["x"] / snap) * snap, y=F.round(p["y"] / snap) * snap))))
+
+
+def neighbours_numbered(polygons: DataFrame) -> DataFrame:
+    """polygons of sorted_out with n, from 0 in each group: by strips of centres, then up, so that near ones are near in number."""
+    b = polygons.withColumn("box", bounds(F.col("rings"))).select("gid", "rings", "ring", "k", ((F.col("box.x0") + F.col("box.x1")) / 2).alias("cx"), ((F.col("box.y0") + F.col("box.y1")) / 2).alias("cy"))
+    wide = b.groupBy("gid").agg(F.min("cx").alias("low"), F.max("cx").alias("high"))
+    strip = F.floor((F.col("cx") - F.col("low")) / F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")) * F.ceil(F.sqrt(F.col("k") / BATCH)))
+    placed = b.join(wide, "gid").select("gid", "rings", "ring", "k", F.coalesce(strip, F.lit(0)).alias("strip"), "cy")
+    return number(placed, ["gid"], ["strip", "cy", F.xxhash64("rings")], "n").select("gid", "rings", "ring", "k", (F.col("n") - 1).alias("n"))
+
+
+def united(polygons: DataFrame, snap: float) -> DataFrame:
+    """Edges, in the form of edges_of, that bound what the polygons of each group (of sorted_out) cover.
+
+    A polygon that isn't convex is freed of its own crossings first. Then batches of BATCH neighbours are arranged, and in
+    further rounds the borders of so many batches, until a group is one: what a batch covers meets no other edges. So work
+    follows the number of polygons and the length of the borders, not the number of pairs that overlap.
+    """
+    nonzero = lambda k: F.col(f"{k}a") != 0
+    many = polygons.where("k > 1")
+    placed = polygons.where("k = 1").select("gid", "rings", "ring", "k", F.lit(0).cast("long").alias("n"))
+    if not many.isEmpty():
+        placed = placed.unionByName(neighbours_numbered(many))
+    placed = cut(placed.select(F.struct(F.col("gid").alias("g"), "n", "k").alias("gid"), F.lit(0).alias("side"), "rings", F.col("ring").isNotNull().alias("plain")))
+    rounds = Rounds(polygons.sparkSession)
+    edges, other = edges_of(placed.where("plain"), snap), placed.where("not plain")
+    if not other.isEmpty():
+        edges = edges.unionByName(bordering(edges_of(other, snap), nonzero))
+    edges = rounds.write(edges)
+    while not (left := edges.where("gid.k > 1")).isEmpty():
+        batch = F.struct(F.col("gid.g").alias("g"), F.floor(F.col("gid.n") / BATCH).alias("n"), F.ceil(F.col("gid.k") / BATCH).alias("k"))
+        edges = rounds.write(edges.where("gid.k = 1").unionByName(bordering(ordered(left.withColumn("gid", batch)), nonzero)))
+    return edges.withColumn("gid", F.col("gid.g"))
+
+
 def dissolve(layer: DataFrame, key: str, matched: bool = False, snap: float = 1e-7) -> DataFrame:
     """(key, rings): polygons of one key united; overlaps count once.
 
@@ -246,13 +325,15 @@ def dissolve(layer: DataFrame, key: str, matched: bool = False, snap: float = 1e
     in both directions drop out, the others are the outline, and nothing has to be split.
     """
     parts = layer.select(F.col(key).alias("gid"), F.lit(0).alias("side"), "rings")
-    if not matched:
-        return combined(parts, "first", snap=snap).withColumnRenamed("gid", key)
-    left = edges_of(parts, snap)
-    back = F.col("wa") > 0  # outlines run anticlockwise there, and clockwise in a layer
-    pick = lambda a, b: F.when(back, F.col(a)).otherwise(F.col(b))
-    turned = left.select("gid", pick("x2", "x1").alias("a1"), pick("y2", "y1").alias("b1"), pick("x1", "x2").alias("a2"), pick("y1", "y2").alias("b2")).toDF("gid", *SEGMENT)
-    return cut(rings_of(turned, snap)).withColumnRenamed("gid", key)
+    if matched:
+        return cut(rings_of(turned(edges_of(parts, snap)), snap)).withColumnRenamed("gid", key)
+    polygons = sorted_out(parts, snap)
+    done = polygons.where(alone()).select("gid", as_layer(F.col("ring"), snap).alias("rings"))
+    rest = polygons.where(~alone())
+    if not rest.isEmpty():
+        found = rest.select("gid").distinct().join(rings_of(turned(united(rest, snap)), snap), "gid", "left")
+        done = done.unionByName(found.withColumn("rings", F.coalesce("rings", F.array().cast(RINGS))))
+    return cut(done).withColumnRenamed("gid", key)
 
 
 def boundary_lines(layer: DataFrame, key: str, snap: float = 1e-7) -> DataFrame:

@@ -150,3 +150,28 @@ def test_clipping_reads_each_number_once(spark):
     a = G.clip_area(F.col("rings"), *[F.col(c) for c in ("x0", "x1", "y0", "y1")])
     df = spark.createDataFrame([([[{"x": 0.0, "y": 0.0}]], 0.0, 1.0, 0.0, 1.0)], f"rings {G.RINGS}, x0 double, x1 double, y0 double, y1 double")
     assert len(df.select(a)._jdf.queryExecution().analyzed().toString()) < 12_000
+
+
+def test_many_overlapping_polygons(spark, monkeypatch):
+    """More polygons than a batch: the union of discs and squares, and no arrangement of more than a batch's edges."""
+    sizes, real = [], P.split
+    monkeypatch.setattr(P, "split", lambda e: sizes.append(e.groupBy("gid").count().agg(F.max("count")).first()[0]) or real(e))
+    rng = random.Random(7)
+    disc = lambda x, y: [(x + 2 * math.cos(math.pi * i / 6), y + 2 * math.sin(math.pi * i / 6)) for i in range(12)]
+    heap = [(1, [disc(rng.uniform(0, 1), rng.uniform(0, 1))]) for _ in range(40)]
+    row = [(2, [square(i, i % 2, 1.5)]) for i in range(40)] + [(2, [square(3, 1, 1.5)])] * 30
+    ring = [(3, [square(i, 0, 1)]) for i in range(20)] + [(3, [square(i, 5, 1)]) for i in range(20)] + [(3, [square(i, j, 1)]) for i in (0, 19) for j in range(1, 5)]
+    # A bow tie's lobes run both ways; the one that runs backwards doesn't take the square away.
+    tie = [(4, [[(0, 0), (2, 2), (2, 0), (0, 2)]]), (4, [square(0, 0.5, 1)])]
+    got = areas(P.dissolve(layer(spark, heap + row + ring + tie), "fid"))
+    assert max(sizes) < 40 * 12
+    one = P.combined(layer(spark, heap).select(F.col("fid").alias("gid"), F.lit(0).alias("side"), "rings"), "first")
+    assert got[1][0].expected == pytest.approx(areas(one.withColumnRenamed("gid", "fid"))[1][0].expected, abs=1e-5)
+    overlap = 39 * 0.5 * 0.5
+    assert got[2] == (pytest.approx(40 * 2.25 - overlap, abs=1e-5), 1) and got[3] == (pytest.approx(48, abs=1e-5), 2)
+    assert got[4][0].expected == pytest.approx(2.25, abs=1e-5)
+
+
+def test_odd_polygons_in_a_union(spark):
+    got = areas(P.dissolve(layer(spark, [(1, None), (1, []), (2, [square(0, 0, 1)]), (2, None), (3, [square(0, 0, 2), square(0.5, 0.5, 1)[::-1]]), (4, [[(0, 0), (1, 1)]]), (5, [[(0, 0), (2, 0), (2, 0), (2, 2), (0, 2), (0, 0)]])]), "fid"))
+    assert got == {1: (0, 0), 2: (1, 1), 3: (3, 2), 4: (0, 0), 5: (4, 1)}
