@@ -355,12 +355,14 @@ def offset_rings(rings: Column, distance: float, quadrant: int) -> Column:
 
         def corner(p: Column, i: Column) -> Column:
             a, b = F.element_at(ring, (i + n - 1) % n + 1), F.element_at(ring, (i + 1) % n + 1)
-            before, after = F.atan2(a["x"] - p["x"], p["y"] - a["y"]), F.atan2(p["x"] - b["x"], b["y"] - p["y"])  # of the normals to the right
-            turn = F.pmod(after - before + F.pi(), 2 * F.pi()) - F.pi()
+            normals = named(before=F.atan2(a["x"] - p["x"], p["y"] - a["y"]), after=F.atan2(p["x"] - b["x"], b["y"] - p["y"]))  # to the right
+            return bound(normals, lambda w: bound(F.pmod(w["after"] - w["before"] + F.pi(), 2 * F.pi()) - F.pi(), lambda turn: about(p, w, turn)))
+
+        def about(p: Column, w: Column, turn: Column) -> Column:
             steps = F.greatest(F.lit(1), F.ceil(turn / (F.pi() / (2 * quadrant)) - 1e-9)).cast("int")
-            on = lambda w: F.struct((p["x"] + distance * F.cos(w)).alias("x"), (p["y"] + distance * F.sin(w)).alias("y"))
-            arc = F.transform(F.sequence(F.lit(0), steps), lambda k: on(before + turn * k / steps))
-            return F.when(turn >= 0, arc).otherwise(F.array(on(before), F.struct(p["x"].alias("x"), p["y"].alias("y")), on(after)))
+            on = lambda v: F.struct((p["x"] + distance * F.cos(v)).alias("x"), (p["y"] + distance * F.sin(v)).alias("y"))
+            arc = bound(steps, lambda n: F.transform(F.sequence(F.lit(0), n), lambda k: on(w["before"] + turn * k / n)))
+            return F.when(turn >= 0, arc).otherwise(F.array(on(w["before"]), F.struct(p["x"].alias("x"), p["y"].alias("y")), on(w["after"])))
 
         return F.flatten(F.transform(ring, corner))
 
@@ -381,15 +383,31 @@ def buffer(layer: DataFrame, distance: float, key: str = "fid", quadrant: int =
     sector about a corner. Growing keeps the positive windings of curves outside the rings; shrinking takes away the strips
     and sectors within. Polygons of one key are united first.
     """
-    layer = dissolve(layer, key, snap=snap).select(F.col(key).alias("gid"), "rings")
+    layer = layer.select(F.col(key).alias("gid"), "rings")
+    if distance < 0:
+        return arranged_buffer(layer, distance, quadrant, snap).withColumnRenamed("gid", key)
+    # About a polygon that is convex and alone the curve is convex too: nothing meets, and the curve is the result.
+    polygons = sorted_out(layer, snap)
+    curve = F.when(alone(), F.get(offset_rings(F.array("ring"), distance, quadrant), F.lit(0)))
+    polygons = cut(polygons.withColumn("curve", curve)).withColumn("plain", F.coalesce(convex(F.col("curve"), snap), F.lit(False)))
+    done = polygons.where("plain").select("gid", as_layer(F.col("curve"), snap).alias("rings"))
+    rest = polygons.where("not plain")
+    if not rest.isEmpty():
+        done = done.unionByName(arranged_buffer(rest.select("gid", "rings"), distance, quadrant, snap))
+    return cut(done).withColumnRenamed("gid", key)
+
+
+def arranged_buffer(layer: DataFrame, distance: float, quadrant: int, snap: float) -> DataFrame:
+    """buffer of polygons (gid, rings) by arranging their curves."""
+    layer = dissolve(layer, "gid", snap=snap)
     one = F.lit(1).cast("long")
     rings = plain_rings(F.col("rings"), distance >= 0)
     curve = layer.select("gid", offset_rings(rings, abs(distance), quadrant).alias("rings"), one.alias("w"))
     if distance >= 0:
-        return combined(curve.withColumn("side", F.lit(0)), "first", ("positive", "nonzero"), snap).withColumnRenamed("gid", key)
+        return combined(curve.withColumn("side", F.lit(0)), "first", ("positive", "nonzero"), snap)
     solid = layer.select("gid", plain_rings(F.col("rings"), True).alias("rings"), one.alias("w"))
     both = solid.withColumn("side", F.lit(0)).unionByName(solid.withColumn("side", F.lit(1))).unionByName(curve.withColumn("side", F.lit(1)))
-    return combined(both, "difference", ("nonzero", "positive"), snap).withColumnRenamed("gid", key)
+    return combined(both, "difference", ("nonzero", "positive"), snap)
 
 
 def closed_outline(layer: DataFrame, distance: float, key: str = "fid", quadrant: int = 8, snap: float = 1e-7) -> DataFrame:

@@ -175,3 +175,25 @@ def test_many_overlapping_polygons(spark, monkeypatch):
 def test_odd_polygons_in_a_union(spark):
     got = areas(P.dissolve(layer(spark, [(1, None), (1, []), (2, [square(0, 0, 1)]), (2, None), (3, [square(0, 0, 2), square(0.5, 0.5, 1)[::-1]]), (4, [[(0, 0), (1, 1)]]), (5, [[(0, 0), (2, 0), (2, 0), (2, 2), (0, 2), (0, 0)]])]), "fid"))
     assert got == {1: (0, 0), 2: (1, 1), 3: (3, 2), 4: (0, 0), 5: (4, 1)}
+
+
+def test_convex_buffers_need_no_arrangement(spark, monkeypatch):
+    """Lone convex polygons, whichever way they run, never come to the arrangement; others do, with the same result."""
+    sent, real = [], P.split
+    monkeypatch.setattr(P, "split", lambda e: sent.append({r.gid for r in e.select("gid").distinct().collect()}) or real(e))
+    hexagon = [(3 * math.cos(math.pi * i / 3), 3 * math.sin(math.pi * i / 3)) for i in range(6)]
+    plain = [(1, [square(0, 0, 2)]), (2, [square(0, 0, 2)[::-1]]), (3, [hexagon + hexagon[:1]])]
+    corner = [(0, 0), (3, 0), (3, 1), (1, 1), (1, 3), (0, 3)]
+    sector = 4 * 8 * 0.5 * math.sin(math.pi / 16)
+    arcs = 6 * 6 * 0.5 * math.sin(math.pi / 18)
+    want = {1: (4 + 8 + sector, 1), 2: (4 + 8 + sector, 1), 3: (pytest.approx(13.5 * math.sqrt(3) + 18 + arcs, abs=1e-5), 1)}
+    got = P.buffer(layer(spark, plain), 1.0)
+    assert areas(got) == want and not sent
+    assert all(signed(r.rings[0]) < 0 for r in got.collect())  # outlines run clockwise
+    more = areas(P.buffer(layer(spark, [(4, [corner]), (1, [square(0, 0, 2)])]), 1.0))
+    assert more[1] == want[1] and more[4] == (pytest.approx(5 + 11 + 5 * 8 * 0.5 * math.sin(math.pi / 16), abs=1e-5), 1)
+    assert sent and 1 not in set().union(*sent)
+
+
+def signed(ring):
+    return sum(p.x * q.y - q.x * p.y for p, q in zip(ring, ring[1:] + ring[:1])) / 2
